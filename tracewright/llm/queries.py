@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import op02_sharding, op09_secrets
+from tracewright.llm import op02_sharding, op08_decontamination, op09_secrets, op10_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_hash_sharding": op02_sharding.op2_jump_hash_sharding,
+    "op8_decontamination": op08_decontamination.op8_decontamination,
     "op9_multipart_secrets": op09_secrets.op9_multipart_secrets,
+    "op10_minhash_jaccard_join": op10_jaccard_join.op10_minhash_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op2_jump_hash_sharding": op02_sharding.ORACLE,
+    "op8_decontamination": op08_decontamination.ORACLE,
 }
