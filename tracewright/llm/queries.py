@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import op02_sharding, op08_decontamination, op09_secrets, op10_jaccard_join
+from tracewright.llm import op02_sharding, op04_pii, op08_decontamination, op09_secrets, op10_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_hash_sharding": op02_sharding.op2_jump_hash_sharding,
+    "op4_information_theoretic_pii": op04_pii.op4_information_theoretic_pii,
     "op8_decontamination": op08_decontamination.op8_decontamination,
     "op9_multipart_secrets": op09_secrets.op9_multipart_secrets,
     "op10_minhash_jaccard_join": op10_jaccard_join.op10_minhash_jaccard_join,
