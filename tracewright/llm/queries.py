@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import op02_sharding, op04_pii, op07_packing, op08_decontamination, op09_secrets, op10_jaccard_join
+from tracewright.llm import op02_sharding, op04_pii, op05_language_id, op07_packing, op08_decontamination, op09_secrets, op10_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_hash_sharding": op02_sharding.op2_jump_hash_sharding,
     "op4_information_theoretic_pii": op04_pii.op4_information_theoretic_pii,
+    "op5_compression_language_id": op05_language_id.op5_compression_language_id,
     "op7_best_fit_packing": op07_packing.op7_best_fit_packing,
     "op8_decontamination": op08_decontamination.op8_decontamination,
     "op9_multipart_secrets": op09_secrets.op9_multipart_secrets,
