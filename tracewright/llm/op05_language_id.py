@@ -17,6 +17,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 400, 1500
 #: Bytes of a language's dictionary; bytes of text encoded at a time, each time with the dictionary alone before it.
 DICTIONARY_BYTES, BLOCK_BYTES = 160_000, 4096
 LEVEL = 6
+#: Texts of fewer bytes are repeated up to this size.
+SHORT_BYTES = 64
 #: A prediction is accepted if the best size is smaller than the next by this share of the next.
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -56,6 +58,8 @@ def predict(text: str | None, model: Model, margin: float = MARGIN) -> tuple[str
     if not any(c.isalpha() for c in body) or not model.dictionaries:
         return UNKNOWN, 0.0, False
     raw = body.encode("utf-8", "surrogatepass")
+    if len(raw) < SHORT_BYTES:  # so little is stored as it is; with itself after it, its matches in the dictionaries count
+        raw = b" ".join([raw] * (1 + SHORT_BYTES // len(raw)))
     blocks = [raw[a : a + BLOCK_BYTES] for a in range(0, len(raw), BLOCK_BYTES)]
     sizes = [(sum(len(z.compress(b)) for b in blocks), i, lang) for i, (lang, z) in enumerate(_compressors_of(model))]
     sizes.sort()

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import op02_sharding, op04_pii, op05_language_id, op07_packing, op08_decontamination, op09_secrets, op10_jaccard_join
+from tracewright.llm import op01_nearest, op02_sharding, op04_pii, op05_language_id, op07_packing, op08_decontamination, op09_secrets, op10_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_block_matrix_nearest": op01_nearest.op1_block_matrix_nearest,
     "op2_jump_hash_sharding": op02_sharding.op2_jump_hash_sharding,
     "op4_information_theoretic_pii": op04_pii.op4_information_theoretic_pii,
     "op5_compression_language_id": op05_language_id.op5_compression_language_id,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_jaccard_join": op10_jaccard_join.op10_minhash_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op1_block_matrix_nearest": op01_nearest.ORACLE,
     "op2_jump_hash_sharding": op02_sharding.ORACLE,
     "op8_decontamination": op08_decontamination.ORACLE,
 }
