@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import op01_nearest, op02_sharding, op04_pii, op05_language_id, op06_html, op07_packing, op08_decontamination, op09_secrets, op10_jaccard_join
+from tracewright.llm import (
+    op01_nearest,
+    op02_sharding,
+    op03_repeats,
+    op04_pii,
+    op05_language_id,
+    op06_html,
+    op07_packing,
+    op08_decontamination,
+    op09_secrets,
+    op10_jaccard_join,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_matrix_nearest": op01_nearest.op1_block_matrix_nearest,
     "op2_jump_hash_sharding": op02_sharding.op2_jump_hash_sharding,
+    "op3_radix_repeats": op03_repeats.op3_radix_repeats,
     "op4_information_theoretic_pii": op04_pii.op4_information_theoretic_pii,
     "op5_compression_language_id": op05_language_id.op5_compression_language_id,
     "op6_minimum_cut_html": op06_html.op6_minimum_cut_html,
