@@ -25,10 +25,10 @@ from tracewright.llm.words import mixed, powers
 GRAM = 40
 #: Different blocks of one first digit that one task sorts; larger groups are sorted by shuffles.
 TASK_KINDS = 4000
-#: Numbers of blocks or documents up to which they are sent to the scan of texts; more meet it in a shuffle.
-SENT_BLOCKS, SENT_TEXTS = 3_000_000, 1_000_000
+#: Numbers of blocks or removed runs up to which they are sent to the scan of texts; more meet it in a shuffle.
+SENT_BLOCKS = 3_000_000
 #: Bytes of windows' blocks that one call sorts together.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 
 _BYTE = np.random.default_rng(3).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -231,20 +231,26 @@ def remove_repeats(docs: DataFrame, depth: int = 200, key: str = "doc_id", text:
     single = _sorted_in_tasks(dealt, depth).union(_sorted_by_shuffle(kinds.where("many").select("h", "c", "body"), depth))
     # A block that occurs twice is repeated as a whole; of others only some windows may be.
     at = second.select("h", "c", "n").join(single, ["h", "c"], "left").where("n > 1 or at is not null")
-    at = at.select("h", "c", F.when(F.col("n") == 1, F.col("at")).alias("at"))
+    at = stored(at.select("h", "c", F.when(F.col("n") == 1, F.col("at")).alias("at")), "at")
     hits = again.where("same").select("k1", "k2", "a", "b", F.lit(None).cast("array<int>").alias("at")).union(
         again.where("not same").join(at, ["h", "c"]).select("k1", "k2", "a", "b", "at")
     )
-    hits = stored(hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "at")).alias("runs")), "hits")
-    size = hits.agg(F.count("*").alias("n"), F.sum(F.size("runs")).alias("m")).first()
-    few = size.n <= SENT_TEXTS and (size.m or 0) <= SENT_BLOCKS
+    hits = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "at")).alias("runs"))
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            runs = [[{"start": a, "end": b} for a, b in _covered(r, depth)] for r in batch["runs"]]
+            yield batch[["k1", "k2"]].assign(removed=runs)
+
+    hits = stored(hits.mapInPandas(cover, "k1 long, k2 long, removed array<struct<start:int,end:int>>"), "hits")
+    few = (hits.agg(F.sum(F.size("removed") + 1)).first()[0] or 0) <= SENT_BLOCKS
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 raw = row.body.encode("utf-8", "surrogatepass")
-                spans = _covered(row.runs, depth) if row.runs is not None else []
+                spans = [(x["start"], x["end"]) for x in row.removed] if row.removed is not None else []
                 kept, at = hashlib.sha256(), 0
                 for a, b in spans:
                     kept.update(raw[at:a])
@@ -253,7 +259,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, key: str = "doc_id", text:
                 out.append((row.doc_id, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]).astype({"doc_id": "Int64"})
 
-    told = texts.join(F.broadcast(hits) if few else hits, ["k1", "k2"], "left").select("doc_id", "body", "runs")
+    told = texts.join(F.broadcast(hits) if few else hits, ["k1", "k2"], "left").select("doc_id", "body", "removed")
     return told.mapInPandas(
         judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>"
     )
