@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, one sub-folder an application.
-
-    It is the one that ``spark.checkpoint.dir`` names. Where that is unset a
-    temporary folder serves, but only for a local master: executors of a
-    cluster don't see each other's disks.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="tracewright-"))
-    return f"{base.rstrip('/')}/{app}"
-
+from tracewright.functions.storage import stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs at most the tasks that were
-    running on it, and values such as row keys can't change when a stage is
-    computed again. The tables stay until the application's folder is deleted.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "numbered", "row_key", "stored"]
 
 
 def row_key() -> Column:
