@@ -80,7 +80,7 @@ def size_label(n: Column) -> Column:
     """Bytes as B, K, M or G with one decimal."""
 
     def scaled(power: int) -> Column:
-        return F.regexp_replace(F.format_number(n / float(1024**power), "0.0"), ",", "")
+        return F.call_function("format_number", n / float(1024**power), F.lit("0.0"))
 
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit("B")))
