@@ -61,3 +61,11 @@ def test_banding_reaches_the_recall():
     for recall in (0.9, 0.99, 0.9999):
         bands, rows = op.banding(0.8, recall)
         assert 1 - (1 - 0.8**rows) ** bands >= recall > 1 - (1 - 0.8**rows) ** (bands - 1)
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_one_row_of_each_class_stays_with_all_columns(spark, sent):
+    docs = table(spark, ["a b c d e f", "A b c d e f", None, None, "x y", "x z"])
+    got = op.one_of_each(docs, sent_rows=sent)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "", r.h) for r in got.collect()) == [(0, "a b c d e f", 7), (2, "", 7), (3, "", 7), (4, "x y", 7), (5, "x z", 7)]

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.storage import stored
 
-__all__ = ["components", "numbered", "row_key", "stored"]
+__all__ = ["bounded", "components", "numbered", "row_key", "stored"]
+
+
+def bounded(df: DataFrame, name: str, most: int) -> DataFrame:
+    """``df`` stored, with a hint to send it to all executors only if it has at most ``most`` rows."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def row_key() -> Column:

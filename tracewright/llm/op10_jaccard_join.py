@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, row_key, stored
+from tracewright.llm.common import bounded, components, row_key, stored
 from tracewright.llm.words import STEP, mixed, shingles
 
 #: A cell of candidates holds at most about two blocks of so many shingles or documents.
@@ -114,6 +114,7 @@ def near_duplicates(
     recall: float = 0.9999,
     key: str = "doc_id",
     text: str = "text",
+    row: str | None = None,
 ) -> DataFrame:
     """Each document's near-duplicate class and number of links.
 
@@ -123,7 +124,9 @@ def near_duplicates(
     first row with the same set, ``n_copies`` the rows with the same set,
     ``n_links`` the other documents linked to this one (copies of a linked text
     count each), ``n_linked_sets`` the different sets among them; ``kept`` marks
-    the component's first row.
+    the component's first row, ``row_key`` names the row. Rows are numbered and
+    stored first, unless ``row`` is a column of a stored table that holds a
+    different long in each row.
 
     Words are runs of ASCII digits and letters (case folded) and non-ASCII
     characters; a text of fewer words than ``size`` is one shingle. Null texts
@@ -139,7 +142,8 @@ def near_duplicates(
     only counts and a spanning forest leave it, never the pairs.
     """
     bands, rows = banding(similarity, recall)
-    keyed = stored(docs.select(row_key().alias("_row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body")), "docs")
+    fields = [F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body")]
+    keyed = docs.select(F.col(row).alias("_row"), *fields) if row else stored(docs.select(row_key().alias("_row"), *fields), "docs")
     features = stored(_features(keyed, size, bands, rows), "features")
     sets = features.where("n > 0").groupBy("h1", "h2").agg(
         F.min(F.struct("_row", "doc_id")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
@@ -194,5 +198,17 @@ def near_duplicates(
     )
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
+    """``docs`` without the rows that aren't the first of their class, with all their columns.
+
+    Texts are stored once and stay in place while the other rows' keys can be
+    sent; more than ``sent_rows`` of them meet the rows in a shuffle.
+    """
+    whole = stored(docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "documents")
+    texts = whole.select("key", F.col(f"doc.`{key}`").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"))
+    others = near_duplicates(texts, row="key").where("not kept").select(F.col("row_key").alias("key"))
+    return whole.join(bounded(others, "others", sent_rows), "key", "left_anti").select("doc.*")
+
+
 def op10_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_key")
