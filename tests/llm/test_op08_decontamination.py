@@ -56,3 +56,13 @@ def test_empty_tables(spark):
     (r,) = op.decontaminate(table(spark, ["a b c"], [None]), none).collect()
     assert (r.doc_id, r.n_words, r.n_hit, r.contaminated) == (None, 3, 0, False)
     assert op.decontaminate(table(spark, ["a b c"] * 2, [1, 1]), some).where("contaminated").count() == 2
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_clean_rows_stay_with_all_columns(spark, bound):
+    texts, items = cases()
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, window string")
+    docs = table(spark, texts)
+    got = op.uncontaminated(docs, bench, index_bytes=bound)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [i for i, t in enumerate(texts) if not brute(t, items)[4]]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import row_key, stored
@@ -148,6 +148,51 @@ def _shuffled(docs: DataFrame, windows: DataFrame, key: str, text: str) -> DataF
     return out.select("_row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "windows")
 
 
+def _weight(windows: DataFrame) -> int:
+    return windows.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+
+
+def _local(docs: DataFrame, windows: DataFrame, text: str) -> tuple[list, list[tuple[int, bytes]], dict[int, int]]:
+    """The windows on the driver, which ``index_bytes`` bounds: rows, (number, words), and counts of their words in all documents."""
+    numbers = Window.orderBy("words", "n")
+    local = windows.withColumn("window", F.row_number().over(numbers).cast("long")).select("window", "words", "items").collect()
+    bodies = [(r.window, bytes(r.words)) for r in local]
+    known = {int(words_of(w.decode("utf-8", "surrogatepass"))[0][0]) for _, b in bodies for w in set(b.split(b" "))}
+    return local, bodies, _word_counts(docs, sorted(known), text)
+
+
+def _is_contaminated(n_words: Column, n_hit: Column) -> Column:
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
+
+
+def uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text", index_bytes: int = 64 << 20
+) -> DataFrame:
+    """``docs`` without the contaminated rows, with all their columns.
+
+    With the index in memory a row is judged where it is read and nothing is
+    shuffled; beyond ``index_bytes`` the rows are numbered, stored and met by
+    the verdicts of the shuffle join.
+    """
+    windows = item_windows(benchmark, size, item, item_text)
+    if _weight(windows) <= index_bytes:
+        _, bodies, counts = _local(docs, windows, text)
+        shipped = docs.sparkSession.sparkContext.broadcast((bodies, counts))
+
+        @F.pandas_udf("boolean")
+        def contaminated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            index = _Index(*shipped.value)
+            for batch in batches:
+                got = [index.find(body)[:2] if body is not None else (0, 0) for body in batch]
+                yield pd.Series([hit > 0 and 20 * hit >= words for words, hit in got], dtype=bool)
+
+        return docs.where(~contaminated(F.col(text)))
+    whole = stored(docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "documents")
+    judged = decontaminate(whole.select("key", F.col(f"doc.`{text}`").alias("text")), benchmark, size, "key", "text", item, item_text, index_bytes)
+    gone = judged.where("contaminated").select(F.col("doc_id").alias("key"))
+    return whole.join(gone, "key", "left_anti").select("doc.*")
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -174,14 +219,9 @@ def decontaminate(
     themselves. Empty tables are fine.
     """
     windows = item_windows(benchmark, size, item, item_text)
-    numbers = Window.orderBy("words", "n")
-    weight = windows.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-    if weight <= index_bytes:
-        windows = windows.withColumn("window", F.row_number().over(numbers).cast("long"))  # bounded by index_bytes
-        local = windows.select("window", "words", "items").collect()
-        bodies = [(r.window, bytes(r.words)) for r in local]
-        known = {int(words_of(w.decode("utf-8", "surrogatepass"))[0][0]) for _, b in bodies for w in set(b.split(b" "))}
-        found = _indexed(docs, bodies, _word_counts(docs, sorted(known), text), key, text)
+    if _weight(windows) <= index_bytes:
+        local, bodies, counts = _local(docs, windows, text)
+        found = _indexed(docs, bodies, counts, key, text)
         items = docs.sparkSession.createDataFrame([(r.window, list(r.items)) for r in local], "window long, items array<string>")
         found = _named(found, items)
     else:
@@ -194,7 +234,7 @@ def decontaminate(
         "n_hit",
         F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+        _is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
         ids.alias("items"),
     )
 
