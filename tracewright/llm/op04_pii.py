@@ -108,7 +108,7 @@ def _read(docs: DataFrame, key: str, text: str, reach: int, whole: bool) -> Data
     )
     # Most texts have no span, and then no context is looked for.
     context = F.when(F.size("base") > 0, _context(F.col("body"), F.col("base"), reach))
-    rows = rows.select("_row", "doc_id", "base", F.when(F.size("base") > 0, F.xxhash64("body")).alias("copy"), context.alias("context"), *(["doc", "body"] if whole else []))
+    rows = rows.select("_row", "doc_id", "base", F.when(F.size("base") > 0, F.xxhash64("body")).alias("copy"), context.alias("context"), *(["doc"] if whole else []))
     return stored(rows, "personal")
 
 
@@ -162,7 +162,10 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("n"), "e", "k"))).alias("added"))
     )
-    rows = rows.join(added, "_row", "left").withColumn("added", F.coalesce("added", F.expr(_NO_SPANS)))
+    # Only rows with terms meet what was added; the others stay in place.
+    some = F.coalesce(F.size("context") > 0, F.lit(False))
+    met = rows.where(some).join(added, "_row", "left").withColumn("added", F.coalesce("added", F.expr(_NO_SPANS)))
+    rows = met.unionByName(rows.where(~some).withColumn("added", F.expr(_NO_SPANS)))
     base = F.array_sort("base")
     out = rows.select(
         "doc_id",
@@ -170,7 +173,7 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
         F.sha2(told(base), 256).alias("base_sha256"),
         told(F.concat(F.transform(base, _plain), "added")).alias("spans"),
         F.size("added").cast("long").alias("n_terms"),
-        *(["doc", _replaced(F.col("body"), F.array_sort(F.concat(F.transform("base", _plain), "added"))).alias("clean")] if whole else []),
+        *(["doc", _replaced(F.coalesce(F.col(f"doc.`{text}`"), F.lit("")), F.array_sort(F.concat(F.transform("base", _plain), "added"))).alias("clean")] if whole else []),
     )
     return out.withColumn("clean", F.when(F.col(f"doc.`{text}`").isNotNull(), F.col("clean"))) if whole else out
 
