@@ -10,12 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import row_key, stored
+from tracewright.llm.common import stored
 from tracewright.llm.op04_pii import find_personal
 from tracewright.llm.op05_language_id import fit, predicted
 from tracewright.llm.op07_packing import pack
-from tracewright.llm.op08_decontamination import decontaminate
-from tracewright.llm.op10_jaccard_join import near_duplicates
+from tracewright.llm.op08_decontamination import uncontaminated
+from tracewright.llm.op10_jaccard_join import one_of_each
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,17 +26,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
-    keyed = docs.withColumn("_key", row_key())
-    keyed = stored(keyed, "documents")
-    kept = near_duplicates(keyed, key="_key").where("kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").drop("_key")
+    return one_of_each(docs)
 
 
-def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold benchmark passages beyond the contract's share."""
-    keyed = stored(docs.withColumn("_key", row_key()), "documents")
-    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key")
-    return keyed.join(found.where("contaminated").select(F.col("doc_id").alias("_key")), "_key", "left_anti").drop("_key")
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +56,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", known_language),
     ("near_duplicates", one_of_each_group),
-    ("decontamination", uncontaminated),
+    ("decontamination", without_contamination),
     ("personal_data", without_personal_data),
     ("packing", packed),
 ]
