@@ -42,6 +42,7 @@ def _letters(text: str) -> str:
 
 def _compressors_of(model: Model) -> list[tuple[str, zstandard.ZstdCompressor]]:
     if model not in _compressors:
+        _compressors.clear()  # a worker outlives a model
         made = []
         for lang, body in model.dictionaries:
             d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -17,7 +17,7 @@ from tracewright.llm.common import numbered, stored
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _part long, _nth long"
 #: Words whose ids a worker remembers; later words are looked up each time.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 100_000
 
 _LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾", "\t-\r \u0085\u00a0"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
