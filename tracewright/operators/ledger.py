@@ -11,7 +11,13 @@ from tracewright.sources.corpus import PRICES
 #: Waiting time a command, the chart's days and width, the model of rows without one when spending is counted.
 SECONDS_A_COMMAND, CHART_DAYS, CHART_WIDTH, BUDGET_MODEL = 22.8, 10, 30, "claude-3.5-sonnet"
 
-_saved = F.col("original_tokens") - F.col("filtered_tokens")
+def _saved() -> Column:
+    return F.col("original_tokens") - F.col("filtered_tokens")
+
+
+def _summed_cost(tokens: Column) -> Column:
+    """Products are summed before the division, so that the order of rows doesn't change the sum of prices in halves."""
+    return cost(F.coalesce(F.sum(tokens * F.col("input_price")), F.lit(0.0)), F.lit(1.0))
 
 
 def percent(saved: Column, original: Column) -> Column:
@@ -27,13 +33,13 @@ def totals(ledger: DataFrame) -> DataFrame:
 
 def savings(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     """Totals with money; a null model is looked up as the empty name, which the first entry holds."""
-    money = with_price(ledger, prices, "").agg(F.round(F.coalesce(F.sum(cost(_saved, F.col("input_price"))), F.lit(0.0)), 6).alias("cost_saved"))
+    money = with_price(ledger, prices, "").agg(_summed_cost(_saved()).alias("cost_saved"))
     return totals(ledger).join(money)
 
 
 def by_command(ledger: DataFrame) -> DataFrame:
     sums = ledger.groupBy("cmd").agg(
-        F.count("*").alias("n"), F.sum("original_tokens").alias("original"), F.sum("filtered_tokens").alias("filtered"), F.sum(_saved).alias("saved")
+        F.count("*").alias("n"), F.sum("original_tokens").alias("original"), F.sum("filtered_tokens").alias("filtered"), F.sum(_saved()).alias("saved")
     )
     return sums.withColumn("pct", F.round(percent(F.col("saved"), F.col("original")), 6)).orderBy(F.desc("n"), "cmd")
 
@@ -45,25 +51,25 @@ def by_day(ledger: DataFrame) -> DataFrame:
 
 def by_model(ledger: DataFrame) -> DataFrame:
     model = F.coalesce("model", F.lit("Unknown Model")).alias("model")
-    return ledger.groupBy(model).agg(F.count("*").alias("invocations"), F.sum(_saved).alias("saved")).orderBy(F.desc("invocations"), "model")
+    return ledger.groupBy(model).agg(F.count("*").alias("invocations"), F.sum(_saved()).alias("saved")).orderBy(F.desc("invocations"), "model")
 
 
 def cost_chart(ledger: DataFrame, prices: DataFrame) -> DataFrame:
     """The last active days' cost of filtered tokens, with a bar in proportion to the dearest."""
     priced = with_price(ledger, prices, "")
-    daily = priced.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum(cost(F.col("filtered_tokens"), F.col("input_price"))).alias("cost"))
+    daily = priced.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(_summed_cost(F.col("filtered_tokens")).alias("cost"))
     days = latest_days(daily, CHART_DAYS)
     most = days.agg(F.max("cost").alias("most"))
     width = F.when(F.col("most") > 0, F.round(F.col("cost") / F.col("most") * CHART_WIDTH)).otherwise(0.0).cast("int")
-    return days.join(most).select("day", F.round("cost", 6).alias("cost"), width.alias("width"), F.repeat(F.lit("█"), width).alias("bar")).orderBy("day")
+    return days.join(most).select("day", "cost", width.alias("width"), F.repeat(F.lit("█"), width).alias("bar")).orderBy("day")
 
 
 def budget(ledger: DataFrame, prices: DataFrame, limit: float = 50.0) -> DataFrame:
     priced = with_price(ledger, prices, BUDGET_MODEL)
-    spent = F.coalesce(F.sum(cost(F.col("filtered_tokens"), F.col("input_price"))), F.lit(0.0))
+    spent = _summed_cost(F.col("filtered_tokens"))
     out = priced.agg(spent.alias("spent")).withColumn("limit_usd", F.lit(float(limit)))
     pct = F.col("spent") / F.col("limit_usd") * 100 if limit > 0 else F.lit(0.0)
-    return out.select("limit_usd", F.round("spent", 6).alias("spent"), (F.col("spent") >= F.col("limit_usd")).alias("exceeded"), F.round(pct, 6).alias("pct"))
+    return out.select("limit_usd", "spent", (F.col("spent") >= F.col("limit_usd")).alias("exceeded"), pct.alias("pct"))
 
 
 def hours_saved(ledger: DataFrame) -> DataFrame:
@@ -72,7 +78,7 @@ def hours_saved(ledger: DataFrame) -> DataFrame:
 
 def top_saver(ledger: DataFrame) -> DataFrame:
     """The command that saved most (of equals the last by name) and the most frequent one; N/A without rows."""
-    rows = ledger.groupBy("cmd").agg(F.count("*").alias("n"), F.sum(_saved).alias("saved"))
+    rows = ledger.groupBy("cmd").agg(F.count("*").alias("n"), F.sum(_saved()).alias("saved"))
     none = F.lit("N/A")
     return rows.agg(
         F.coalesce(F.max_by("cmd", F.struct("saved", "cmd")), none).alias("top_saver"),
@@ -84,7 +90,7 @@ def model_projection(ledger: DataFrame) -> DataFrame:
     """The saved tokens' worth with each model of the registry."""
     models = F.array(*[F.struct(F.lit(p[0]).alias("model_id"), F.lit(p[3]).alias("price")) for p in PRICES])
     rows = totals(ledger).select("saved", F.inline(models))
-    return rows.select("model_id", "saved", F.round(cost(F.col("saved"), F.col("price")), 6).alias("worth"))
+    return rows.select("model_id", "saved", cost(F.col("saved"), F.col("price")).alias("worth"))
 
 
 def telemetry(ledger: DataFrame) -> DataFrame:
@@ -110,9 +116,9 @@ def counters(ledger: DataFrame) -> DataFrame:
 
 def export(ledger: DataFrame, most: int = 50_000) -> DataFrame:
     """The newest rows with savings and their worth; a null model is told as unknown and priced by default."""
-    saved_pct = percent(_saved, F.col("original_tokens"))
+    saved_pct = percent(_saved(), F.col("original_tokens"))
     return recent(ledger, most).select(
-        "id", F.coalesce("model", F.lit("unknown")).alias("model"), "cmd", "original_tokens", "filtered_tokens", _saved.alias("saved"), F.round(saved_pct, 6).alias("pct")
+        "id", F.coalesce("model", F.lit("unknown")).alias("model"), "cmd", "original_tokens", "filtered_tokens", _saved().alias("saved"), F.round(saved_pct, 6).alias("pct")
     )
 
 

@@ -1,0 +1,159 @@
+"""Queries over the derived views, each with the same result in DuckDB SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.functions.lines import tokens
+from tracewright.operators import dlp, graph, ledger, line_filters, pricing, router, sequence_filters, stores
+from tracewright.sources.corpus import FAMILIES, view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_NOW = "TIMESTAMP '2024-02-10 00:00:00'"
+_MEMORY_NOW = "TIMESTAMP '2024-04-01 00:00:00'"
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, *views: str, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = with_views(sql, *views)
+
+
+def _over(f: Callable[..., DataFrame], *views: str) -> Query:
+    return lambda spark, d: f(*(view(spark, d, v) for v in views))
+
+
+def _pct(saved: str, total: str) -> str:
+    return f"round(CASE WHEN {total} > 0 THEN ({saved})::DOUBLE / {total} * 100 ELSE 0.0 END, 6)"
+
+
+# Ledger.
+_SUMS = "count(*) AS n, sum(original_tokens)::BIGINT AS original, sum(filtered_tokens)::BIGINT AS filtered, sum(original_tokens - filtered_tokens)::BIGINT AS saved"
+_TOTALS = f"(SELECT n AS commands, coalesce(original, 0)::BIGINT AS original, coalesce(filtered, 0)::BIGINT AS filtered, coalesce(saved, 0)::BIGINT AS saved FROM (SELECT {_SUMS} FROM ledger))"
+
+
+def _priced(if_null: str) -> str:
+    return f""", named AS (SELECT *, coalesce(model, '{if_null}') AS m FROM ledger),
+    best AS (SELECT m, min_by(model_id, ord) AS price_id, coalesce(min_by(input_price, ord), {pricing.DEFAULT_INPUT}) AS input_price,
+      coalesce(min_by(output_price, ord), {pricing.DEFAULT_OUTPUT}) AS output_price
+      FROM (SELECT DISTINCT m FROM named) LEFT JOIN prices ON contains(lower(m), model_id) OR contains(model_id, lower(m)) GROUP BY m),
+    priced AS (SELECT * FROM named JOIN best USING (m))
+    """
+
+
+_add("savings_by_command", _over(ledger.by_command, "ledger"), "ledger", sql=f"SELECT cmd, {_SUMS}, {_pct('sum(original_tokens - filtered_tokens)', 'sum(original_tokens)')} AS pct FROM ledger GROUP BY cmd")
+_add("savings_totals", lambda s, d: ledger.savings(view(s, d, "ledger"), pricing.price_table(s)), "ledger", "prices", sql=_priced("") + f"SELECT *, {_pct('saved', 'original')} AS pct, (SELECT sum((original_tokens - filtered_tokens) * input_price) / 1e6 FROM priced) AS cost_saved FROM {_TOTALS}")
+_add("daily_savings", _over(ledger.by_day, "ledger"), "ledger", sql="SELECT strftime(ts, '%Y-%m-%d') AS day, sum(original_tokens)::BIGINT AS original, sum(filtered_tokens)::BIGINT AS filtered FROM ledger GROUP BY 1")
+_add("model_savings", _over(ledger.by_model, "ledger"), "ledger", sql="SELECT coalesce(model, 'Unknown Model') AS model, count(*) AS invocations, sum(original_tokens - filtered_tokens)::BIGINT AS saved FROM ledger GROUP BY 1")
+_add("daily_cost_chart", lambda s, d: ledger.cost_chart(view(s, d, "ledger"), pricing.price_table(s)), "ledger", "prices", sql=_priced("") + f""", daily AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sum(filtered_tokens * input_price) / 1e6 AS cost FROM priced GROUP BY 1 ORDER BY day DESC LIMIT {ledger.CHART_DAYS})
+    SELECT day, cost, round(cost / (SELECT max(cost) FROM daily) * {ledger.CHART_WIDTH})::INTEGER AS width, repeat('█', round(cost / (SELECT max(cost) FROM daily) * {ledger.CHART_WIDTH})::INTEGER) AS bar FROM daily""")
+_add("budget_status", lambda s, d: ledger.budget(view(s, d, "ledger"), pricing.price_table(s)), "ledger", "prices", sql=_priced(ledger.BUDGET_MODEL) + "SELECT 50.0::DOUBLE AS limit_usd, s AS spent, s >= 50 AS exceeded, s / 50 * 100 AS pct FROM (SELECT sum(filtered_tokens * input_price) / 1e6 AS s FROM priced)")
+_add("hours_saved", _over(ledger.hours_saved, "ledger"), "ledger", sql=f"SELECT count(*) AS commands, round(count(*) * {ledger.SECONDS_A_COMMAND}::DOUBLE / 3600, 6) AS hours FROM ledger")
+_add("top_saver", _over(ledger.top_saver, "ledger"), "ledger", sql=f"SELECT (SELECT cmd FROM (SELECT cmd, {_SUMS} FROM ledger GROUP BY cmd) ORDER BY saved DESC, cmd DESC LIMIT 1) AS top_saver, (SELECT cmd FROM (SELECT cmd, {_SUMS} FROM ledger GROUP BY cmd) ORDER BY n DESC, cmd LIMIT 1) AS most_frequent")
+_add("model_projection", _over(ledger.model_projection, "ledger"), "ledger", "prices", sql=f"SELECT model_id, saved, saved * input_price / 1e6 AS worth FROM {_TOTALS}, prices")
+_add("recent_logs", _over(ledger.recent, "ledger"), "ledger", sql="SELECT * FROM ledger ORDER BY id DESC LIMIT 50")
+_add("telemetry", _over(ledger.telemetry, "ledger"), "ledger", sql="SELECT * EXCLUDE (raw_output) FROM ledger")
+_add("raw_log", lambda s, d: ledger.raw_output(view(s, d, "ledger"), 7), "ledger", sql="SELECT raw_output FROM ledger WHERE id = 7 AND raw_output IS NOT NULL")
+_add("telemetry_counters", _over(ledger.counters, "ledger"), "ledger", sql=f"SELECT *, 'ledger_commands_total ' || commands || chr(10) || 'ledger_original_total ' || original || chr(10) || 'ledger_filtered_total ' || filtered || chr(10) || 'ledger_saved_total ' || saved AS exposition FROM {_TOTALS}")
+_add("benchmark_export", _over(ledger.export, "ledger"), "ledger", sql=f"SELECT id, coalesce(model, 'unknown') AS model, cmd, original_tokens, filtered_tokens, original_tokens - filtered_tokens AS saved, {_pct('original_tokens - filtered_tokens', 'original_tokens')} AS pct FROM ledger ORDER BY id DESC LIMIT 50000")
+_add("ledger_ttl", lambda s, d: ledger.kept(view(s, d, "ledger"), F.expr(_NOW)).drop("raw_output"), "ledger", sql=f"SELECT * EXCLUDE (raw_output) FROM ledger WHERE ts >= {_NOW} - INTERVAL 30 DAY")
+_add("price_resolution", lambda s, d: pricing.resolve(view(s, d, "ledger"), pricing.price_table(s)), "ledger", "prices", sql=_priced("") + "SELECT m AS model, price_id, input_price, output_price FROM best WHERE m <> ''")
+_add("phase_rollup", lambda s, d: ledger.phases(view(s, d, "ledger"), "project", "original_tokens", "filtered_tokens"), "ledger", sql=f"SELECT coalesce(project, 'all') AS project, count(*) AS n, sum(original_tokens)::BIGINT AS before, sum(filtered_tokens)::BIGINT AS after, {_pct('sum(original_tokens) - sum(filtered_tokens)', 'sum(original_tokens)')} AS pct FROM ledger GROUP BY ROLLUP (project)")
+_add("run_statistics", lambda s, d: ledger.run_statistics(view(s, d, "ledger"), "cmd", "duration_ms"), "ledger", sql="SELECT cmd, round(avg(duration_ms), 6) AS mean, min(duration_ms) AS least, max(duration_ms) AS most, round(stddev_pop(duration_ms), 6) AS spread FROM ledger GROUP BY cmd")
+_add("token_count", lambda s, d: view(s, d, "secrets").select("doc_id", tokens(F.col("text")).alias("n_tokens")), "secrets", sql="SELECT doc_id, ((strlen(text) + 3) // 4)::BIGINT AS n_tokens FROM secrets")
+
+# Stores.
+_FOLDED = ", f AS (SELECT *, first_value(key) OVER w AS first_key, first_value(val) OVER w AS first_val FROM memory WINDOW w AS (PARTITION BY project_path, lower(key) ORDER BY key)) SELECT project_path, key, first_key FROM f WHERE key <> first_key"
+_add("memory_duplicates", _over(stores.duplicates, "memory"), "memory", sql=_FOLDED)
+_add("memory_contradictions", _over(stores.contradictions, "memory"), "memory", sql=_FOLDED + " AND val <> first_val")
+_add("memory_stale", lambda s, d: stores.stale(view(s, d, "memory"), F.expr(_MEMORY_NOW)), "memory", sql=f"SELECT project_path, key, last_accessed_at FROM memory WHERE last_accessed_at < {_MEMORY_NOW} - INTERVAL 30 DAY")
+_NEW = "SELECT key, project_path, 'new ' || val AS val FROM thoughts UNION ALL SELECT key, project_path, 'new' AS val FROM memory WHERE key LIKE 'user1%'"
+
+
+def _new(spark: SparkSession, d: str) -> DataFrame:
+    known = view(spark, d, "memory").where("key like 'user1%'").select("key", "project_path", F.lit("new").alias("val"))
+    return view(spark, d, "thoughts").select("key", "project_path", F.concat(F.lit("new "), "val").alias("val")).union(known)
+
+
+_add("memory_upsert", lambda s, d: stores.upsert(view(s, d, "memory"), _new(s, d), F.expr(_MEMORY_NOW)), "memory", "thoughts", sql=f""", put AS ({_NEW})
+    SELECT coalesce(m.key, n.key) AS key, coalesce(m.project_path, n.project_path) AS project_path, CASE WHEN n.key IS NULL THEN m.val ELSE n.val END AS val, coalesce(created_at, {_MEMORY_NOW}) AS created_at,
+    CASE WHEN n.key IS NULL THEN last_accessed_at ELSE {_MEMORY_NOW} END AS last_accessed_at FROM memory m FULL JOIN put n ON m.key = n.key AND m.project_path = n.project_path""")
+_add("memory_overwrite", lambda s, d: stores.overwrite(view(s, d, "memory"), _new(s, d), F.expr(_MEMORY_NOW)), "memory", "thoughts", sql=f""", put AS ({_NEW})
+    SELECT key, project_path, val, created_at, last_accessed_at FROM memory m WHERE NOT EXISTS (SELECT 1 FROM put n WHERE m.key = n.key AND m.project_path = n.project_path)
+    UNION ALL SELECT key, project_path, val, {_MEMORY_NOW}, {_MEMORY_NOW} FROM put""")
+_add("thoughts", _over(stores.thoughts, "thoughts"), "thoughts", sql="SELECT project_path, key, val, substr(key, 9)::BIGINT AS epoch_s FROM thoughts")
+_add("thoughts_kept", lambda s, d: stores.thoughts(view(s, d, "thoughts"), 1_703_000_000), "thoughts", sql="SELECT project_path, key, val, substr(key, 9)::BIGINT AS epoch_s FROM thoughts WHERE substr(key, 9)::BIGINT >= 1703000000 - 30 * 86400")
+_add("session_state", _over(stores.session_json, "session"), "session", sql="""SELECT project_path, '{' || string_agg('"' || key || '":' || val, ',' ORDER BY key) || '}' AS state FROM session GROUP BY project_path""")
+_add("artifact_list", lambda s, d: stores.artifacts(view(s, d, "artifacts"), F.expr(_NOW)), "artifacts", sql=f"SELECT id, type, created_at FROM artifacts WHERE created_at >= {_NOW} - INTERVAL 30 DAY")
+
+# Code graph.
+_EDGES = """, s AS (SELECT id, name, file_path, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM symbols),
+  cand AS (SELECT d.caller_id, d.callee_name, t.id AS callee_id, (t.file_path = c.file_path)::INT AS f, (t.dir = c.dir)::INT AS g
+           FROM (SELECT DISTINCT caller_id, callee_name FROM dependencies) d JOIN s c ON c.id = d.caller_id JOIN s t ON t.name = d.callee_name AND t.id <> d.caller_id),
+  tiers AS (SELECT *, count(*) OVER w AS n, max(f) OVER w AS mf, max(g) OVER w AS mg FROM cand WINDOW w AS (PARTITION BY caller_id, callee_name)),
+  edges AS (SELECT DISTINCT caller_id, callee_id FROM tiers WHERE n <= 1 OR (mf = 1 AND f = 1) OR (mf = 0 AND mg = 1 AND g = 1) OR (mf = 0 AND mg = 0 AND n <= 3))
+"""
+_TOUCHED = ", changed AS (SELECT * FROM symbols s WHERE EXISTS (SELECT 1 FROM hunks h WHERE h.file_path = s.file_path AND s.line_start <= h.last_line AND s.line_end >= h.first_line))"
+_RISK = "CASE WHEN {0} > 10 THEN 'HIGH' WHEN {0} > 3 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def _up(starts: str, upstream: bool = True) -> str:
+    a, b = ("callee_id", "caller_id") if upstream else ("caller_id", "callee_id")
+    return f", up(source, node) AS (SELECT id, id FROM ({starts}) UNION SELECT up.source, e.{b} FROM up JOIN edges e ON e.{a} = up.node)"
+
+
+def _graph(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        symbols, deps = view(spark, d, "symbols"), view(spark, d, "dependencies")
+        return f(symbols, deps, graph.resolved_edges(symbols, deps))
+
+    return run
+
+
+_add("find_symbols", lambda s, d: graph.find_symbols(view(s, d, "symbols"), "F1"), "symbols", sql="SELECT * FROM symbols WHERE name ILIKE '%F1%'")
+_add("references", lambda s, d: graph.references(view(s, d, "symbols"), view(s, d, "dependencies"), "f7"), "dependencies", sql="SELECT s.* FROM dependencies d JOIN symbols s ON d.caller_id = s.id WHERE d.callee_name = 'f7'")
+_add("file_dependencies", lambda s, d: graph.file_dependencies(view(s, d, "symbols"), view(s, d, "dependencies"), "d3/m3.rs").withColumn("callees", F.array_join("callees", ",")), "dependencies", sql="SELECT s.id, s.name, coalesce(string_agg(DISTINCT callee_name, ',' ORDER BY callee_name), '') AS callees FROM symbols s LEFT JOIN dependencies d ON d.caller_id = s.id WHERE file_path = 'd3/m3.rs' GROUP BY s.id, s.name")
+_add("resolved_edges", _graph(lambda s, p, e: e), "dependencies", sql=_EDGES + "SELECT * FROM edges")
+_add("impact", _graph(lambda s, p, e: graph.impact(s, e, "f7")), "dependencies", sql=_EDGES + _up("SELECT id FROM symbols WHERE name = 'f7'") + f", hit AS (SELECT DISTINCT node FROM up WHERE source <> node) SELECT id, name, file_path, {_RISK.format('(SELECT count(*) FROM hit)')} AS risk FROM symbols WHERE id IN (SELECT node FROM hit)")
+_add("downstream", _graph(lambda s, p, e: graph.closure(e, s.where("name = 'f7'"), upstream=False)), "dependencies", sql=_EDGES + _up("SELECT id FROM symbols WHERE name = 'f7'", False) + "SELECT source, node FROM up WHERE source <> node")
+_add("detect_changes", lambda s, d: _graph(lambda x, p, e: graph.detect_changes(x, e, view(s, d, "hunks")))(s, d), "dependencies", "hunks", sql=_EDGES + _TOUCHED + _up("SELECT id FROM changed") + f", n AS (SELECT c.id, c.name, count(up.node) AS impact FROM changed c LEFT JOIN up ON up.source = c.id AND up.node <> c.id GROUP BY c.id, c.name) SELECT id, name, impact, {_RISK.format('impact')} AS risk FROM n")
+_add("graph_coverage", lambda s, d: graph.coverage(view(s, d, "symbols"), view(s, d, "dependencies")), "dependencies", sql=", linked AS (SELECT caller_id FROM dependencies UNION SELECT id FROM symbols WHERE name IN (SELECT callee_name FROM dependencies)) SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM linked) AS linked, round((SELECT count(*) FROM linked)::DOUBLE / (SELECT count(*) FROM symbols) * 100, 6) AS pct")
+_add("parse_hunks", lambda s, d: graph.parse_hunks(view(s, d, "diffs"), "run_id", "text"))
+_add("code_search", lambda s, d: graph.code_search(view(s, d, "files"), "X ="))
+_add("index_delta", lambda s, d: graph.index_delta(*(view(s, d, "files").where(c).select(F.col("path").alias("file_path"), F.md5(F.concat(x, "content")).alias("hash")) for c, x in (("path not like 'd1/%'", F.lit("")), ("path not like 'd2/%'", F.when(F.col("path").like("d3/%"), "x").otherwise("")))))
+     , "files", sql=", a AS (SELECT path AS file_path, md5(content) AS was FROM files WHERE path NOT LIKE 'd1/%'), b AS (SELECT path AS file_path, md5(CASE WHEN path LIKE 'd3/%' THEN 'x' ELSE '' END || content) AS now FROM files WHERE path NOT LIKE 'd2/%') SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'gone' WHEN was <> now THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.file_path = b.file_path")
+
+# Redaction and routing.
+_add("dlp_redact", lambda s, d: view(s, d, "secrets").select("doc_id", dlp.redact(F.col("text"), ("internal-[0-9]+",)).alias("text")))
+_add("dlp_audit", lambda s, d: dlp.audit(view(s, d, "secrets"), "doc_id", "text", ("internal-[0-9]+",)).groupBy("label").agg(F.count("*").alias("n")))
+_PATTERNS = {"pem": 0, "uri": 1, "jwt": 2}
+for _name, _at in _PATTERNS.items():
+    _label, _pattern, _mark = dlp.STAGES[_at]
+    _add(f"dlp_{_name}", lambda s, d, p=_pattern, m=_mark: view(s, d, "secrets").select("doc_id", F.regexp_replace("text", p, m).alias("text")), "secrets",
+         sql="SELECT doc_id, regexp_replace(text, '" + _pattern.replace("'", "''") + "', '" + _mark.replace("$", "\\") + "', 'g') AS text FROM secrets")
+_add("router_decision", lambda s, d: view(s, d, "commands").select("id", router.decision(F.col("cmd")).alias("x")).select("id", "x.code", "x.rewritten"))
+
+# Log filters.
+for _family in FAMILIES:
+    if _family in line_filters.BY_NAME:
+        _add(f"filter_{_family}", lambda s, d, f=_family: view(s, d, f"log_{f}").select("run_id", line_filters.BY_NAME[f](F.col("log")).alias("filtered")))
+    elif _family in sequence_filters.BY_NAME:
+        _add(f"filter_{_family}", lambda s, d, f=_family: sequence_filters.BY_NAME[f](view(s, d, f"log_{f}"), "run_id", "log"))
+for _profile in ("strict", "developer", "default"):
+    _add(f"compact_{_profile}", lambda s, d, p=_profile: view(s, d, "files").select("path", line_filters.compact(F.col("content"), 20, p).alias("content")))
+
+
+def _lines_without(noise: str) -> str:
+    """DuckDB: a log without the lines for which ``noise`` holds; the log itself if nothing but blanks is left."""
+    kept = f"(SELECT coalesce(string_agg(x || chr(10), '' ORDER BY i), '') FROM (SELECT unnest(l) AS x, unnest(range(len(l))) AS i) WHERE NOT ({noise}))"
+    return f"SELECT run_id, CASE WHEN trim(k, ' ' || chr(10) || chr(9)) = '' THEN log ELSE k END AS filtered FROM (SELECT run_id, log, {kept} AS k FROM (SELECT run_id, log, string_split(log, chr(10)) AS l FROM {{0}}))"
+
+
+ORACLES["filter_go_test"] = with_views(_lines_without(r"trim(x) = '' OR regexp_matches(trim(x), '^===\s*RUN\b|^---\s*PASS\b|^ok\s+[^\s]+\s+[0-9\.]+s\s*(?:\[no tests to run\])?$') OR (x = '' AND i = len(l) - 1)").format("log_go_test"), "log_go_test")
+ORACLES["filter_gradle"] = with_views(_lines_without(r"trim(x) = '' OR regexp_matches(trim(x), '^>\s*Task\s+:|^(Download|Caching|Download progress|Preparing)\b')").format("log_gradle"), "log_gradle")
