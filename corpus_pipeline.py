@@ -17,20 +17,30 @@ from tracewright.llm.op07_packing import pack
 from tracewright.llm.op08_decontamination import uncontaminated
 from tracewright.llm.op10_jaccard_join import one_of_each
 
+#: Rows that go to a Python worker at once: with texts of megabytes, Spark's ten thousand would fill its memory.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a sufficient margin; null texts and texts without letters go."""
+    _small_batches(spark)
     judged = docs.withColumn("_judged", predicted(F.col("text"), fit(docs), spark))
     return judged.where("_judged.accepted").drop("_judged")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
+    _small_batches(spark)
     return one_of_each(docs)
 
 
 def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold benchmark passages beyond the contract's share."""
+    _small_batches(spark)
     return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -50,6 +60,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents that are left."""
+    _small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
