@@ -120,9 +120,8 @@ def _revealing(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     )
     entities = rows.where("size(base) > 0").select("_row", F.explode(F.array_distinct("base.m")).alias("entity"))
     pairs = stored(pairs.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "pairs")
-    terms = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(max(1, docs.count())))
     content = F.log2(n / F.col("n_entity"))
     share = (F.log2(F.col("both") * n / F.col("n_term") / F.col("n_entity")) / F.nullif(content, F.lit(0.0)))
