@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from tests.llm.helpers import table
@@ -60,3 +61,65 @@ def test_null_text_stays_null_and_empty_table(spark):
     (r,) = op.find_personal(table(spark, [None]), whole=True).collect()
     assert r.clean is None and r.doc.source == "s"
     assert op.find_personal(table(spark, [])).collect() == []
+
+
+WORD, SPAN = re.compile(r"[^\W\d_]{3,}"), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def brute_added(texts, reach=None):
+    """Term spans by loops over texts whose only personal data are emails; without ``reach`` words count and go wherever they stand."""
+
+    def outside(t):
+        spans = [m.span() for m in SPAN.finditer(t)]
+        return [m for m in WORD.finditer(t) if not any(m.start() < e and s < m.end() for s, e in spans)]
+
+    def held(t):
+        for m in SPAN.finditer(t):
+            for w in outside(t):
+                if reach is None or m.start() - reach <= w.start() and w.end() <= m.end() + reach:
+                    yield m[0].lower(), w
+
+    different = sorted(set(texts))
+    n, n_term, n_entity, both = len(different), {}, {}, {}
+    for t in different:
+        for counts, keys in ((n_term, {w[0].lower() for w in outside(t)}), (n_entity, {m[0].lower() for m in SPAN.finditer(t)}), (both, {(e, w[0].lower()) for e, w in held(t)})):
+            for k in keys:
+                counts[k] = counts.get(k, 0) + 1
+    kind, by_term = {}, {}
+    for (e, w), b in both.items():
+        rate = n_entity[e] / n
+        share = math.log((b + op.PRIOR * rate) / (n_term[w] + op.PRIOR) / rate) / -math.log(rate) if rate < 1 else 0
+        if share >= op.GENERALISED:
+            kind[e, w] = "removed" if share >= op.REMOVED else "generalised"
+            by_term[w] = max(by_term.get(w, ""), kind[e, w])
+    out = []
+    for t in texts:
+        if reach is None:
+            found = {m.span(): by_term[m[0].lower()] for m in outside(t) if m[0].lower() in by_term}
+        else:
+            found = {}
+            for e, m in held(t):
+                if k := kind.get((e, m[0].lower())):
+                    found[m.span()] = max(found.get(m.span(), ""), k)
+        out.append([f"{k}:{s}:{e}" for (s, e), k in sorted(found.items())])
+    return out
+
+
+def letters(i):
+    return "".join(chr(97 + int(c)) for c in f"{i:05}")
+
+
+def once_texts():
+    """Each entity stands in one text alone; many words do as well."""
+    texts = [f"the weather report {letters(i)} is on the table for the reader" for i in range(900)]
+    texts += [f"the {letters(7000 + i)} of Zorro{letters(i)} wrote to the reader from u{i}@host{i}.example about the weather {letters(i)}" for i in range(40)]
+    texts += [f"Signed Quill{letters(i % 3)} and the reader, team@corp.example, {letters(i)}" for i in range(30)]
+    return [*texts, texts[905], "", "Joséana@x.example éta", "the Zorroaaaaa is known; so is zorroaaaab"]
+
+
+def test_pairs_of_entities_that_occur_once_are_judged(spark):
+    texts = once_texts()
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith(("gen", "rem"))] for r in op.find_personal(table(spark, texts)).collect()}
+    want = brute_added(texts, 80)
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(any("generalised" in x for x in want[i]) for i in range(900, 940))

@@ -7,6 +7,8 @@ the entity's information content.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,13 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 _BYTE_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 TERM = r"\p{L}{3,}+"
+_SPAN = "\u0003"
 _NO_SPANS = "cast(array() as array<struct<s:int,n:int,e:int,k:string>>)"
 
-#: Terms so many different texts must share with an entity; shares of the
-#: entity's information from which they are generalised and removed.
-SUPPORT, GENERALISED, REMOVED = 3, 0.9, 0.98
+#: Texts at an entity's overall rate that are added to those of each term (Lidstone), so that few texts prove less than many.
+PRIOR = 0.75
+#: Shares of the entity's information from which terms are generalised and removed.
+GENERALISED, REMOVED = 0.9, 0.98
 
 
 def _digits(m: Column) -> Column:
@@ -93,8 +97,15 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda x: x.k == kind)).cast("long").alias(f"n_{kind}")
 
 
+def _words(body: Column, base: Column) -> Column:
+    """The distinct words of a text that touch no span."""
+    plain = F.replace(body, F.lit(_SPAN), F.lit(" "))
+    cut = F.when(F.size(base) > 0, _replaced(plain, F.array_sort(F.transform(base, _plain)), lambda k: F.lit(_SPAN))).otherwise(plain)
+    return F.array_distinct(F.regexp_extract_all(cut, F.lit(rf"(?<![\p{{L}}{_SPAN}]){TERM}(?!{_SPAN})"), F.lit(0)))
+
+
 def _read(docs: DataFrame, key: str, text: str, reach: int, whole: bool) -> DataFrame:
-    """Stored: each row's spans, and the terms around them; with ``whole`` also the row itself."""
+    """Stored: each row's spans, its words, and the terms around spans; with ``whole`` also the row itself."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = [_spans(body, kind) for kind in KINDS]
     rows = docs.select(
@@ -106,28 +117,34 @@ def _read(docs: DataFrame, key: str, text: str, reach: int, whole: bool) -> Data
     )
     # Most texts have no span, and then no context is looked for.
     context = F.when(F.size("base") > 0, _context(F.col("body"), F.col("base"), reach))
-    rows = rows.select("_row", "doc_id", "base", F.when(F.size("base") > 0, F.xxhash64("body")).alias("copy"), context.alias("context"), *(["doc"] if whole else []))
+    words = _words(F.col("body"), F.col("base"))
+    rows = rows.select("_row", "doc_id", "base", F.xxhash64("body").alias("copy"), words.alias("words"), context.alias("context"), *(["doc"] if whole else []))
     return stored(rows, "personal")
 
 
-def _revealing(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """``entity``, ``term``, ``k``: pairs whose disclosure reaches a threshold, by counts over all documents."""
-    seen = rows.where("size(context) > 0").select("_row", "copy", F.explode("context").alias("c")).select("_row", "copy", "c.entity", "c.term")
-    pairs = (
-        seen.groupBy("entity", "term")
-        .agg(F.count_distinct("_row").alias("both"), F.count_distinct("copy").alias("support"))
-        .where(F.col("support") >= SUPPORT)
-    )
-    entities = rows.where("size(base) > 0").select("_row", F.explode(F.array_distinct("base.m")).alias("entity"))
-    pairs = stored(pairs.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(max(1, docs.count())))
-    content = F.log2(n / F.col("n_entity"))
-    share = (F.log2(F.col("both") * n / F.col("n_term") / F.col("n_entity")) / F.nullif(content, F.lit(0.0)))
-    return pairs.join(counts, "term").select(
-        "entity", "term", F.when(share >= REMOVED, "removed").when(share >= GENERALISED, "generalised").alias("k")
-    ).where("k is not null")
+def _judged(rows: DataFrame) -> DataFrame:
+    """``entity``, ``term``, ``share``: every pair that meets, by counts over all different texts."""
+    terms = F.array_distinct(F.transform("words", F.lower))
+    counts = rows.select("copy", terms.alias("terms")).dropDuplicates(["copy"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    held = rows.where("size(base) > 0").dropDuplicates(["copy"])
+    entities = held.select(F.explode(F.array_distinct("base.m")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), c.term.alias("term"))))
+    pairs = held.select(F.explode(near).alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("both"))
+    n = F.lit(float(max(1, rows.select("copy").distinct().count())))
+    return pairs.join(entities, "entity").join(counts, "term").select("entity", "term", _share(n).alias("share"))
+
+
+def _share(n: Column) -> Column:
+    """Pointwise mutual information of term and entity, smoothed by ``PRIOR``, as a share of the entity's information."""
+    rate = F.col("n_entity") / n
+    given = (F.col("both") + PRIOR * rate) / (F.col("n_term") + PRIOR)
+    return F.log2(given / rate) / F.nullif(-F.log2(rate), F.lit(0.0))
+
+
+def _revealing(rows: DataFrame) -> DataFrame:
+    """``entity``, ``term``, ``k``: pairs whose disclosure reaches a threshold."""
+    k = F.when(F.col("share") >= REMOVED, "removed").when(F.col("share") >= GENERALISED, "generalised")
+    return _judged(rows).select("entity", "term", k.alias("k")).where("k is not null")
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 80, whole: bool = False) -> DataFrame:
@@ -135,9 +152,9 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
 
     Base spans are emails, IP addresses, cards and phones. Words within
     ``reach`` code points of a base span are terms of its entity (the matched
-    string). A term that at least ``SUPPORT`` different texts share with the
-    entity is judged: the pointwise mutual information of term and entity over
-    all documents, as a share of the entity's information content, from
+    string). Each such pair is judged, however rare: the pointwise mutual
+    information of term and entity over all different texts, smoothed by
+    ``PRIOR``, as a share of the entity's information content, from
     ``GENERALISED`` on adds a span ``generalised``, from ``REMOVED`` on
     ``removed``. Documents without a base span get no span at all.
 
@@ -147,7 +164,7 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
     a text are no further support. An empty table gives no rows.
     """
     rows = _read(docs, key, text, reach, whole)
-    risky = _revealing(docs, rows, text)
+    risky = _revealing(rows)
     near = rows.where("size(context) > 0").select("_row", F.explode("context").alias("c")).select("_row", "c.*")
     added = (
         near.join(risky, ["entity", "term"])
@@ -176,12 +193,15 @@ def _plain(x: Column) -> Column:
     return F.struct(x.s.alias("s"), x.n.alias("n"), x.e.alias("e"), x.k.alias("k"))
 
 
-def _replaced(text: Column, spans: Column) -> Column:
+def _mark(k: Column) -> Column:
+    return F.when(k == "removed", F.lit("")).when(k == "generalised", F.lit("<term>")).otherwise(F.concat(F.lit("<"), k, F.lit(">")))
+
+
+def _replaced(text: Column, spans: Column, marked: Callable[[Column], Column] = _mark) -> Column:
     """The text with each span replaced; a span that begins inside an earlier one only extends what goes."""
 
     def step(acc: Column, x: Column) -> Column:
-        mark = F.when(x.k == "removed", F.lit("")).when(x.k == "generalised", F.lit("<term>")).otherwise(F.concat(F.lit("<"), x.k, F.lit(">")))
-        fresh = F.concat(acc.out, F.substr(text, acc.pos + 1, x.s - acc.pos), mark)
+        fresh = F.concat(acc.out, F.substr(text, acc.pos + 1, x.s - acc.pos), marked(x.k))
         return F.struct(F.greatest(acc.pos, x.e).alias("pos"), F.when(x.s >= acc.pos, fresh).otherwise(acc.out).alias("out"))
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
