@@ -46,7 +46,7 @@ def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and revealing terms replaced in their texts."""
-    found = find_personal(docs, whole=True)
+    found = find_personal(docs, reach=None, whole=True)
     columns = [
         F.col("clean").alias("text")
         if c == "text"

@@ -123,3 +123,29 @@ def test_pairs_of_entities_that_occur_once_are_judged(spark):
     want = brute_added(texts, 80)
     assert [got[i] for i in range(len(texts))] == want
     assert all(any("generalised" in x for x in want[i]) for i in range(900, 940))
+
+
+def far_texts():
+    """A name far from the address it reveals, and once without it, last."""
+    far = " ".join(["the reader and the weather"] * 40)
+    return [*once_texts(), *[f"Farway lives here {far} from far@away.example {letters(i)}" for i in range(12)], "Farwayer is another", "Éa1\u0003Farway\u0001 😀 Farway", "one@two.example, three@four.example: Pooled", f"about Farway {far}"]
+
+
+def test_terms_go_in_whole_texts_and_where_the_entity_is_absent(spark, tmp_path, monkeypatch):
+    texts = far_texts()
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_added(texts)
+    for most in (op.SENT_ROWS, 0):  # sent to all executors, and by a shuffle
+        monkeypatch.setattr(op, "SENT_ROWS", most)
+        monkeypatch.setattr(op, "SENT_KEYS", most)
+        got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith(("gen", "rem"))] for r in op.op4_information_theoretic_pii(spark, str(tmp_path)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert want[-1] == ["generalised:6:12"] and len(want[-3]) == 2 and want[-2] and not want[-4]
+
+
+def test_the_pipeline_generalises_terms_in_texts_without_the_entity(spark, tmp_path):
+    from corpus_pipeline import without_personal_data
+
+    texts = far_texts()
+    got = {r.doc_id: r.text for r in without_personal_data(spark, table(spark, texts), str(tmp_path)).collect()}
+    assert got[len(texts) - 1] == texts[-1].replace("Farway", "<term>")

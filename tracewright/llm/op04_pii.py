@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import row_key, stored
+from tracewright.llm.common import bounded, row_key, stored
 from tracewright.llm.spans import matches, told
 
 #: The contract's patterns. Possessive forms and anchors at the start of a run
@@ -33,6 +33,8 @@ _NO_SPANS = "cast(array() as array<struct<s:int,n:int,e:int,k:string>>)"
 PRIOR = 0.75
 #: Shares of the entity's information from which terms are generalised and removed.
 GENERALISED, REMOVED = 0.9, 0.98
+#: Rows of revealing terms, of documents that hold some, and of keys of repeated texts and of such terms, up to which they are sent to all executors; beyond, a shuffle.
+SENT_ROWS, SENT_KEYS = 100_000, 2_000_000
 
 
 def _digits(m: Column) -> Column:
@@ -104,8 +106,8 @@ def _words(body: Column, base: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(cut, F.lit(rf"(?<![\p{{L}}{_SPAN}]){TERM}(?!{_SPAN})"), F.lit(0)))
 
 
-def _read(docs: DataFrame, key: str, text: str, reach: int, whole: bool) -> DataFrame:
-    """Stored: each row's spans, its words, and the terms around spans; with ``whole`` also the row itself."""
+def _read(docs: DataFrame, key: str, text: str, reach: int | None, whole: bool) -> DataFrame:
+    """Each row's text, spans and words, with ``reach`` the terms around spans; with ``whole`` also the row itself. Stored but for the words."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = [_spans(body, kind) for kind in KINDS]
     rows = docs.select(
@@ -115,23 +117,49 @@ def _read(docs: DataFrame, key: str, text: str, reach: int, whole: bool) -> Data
         F.concat(*spans).alias("base"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []),
     )
-    # Most texts have no span, and then no context is looked for.
-    context = F.when(F.size("base") > 0, _context(F.col("body"), F.col("base"), reach))
-    words = _words(F.col("body"), F.col("base"))
-    rows = rows.select("_row", "doc_id", "base", F.xxhash64("body").alias("copy"), words.alias("words"), context.alias("context"), *(["doc"] if whole else []))
-    return stored(rows, "personal")
+    extra = ["doc"] if whole else ["body"]
+    if reach is not None:  # most texts have no span, and then no context is looked for
+        extra.append(F.when(F.size("base") > 0, _context(F.col("body"), F.col("base"), reach)).alias("context"))
+    rows = rows.select("_row", "doc_id", "base", F.xxhash64("body").alias("copy"), *extra)
+    rows = stored(rows, "personal")
+    if whole:
+        rows = rows.withColumn("body", F.coalesce(F.col(f"doc.`{text}`"), F.lit("")))
+    return rows.withColumn("words", _words(F.col("body"), F.col("base")))
+
+
+def _different(rows: DataFrame) -> DataFrame:
+    """The first row of each text. Only keys meet, so that texts stay in place."""
+    firsts = rows.groupBy("copy").agg(F.min("_row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = rows.select("_row", "copy").join(firsts, "copy").where("_row <> first").select("_row")
+    return rows.join(bounded(again, "again", SENT_KEYS), "_row", "left_anti")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """``entity``, ``term``, ``share``: every pair that meets, by counts over all different texts."""
-    terms = F.array_distinct(F.transform("words", F.lower))
-    counts = rows.select("copy", terms.alias("terms")).dropDuplicates(["copy"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    held = rows.where("size(base) > 0").dropDuplicates(["copy"])
-    entities = held.select(F.explode(F.array_distinct("base.m")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), c.term.alias("term"))))
-    pairs = held.select(F.explode(near).alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("both"))
-    n = F.lit(float(max(1, rows.select("copy").distinct().count())))
-    return pairs.join(entities, "entity").join(counts, "term").select("entity", "term", _share(n).alias("share"))
+    """``entity``, ``term``, ``share``, ``alike``: every pair that meets, by counts over all different texts.
+
+    Terms meet an entity in its context where rows have one, else anywhere in a
+    text. Then the entities of one text that stand in no other have the same
+    counts with every term: one row tells for as many as ``alike`` says.
+    """
+    terms = F.array_distinct(F.transform("words", F.lower)).alias("terms")
+    texts = _different(rows)
+    counts = texts.select(terms).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    held = texts.where("size(base) > 0")
+    seen = held.select("copy", F.explode(F.array_distinct("base.m")).alias("entity"))
+    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    if "context" in rows.columns:
+        near = F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), c.term.alias("term"))))
+        pairs = held.select(F.explode(near).alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("both"), F.lit(1).alias("alike")).join(entities, "entity")
+    else:
+        pooled = (
+            seen.join(entities, "entity")
+            .groupBy("copy", F.when(F.col("n_entity") > 1, F.col("entity")).alias("shared"))
+            .agg(F.min("entity").alias("entity"), F.first("n_entity").alias("n_entity"), F.count("*").alias("alike"))
+        )
+        met = pooled.join(held.select("copy", terms), "copy").select("entity", "n_entity", "alike", F.explode("terms").alias("term"))
+        pairs = met.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("both"), F.max("alike").alias("alike"))
+    n = F.lit(float(max(1, texts.count())))
+    return pairs.join(counts, "term").select("entity", "term", _share(n).alias("share"), "alike")
 
 
 def _share(n: Column) -> Column:
@@ -147,27 +175,11 @@ def _revealing(rows: DataFrame) -> DataFrame:
     return _judged(rows).select("entity", "term", k.alias("k")).where("k is not null")
 
 
-def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 80, whole: bool = False) -> DataFrame:
-    """Personal data in every whole text, as code point spans; with ``whole`` also the row as ``doc`` and its ``clean`` text.
-
-    Base spans are emails, IP addresses, cards and phones. Words within
-    ``reach`` code points of a base span are terms of its entity (the matched
-    string). Each such pair is judged, however rare: the pointwise mutual
-    information of term and entity over all different texts, smoothed by
-    ``PRIOR``, as a share of the entity's information content, from
-    ``GENERALISED`` on adds a span ``generalised``, from ``REMOVED`` on
-    ``removed``. Documents without a base span get no span at all.
-
-    In ``clean`` a base span is replaced by its kind in angle brackets, a
-    generalised term by ``<term>``; removed terms go. Null texts count as empty
-    (``clean`` stays null). Repeated rows are judged each for itself; copies of
-    a text are no further support. An empty table gives no rows.
-    """
-    rows = _read(docs, key, text, reach, whole)
-    risky = _revealing(rows)
+def _added_near(rows: DataFrame) -> DataFrame:
+    """The rows with ``added``: spans of terms that reveal an entity near by."""
     near = rows.where("size(context) > 0").select("_row", F.explode("context").alias("c")).select("_row", "c.*")
     added = (
-        near.join(risky, ["entity", "term"])
+        near.join(_revealing(rows), ["entity", "term"])
         .groupBy("_row", "s", "e")
         .agg(F.max("k").alias("k"))  # of several entities the strongest measure
         .groupBy("_row")
@@ -176,7 +188,47 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
     # Only rows with terms meet what was added; the others stay in place.
     some = F.coalesce(F.size("context") > 0, F.lit(False))
     met = rows.where(some).join(added, "_row", "left").withColumn("added", F.coalesce("added", F.expr(_NO_SPANS)))
-    rows = met.unionByName(rows.where(~some).withColumn("added", F.expr(_NO_SPANS)))
+    return met.unionByName(rows.where(~some).withColumn("added", F.expr(_NO_SPANS)))
+
+
+def _added_anywhere(rows: DataFrame) -> DataFrame:
+    """The rows with ``added``: spans of terms that reveal any entity of the corpus, in every text."""
+    risky = _revealing(rows).groupBy("term").agg(F.max("k").alias("k"))  # of several entities the strongest measure
+    words = rows.select("_row", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    risky = stored(risky, "risky")
+    # Hashes take less room than terms: most words go before any shuffle.
+    hashes = bounded(risky.select(F.xxhash64("term").alias("hash")).distinct(), "hashes", SENT_KEYS)
+    words = words.withColumn("hash", F.xxhash64("term")).join(hashes, "hash", "left_semi").drop("hash")
+    found = words.join(bounded(risky, "risky", SENT_ROWS), "term").groupBy("_row").agg(F.collect_list(F.struct("word", "k")).alias("found"))
+    rows = rows.join(bounded(found, "found", SENT_ROWS), "_row", "left")
+    # Longer words hold others: only whole words count. They are letters alone, so nothing is quoted.
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("found.word", "|"), F.lit(r")(?!\p{L})"))
+    outside = F.filter(matches(F.col("body"), pattern), lambda w: ~F.exists("base", lambda x: (w.s < x.e) & (x.s < w.e)))
+    kinds = F.map_from_entries("found")
+    spans = F.transform(outside, lambda w: F.struct(w.s.alias("s"), F.lit(len(KINDS)).alias("n"), w.e.alias("e"), kinds[w.m].alias("k")))
+    return rows.withColumn("added", F.when(F.col("found").isNotNull(), spans).otherwise(F.expr(_NO_SPANS)))
+
+
+def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = 80, whole: bool = False) -> DataFrame:
+    """Personal data in every whole text, as code point spans; with ``whole`` also the row as ``doc`` and its ``clean`` text.
+
+    Base spans are emails, IP addresses, cards and phones; the matched string is
+    an entity. Its terms are the words outside base spans of all texts that hold
+    it. Each such pair is judged, however rare: the pointwise mutual information
+    of term and entity over all different texts, smoothed by ``PRIOR``, as a
+    share of the entity's information content, from ``GENERALISED`` on adds a
+    span ``generalised``, from ``REMOVED`` on ``removed``. With ``reach`` None,
+    as the query and the pipeline have it, a term is sought in whole texts and
+    goes wherever it occurs, also in texts without the entity. A number bounds
+    both to so many code points around the entity.
+
+    In ``clean`` a base span is replaced by its kind in angle brackets, a
+    generalised term by ``<term>``; removed terms go. Null texts count as empty
+    (``clean`` stays null). Repeated rows are judged each for itself; copies of
+    a text are no further support. An empty table gives no rows.
+    """
+    rows = _read(docs, key, text, reach, whole)
+    rows = _added_anywhere(rows) if reach is None else _added_near(rows)
     base = F.array_sort("base")
     out = rows.select(
         "doc_id",
@@ -184,7 +236,7 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
         F.sha2(told(base), 256).alias("base_sha256"),
         told(F.concat(F.transform(base, _plain), "added")).alias("spans"),
         F.size("added").cast("long").alias("n_terms"),
-        *(["doc", _replaced(F.coalesce(F.col(f"doc.`{text}`"), F.lit("")), F.array_sort(F.concat(F.transform("base", _plain), "added"))).alias("clean")] if whole else []),
+        *(["doc", _replaced(F.col("body"), F.array_sort(F.concat(F.transform("base", _plain), "added"))).alias("clean")] if whole else []),
     )
     return out.withColumn("clean", F.when(F.col(f"doc.`{text}`").isNotNull(), F.col("clean"))) if whole else out
 
@@ -210,4 +262,4 @@ def _replaced(text: Column, spans: Column, marked: Callable[[Column], Column] =
 
 
 def op4_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet"), reach=None)

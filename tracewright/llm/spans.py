@@ -9,7 +9,7 @@ _MARK, _OTHER = "\u0001", "\u0002"
 _NONE = "cast(array() as array<struct<s:int,e:int,m:string>>)"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """``array<struct<s, e, m>>`` of the leftmost non-overlapping matches of a Java pattern.
 
     ``s`` and ``e`` (exclusive) count code points, ``m`` is the match. Each match
@@ -18,7 +18,8 @@ def matches(text: Column, pattern: str) -> Column:
     control character; patterns here match neither. A null text has no matches.
     """
     plain = F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(_OTHER))
-    pieces = F.split(F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    group = f"({pattern})" if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
+    pieces = F.split(F.regexp_replace(plain, group, f"{_MARK}$1{_MARK}"), _MARK, -1)
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc.pos + F.length(piece)
