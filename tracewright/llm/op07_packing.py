@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -36,12 +38,20 @@ class Ids(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.merges = self.whole.model
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges = self.whole.model.tokenize
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The character that stands for each byte of a word; bytes from 0xC0 on are alike in every character.
+        self.stands = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(128)}
+        for c in range(0x80, 0x180):
+            pair = byte_level.pre_tokenize_str(chr(c))[0][0]
+            self.stands.update(zip(chr(c).encode(), pair, strict=True))
 
     def __missing__(self, word: str) -> bytes:
-        (mapped, _), *_ = self.byte_level.pre_tokenize_str(word)
-        ids = np.array([x.id for x in self.merges.tokenize(mapped)], "<u4").tobytes()
+        mapped = word.encode().decode("latin-1").translate(self.stands)
+        ids = array("I", [x.id for x in self.merges(mapped)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        ids = ids.tobytes()
         if len(self) < REMEMBERED_WORDS:
             self[word] = ids
         return ids
