@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from tests.llm.helpers import table
 from tracewright.llm import op09_secrets as op
@@ -51,6 +53,64 @@ def test_weak_parts_only_together(spark):
     }
 
 
+WEAK = {
+    "identifier": re.compile(r"""\b(?:user|username|login|account|client_?id|key_?id|access_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A),
+    "endpoint": re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{3,}"""),
+}
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+
+
+def brute_linked(t, scope):
+    """Spans and credentials by loops over all pairs of parts; the texts hold no short hex strings."""
+    base = [tuple(x.split(":")) for x in brute(t)[3].split(",") if x]
+    base = [(int(s), int(e), k) for k, s, e in base]
+    weak = [(m.start(), m.end(), k) for k, p in WEAK.items() for m in p.finditer(t)]
+    mixed = [m for m in TOKEN.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
+    weak += [(m.start(), m.end(), "candidate") for m in mixed]
+    weak = [w for w in weak if not any(w[0] < b[1] and b[0] < w[1] for b in base)]
+    role = {"assign": "secret", "hex": "secret", "candidate": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
+    parts = sorted(base + weak)
+
+    def near(x, wanted):
+        return [y for y in parts if role[y[2]] == wanted and abs(y[0] - x[0]) <= scope]
+
+    keep = []
+    for w in weak:
+        i, s, e = (bool(near(w, r)) for r in ("identifier", "secret", "endpoint"))
+        if {"secret": i or e, "identifier": s, "endpoint": i and s}[role[w[2]]]:
+            keep.append(w)
+    order = {"assign": 0, "access": 1, "hex": 2}
+    spans = sorted([(s, order[k], e, k) for s, e, k in base] + [(s, 3, e, k) for s, e, k in keep])
+    links = []
+    for x in sorted(base + keep):
+        if role[x[2]] == "secret":
+            best = [min(near(x, r), key=lambda y: (abs(y[0] - x[0]), y[0]), default=None) for r in ("identifier", "endpoint")]
+            if any(best):
+                links.append((x, *best))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans), links
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(9)
+    kinds = ["user=alice{}", "login: bob{}", "https://h{}.example/x", "Zx9Qw8Er7Ty6Ui5Op4As3Df{}", "password=12345678{}", KEY, HEX, "filler words here", "x" * 70, "token={}"]
+    texts = [" ".join(rng.choice(kinds).format(rng.randint(10, 99)) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    for scope in (30, 200):
+        got = {r.doc_id: r for r in op.find_secrets(table(spark, texts), scope).collect()}
+        for i, t in enumerate(texts):
+            spans, links = brute_linked(t, scope)
+            assert got[i].spans == spans, t
+            told = [tuple((x.s, x.e, x.k) if x else None for x in (c.secret, c.identifier, c.endpoint)) for c in got[i].credentials]
+            assert told == links, t
+
+
+def test_many_parts_in_one_text_take_linear_time(spark):
+    text = " ".join(f"user=alice{i} Zx9Qw8Er7Ty6Ui5Op4As3Df{i} password=12345678{i}" for i in range(10_000))
+    began = time.time()
+    (r,) = op.find_secrets(table(spark, [text])).collect()
+    assert time.time() - began < 60  # quadratic work would take many minutes
+    assert (r.n_assign, r.n_linked, len(r.credentials)) == (10_000, 20_000, 20_000)
+
+
 def test_repeated_rows_and_empty(spark):
     assert op.find_secrets(table(spark, [KEY] * 3, [1, 1, None])).where("n_access = 1").count() == 3
     assert op.find_secrets(table(spark, [])).collect() == []

@@ -7,13 +7,11 @@ the entity's information content.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import bounded, row_key, stored
-from tracewright.llm.spans import matches, told
+from tracewright.llm.spans import matches, replaced, told
 
 #: The contract's patterns. Possessive forms and anchors at the start of a run
 #: change no match; they keep long runs linear and off the matcher's stack.
@@ -25,7 +23,7 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 _BYTE_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
-TERM = r"\p{L}{3,}+"
+TERM = r"\p{L}++"
 _SPAN = "\u0003"
 _NO_SPANS = "cast(array() as array<struct<s:int,n:int,e:int,k:string>>)"
 
@@ -61,26 +59,6 @@ def _kept(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _context(text: Column, base: Column, reach: int) -> Column:
-    """Whole words within ``reach`` code points of a span, outside all spans: array<struct<entity, term, s, e>>."""
-
-    def words(x: Column, start: Column, end: Column) -> Column:
-        side = F.substr(text, start + 1, end - start)
-        inner = F.filter(matches(side, TERM), lambda w: ((w.s > 0) | (start == 0)) & ((w.e < end - start) | (end == F.length(text))))
-        return F.transform(
-            inner,
-            lambda w: F.struct(x.m.alias("entity"), F.lower(w.m).alias("term"), (w.s + start).alias("s"), (w.e + start).alias("e")),
-        )
-
-    def both(x: Column) -> Column:
-        return F.concat(
-            words(x, F.greatest(x.s - reach, F.lit(0)), x.s), words(x, x.e, F.least(x.e + reach, F.length(text)))
-        )
-
-    found = F.flatten(F.transform(base, both))
-    return F.filter(found, lambda w: ~F.exists(base, lambda x: (w.s < x.e) & (x.s < w.e)))
-
-
 def _spans(body: Column, kind: str) -> Column:
     """array<struct<n, s, e, k, m>>: the kind's place, the span, the kind, and the entity it names."""
     return F.transform(
@@ -99,15 +77,14 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda x: x.k == kind)).cast("long").alias(f"n_{kind}")
 
 
-def _words(body: Column, base: Column) -> Column:
-    """The distinct words of a text that touch no span."""
+def _masked(body: Column, base: Column) -> Column:
+    """The text with each character of a base span as a mark, so that places stay and only words outside spans are left."""
     plain = F.replace(body, F.lit(_SPAN), F.lit(" "))
-    cut = F.when(F.size(base) > 0, _replaced(plain, F.array_sort(F.transform(base, _plain)), lambda k: F.lit(_SPAN))).otherwise(plain)
-    return F.array_distinct(F.regexp_extract_all(cut, F.lit(rf"(?<![\p{{L}}{_SPAN}]){TERM}(?!{_SPAN})"), F.lit(0)))
+    return replaced(plain, F.array_sort(F.transform(base, _plain)), lambda x, done: F.repeat(F.lit(_SPAN), F.greatest(x.e - F.greatest(x.s, done), F.lit(0))))
 
 
-def _read(docs: DataFrame, key: str, text: str, reach: int | None, whole: bool) -> DataFrame:
-    """Each row's text, spans and words, with ``reach`` the terms around spans; with ``whole`` also the row itself. Stored but for the words."""
+def _read(docs: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
+    """Each row's text, spans and words outside them; with ``whole`` also the row itself. Stored but for the words."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = [_spans(body, kind) for kind in KINDS]
     rows = docs.select(
@@ -117,14 +94,11 @@ def _read(docs: DataFrame, key: str, text: str, reach: int | None, whole: bool)
         F.concat(*spans).alias("base"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []),
     )
-    extra = ["doc"] if whole else ["body"]
-    if reach is not None:  # most texts have no span, and then no context is looked for
-        extra.append(F.when(F.size("base") > 0, _context(F.col("body"), F.col("base"), reach)).alias("context"))
-    rows = rows.select("_row", "doc_id", "base", F.xxhash64("body").alias("copy"), *extra)
-    rows = stored(rows, "personal")
+    rows = stored(rows.select("_row", "doc_id", "base", F.xxhash64("body").alias("copy"), "doc" if whole else "body"), "personal")
     if whole:
         rows = rows.withColumn("body", F.coalesce(F.col(f"doc.`{text}`"), F.lit("")))
-    return rows.withColumn("words", _words(F.col("body"), F.col("base")))
+    words = F.array_distinct(F.regexp_extract_all(_masked(F.col("body"), F.col("base")), F.lit(TERM), F.lit(0)))
+    return rows.withColumn("words", words)
 
 
 def _different(rows: DataFrame) -> DataFrame:
@@ -135,31 +109,38 @@ def _different(rows: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """``entity``, ``term``, ``share``, ``alike``: every pair that meets, by counts over all different texts.
+    """``entity``, ``term``, ``share``, ``alike``: the pairs that meet in a text and can reveal, by counts over all different texts.
 
-    Terms meet an entity in its context where rows have one, else anywhere in a
-    text. Then the entities of one text that stand in no other have the same
+    A term of too many texts can't reach ``GENERALISED`` even if the entity
+    stands in as many of them as it can; it is left out before it meets the
+    entities. The entities of one text that stand in no other have the same
     counts with every term: one row tells for as many as ``alike`` says.
     """
     terms = F.array_distinct(F.transform("words", F.lower)).alias("terms")
     texts = _different(rows)
+    n = F.lit(float(max(1, texts.count())))
     counts = texts.select(terms).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     held = texts.where("size(base) > 0")
     seen = held.select("copy", F.explode(F.array_distinct("base.m")).alias("entity"))
     entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    if "context" in rows.columns:
-        near = F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), c.term.alias("term"))))
-        pairs = held.select(F.explode(near).alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("both"), F.lit(1).alias("alike")).join(entities, "entity")
-    else:
-        pooled = (
-            seen.join(entities, "entity")
-            .groupBy("copy", F.when(F.col("n_entity") > 1, F.col("entity")).alias("shared"))
-            .agg(F.min("entity").alias("entity"), F.first("n_entity").alias("n_entity"), F.count("*").alias("alike"))
-        )
-        met = pooled.join(held.select("copy", terms), "copy").select("entity", "n_entity", "alike", F.explode("terms").alias("term"))
-        pairs = met.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("both"), F.max("alike").alias("alike"))
-    n = F.lit(float(max(1, texts.count())))
-    return pairs.join(counts, "term").select("entity", "term", _share(n).alias("share"), "alike")
+    pooled = (
+        seen.join(entities, "entity")
+        .groupBy("copy", F.when(F.col("n_entity") > 1, F.col("entity")).alias("shared"))
+        .agg(F.min("entity").alias("entity"), F.first("n_entity").alias("n_entity"), F.count("*").alias("alike"))
+    )
+    pooled = stored(pooled.drop("shared"), "entities")
+    most = pooled.groupBy("copy").agg(F.max("n_entity").alias("n_entity"))
+    near = held.select("copy", terms).join(most, "copy").select("copy", _most_texts(F.col("n_entity"), n).alias("most"), F.explode("terms").alias("term"))
+    near = near.join(counts, "term").where("n_term <= most").select("copy", "term", "n_term")
+    met = pooled.join(near, "copy").where(F.col("n_term") <= _most_texts(F.col("n_entity"), n))
+    pairs = met.groupBy("entity", "n_entity", "term", "n_term").agg(F.count("*").alias("both"), F.max("alike").alias("alike"))
+    return pairs.select("entity", "term", _share(n).alias("share"), "alike")
+
+
+def _most_texts(n_entity: Column, n: Column) -> Column:
+    """Texts up to which a term can still reveal an entity; a little more, for the last bits of the logarithms."""
+    rate = n_entity / n
+    return (n_entity + PRIOR * rate) / F.pow(rate, F.lit(1 - GENERALISED)) - PRIOR + 0.001
 
 
 def _share(n: Column) -> Column:
@@ -175,60 +156,42 @@ def _revealing(rows: DataFrame) -> DataFrame:
     return _judged(rows).select("entity", "term", k.alias("k")).where("k is not null")
 
 
-def _added_near(rows: DataFrame) -> DataFrame:
-    """The rows with ``added``: spans of terms that reveal an entity near by."""
-    near = rows.where("size(context) > 0").select("_row", F.explode("context").alias("c")).select("_row", "c.*")
-    added = (
-        near.join(_revealing(rows), ["entity", "term"])
-        .groupBy("_row", "s", "e")
-        .agg(F.max("k").alias("k"))  # of several entities the strongest measure
-        .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("n"), "e", "k"))).alias("added"))
-    )
-    # Only rows with terms meet what was added; the others stay in place.
-    some = F.coalesce(F.size("context") > 0, F.lit(False))
-    met = rows.where(some).join(added, "_row", "left").withColumn("added", F.coalesce("added", F.expr(_NO_SPANS)))
-    return met.unionByName(rows.where(~some).withColumn("added", F.expr(_NO_SPANS)))
-
-
-def _added_anywhere(rows: DataFrame) -> DataFrame:
+def _added(rows: DataFrame) -> DataFrame:
     """The rows with ``added``: spans of terms that reveal any entity of the corpus, in every text."""
-    risky = _revealing(rows).groupBy("term").agg(F.max("k").alias("k"))  # of several entities the strongest measure
-    words = rows.select("_row", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
-    risky = stored(risky, "risky")
+    risky = stored(_revealing(rows).groupBy("term").agg(F.max("k").alias("k")), "risky")  # of several entities the strongest measure
+    words = rows.select("_row", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term")).withColumn("hash", F.xxhash64("term"))
     # Hashes take less room than terms: most words go before any shuffle.
     hashes = bounded(risky.select(F.xxhash64("term").alias("hash")).distinct(), "hashes", SENT_KEYS)
-    words = words.withColumn("hash", F.xxhash64("term")).join(hashes, "hash", "left_semi").drop("hash")
-    found = words.join(bounded(risky, "risky", SENT_ROWS), "term").groupBy("_row").agg(F.collect_list(F.struct("word", "k")).alias("found"))
-    rows = rows.join(bounded(found, "found", SENT_ROWS), "_row", "left")
-    # Longer words hold others: only whole words count. They are letters alone, so nothing is quoted.
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("found.word", "|"), F.lit(r")(?!\p{L})"))
-    outside = F.filter(matches(F.col("body"), pattern), lambda w: ~F.exists("base", lambda x: (w.s < x.e) & (x.s < w.e)))
-    kinds = F.map_from_entries("found")
-    spans = F.transform(outside, lambda w: F.struct(w.s.alias("s"), F.lit(len(KINDS)).alias("n"), w.e.alias("e"), kinds[w.m].alias("k")))
-    return rows.withColumn("added", F.when(F.col("found").isNotNull(), spans).otherwise(F.expr(_NO_SPANS)))
-
-
-def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = 80, whole: bool = False) -> DataFrame:
+    found = stored(words.join(hashes, "hash", "left_semi").select("_row", "term").join(bounded(risky, "risky", SENT_ROWS), "term"), "found")
+    # Only texts that hold such a term are read for places.
+    held = bounded(found.select("_row").distinct(), "held", SENT_KEYS)
+    spots = rows.join(held, "_row", "left_semi").select("_row", F.explode(matches(_masked(F.col("body"), F.col("base")), TERM)).alias("x"))
+    spots = spots.select("_row", "x.s", "x.e", F.lower("x.m").alias("term"))
+    added = spots.join(bounded(found, "found", SENT_ROWS), ["_row", "term"]).groupBy("_row")
+    added = added.agg(F.array_sort(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("n"), "e", "k"))).alias("added"))
+    return rows.join(bounded(added, "added", SENT_ROWS), "_row", "left").withColumn("added", F.coalesce("added", F.expr(_NO_SPANS)))
+
+
+def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Personal data in every whole text, as code point spans; with ``whole`` also the row as ``doc`` and its ``clean`` text.
 
     Base spans are emails, IP addresses, cards and phones; the matched string is
-    an entity. Its terms are the words outside base spans of all texts that hold
-    it. Each such pair is judged, however rare: the pointwise mutual information
-    of term and entity over all different texts, smoothed by ``PRIOR``, as a
-    share of the entity's information content, from ``GENERALISED`` on adds a
-    span ``generalised``, from ``REMOVED`` on ``removed``. With ``reach`` None,
-    as the query and the pipeline have it, a term is sought in whole texts and
-    goes wherever it occurs, also in texts without the entity. A number bounds
-    both to so many code points around the entity.
+    an entity. Its terms are the words (runs of letters) outside base spans of
+    all texts that hold it. Each such pair is judged, however rare: the
+    pointwise mutual information of term and entity over all different texts,
+    smoothed by ``PRIOR``, as a share of the entity's information content, from
+    ``GENERALISED`` on adds a span ``generalised``, from ``REMOVED`` on
+    ``removed``, wherever the term occurs, also in texts without the entity.
 
     In ``clean`` a base span is replaced by its kind in angle brackets, a
     generalised term by ``<term>``; removed terms go. Null texts count as empty
     (``clean`` stays null). Repeated rows are judged each for itself; copies of
-    a text are no further support. An empty table gives no rows.
+    a text are no further support. Ties of two measures go to ``removed``. The
+    work grows with a text's length and with its spans, not with their product,
+    and nothing is cut. Only the named columns are read, so others may have any
+    name. An empty table gives no rows.
     """
-    rows = _read(docs, key, text, reach, whole)
-    rows = _added_anywhere(rows) if reach is None else _added_near(rows)
+    rows = _added(_read(docs, key, text, whole))
     base = F.array_sort("base")
     out = rows.select(
         "doc_id",
@@ -236,7 +199,7 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", reac
         F.sha2(told(base), 256).alias("base_sha256"),
         told(F.concat(F.transform(base, _plain), "added")).alias("spans"),
         F.size("added").cast("long").alias("n_terms"),
-        *(["doc", _replaced(F.col("body"), F.array_sort(F.concat(F.transform("base", _plain), "added"))).alias("clean")] if whole else []),
+        *(["doc", _cleaned(F.col("body"), F.array_sort(F.concat(F.transform("base", _plain), "added"))).alias("clean")] if whole else []),
     )
     return out.withColumn("clean", F.when(F.col(f"doc.`{text}`").isNotNull(), F.col("clean"))) if whole else out
 
@@ -249,17 +212,9 @@ def _mark(k: Column) -> Column:
     return F.when(k == "removed", F.lit("")).when(k == "generalised", F.lit("<term>")).otherwise(F.concat(F.lit("<"), k, F.lit(">")))
 
 
-def _replaced(text: Column, spans: Column, marked: Callable[[Column], Column] = _mark) -> Column:
-    """The text with each span replaced; a span that begins inside an earlier one only extends what goes."""
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc.out, F.substr(text, acc.pos + 1, x.s - acc.pos), marked(x.k))
-        return F.struct(F.greatest(acc.pos, x.e).alias("pos"), F.when(x.s >= acc.pos, fresh).otherwise(acc.out).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substr(text, acc.pos + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def _cleaned(text: Column, spans: Column) -> Column:
+    return replaced(text, spans, lambda x, done: F.when(x.s >= done, _mark(x.k)).otherwise(F.lit("")))
 
 
 def op4_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet"), reach=None)
+    return find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
