@@ -30,8 +30,8 @@ def brute(texts):
 @pytest.mark.parametrize("rows", [800, 5])
 @pytest.mark.parametrize("sent", [10**6, 0])
 def test_equals_brute_force(spark, monkeypatch, rows, sent):
-    monkeypatch.setattr(op, "BLOCK_ROWS", rows)  # 5: large components are cut into cells
-    monkeypatch.setattr(op, "SENT_ROWS", sent)
+    monkeypatch.setattr(op, "BLOCK_ROWS", rows)  # 5: large buckets are cut into cells
+    monkeypatch.setattr(op, "SENT_KEYS", sent)
     rng = random.Random(10)
     texts = [None, "", "!!! ...", "one", "One.", "one two three", "a b c d e", "A b, c d e", words(rng, 9000)]
     base = [words(rng, rng.randint(30, 120)) for _ in range(12)]
@@ -51,6 +51,17 @@ def test_equals_brute_force(spark, monkeypatch, rows, sent):
     assert max(links) >= 10
 
 
+def test_recall_on_documents(spark):
+    """All true pairs of the smallest table, from an inverted index of shingles, against the links that were found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.n_links for r in op.near_duplicates(docs).collect()}
+    rows = sorted(docs.select("doc_id", "text").collect())
+    links, _ = brute([r.text for r in rows])
+    true = sum(links)
+    assert true and sum(got.values()) >= 0.99 * true
+    assert all(got[r.doc_id] <= n for r, n in zip(rows, links, strict=True))
+
+
 def test_ids_may_be_null_or_repeated_and_tables_empty(spark):
     got = op.near_duplicates(table(spark, ["a b c d e f"] * 3 + ["x"], [None, 5, 5, None])).collect()
     assert len(got) == 4 and sum(r.kept for r in got) == 2 and sorted(r.n_links for r in got) == [0, 2, 2, 2]

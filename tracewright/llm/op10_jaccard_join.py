@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import bounded, components, row_key, stored
 from tracewright.llm.words import STEP, mixed, shingles
 
-#: A cell of candidates holds at most about two blocks of so many shingles or documents.
+#: A cell of a bucket holds at most about two blocks of so many shingles or documents.
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 800
-#: Candidates up to this number are sent to the scan of texts; more meet it in a shuffle.
-SENT_ROWS = 1_000_000
+#: Keys (one long each) up to this number are sent to the scan of texts; more meet it in a shuffle.
+SENT_KEYS = 2_000_000
 
 
 def banding(similarity: float, recall: float, rows: int = 4) -> tuple[int, int]:
@@ -63,7 +63,7 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
         n = np.array([r.n for r in rows])
         copies = np.array([r.copies for r in rows])
         block = np.array([r.block for r in rows])
-        bands = np.stack([np.asarray(r.bands) for r in rows])
+        earlier = np.stack([np.asarray(r.hubs[: r.band], np.int64) for r in rows])
         sets = [np.frombuffer(r.body, np.uint64) for r in rows]
         apart = rows[0].a != rows[0].b
         docs, texts, root = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), list(range(len(rows)))
@@ -76,7 +76,8 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
 
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
-            fit = (bands[rest] == bands[i]).any(axis=1) & (np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i]))
+            fit = np.minimum(n[rest], n[i]) >= similarity * np.maximum(n[rest], n[i])
+            fit &= ~((earlier[rest] == earlier[i]) & (earlier[i] >= 0)).any(axis=1)  # judged in the first band that they share
             if apart:
                 fit &= block[rest] != block[i]
             for j in (np.flatnonzero(fit) + i + 1).tolist():
@@ -96,10 +97,10 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
         cell, rows = None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if (row.comp, row.a, row.b) != cell:
+                if (row.band, row.hub, row.a, row.b) != cell:
                     if len(rows) > 1:
                         yield judge(rows)
-                    cell, rows = (row.comp, row.a, row.b), []
+                    cell, rows = (row.band, row.hub, row.a, row.b), []
                 rows.append(row)
         if len(rows) > 1:
             yield judge(rows)
@@ -107,6 +108,49 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
     return cells.mapInPandas(walk, "rep long, root long, docs long, texts long")
 
 
+def _cells(sets: DataFrame, keyed: DataFrame, size: int, bands: int) -> DataFrame:
+    """The members of every bucket in which some pair shares its first band, with their sets, cut into cells.
+
+    A bucket is named by its band and its least member, the hub. ``hubs`` are a
+    member's buckets by band, -1 where it is alone, so that two members share a
+    band if they have the same hub there. A bucket whose members all share an
+    earlier one has no pair to judge and is left out.
+    """
+    banded = sets.select("rep", F.posexplode("bands").alias("band", "hash"))
+    buckets = banded.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+    places = banded.join(buckets, ["band", "hash"]).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "hub"))).alias("at"))
+    hubs = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.try_element_at("at", b), F.lit(-1).cast("long")))
+    members = stored(places.join(sets, "rep").select("rep", "n", "copies", hubs.alias("hubs")), "members")
+
+    shared = members.select("rep", "n", "hubs", F.posexplode("hubs").alias("band", "hub")).where("hub >= 0")
+    first = members.select(F.col("rep").alias("hub"), F.col("hubs").alias("of_hub"))
+    same = F.aggregate(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        F.lit(0).cast("long"),
+        lambda acc, b: acc + F.when((F.get("hubs", b) == F.get("of_hub", b)) & (F.get("hubs", b) >= 0), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")),
+    )
+    judged = shared.join(first, "hub").select("band", "hub", "n", same.alias("same")).groupBy("band", "hub")
+    judged = judged.agg(
+        F.bit_and("same").alias("same"),
+        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("k"),
+    )
+    judged = judged.where(F.col("same").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band")) - 1) == 0)
+    dealt = shared.select("rep", "band", "hub").join(judged.select("band", "hub", "k"), ["band", "hub"])
+    dealt = dealt.groupBy("rep").agg(F.collect_list(F.struct("band", "hub", "k")).alias("cells"))  # at most one a band
+    dealt = stored(dealt.join(members, "rep"), "dealt")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rep": batch["_row"], "body": [shingles(x, size).tobytes() for x in batch["body"]]})
+
+    texts = keyed.select("_row", "body").join(bounded(dealt.select(F.col("rep").alias("_row")), "keys", SENT_KEYS), "_row", "left_semi")
+    found = texts.mapInPandas(cut, "rep long, body binary").join(dealt, "rep")
+    found = found.select("rep", "n", "copies", "hubs", "body", F.inline("cells")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    return found.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "band", "hub", F.least("block", "c").alias("a"), F.greatest("block", "c").alias("b"), "rep", "n", "copies", "hubs", "block", "body"
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -134,12 +178,12 @@ def near_duplicates(
     are copies. An empty table gives no rows.
 
     Rows with equal sets are first reduced to one representative by a partial
-    aggregate. Bands and rows follow from ``recall`` at the threshold. A band's
-    bucket links its members to its least one only, so a bucket of any size
-    makes as many links as members. Components of these links bound where pairs
-    can be: small ones are one cell, large ones are cut into blocks whose pairs
-    are cells. In a cell, pairs that share a band are verified on full sets;
-    only counts and a spanning forest leave it, never the pairs.
+    aggregate. Bands and rows follow from ``recall`` at the threshold. Sets meet
+    in a shuffle on (band, band hash); a bucket too large for a task is cut into
+    blocks whose pairs are cells. A pair that shares several bands is judged in
+    the first of them only, on its full sets. Only counts and a spanning forest
+    leave a cell, never the pairs. Texts of any length are read whole; only the
+    named columns are read, so others may have any name.
     """
     bands, rows = banding(similarity, recall)
     fields = [F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body")]
@@ -149,30 +193,8 @@ def near_duplicates(
         F.min(F.struct("_row", "doc_id")).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     sets = stored(sets.select("h1", "h2", F.col("first._row").alias("rep"), F.col("first.doc_id").alias("set_id"), "copies", "n", "bands"), "sets")
-
-    banded = sets.select("rep", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    links = banded.join(hubs, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a <> b")
-    comps = components(links)
-    members = comps.join(sets, comps.node == sets.rep).select(F.col("root").alias("comp"), "rep", "n", "copies", "bands")
-    blocks = members.groupBy("comp").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("k")
-    )
-    members = members.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    members = stored(members, "members")
-    sent = F.broadcast(members) if members.count() <= SENT_ROWS else members
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(body=[shingles(x, size).tobytes() for x in batch["body"]])
-
-    found = keyed.join(sent, keyed._row == members.rep).select("comp", "rep", "n", "copies", "bands", "k", "block", "body")
-    found = found.mapInPandas(cut, "comp long, rep long, n int, copies long, bands array<long>, k int, block int, body binary")
-    cells = found.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "comp", F.least("block", "c").alias("a"), F.greatest("block", "c").alias("b"), "rep", "n", "copies", "bands", "block", "body"
-    )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(parts, "comp", "a", "b").sortWithinPartitions("comp", "a", "b", "rep")
+    cells = _cells(sets, keyed, size, bands).repartition(parts, "band", "hub", "a", "b").sortWithinPartitions("band", "hub", "a", "b", "rep")
     judged = stored(_verified(cells, similarity), "judged")
 
     roots = components(judged.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -198,7 +220,7 @@ def near_duplicates(
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_rows: int = SENT_KEYS) -> DataFrame:
     """``docs`` without the rows that aren't the first of their class, with all their columns.
 
     Texts are stored once and stay in place while the other rows' keys can be
