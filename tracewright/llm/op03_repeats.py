@@ -4,9 +4,12 @@ Suffixes are told apart through ``depth`` bytes only, most significant digit
 first, and a suffix that stands alone in its group is dropped. The first digit
 is not the first bytes but the least hashed gram of the suffix's window: equal
 windows have the same, and neighbouring suffixes share it, so that a run of
-them (a block) is one record. The second digit is the block's content. Only
-blocks that differ under the same first digit are sorted on, suffix by suffix,
-eight bytes a pass. Groups left at full depth are exactly the repeated windows.
+them (a block) is one record. Blocks of one first digit whose content, by a
+second hash, is the same are one kind: they repeat each other as a whole. Only
+different kinds under the same first digit are sorted on, suffix by suffix, by
+passes over their bytes: eight bytes a pass in a task, and by shuffles where a
+group is too large for one. Groups left at full depth are exactly the repeated
+windows.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from tracewright.llm.common import stored
 from tracewright.llm.words import mixed, powers
 
 GRAM = 40
-#: Different blocks of one first digit that one task sorts; larger groups are sorted by shuffles.
+#: Different kinds of blocks of one first digit that one task sorts; larger groups are sorted by shuffles, by the same passes.
 TASK_KINDS = 4000
-#: Numbers of blocks or removed runs up to which they are sent to the scan of texts; more meet it in a shuffle.
-SENT_BLOCKS = 3_000_000
+#: Blocks or removed runs (some forty bytes each) up to which they are sent to the scan of texts; more meet it in a shuffle.
+SENT_BLOCKS = 1_000_000
 #: Bytes of windows' blocks that one call sorts together.
 SORT_BYTES = 2 << 20
 
@@ -143,17 +146,29 @@ def _sorted_in_tasks(kinds: DataFrame, depth: int) -> DataFrame:
 
 
 def _sorted_by_shuffle(kinds: DataFrame, depth: int) -> DataFrame:
-    """The same for groups of any size: windows meet by a 128-bit digest, partly counted before the shuffle."""
+    """The same for groups of any size: most-significant-digit passes by shuffles over the windows' bytes.
+
+    The first digit is eight bytes, each later one as long as all before it, so
+    that few passes reach ``depth``. After each, a window whose bytes so far no
+    other block of its group has is dropped. Counts are partial before a shuffle.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                digest = [hashlib.md5(row.body[i : i + depth]).digest() for i in range(len(row.body) - depth + 1)]
-                yield pd.DataFrame({"h": row.h, "c": row.c, "i": np.arange(len(digest)), "digest": digest})
-
-    windows = stored(kinds.mapInPandas(cut, "h long, c long, i int, digest binary"), "windows").distinct()
-    again = windows.groupBy("h", "digest").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h", "digest")
-    return windows.join(again, ["h", "digest"], "left_semi").groupBy("h", "c").agg(F.array_sort(F.collect_list("i")).alias("at"))
+                windows = [row.body[i : i + depth] for i in range(len(row.body) - depth + 1)]
+                yield pd.DataFrame({"h": row.h, "c": row.c, "i": np.arange(len(windows)), "window": windows})
+
+    left = stored(kinds.dropDuplicates(["h", "c"]).mapInPandas(cut, "h long, c long, i int, window binary"), "windows")
+    if left.isEmpty():
+        return left.groupBy("h", "c").agg(F.collect_list("i").alias("at"))
+    done = 0
+    while done < depth:
+        done = min(depth, max(8, 2 * done))
+        digits = left.withColumn("digits", F.substring("window", 1, done))
+        again = digits.groupBy("h", "digits").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h", "digits")
+        left = stored(digits.join(again, ["h", "digits"], "left_semi").drop("digits"), "windows")
+    return left.groupBy("h", "c").agg(F.array_sort(F.collect_list("i")).alias("at"))
 
 
 def _covered(runs: list, depth: int) -> list[tuple[int, int]]:
