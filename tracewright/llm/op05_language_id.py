@@ -9,13 +9,13 @@ from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The bounded training sample: so many rows of a language, so much of each text.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 1500
-#: Bytes of a language's dictionary; bytes of text encoded at a time, each time with the dictionary alone before it.
-DICTIONARY_BYTES, BLOCK_BYTES = 160_000, 4096
+#: The bounded training sample: so many rows of a language, so much of each text, and of all this so many bytes as dictionary.
+SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 160_000
+#: Bytes of text encoded at a time, each time with the dictionary alone before it.
+BLOCK_BYTES = 4096
 LEVEL = 6
 #: Texts of fewer bytes are repeated up to this size.
 SHORT_BYTES = 64
@@ -77,20 +77,32 @@ def is_held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Dictionaries from labelled documents that aren't held out: ``SAMPLE_ROWS`` of each language, chosen by hash.
+    """Dictionaries from labelled documents that aren't held out: the ``SAMPLE_ROWS`` of each language with the least hashes.
 
-    Each task keeps only that many rows of a language before rows meet, so the
-    sample is all that is shuffled or reaches the driver.
+    Each language's rows are counted first, so that a bound on the hash leaves
+    about twice as many as wanted where they are read. Only these are made
+    distinct and reach the driver, a few hundred of a language whatever the
+    size of the corpus; where copies leave too few, the bound is raised.
+    A dictionary is the last ``DICTIONARY_BYTES`` of the sample's texts.
     """
     known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~is_held_out(F.col(key)))
-    by_hash = Window.partitionBy("lang").orderBy("h", "body")
     rows = known.select(
         F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("body"), F.xxhash64(F.col(key), F.col(text)).alias("h")
     )
-    sample = rows.withColumn("i", F.row_number().over(by_hash)).where(F.col("i") <= SAMPLE_ROWS).orderBy("lang", "i").collect()
-    bodies: dict[str, dict[str, None]] = {r.lang: {} for r in known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()}
-    for r in sample:
-        bodies[r.lang][_letters(r.body)] = None  # copies count once
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    rates = {r.lang: min(1.0, 2 * SAMPLE_ROWS / r["count"]) for r in counts}
+    bodies: dict[str, dict[str, None]] = {r.lang: {} for r in counts}
+    todo = set(rates)
+    while todo:
+        bounds = docs.sparkSession.createDataFrame([(x, min(2**63 - 1, int(rates[x] * 2**64) - 2**63)) for x in sorted(todo)], "lang string, most long")
+        found: dict[str, list[tuple[int, str]]] = {x: [] for x in todo}
+        for r in rows.join(F.broadcast(bounds), "lang").where("h <= most").select("lang", "h", "body").distinct().collect():
+            found[r.lang].append((r.h, r.body))
+        for x, sample in found.items():
+            if len(sample) >= SAMPLE_ROWS or rates[x] == 1:
+                todo.discard(x)
+                bodies[x] = {_letters(body): None for _, body in sorted(sample)[:SAMPLE_ROWS]}  # copies count once
+            rates[x] = min(1.0, 8 * rates[x])
     packed = {k: " ".join(v).encode("utf-8", "surrogatepass")[-DICTIONARY_BYTES:] for k, v in bodies.items()}
     return Model(tuple((k, v) for k, v in packed.items() if len(v) >= 8))
 
@@ -112,9 +124,12 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Null texts and texts without a letter are ``und`` with score 0 and not
     accepted; so is every text if nothing could be learned. Upper case, digits
-    and marks don't count. Ties go to the more frequent language and are not
+    and marks don't count. A text of fewer than ``SHORT_BYTES`` bytes is repeated
+    up to these, as so little is stored as it is; a text of any length counts
+    whole, in blocks. Ties go to the more frequent language and are not
     accepted. A null id is not held out and nothing is learned from it.
-    Repeated rows get the same answer; an empty table gives no rows.
+    Repeated rows get the same answer; only the named columns are read, so
+    others may have any name; an empty table gives no rows.
     """
     model = fit(docs, key, text, lang)
     out = docs.select(F.col(key).alias("doc_id"), is_held_out(F.col(key)).alias("held_out"), predicted(F.col(text), model, docs.sparkSession, margin).alias("p"))
