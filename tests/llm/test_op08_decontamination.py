@@ -43,7 +43,8 @@ def cases():
 def test_equals_brute_force(spark, bound):
     texts, items = cases()
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, window string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in op.decontaminate(table(spark, texts), bench, index_bytes=bound).collect()}
+    rows = op.decontaminate(table(spark, texts), bench, index_bytes=bound).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in rows}
     want = [brute(t, items) for t in texts]
     assert [i for i in range(len(texts)) if got[i] != want[i]] == []
     assert any(w[4] for w in want) and not all(w[4] for w in want)
@@ -56,6 +57,9 @@ def test_empty_tables(spark):
     (r,) = op.decontaminate(table(spark, ["a b c"], [None]), none).collect()
     assert (r.doc_id, r.n_words, r.n_hit, r.contaminated) == (None, 3, 0, False)
     assert op.decontaminate(table(spark, ["a b c"] * 2, [1, 1]), some).where("contaminated").count() == 2
+    assert op.decontaminate(table(spark, []), some, index_bytes=0).collect() == []
+    (r,) = op.decontaminate(table(spark, ["a b c"], [None]), none, index_bytes=-1).collect()
+    assert (r.doc_id, r.n_words, r.n_hit, r.contaminated) == (None, 3, 0, False)
 
 
 @pytest.mark.parametrize("bound", [64 << 20, 0])

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import row_key, stored
 from tracewright.llm.words import STEP, powers, split_words, words_of
 
-_FOUND = "_row long, doc_id long, n_words long, n_hit long, windows array<long>"
+_FOUND = "doc_id long, n_words long, n_hit long, items array<string>"
+#: Bits of the filter of word hashes that is sent to all executors, whatever the number of words in it.
+FILTER_BITS = 22
+
+
+def _filter_place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def item_windows(benchmark: DataFrame, size: int, item: str, text: str) -> DataFrame:
-    """Each distinct window of the items: ``words`` (space-joined), ``n`` words, ``items`` that hold it."""
+    """``item``, ``words`` (space-joined) and ``n`` of each different window of each item."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -28,16 +34,16 @@ def item_windows(benchmark: DataFrame, size: int, item: str, text: str) -> DataF
             yield pd.DataFrame(out, columns=["item", "words", "n"])
 
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("body"))
-    rows = rows.mapInPandas(cut, "item string, words binary, n int")
-    return rows.groupBy("words", "n").agg(F.collect_set("item").alias("items"))
+    return rows.mapInPandas(cut, "item string, words binary, n int").distinct()
 
 
 class _Index:
-    """The windows by their rarest word (the prefix token of a full containment)."""
+    """The windows (words, items) by their rarest word (the prefix token of a full containment)."""
 
-    def __init__(self, windows: list[tuple[int, bytes]], counts: dict[int, int]) -> None:
-        split = [(i, w.split(b" ")) for i, w in windows]
-        known = {w: int(words_of(w.decode("utf-8", "surrogatepass"))[0][0]) for _, ws in split for w in set(ws)}
+    def __init__(self, windows: list[tuple[bytes, list[str]]], counts: dict[int, int]) -> None:
+        self.items = [items for _, items in windows]
+        split = [(i, w.split(b" ")) for i, (w, _) in enumerate(windows)]
+        known = {w: _word_hash(w) for _, ws in split for w in set(ws)}
         rows = []
         for i, ws in split:
             at = min(range(len(ws)), key=lambda k: (counts.get(known[ws[k]], 0), known[ws[k]], k))
@@ -49,14 +55,14 @@ class _Index:
         self.n = np.array([r[3] for r in rows], np.int64)
         self.words = [b" ".join(r[4]) for r in rows]
         self.sums = np.array([int(_window_sum(np.array([known[w] for w in r[4]], np.uint64))) for r in rows], np.uint64)
-        self.some = np.zeros(1 << 20, bool)
-        self.some[(self.token >> np.uint64(44)).astype(np.int64)] = True
+        self.some = np.zeros(1 << FILTER_BITS, bool)
+        self.some[_filter_place(self.token)] = True
 
-    def find(self, text: str) -> tuple[int, int, list[int]]:
-        """Number of words, of words inside any window's occurrence, and the windows that occur."""
+    def find(self, text: str) -> tuple[int, int, list[str]]:
+        """Number of words, of words inside any window's occurrence, and the items whose windows occur."""
         hashes, start, end, low = words_of(text)
         total = len(hashes)
-        place = np.flatnonzero(self.some[(hashes >> np.uint64(44)).astype(np.int64)]) if len(self.token) else np.zeros(0, np.int64)
+        place = np.flatnonzero(self.some[_filter_place(hashes)]) if len(self.token) else np.zeros(0, np.int64)
         first = np.searchsorted(self.token, hashes[place], "left")
         reps = np.searchsorted(self.token, hashes[place], "right") - first
         if not reps.sum():
@@ -77,88 +83,132 @@ class _Index:
                 found.add(int(self.id[r]))
                 cover[b] += 1
                 cover[b + n] -= 1
-        return total, int((np.cumsum(cover)[:total] > 0).sum()), sorted(found)
+        return total, int((np.cumsum(cover)[:total] > 0).sum()), sorted({x for i in found for x in self.items[i]})
+
+
+def _word_hash(word: bytes) -> int:
+    return int(words_of(word.decode("utf-8", "surrogatepass"))[0][0])
 
 
 def _window_sum(hashes: np.ndarray) -> np.uint64:
     return (hashes * powers(STEP, len(hashes))).sum(dtype=np.uint64)
 
 
-def _word_counts(docs: DataFrame, words: list[int], text: str) -> dict[int, int]:
-    """How often the benchmark's words occur in all documents: the rarity that orders each window's words."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.array(sorted(words), np.uint64))
+def _word_counts(docs: DataFrame, some: np.ndarray, text: str) -> DataFrame:
+    """``token``, ``count`` of the words in all documents that pass the filter: the rarity that orders each window's words."""
+    sent = docs.sparkSession.sparkContext.broadcast(some)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = wanted.value
-        some = np.zeros(1 << 20, bool)
-        some[(known >> np.uint64(44)).astype(np.int64)] = True
-        total = np.zeros(len(known), np.int64)
         for batch in batches:
+            found = [np.zeros(0, np.uint64)]
             for body in batch["body"]:
-                if body is not None and len(known):
+                if body is not None:
                     h = words_of(body)[0]
-                    h = h[some[(h >> np.uint64(44)).astype(np.int64)]]
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    total += np.bincount(at[known[at] == h], minlength=len(known))
-        yield pd.DataFrame({"word": np.arange(len(known)), "n": total})
+                    found.append(h[sent.value[_filter_place(h)]])
+            token, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"token": token.view(np.int64), "n": n})
+
+    rows = docs.select(F.col(text).alias("body")).mapInPandas(count, "token long, n long")
+    return rows.groupBy("token").agg(F.sum("n").alias("count"))
+
 
-    rows = docs.select(F.col(text).alias("body")).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {int(wanted.value[r.word]): r.n for r in rows.collect()}
+def _sent_filter(hashes: np.ndarray) -> np.ndarray:
+    some = np.zeros(1 << FILTER_BITS, bool)
+    some[_filter_place(hashes)] = True
+    return some
 
 
-def _indexed(docs: DataFrame, windows: list[tuple[int, bytes]], counts: dict[int, int], key: str, text: str) -> DataFrame:
+def _indexed(docs: DataFrame, windows: list[tuple[bytes, list[str]]], counts: dict[int, int], key: str, text: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((windows, counts))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = _Index(*shipped.value)
         for batch in batches:
             got = [index.find(body) if body is not None else (0, 0, []) for body in batch["body"]]
-            yield pd.DataFrame(
-                {"_row": batch["_row"], "doc_id": batch["doc_id"], "n_words": [g[0] for g in got], "n_hit": [g[1] for g in got], "windows": [g[2] for g in got]}
-            )
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": [g[0] for g in got], "n_hit": [g[1] for g in got], "items": [g[2] for g in got]})
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body")).mapInPandas(scan, _FOUND)
+
+
+def _prefixed(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+    """Each window (``window``, ``words``, ``n``) with its prefix ``token``, the rarest of its words, and the token's place ``at`` in it."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(w, at, _word_hash(x)) for w, words in zip(batch["window"], batch["words"], strict=True) for at, x in enumerate(words.split(b" "))]
+            got = pd.DataFrame(out, columns=["window", "at", "token"])
+            yield got.assign(token=got["token"].to_numpy(np.uint64).view(np.int64))
+
+    words = stored(windows.select("window", "words").mapInPandas(cut, "window long, at int, token long"), "words")
+    counts = _word_counts(docs, _places(words), text)
+    first = F.min(F.struct(F.coalesce("count", F.lit(0).cast("long")).alias("count"), "token", "at")).alias("p")
+    return words.join(counts, "token", "left").groupBy("window").agg(first).select("window", "p.token", "p.at").join(windows, "window")
 
-    rows = docs.select(row_key().alias("_row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    return rows.mapInPandas(scan, _FOUND)
 
+def _places(tokens: DataFrame) -> np.ndarray:
+    """The filter of the tokens; at most ``2 ** FILTER_BITS`` places reach the driver."""
+    place = F.shiftrightunsigned("token", 64 - FILTER_BITS).cast("int").alias("place")
+    some = np.zeros(1 << FILTER_BITS, bool)
+    some[[r.place for r in tokens.select(place).distinct().collect()]] = True
+    return some
 
-def _shuffled(docs: DataFrame, windows: DataFrame, key: str, text: str) -> DataFrame:
-    """The same rows without an index in memory: documents' windows meet the items' in a shuffle join."""
-    sizes = [r.n for r in windows.select("n").distinct().collect()]  # as many as a window has words at most
+
+def _shuffled(docs: DataFrame, holders: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """The same rows by a shuffle join on prefix tokens.
+
+    A document sends a row only for a word that passes the filter of prefix
+    tokens, with the ``size - 1`` words on each side of it.
+    """
+    windows = stored(holders.select("words", "n").distinct().select(row_key().alias("window"), "words", "n"), "windows")
+    prefixed = stored(_prefixed(docs, windows, text), "prefixed")
+    sent = docs.sparkSession.sparkContext.broadcast(_places(prefixed))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for row, doc, body in zip(batch["_row"], batch["doc_id"], batch["body"], strict=True):
-                words = split_words(body) if body is not None else []
-                whole = pd.DataFrame({"_row": [row], "doc_id": [doc], "n_words": [len(words)], "at": [-1], "n": [0], "words": [None]})
-                yield whole.astype({"doc_id": "Int64"})
-                for n in sizes:
-                    here = range(len(words) - n + 1)
-                    if here:
-                        got = pd.DataFrame({"_row": row, "at": here, "n": n, "words": [b" ".join(words[i : i + n]) for i in here]})
-                        yield got.assign(doc_id=pd.Series([None] * len(got), dtype="Int64"), n_words=0)[list(whole.columns)]
+                hashes, start, end, low = words_of(body) if body is not None else words_of("")
+                n = len(hashes)
+                out.append((row, None if pd.isna(doc) else int(doc), n, -1, 0, 0, []))
+                for pos in np.flatnonzero(sent.value[_filter_place(hashes)]).tolist():
+                    a = max(0, pos - size + 1)
+                    near = [low[start[k] : end[k]] for k in range(a, min(n, pos + size))]
+                    out.append((row, None, 0, pos, pos - a, int(hashes[pos].view(np.int64)), near))
+            yield pd.DataFrame(out, columns=["_row", "doc_id", "n_words", "pos", "k", "token", "near"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(row_key().alias("_row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    rows = stored(rows.mapInPandas(cut, "_row long, doc_id long, n_words long, at int, n int, words binary"), "windows")
-    hits = rows.where("at >= 0").join(windows.select("words", "n", "window"), ["words", "n"])
+    rows = stored(rows.mapInPandas(cut, "_row long, doc_id long, n_words long, pos int, k int, token long, near array<binary>"), "places")
+    begin = F.col("k") - F.col("at")
+    fits = (begin >= 0) & (begin + F.col("n") <= F.size("near"))  # positional and length bounds
+    met = rows.where("pos >= 0").join(prefixed, "token").where(fits)
+    same = F.transform(F.slice("near", begin + 1, F.col("n")), lambda x: F.hex(x))
+    met = met.where(F.array_join(same, "20") == F.hex("words"))
+    hits = stored(met.select("_row", (F.col("pos") - F.col("at")).alias("at"), "n", "window"), "hits")
     w = Window.partitionBy("_row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.greatest(F.col("at"), F.coalesce(F.max(F.col("at") + F.col("n")).over(w), F.lit(0)))
-    hits = hits.withColumn("new", F.greatest(F.lit(0), F.col("at") + F.col("n") - begin))
-    hits = hits.groupBy("_row").agg(F.sum("new").alias("n_hit"), F.collect_set("window").alias("windows"))
-    out = rows.where("at < 0").select("_row", "doc_id", "n_words").join(hits, "_row", "left")
-    return out.select("_row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "windows")
+    reached = F.greatest(F.col("at"), F.coalesce(F.max(F.col("at") + F.col("n")).over(w), F.lit(0)))
+    covered = hits.withColumn("new", F.greatest(F.lit(0), F.col("at") + F.col("n") - reached)).groupBy("_row").agg(F.sum("new").alias("n_hit"))
+    named = holders.where("item is not null").join(windows, ["words", "n"]).select("window", "item")
+    items = hits.select("_row", "window").distinct().join(named, "window").groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # Only rows that are hit meet their hits: all others have none, and need no key there.
+    told = stored(covered.join(items, "_row", "left"), "told")
+    out = rows.where("pos < 0").select("_row", "doc_id", "n_words").join(told, "_row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
-def _weight(windows: DataFrame) -> int:
-    return windows.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
+def _weight(holders: DataFrame) -> int:
+    """Bytes of all windows and of the names of the items that hold them."""
+    return holders.agg(F.coalesce(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0))).first()[0]
 
 
-def _local(docs: DataFrame, windows: DataFrame, text: str) -> tuple[list, list[tuple[int, bytes]], dict[int, int]]:
-    """The windows on the driver, which ``index_bytes`` bounds: rows, (number, words), and counts of their words in all documents."""
-    numbers = Window.orderBy("words", "n")
-    local = windows.withColumn("window", F.row_number().over(numbers).cast("long")).select("window", "words", "items").collect()
-    bodies = [(r.window, bytes(r.words)) for r in local]
-    known = {int(words_of(w.decode("utf-8", "surrogatepass"))[0][0]) for _, b in bodies for w in set(b.split(b" "))}
-    return local, bodies, _word_counts(docs, sorted(known), text)
+def _local(docs: DataFrame, holders: DataFrame, text: str) -> tuple[list[tuple[bytes, list[str]]], dict[int, int]]:
+    """The windows with their items on the driver, which ``index_bytes`` bounds, and counts of their words in all documents."""
+    items: dict[bytes, list[str]] = {}
+    for r in holders.collect():
+        items.setdefault(bytes(r.words), []).extend([] if r["item"] is None else [r["item"]])
+    known = {_word_hash(w) for body in items for w in set(body.split(b" "))}
+    counts = _word_counts(docs, _sent_filter(np.array(sorted(known), np.uint64)), text)
+    told = {r.token % 2**64: r["count"] for r in counts.collect()} if known else {}
+    return sorted(items.items()), {k: n for k, n in told.items() if k in known}
 
 
 def _is_contaminated(n_words: Column, n_hit: Column) -> Column:
@@ -174,10 +224,9 @@ def uncontaminated(
     shuffled; beyond ``index_bytes`` the rows are numbered, stored and met by
     the verdicts of the shuffle join.
     """
-    windows = item_windows(benchmark, size, item, item_text)
-    if _weight(windows) <= index_bytes:
-        _, bodies, counts = _local(docs, windows, text)
-        shipped = docs.sparkSession.sparkContext.broadcast((bodies, counts))
+    holders = stored(item_windows(benchmark, size, item, item_text), "items")
+    if _weight(holders) <= index_bytes:
+        shipped = docs.sparkSession.sparkContext.broadcast(_local(docs, holders, text))
 
         @F.pandas_udf("boolean")
         def contaminated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -203,53 +252,37 @@ def decontaminate(
     item_text: str = "text",
     index_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Each document's words, those inside a benchmark window's occurrence, and the items found.
+    """Each document's words, those inside a benchmark window's occurrence, and the ``items`` found, sorted.
 
     A window is ``size`` consecutive item words; a shorter item is one window.
     Full containment needs every word of a window, so its prefix is one token:
-    the rarest by counts over all documents. Where that token stands in a
-    document, position and length bounds apply, then the window's hash, then its
-    words are compared.
-
-    The index of windows is sent to all executors only if their words take at
-    most ``index_bytes``; beyond that, documents' windows and items' windows meet
-    in a shuffle join with the same result. Null and empty texts have no words;
-    an item without words has no window; windows of an item whose id is null
-    count as hits but name no item. Repeated rows are each judged for
-    themselves. Empty tables are fine.
+    the rarest by counts over all documents (ties: the smaller hash, then the
+    first place). Where that token stands in a document, position and length
+    bounds apply, then the words are compared.
+
+    The index of windows is sent to all executors only if their words and the
+    items' names take at most ``index_bytes``; beyond that, the same prefix
+    tokens are the key of a shuffle join with the same result. Null and empty
+    texts have no words; texts of any length are read whole; an item without
+    words has no window; windows of an item whose id is null count as hits but
+    name no item. Repeated rows are each judged for themselves, repeated items
+    are one. Only the four named columns are read, so others may have any name.
+    Empty tables are fine.
     """
-    windows = item_windows(benchmark, size, item, item_text)
-    if _weight(windows) <= index_bytes:
-        local, bodies, counts = _local(docs, windows, text)
-        found = _indexed(docs, bodies, counts, key, text)
-        items = docs.sparkSession.createDataFrame([(r.window, list(r.items)) for r in local], "window long, items array<string>")
-        found = _named(found, items)
+    holders = stored(item_windows(benchmark, size, item, item_text), "items")
+    if _weight(holders) <= index_bytes:
+        found = _indexed(docs, *_local(docs, holders, text), key, text)
     else:
-        windows = stored(windows.withColumn("window", F.xxhash64("words", "n")), "items")
-        found = _named(stored(_shuffled(docs, windows, key, text), "found"), windows.select("window", "items"))
-    ids = F.array_sort("ids")
+        found = _shuffled(docs, holders, size, key, text)
     return found.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        _is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
-        ids.alias("items"),
-    )
-
-
-def _named(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Put the distinct item ids in place of windows, beside each document."""
-    rows = found.withColumn("window", F.explode_outer("windows")).drop("windows").join(items, "window", "left")
-    return rows.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "n_words", "n_hit")],
-        F.array_distinct(F.flatten(F.collect_set(F.coalesce("items", F.expr("cast(array() as array<string>)"))))).alias("ids"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", _is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated")
     )
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
