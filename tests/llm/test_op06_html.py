@@ -28,6 +28,24 @@ def test_page_without_article_is_told_by_its_text():
     assert len(got) == 3 and got[1] == "Short." and "Home" not in op.main_text(page)
 
 
+def test_the_cut_rescues_a_short_paragraph_and_drops_a_long_one():
+    long = "Words that go on, and on, for a while, and are read. " * 5
+    page = f"<article><h1>Title</h1><p>{long}</p><p>Yes</p><p>{long}</p><div class=promo><p>{long}</p></div></article><div class=teaser-box>{long}</div>"
+    blocks, tellers = op.blocks_of(page)
+    costs, kept = op.labelled(blocks, tellers)
+    assert kept == [True, True, True, True, False, False]
+    assert [c > 0 for c in costs] == [False, True, False, True, True, True]  # three labels differ from the sign of the block's own cost
+
+
+def test_names_and_unclosed_elements_of_real_pages():
+    assert op.main_text("<div class='container has-sidebar with-comments'><p>" + "A text, to read. " * 9 + "</div>").startswith("A text")
+    assert op.main_text("<div class=sidebar-layout><article><h1>T</h1><p>Body here.</article></div>") == "T\n\nBody here."
+    assert op.main_text("<article><p>One.</article><div class=related><article><p>Teaser, a long one, to click.</article></div>") == "One."
+    assert op.main_text("<article><p>Before <button>Share<p>after.</article>").split("\n\n")[-1] == "after."
+    assert op.main_text("<article><p>Before <svg><path/></svg> after.</article>") == "Before after."
+    assert op.main_text(None) == "" and op.main_text("<nav><article><p>Card, with a text.</article></nav>") == ""
+
+
 def test_cut_is_minimum_on_all_small_graphs():
     rng = random.Random(6)
     for _ in range(300):
@@ -51,7 +69,7 @@ def test_any_input_is_read(page):
 
 def test_long_and_broken_pages_take_linear_time():
     began = time.time()
-    for page in ("<p" * 50_000, '<a "' * 50_000 + ">", "<div>" * 50_000 + "x", "</p>" * 50_000, "<p>x" * 20_000, "<!--" * 50_000, "a > b"):
+    for page in ("<p" * 50_000, '<a "' * 50_000 + ">", "<div>" * 50_000 + "x", "</p>" * 50_000, "<p>x" * 20_000, "<!--" * 50_000, "a > b", "<svg>" * 50_000, "<p>Yes.<li>Words that go on, and on, here.</li>" * 5_000, "<div class=ad>x</div><article>y</article>" * 3_000):
         op.main_text(page)
     assert time.time() - began < 20
     assert op.main_text("<article><p>" + "word " * 200_000).count("word") == 200_000

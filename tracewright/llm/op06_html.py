@@ -7,6 +7,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ _NAME_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 _RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select button".split())
+#: Those of them that swallow the rest of the page if they aren't closed, as in browsers.
+_SWALLOWS = frozenset("script style iframe textarea title".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -40,11 +43,15 @@ _NOISE_NAMES = frozenset(
 )
 _MAIN_NAMES = frozenset("article content post entry story main".split())
 
-#: Weights of the classifier, as log odds of content, and of the smoothness edges.
-NOISE, MAIN, OUTSIDE_MAIN, PLAIN = -8.0, 3.0, -3.0, -0.6
-PER_CHAR, MOST_FOR_CHARS, PER_MARK, MOST_FOR_MARKS, LINKS = 1 / 150, 1.6, 0.15, 0.6, -3.0
-TAGS = {"p": 0.6, "h1": 0.8, "h2": 0.4, "h3": 0.4, "blockquote": 0.4, "pre": 0.6, "li": -0.3, "td": -0.2}
-ADJACENT, SIBLINGS = 0.5, 0.7
+_ASIDE_NAMES = frozenset("comment comments reply ad ads advert promo sponsored related".split())
+
+#: Costs of the classifier, as log odds of content. Of a block, by its text alone:
+BIAS, PER_CHAR, MOST_FOR_CHARS, PER_MARK, MOST_FOR_MARKS, LINKS = -0.9, 1 / 150, 1.4, 0.15, 0.5, -4.5
+TAGS = {"p": 0.3, "h1": 0.8, "h2": 0.4, "h3": 0.4, "blockquote": 0.4, "pre": 0.6, "li": -0.3, "td": -0.2}
+#: Of an element that tells what it holds, for each block beneath it; "" is the page itself beside a main part.
+ELEMENTS = {"main": 8.0, "main name": 2.5, "noise": -8.0, "noise name": -6.0, "": -3.5}
+#: Smoothness edges: of neighbours, of neighbours in one element, of a block and the nearest telling element, of two such elements for each block of the inner.
+ADJACENT, SIBLINGS, INSIDE, NESTED = 0.5, 0.7, 4.0, 3.0
 
 
 @dataclass
@@ -52,34 +59,48 @@ class Block:
     text: str
     tag: str
     parent: int
-    noise: bool
-    main: bool
+    teller: int
     linked: int
 
 
+@dataclass
+class Teller:
+    """An element that tells by its tag or name what it holds; ``within`` is the next one around it."""
+
+    kind: str
+    within: int
+    doubtful: bool = False
+
+
 def _names(attrs: str) -> set[str]:
+    """Parts of class names, ids and roles; what an element has or lacks isn't what it is."""
     found = set()
     for m in _ATTR.finditer(attrs):
-        found.update(_NAME_PARTS.findall(_CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower()))
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = _NAME_PARTS.findall(_CAMEL.sub("-", name).lower())
+            if parts and parts[0] not in ("has", "with", "without", "no"):
+                found.update(parts)
     return found
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, with what encloses them. Any input is read; wrong nesting is repaired as browsers do."""
+def blocks_of(page: str) -> tuple[list[Block], list[Teller]]:
+    """The page's text blocks in order, and the elements that tell of them. Any input is read; wrong nesting is repaired as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, noise, main
+    tellers = [Teller("", -1)]
+    stack: list[tuple[str, int, int, str, bool]] = [("", 0, 0, "", False)]  # tag, number, teller, noise around, main around
     open_tags: Counter[str] = Counter()
     text: list[str] = []
     linked, in_link, number = 0, 0, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked, text
         if text:
             body = " ".join("".join(text).split())
             if body:
-                tag, me, noise, main = stack[-1]
+                tag, me, teller, _, _ = stack[-1]
                 near = stack[-2][1] if tag in TAGS and len(stack) > 1 else me
-                out.append(Block(body, tag, near, noise, main, min(linked, len(body))))
+                out.append(Block(body, tag, near, teller, min(linked, len(body))))
         text, linked = [], 0
 
     def close(tag: str) -> None:
@@ -112,9 +133,14 @@ def blocks_of(page: str) -> list[Block]:
                 close(tag)
             continue
         if tag in _RAW:
-            if not m["attrs"].endswith("/") or tag in ("script", "style", "textarea", "title"):
-                gone = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = gone.end() if gone else len(page)
+            if not m["attrs"].endswith("/") or tag in _SWALLOWS:
+                gone = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if gone:
+                    at = gone.end()
+                elif tag in _SWALLOWS:
+                    at = len(page)
+                else:  # browsers read on
+                    unclosed.add(tag)
             if tag not in ("script", "style"):
                 add(" ")
             continue
@@ -136,30 +162,35 @@ def blocks_of(page: str) -> list[Block]:
             close(stack[-1][0])
             if tag == "tr" and stack[-1][0] == "tr":
                 close("tr")
-        _, _, noise, main = stack[-1]
+        _, _, teller, noise, main = stack[-1]
         names = _names(m["attrs"]) if m["attrs"].strip() else set()
-        if tag in ("html", "body", "article", "main"):
-            main = main or tag in ("article", "main")
-            noise = noise or (tag == "article" and bool(names & {"comment", "comments", "reply", "ad", "advert", "promo", "sponsored", "related"}))
-        else:
-            noise = noise or tag in _NOISE_TAGS or (tag == "header" and not main) or bool(names & _NOISE_NAMES)
-            main = main or bool(names & _MAIN_NAMES)
+        kind = ""
+        if tag in ("article", "main"):
+            kind = "noise name" if tag == "article" and names & _ASIDE_NAMES else "main" if noise != "noise" else ""
+        elif tag not in ("html", "body"):
+            if tag in _NOISE_TAGS or (tag == "header" and not main):
+                kind = "noise"
+            elif names & _NOISE_NAMES:
+                kind = "noise name"
+            elif names & _MAIN_NAMES and not noise:
+                kind = "main name"
+        if kind:
+            tellers.append(Teller(kind, teller, kind == "main" and bool(noise)))
+            teller = len(tellers) - 1
+            noise, main = (kind, main) if kind.startswith("noise") and noise != "noise" else (noise, True) if kind.startswith("main") else (noise, main)
         number += 1
-        stack.append((tag, number, noise, main))
+        stack.append((tag, number, teller, noise, main))
         open_tags[tag] += 1
         in_link = 0
     add(_UNFINISHED.split(page[at:], maxsplit=1)[0])
     flush()
-    return out
+    return out, tellers
 
 
-def _score(b: Block, page_has_main: bool) -> float:
-    if b.noise:
-        return NOISE
+def _score(b: Block) -> float:
     size = len(b.text)
     marks = sum(b.text.count(c) for c in ".,;:!?")
-    score = MAIN if b.main else OUTSIDE_MAIN if page_has_main else PLAIN
-    score += min(size * PER_CHAR, MOST_FOR_CHARS) + min(marks * PER_MARK, MOST_FOR_MARKS) + TAGS.get(b.tag, 0.0)
+    score = BIAS + min(size * PER_CHAR, MOST_FOR_CHARS) + min(marks * PER_MARK, MOST_FOR_MARKS) + TAGS.get(b.tag, 0.0)
     return score + LINKS * b.linked / size
 
 
@@ -194,38 +225,77 @@ def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> lis
 
 
 def _reached(nodes: list[int], scores: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes still reached from the source once no augmenting path is left (Edmonds and Karp)."""
+    """Nodes still reached from the source once no augmenting path is left: blocking flows by distance (Dinic)."""
     source, sink = -1, -2
     room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes} | {source: {}, sink: {}}
     for i in nodes:
-        a, b = (source, i) if scores[i] > 0 else (i, sink)
-        room[a][b] = abs(scores[i])
-        room[b].setdefault(a, 0.0)
+        if scores[i]:
+            a, b = (source, i) if scores[i] > 0 else (i, sink)
+            room[a][b] = abs(scores[i])
+            room[b].setdefault(a, 0.0)
     while True:
-        before, todo = {source: source}, deque([source])
-        while todo and sink not in before:
+        far, todo = {source: 0}, deque([source])
+        while todo:
             i = todo.popleft()
             for j, w in room[i].items():
-                if w > 1e-12 and j not in before:
-                    before[j] = i
+                if w > 1e-9 and j not in far:
+                    far[j] = far[i] + 1
                     todo.append(j)
-        if sink not in before:
-            return set(before) - {source}
-        path, j = [], sink
-        while j != source:
-            path.append((before[j], j))
-            j = before[j]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] = room[b].get(a, 0.0) + flow
-
-
-def main_text(page: str | None) -> str:
-    """The page's content blocks, joined by blank lines."""
-    blocks = blocks_of(page or "")
-    has_main = any(b.main and not b.noise for b in blocks)
-    edges: dict[tuple[int, int], float] = {}
+        if sink not in far:
+            return set(far) - {source}
+        left = {i: iter(room[i]) for i in far}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                flow = min(room[a][b] for a, b in pairwise(path))
+                for a, b in pairwise(path):
+                    room[a][b] -= flow
+                    room[b][a] = room[b].get(a, 0.0) + flow
+                # On from the first edge that is full now; its start tries the edge once more and finds it so.
+                cut = next(k for k, (a, b) in enumerate(pairwise(path)) if room[a][b] <= 1e-9)
+                path = path[: cut + 1]
+                continue
+            step = next((j for j in left[i] if far.get(j) == far[i] + 1 and room[i][j] > 1e-9), None)
+            if step is None:
+                path.pop()
+            else:
+                path.append(step)
+
+
+def labelled(blocks: list[Block], tellers: list[Teller]) -> tuple[list[float], list[bool]]:
+    """Each block's own cost and its label by the minimum cut.
+
+    Nodes are the blocks and the elements that tell what they hold, whose costs
+    count for each block beneath them. An article within an element of a noisy
+    name is the main part only if the page has no other.
+    """
+    sure = {i for i, t in enumerate(tellers) if t.kind.startswith("main") and not t.doubtful}
+    has_main = False
+    for b in blocks:
+        i = b.teller
+        while i > 0 and not has_main:
+            has_main, i = i in sure, tellers[i].within
+        if has_main:
+            break
+    kinds = ["" if t.doubtful and has_main else t.kind for t in tellers]
+    around = [-1] * len(tellers)  # the next telling element, the page itself only beside a main part
+    own = [0] * len(tellers)
+    root = 0 if has_main else -1
+    for i in range(1, len(tellers)):
+        j = tellers[i].within
+        own[i] = i if kinds[i] else own[j]
+        around[i] = own[j] or root
+    beneath = [0] * len(tellers)
+    for b in blocks:
+        if own[b.teller] or has_main:
+            beneath[own[b.teller]] += 1
+    for i in range(len(tellers) - 1, 0, -1):
+        if kinds[i] and around[i] > 0:
+            beneath[around[i]] += beneath[i]
+    costs = [_score(b) for b in blocks]
+    scores, edges, n = list(costs), {}, len(blocks)
+    scores += [ELEMENTS[k] * beneath[i] if k or has_main else 0.0 for i, k in enumerate(kinds)]
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
@@ -234,15 +304,30 @@ def main_text(page: str | None) -> str:
             pair = (last[b.parent], i)
             edges[pair] = edges.get(pair, 0.0) + SIBLINGS
         last[b.parent] = i
-    kept = minimum_cut([_score(b, has_main) for b in blocks], edges)
+        if own[b.teller] or has_main:
+            edges[i, n + own[b.teller]] = INSIDE
+    for i in range(1, len(tellers)):
+        if kinds[i] and beneath[i] and around[i] >= 0:
+            edges[n + around[i], n + i] = NESTED * beneath[i]
+    return costs, minimum_cut(scores, edges)[:n]
+
+
+def main_text(page: str | None) -> str:
+    """The page's content blocks, joined by blank lines."""
+    blocks, tellers = blocks_of(page or "")
+    _, kept = labelled(blocks, tellers)
     return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` for every page; text is empty if a page has no content.
 
-    Null pages count as empty, null ids and urls stay null, repeated rows give
-    repeated rows, an empty table none. Nothing is cut, whatever its length.
+    Blocks have costs by their text, elements by their tag and names; a minimum
+    cut of these against neighbourhood and nesting labels the blocks, and a
+    block that it leaves undecided is no content. Null pages count as empty,
+    null ids and urls stay null, repeated rows give repeated rows, an empty
+    table none. Nothing is cut off, whatever its length or number of blocks;
+    only the named columns are read, so others may have any name.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
