@@ -279,19 +279,16 @@ def labelled(blocks: list[Block], tellers: list[Teller]) -> tuple[list[float], l
         if has_main:
             break
     kinds = ["" if t.doubtful and has_main else t.kind for t in tellers]
-    around = [-1] * len(tellers)  # the next telling element, the page itself only beside a main part
-    own = [0] * len(tellers)
-    root = 0 if has_main else -1
+    own = [0] * len(tellers)  # the nearest element that tells; 0, the page itself, does so only beside a main part
     for i in range(1, len(tellers)):
-        j = tellers[i].within
-        own[i] = i if kinds[i] else own[j]
-        around[i] = own[j] or root
+        own[i] = i if kinds[i] else own[tellers[i].within]
+    around = [own[t.within] for t in tellers]
     beneath = [0] * len(tellers)
     for b in blocks:
         if own[b.teller] or has_main:
             beneath[own[b.teller]] += 1
     for i in range(len(tellers) - 1, 0, -1):
-        if kinds[i] and around[i] > 0:
+        if kinds[i] and around[i]:
             beneath[around[i]] += beneath[i]
     costs = [_score(b) for b in blocks]
     scores, edges, n = list(costs), {}, len(blocks)
@@ -307,7 +304,7 @@ def labelled(blocks: list[Block], tellers: list[Teller]) -> tuple[list[float], l
         if own[b.teller] or has_main:
             edges[i, n + own[b.teller]] = INSIDE
     for i in range(1, len(tellers)):
-        if kinds[i] and beneath[i] and around[i] >= 0:
+        if kinds[i] and beneath[i] and around[i]:
             edges[n + around[i], n + i] = NESTED * beneath[i]
     return costs, minimum_cut(scores, edges)[:n]
 
