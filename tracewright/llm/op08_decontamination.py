@@ -14,7 +14,7 @@ from tracewright.llm.words import STEP, powers, split_words, words_of
 
 _FOUND = "doc_id long, n_words long, n_hit long, items array<string>"
 #: Bits of the filter of word hashes that is sent to all executors, whatever the number of words in it.
-FILTER_BITS = 22
+FILTER_BITS = 20
 
 
 def _filter_place(hashes: np.ndarray) -> np.ndarray:

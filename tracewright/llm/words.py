@@ -23,21 +23,42 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n - 1, 0), base))), dtype=np.uint64)
 
 
+#: Bytes of a text that are hashed at a time; only a longer word makes it more.
+SEGMENT = 1 << 16
+_BACK = np.uint64(pow(int(_BASE), -1, 2**64))
+_up, _down = powers(_BASE, SEGMENT + 1), powers(_BACK, SEGMENT + 1)
+
+
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, starts and ends: a word's hash is a polynomial over its own bytes, from sums over the segment's."""
+    global _up, _down
+    n = len(raw)
+    if n > len(_up):
+        _up, _down = powers(_BASE, n), powers(_BACK, n)
+    word = _IS_WORD[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    edge = np.concatenate(([0] if n and word[0] else [], edge, [n] if n and word[-1] else [])).astype(np.int64)
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _up[:n], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * _down[start] + (end - start).astype(np.uint64)), start, end
+
+
 def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """A text's words: 64-bit hashes, first bytes, ends; and its UTF-8 bytes with A-Z lower-cased."""
     low = text.encode("utf-8", "surrogatepass").lower()
     raw = np.frombuffer(low, np.uint8)
-    edge = np.diff(np.concatenate(([False], _IS_WORD[raw], [False])).astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end, low
-    # A word's hash is a polynomial over its own bytes: gaps count as nothing, powers start anew in each word.
-    size = end - start
-    power = powers(_BASE, int(size.max()))
-    first = np.cumsum(size) - size
-    inside = np.arange(int(size.sum())) - np.repeat(first, size)
-    terms = _BYTE[raw[_IS_WORD[raw]]] * power[inside]
-    return mixed(np.add.reduceat(terms, first) + size.astype(np.uint64)), start, end, low
+    if len(raw) <= SEGMENT:
+        return *_hashed(raw), low
+    parts, a = [], 0
+    while a < len(raw):
+        b = min(a + SEGMENT, len(raw))
+        while b < len(raw) and _IS_WORD[raw[b - 1]] and _IS_WORD[raw[b]]:  # a segment ends where a word does
+            b += 1
+        h, start, end = _hashed(raw[a:b])
+        parts.append((h, start + a, end + a))
+        a = b
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), low
 
 
 def split_words(text: str) -> list[bytes]:
