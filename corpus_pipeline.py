@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, folder of the tables). All but the last return
 the columns of ``documents``; what a stage decides takes effect in its rows.
+
+All stages read whole texts of any length, judge repeated rows each for itself
+(but for near duplicates, where that is the feature), keep further columns
+whatever their names, and give no rows for an empty table. Stages with Python
+workers set the session's Arrow batches to ``BATCH_ROWS`` and leave it so, as
+their rows are computed only when they are written.
 """
 
 from __future__ import annotations
@@ -26,26 +32,33 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a sufficient margin; null texts and texts without letters go."""
+    """Documents whose language is told with a sufficient margin; null and empty texts and texts without letters go, as do ties."""
     _small_batches(spark)
     judged = docs.withColumn("_judged", predicted(F.col("text"), fit(docs), spark))
     return judged.where("_judged.accepted").drop("_judged")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document, in the order of the stored rows, of each group of near duplicates.
+
+    Repeated rows and copies are one group; null texts and texts without words
+    are no duplicates of each other and all stay.
+    """
     _small_batches(spark)
     return one_of_each(docs)
 
 
 def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold benchmark passages beyond the contract's share."""
+    """Documents that don't hold benchmark passages beyond the contract's share; exactly that share goes.
+
+    Null and empty texts hold none and stay; an empty benchmark leaves all.
+    """
     _small_batches(spark)
     return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and revealing terms replaced in their texts."""
+    """All documents, with personal data and revealing terms replaced in their texts; null texts stay null, ``n_chars`` is counted anew."""
     found = find_personal(docs, whole=True)
     columns = [
         F.col("clean").alias("text")
@@ -59,7 +72,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents that are left."""
+    """Token sequences of the documents that are left; null and empty texts are the end token alone."""
     _small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
