@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)``, with ``x`` computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def is_pattern(text: str) -> bool:
+    """True if Spark's regular expressions take ``text``: asked of the JVM where there is one, else of Python."""
+    jvm = getattr(SparkContext._active_spark_context, "_jvm", None)
+    try:
+        if jvm is None:
+            re.compile(text)
+        else:
+            jvm.java.util.regex.Pattern.compile(text)
+    except (re.error, IllegalArgumentException):
+        return False
+    return True
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends (``\\n`` or ``\\r\\n``); a final line end starts no further line."""
     parts = F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.lines import is_pattern
+
 # Patterns, in the order in which they are applied, with their audit labels and replacements.
 PEM = r"(?s)-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----"
 CREDENTIAL_URI = r"\b([a-zA-Z0-9\+]+://)[a-zA-Z0-9_\-\.]+:[^@\s]+(@[a-zA-Z0-9_\-\.]+)"
@@ -58,10 +60,10 @@ def redact_random(text: Column) -> Column:
 
 
 def redact(text: Column, custom: tuple[str, ...] = ()) -> Column:
-    """Each stage on what the one before left: keys, credentials, tokens, own patterns, then random-looking words."""
+    """Each stage on what the one before left: keys, credentials, tokens, own patterns (but those that are none), then random-looking words."""
     for _, pattern, mark in STAGES:
         text = F.regexp_replace(text, pattern, mark)
-    for pattern in custom:
+    for pattern in filter(is_pattern, custom):
         text = F.regexp_replace(text, pattern, CUSTOM[1])
     return redact_random(text)
 
@@ -69,7 +71,7 @@ def redact(text: Column, custom: tuple[str, ...] = ()) -> Column:
 def audit(df: DataFrame, key: str, text: str, custom: tuple[str, ...] = ()) -> DataFrame:
     """One row (key, label, hash of the secret) for each replacement that redaction makes."""
     x, found = F.col(text), []
-    for label, pattern, mark in (*STAGES, *((CUSTOM[0], p, CUSTOM[1]) for p in custom)):
+    for label, pattern, mark in (*STAGES, *((CUSTOM[0], p, CUSTOM[1]) for p in custom if is_pattern(p))):
         hits = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
         found.append(_labelled(hits, label))
         x = F.regexp_replace(x, pattern, mark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.lines import lines
@@ -10,6 +10,8 @@ from tracewright.functions.storage import stored
 
 # A name with more definitions elsewhere stays unresolved; bounds of the risk classes.
 MOST_CANDIDATES, HIGH, MEDIUM = 3, 10, 3
+#: Rounds of a closure after which what it has seen becomes one table.
+COMPACTED = 4
 
 
 def dir_of(path: Column) -> Column:
@@ -81,20 +83,42 @@ def closure(edges: DataFrame, starts: DataFrame, upstream: bool = True, most_ste
         new = front.join(steps, "node").select("source", F.col("next").alias("node")).distinct()
         front = stored(new.join(seen, ["source", "node"], "left_anti"), "front")
         seen, n = seen.unionByName(front), n + 1
+        if n % COMPACTED == 0:  # else a scan more each round
+            seen = stored(seen, "seen")
     return seen.where("source <> node")
 
 
+def reached(edges: DataFrame, starts: DataFrame, upstream: bool = True) -> DataFrame:
+    """``id`` of all that reaches any start, or that any start reaches; a start itself only if another one reaches it.
+
+    Each node keeps at most two starts that reach it, of which one is another
+    than itself: enough to tell, and linear where all pairs would not be.
+    """
+    a, b = ("callee_id", "caller_id") if upstream else ("caller_id", "callee_id")
+    steps = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node <> next").distinct(), "edges")
+    front = stored(starts.select(F.col("id").alias("node"), F.col("id").alias("source")).distinct(), "front")
+    seen, n = front, 0
+    while not front.isEmpty():
+        met = front.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
+        known = seen.groupBy("node").agg(F.min("source").alias("a"), F.max("source").alias("b"))
+        two = F.array_distinct(F.array("lo", "hi"))
+        fresh = F.when(F.col("a").isNull(), two).when(F.col("a") == F.col("b"), F.slice(F.array_except(two, F.array("a")), 1, 1))
+        front = stored(met.join(known, "node", "left").select("node", F.explode(fresh).alias("source")), "front")
+        seen, n = seen.unionByName(front), n + 1
+        if n % COMPACTED == 0:
+            seen = stored(seen, "seen")
+    return seen.where("node <> source").select(F.col("node").alias("id")).distinct()
+
+
 def impact(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Symbols upstream of any bearer of a name, with the risk that their number means."""
-    found = closure(edges, symbols.where(F.col("name") == name)).select(F.col("node").alias("id")).distinct()
+    found = stored(reached(edges, symbols.where(F.col("name") == name)), "reached")
     total = found.agg(F.count("*").alias("n"))
     return symbols.join(found, "id", "left_semi").join(total).select("id", "name", "file_path", risk(F.col("n")).alias("risk"))
 
 
 def parse_hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
     """File and changed lines of the new side of each hunk; hunks without lines there don't count."""
-    from pyspark.sql import Window
-
     rows = diffs.select(F.col(key).alias("key"), F.posexplode(lines(F.col(text))).alias("pos", "line"))
     w = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     path = F.last(F.when(F.col("line").startswith("+++ b/"), F.substring("line", 7, 1 << 20)), ignorenulls=True).over(w)
@@ -112,11 +136,11 @@ def touched(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
 
 
 def detect_changes(symbols: DataFrame, edges: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Touched symbols with the number of symbols upstream of each."""
+    """Touched symbols with the number of symbols upstream of each, most first; ties by id."""
     changed = stored(touched(symbols, hunks), "changed")
     counts = closure(edges, changed).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("impact"))
     n = F.coalesce("impact", F.lit(0).cast("long"))
-    return changed.join(counts, "id", "left").select("id", "name", n.alias("impact"), risk(n).alias("risk"))
+    return changed.join(counts, "id", "left").select("id", "name", n.alias("impact"), risk(n).alias("risk")).orderBy(F.desc("impact"), "id")
 
 
 def coverage(symbols: DataFrame, deps: DataFrame) -> DataFrame:
@@ -149,3 +173,127 @@ def hybrid_search(vectors: DataFrame, names: DataFrame, query: str, vector: list
     has = F.contains(F.lower("name"), F.lit(query.lower())).cast("double")
     rows = names.join(vectors, "id").select("id", "name", F.round(alpha * has + (1 - alpha) * dot, 4).alias("score"))
     return rows.orderBy(F.desc("score"), "id").limit(most)
+
+
+# What opens a symbol in each language, as (kind by keyword, pattern of keyword and name).
+DEFINITIONS = {
+    "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern)\s+)*(fn|struct|enum|trait)\s+([A-Za-z_]\w*)",
+    "py": r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)",
+    "go": r"^(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
+    "js": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class)\s+([A-Za-z_]\w*)",
+}
+SCRIPTS = ("js", "jsx", "ts", "tsx")
+KINDS = {"fn": "Function", "def": "Function", "func": "Function", "function": "Function", "struct": "Struct", "type": "Struct", "enum": "Enum", "trait": "Trait", "class": "Class"}
+CALL = r"\b([A-Za-z_]\w*)\s*(?:::\s*\w+\s*)*\("
+NO_CALLS = ("if", "for", "while", "match", "switch", "return", "fn", "def", "func", "function", "catch", "loop", "elif", "and", "or", "not", "in")
+
+
+def _code_lines(files: DataFrame) -> DataFrame:
+    """The lines of code files with the symbol that each opens, and the number of symbols opened so far in its file."""
+    rows = files.select("path", F.when(F.lower("ext").isin(*SCRIPTS), "js").otherwise(F.lower("ext")).alias("ext"), F.posexplode(lines(F.col("content"))).alias("pos", "line"))
+    rows = rows.where(F.col("ext").isin(*DEFINITIONS))
+    word, name = F.lit(""), F.lit("")
+    for ext, pattern in DEFINITIONS.items():
+        word = F.when(F.col("ext") == ext, F.regexp_extract("line", pattern, 1)).otherwise(word)
+        name = F.when(F.col("ext") == ext, F.regexp_extract("line", pattern, 2)).otherwise(name)
+    rows = rows.withColumn("word", word).withColumn("name", name)
+    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("nth", F.sum((F.col("name") != "").cast("int")).over(w))
+
+
+def _kind() -> Column:
+    return F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("word")]
+
+
+def extracted_symbols(files: DataFrame) -> DataFrame:
+    """Symbols of code files (path, ext, content), by what opens a line; each ends before the next one opens or with its file.
+
+    Of equal ids (kind, file and name) the last one stays.
+    """
+    rows = _code_lines(files)
+    ends = rows.groupBy("path", "nth").agg((F.max("pos") + 1).cast("int").alias("line_end"))
+    found = rows.where("name <> ''").join(ends, ["path", "nth"]).withColumn("kind", _kind())
+    found = found.withColumn("id", F.concat_ws(":", "kind", "path", "name")).groupBy("id", "name", "kind", F.col("path").alias("file_path"))
+    return found.agg(F.max_by(F.struct((F.col("pos") + 1).cast("int").alias("line_start"), "line_end"), "pos").alias("at")).select("id", "name", "kind", "file_path", "at.*")
+
+
+def extracted_calls(files: DataFrame) -> DataFrame:
+    """``caller_id``, ``callee_name``: names before a bracket, for the symbol opened last; not its own name, nor keywords."""
+    rows = _code_lines(files)
+    heads = rows.where("name <> ''").select("path", "nth", F.col("name").alias("own"), F.concat_ws(":", _kind(), F.col("path"), F.col("name")).alias("caller_id"))
+    body = F.when(F.col("name") == "", F.col("line")).otherwise(F.substring_index("line", ")", -1))
+    calls = rows.select("path", "nth", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)))).alias("callee_name"))
+    calls = calls.where(~F.col("callee_name").isin(*NO_CALLS)).join(heads, ["path", "nth"]).where("callee_name <> own")
+    return calls.select("caller_id", "callee_name").distinct()
+
+
+def replaced_index(symbols: DataFrame, deps: DataFrame, delta: DataFrame, new_symbols: DataFrame, new_deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index after a change: rows of changed, added and vanished files (``file_path``, ``state``) go, the new ones' come."""
+    gone = delta.where("state <> 'same'").select("file_path")
+    fresh = delta.where("state in ('added', 'changed')").select("file_path")
+    left = symbols.join(gone, "file_path", "left_anti").select(symbols.columns)
+    old_ids = symbols.join(gone, "file_path", "left_semi").select(F.col("id").alias("caller_id"))
+    came = new_symbols.join(fresh, "file_path", "left_semi").select(symbols.columns)
+    calls = deps.join(old_ids, "caller_id", "left_anti").select("caller_id", "callee_name")
+    added = new_deps.join(came.select(F.col("id").alias("caller_id")), "caller_id", "left_semi").select("caller_id", "callee_name")
+    return left.unionByName(came), calls.unionByName(added).distinct()
+
+
+def rename_plan(symbols: DataFrame, deps: DataFrame, files: DataFrame, name: str, new_name: str) -> DataFrame:
+    """``file_path``, ``sites``, ``content``: the files that define or call a name, with its places renamed outside quotes and comments.
+
+    Only files that the index names are read.
+    """
+    defined = symbols.where(F.col("name") == name).select("file_path")
+    wanted = defined.union(references(symbols, deps, name).select("file_path")).distinct()
+    # Quotes and comments are matched as a whole and stay: marks stand around the pieces between them.
+    apart = r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|//[^\n]*|#[^\n]*)"""
+    pieces = F.split(F.regexp_replace("content", apart, "\u0001$1\u0001"), "\u0001", -1)
+    token = rf"(?<![A-Za-z0-9_]){name}(?![A-Za-z0-9_])"
+    rows = files.select(F.col("path").alias("file_path"), pieces.alias("pieces")).join(wanted, "file_path", "left_semi")
+    sites = F.aggregate(F.transform("pieces", lambda x, i: F.when(i % 2 == 0, F.regexp_count(x, F.lit(token))).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    renamed = F.array_join(F.transform("pieces", lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, token, new_name)).otherwise(x)), "")
+    return rows.select("file_path", sites.cast("long").alias("sites"), renamed.alias("content")).where("sites > 0")
+
+
+def flow_trace(symbols: DataFrame, edges: DataFrame, names: list[str], max_depth: int = 6, max_nodes: int = 200) -> DataFrame:
+    """The call tree below the first symbol (by id) of each name: ``entry``, ``place``, ``depth``, ``id``, ``truncated``, in pre-order.
+
+    Only edges within ``max_depth`` steps of an entry reach its task. Children
+    go by id; one met again is a leaf that is cut off and doesn't count; a tree
+    ends at ``max_nodes`` symbols.
+    """
+    import pandas as pd
+
+    starts = symbols.where(F.col("name").isin(names)).groupBy("name").agg(F.min("id").alias("id")).select("id")
+    steps = stored(edges.select("caller_id", "callee_id").distinct(), "steps")
+    seen = stored(starts.select(F.col("id").alias("entry"), F.col("id").alias("node")), "seen")
+    front = seen
+    for _ in range(max_depth):
+        new = front.join(steps, front.node == steps.caller_id).select("entry", F.col("callee_id").alias("node")).distinct()
+        front = stored(new.join(seen, ["entry", "node"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = stored(seen.unionByName(front), "seen")
+    near = seen.join(steps, seen.node == steps.caller_id, "left").select("entry", "node", "callee_id")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        entry = rows["entry"].iloc[0]
+        below = rows.dropna().groupby("node")["callee_id"].apply(sorted).to_dict()
+        out, met, todo = [], set(), [(entry, 0, 0)]
+        while todo:
+            node, depth, above = todo.pop()
+            if len(met) >= max_nodes:
+                out[above][4] = True
+                continue
+            if node in met:
+                out.append([entry, len(out), depth, node, True])
+                continue
+            met.add(node)
+            children = below.get(node, [])
+            out.append([entry, len(out), depth, node, depth >= max_depth and bool(children)])
+            if depth < max_depth:
+                todo += [(c, depth + 1, len(out) - 1) for c in reversed(children)]
+        return pd.DataFrame(out, columns=["entry", "place", "depth", "id", "truncated"])
+
+    return near.groupBy("entry").applyInPandas(walk, "entry string, place int, depth int, id string, truncated boolean")

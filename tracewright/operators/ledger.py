@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.lines import tokens
+from tracewright.functions.storage import stored
+from tracewright.operators import dlp
 from tracewright.operators.pricing import cost, latest_days, with_price
 from tracewright.sources.corpus import PRICES
 
 #: Waiting time a command, the chart's days and width, the model of rows without one when spending is counted.
-SECONDS_A_COMMAND, CHART_DAYS, CHART_WIDTH, BUDGET_MODEL = 22.8, 10, 30, "claude-3.5-sonnet"
+SECONDS_A_COMMAND, CHART_DAYS, CHART_WIDTH, BUDGET_MODEL, NO_MODEL = 22.8, 10, 30, "claude-3.5-sonnet", "Unknown Model"
+
 
 def _saved() -> Column:
     return F.col("original_tokens") - F.col("filtered_tokens")
@@ -115,7 +119,7 @@ def counters(ledger: DataFrame) -> DataFrame:
 
 
 def export(ledger: DataFrame, most: int = 50_000) -> DataFrame:
-    """The newest rows with savings and their worth; a null model is told as unknown and priced by default."""
+    """The newest rows with their savings; a null model is told as unknown."""
     saved_pct = percent(_saved(), F.col("original_tokens"))
     return recent(ledger, most).select(
         "id", F.coalesce("model", F.lit("unknown")).alias("model"), "cmd", "original_tokens", "filtered_tokens", _saved().alias("saved"), F.round(saved_pct, 6).alias("pct")
@@ -140,13 +144,23 @@ def run_statistics(runs: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def append(ledger: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows (cmd, raw, filtered and the others) with token counts and ids that go on from the ledger's."""
-    from pyspark.sql import Window
-
-    from tracewright.functions.lines import tokens
-
-    last = ledger.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("last"))
-    rows = new.withColumn("original_tokens", tokens(F.col("raw_output"))).withColumn("filtered_tokens", tokens(F.col("filtered")))
-    rows = rows.join(last).withColumn("id", F.col("last") + F.row_number().over(Window.orderBy("ts", "cmd")))
+def append(ledger: DataFrame, new: DataFrame, custom: tuple[str, ...] = ()) -> DataFrame:
+    """The ledger with new rows (cmd, raw_output, filtered and what else it has), in their order.
+
+    Both texts are redacted before they are counted; a row without a model gets
+    the name for none. Ids go on from the ledger's last: a row's number is its
+    place in its partition after the counts of earlier partitions, so only
+    these counts meet in one task.
+    """
+    rows = new if "model" in new.columns else new.withColumn("model", F.lit(None).cast("string"))
+    raw, short = dlp.redact(F.col("raw_output"), custom), dlp.redact(F.col("filtered"), custom)
+    rows = rows.withColumn("raw_output", raw).withColumn("filtered", short).withColumn("model", F.coalesce("model", F.lit(NO_MODEL)))
+    rows = rows.withColumn("original_tokens", tokens(F.col("raw_output"))).withColumn("filtered_tokens", tokens(F.col("filtered")))
+    rows = stored(rows.drop("id").withColumn("_at", F.monotonically_increasing_id()), "new")
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    last = ledger.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("_last"))
+    rows = rows.withColumn("_part", part).join(starts, "_part").join(last).withColumn("id", F.col("_last") + F.col("_before") + nth + 1)
     return ledger.unionByName(rows.select(*[c for c in ledger.columns if c in rows.columns]), allowMissingColumns=True)

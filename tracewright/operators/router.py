@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewright.functions.lines import strip, strip_end
+from tracewright.functions.lines import is_pattern, once, strip, strip_end
 
 REWRITE, NONE, DENY, ASK = 0, 1, 2, 3
 
@@ -42,24 +40,27 @@ def is_denied(cmd: Column, custom: tuple[str, ...] = DENIED_BY_DEFAULT) -> Colum
         for p in DENIED:
             found = found | x.rlike(p)
         for p in custom:
-            try:
-                re.compile(p)
-                found = found | x.rlike(p)
-            except re.error:
-                found = found | x.contains(p)
+            found = found | (x.rlike(p) if is_pattern(p) else x.contains(p))
         return found
 
     parts = F.filter(F.transform(F.split(cmd, SEGMENT_ENDS, -1), strip), lambda x: x != "")
-    return F.when(F.size(parts) == 0, hit(cmd)).otherwise(F.exists(parts, hit))
+    return once(parts, lambda p: F.when(F.size(p) == 0, hit(cmd)).otherwise(F.exists(p, hit)))
 
 
 def is_chained(cmd: Column) -> Column:
     return cmd.rlike(CHAINED)
 
 
+def words_of(cmd: Column) -> Column:
+    return F.filter(F.split(cmd, r"(?U)\s+", -1), lambda x: x != "")
+
+
 def rewritten(cmd: Column, wrapper: str, plugins: tuple[tuple[str, str, tuple[str, ...]], ...] = ()) -> Column:
     """The wrapped command, or null. Plugins (name, program, first arguments) come before the fixed rules."""
-    words = F.filter(F.split(cmd, r"(?U)\s+", -1), lambda x: x != "")
+    return once(words_of(cmd), lambda words: _rewritten(cmd, words, wrapper, plugins))
+
+
+def _rewritten(cmd: Column, words: Column, wrapper: str, plugins: tuple[tuple[str, str, tuple[str, ...]], ...]) -> Column:
     n = F.size(words)
 
     def word(i: int) -> Column:
@@ -97,16 +98,20 @@ def rewritten(cmd: Column, wrapper: str, plugins: tuple[tuple[str, str, tuple[st
 
 def decision(cmd: Column, wrapper: str = "tw", custom: tuple[str, ...] = DENIED_BY_DEFAULT, plugins: tuple = (), strict: bool = False) -> Column:
     """``struct<code, rewritten>``: deny before chained before ask before rewrite."""
-    cmd = strip(cmd)
-    words = F.split(cmd, r"(?U)\s+", -1)
-    asks = (F.get(words, 0) == "git") & F.get(words, 1).isin("push", "commit")
-    new = rewritten(cmd, wrapper, plugins)
-    code = (
-        F.when(is_denied(cmd, custom), DENY)
-        .when(is_chained(cmd), DENY if strict else NONE)
-        .when(F.coalesce(asks, F.lit(False)), ASK)
-        .when(new.isNotNull(), REWRITE)
-        .otherwise(NONE)
-    )
-    asked = F.concat(F.lit(f"{wrapper} git "), F.get(words, 1))
-    return F.struct(code.alias("code"), F.when(code == ASK, asked).when(code == REWRITE, new).alias("rewritten"))
+
+    def decided(c: Column, words: Column, new: Column) -> Column:
+        asks = (F.get(words, 0) == "git") & F.get(words, 1).isin("push", "commit")
+        code = (
+            F.when(is_denied(c, custom), DENY)
+            .when(is_chained(c), DENY if strict else NONE)
+            .when(F.coalesce(asks, F.lit(False)), ASK)
+            .when(new.isNotNull(), REWRITE)
+            .otherwise(NONE)
+        )
+        asked = F.concat(F.lit(f"{wrapper} git "), F.get(words, 1))
+        return once(code, lambda k: F.struct(k.alias("code"), F.when(k == ASK, asked).when(k == REWRITE, new).alias("rewritten")))
+
+    def of(c: Column) -> Column:
+        return once(words_of(c), lambda w: once(_rewritten(c, w, wrapper, plugins), lambda new: decided(c, w, new)))
+
+    return once(strip(cmd), of)

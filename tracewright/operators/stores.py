@@ -64,3 +64,77 @@ def artifacts(rows: DataFrame, now: Column | None = None, days: int = 30) -> Dat
     """Artifacts, newest first, ties by id; with ``now`` without expired ones."""
     kept = rows if now is None else rows.where(F.col("created_at") >= now - F.expr(f"interval {days} days"))
     return kept.select("id", "type", "created_at").orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def get(notes: DataFrame, key: str, project: str) -> DataFrame:
+    return notes.where((F.col("key") == key) & (F.col("project_path") == project)).select("key", "val")
+
+
+def listed(notes: DataFrame, project: str) -> DataFrame:
+    return notes.where(F.col("project_path") == project).select("key", "val").orderBy("key")
+
+
+def touched(notes: DataFrame, read: DataFrame, now: Column) -> DataFrame:
+    """The notes after those of ``read`` (key, project_path) were read: their access time is now."""
+    seen = read.select("key", "project_path", F.lit(True).alias("_seen")).distinct()
+    rows = notes.join(seen, ["key", "project_path"], "left")
+    return rows.withColumn("last_accessed_at", F.when(F.col("_seen"), now).otherwise(F.col("last_accessed_at"))).drop("_seen").select(notes.columns)
+
+
+def thought(notes: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Notes with new thoughts (project_path, said, epoch_s): trimmed, blank ones left out, the last of a second wins."""
+    said = F.regexp_replace("said", r"(?U)^\s+|\s+$", "")
+    rows = new.select("project_path", F.concat(F.lit(THOUGHT), F.col("epoch_s").cast("string")).alias("key"), said.alias("val")).where("val <> ''")
+    return overwrite(notes, rows.groupBy("key", "project_path").agg(F.max("val").alias("val")), now)
+
+
+# The keys that a session begins with.
+SESSION_KEYS = ("decisions", "active_tasks", "context_files", "warnings")
+
+
+def session_init(session: DataFrame, projects: DataFrame) -> DataFrame:
+    """The sessions with an empty list for each first key that a project (``project_path``) lacks."""
+    keys = F.explode(F.array(*[F.lit(k) for k in SESSION_KEYS])).alias("key")
+    first = projects.select("project_path").distinct().select("project_path", keys, F.lit("[]").alias("val"))
+    return session.select("project_path", "key", "val").unionByName(first.join(session, ["project_path", "key"], "left_anti"))
+
+
+def _as_json(val: Column) -> Column:
+    return F.when(F.try_parse_json(val).isNotNull(), val).otherwise(F.to_json(F.struct(val.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(val.alias("v")))) - 6))
+
+
+def session_update(session: DataFrame, new: DataFrame) -> DataFrame:
+    """The sessions after ``new`` (project_path, key, val): what is no JSON is stored as a JSON string."""
+    put = new.select("project_path", "key", _as_json(F.col("val")).alias("val"))
+    return session.select("project_path", "key", "val").join(put, ["project_path", "key"], "left_anti").unionByName(put)
+
+
+def session_export(session: DataFrame) -> DataFrame:
+    """``project_path``, ``note``: each project's state as Markdown. Only texts of lists are told; other keys are left out."""
+    rows = session.where(F.col("key").isin(*SESSION_KEYS)).select("project_path", "key", F.try_parse_json("val").alias("v"))
+    items = F.filter(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    rows = rows.select("project_path", "key", F.transform(items, lambda x: F.try_variant_get(x, "$", "string")).alias("items"))
+    state = session.select("project_path").distinct().join(
+        rows.groupBy("project_path").agg(F.map_from_entries(F.collect_list(F.struct("key", "items"))).alias("of")), "project_path", "left"
+    )
+
+    def section(title: str, key: str, before: str, after: str = "") -> Column:
+        told = F.transform(F.coalesce(F.try_element_at("of", F.lit(key)), F.expr("cast(array() as array<string>)")), lambda x: F.concat(F.lit(before), x, F.lit(f"{after}\n")))
+        body = F.array_join(told, "")
+        return F.concat(F.lit(f"## {title}\n"), F.when(body == "", "- None\n").otherwise(body), F.lit("\n"))
+
+    note = F.concat(
+        F.lit("# Session state\n\nProject: `"), F.col("project_path"), F.lit("`\n\n"),
+        section("Active tasks", "active_tasks", "- [ ] "), section("Decisions", "decisions", "- "), section("Context files", "context_files", "- `", "`"), section("Warnings", "warnings", "- "),
+    )
+    return state.select("project_path", note.alias("note"))
+
+
+def put_artifacts(rows: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Artifacts after ``new`` (id, type, content): an id that is known is replaced and its time starts anew."""
+    put = new.select("id", "type", "content", now.alias("created_at"))
+    return rows.select(put.columns).join(put, "id", "left_anti").unionByName(put)
+
+
+def artifact(rows: DataFrame, artifact_id: str) -> DataFrame:
+    return rows.where(F.col("id") == artifact_id).select("id", "type", "content", "created_at")

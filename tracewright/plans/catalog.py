@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.lines import tokens
-from tracewright.operators import dlp, graph, ledger, line_filters, pricing, router, sequence_filters, stores
+from tracewright.operators import dlp, graph, ledger, line_filters, packing, pricing, profiles, reports, router, search, sequence_filters, stores
+from tracewright.plans import log_sql
 from tracewright.sources.corpus import FAMILIES, view, with_views
+from tracewright.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,12 +125,101 @@ _add("resolved_edges", _graph(lambda s, p, e: e), "dependencies", sql=_EDGES + "
 _add("impact", _graph(lambda s, p, e: graph.impact(s, e, "f7")), "dependencies", sql=_EDGES + _up("SELECT id FROM symbols WHERE name = 'f7'") + f", hit AS (SELECT DISTINCT node FROM up WHERE source <> node) SELECT id, name, file_path, {_RISK.format('(SELECT count(*) FROM hit)')} AS risk FROM symbols WHERE id IN (SELECT node FROM hit)")
 _add("downstream", _graph(lambda s, p, e: graph.closure(e, s.where("name = 'f7'"), upstream=False)), "dependencies", sql=_EDGES + _up("SELECT id FROM symbols WHERE name = 'f7'", False) + "SELECT source, node FROM up WHERE source <> node")
 _add("detect_changes", lambda s, d: _graph(lambda x, p, e: graph.detect_changes(x, e, view(s, d, "hunks")))(s, d), "dependencies", "hunks", sql=_EDGES + _TOUCHED + _up("SELECT id FROM changed") + f", n AS (SELECT c.id, c.name, count(up.node) AS impact FROM changed c LEFT JOIN up ON up.source = c.id AND up.node <> c.id GROUP BY c.id, c.name) SELECT id, name, impact, {_RISK.format('impact')} AS risk FROM n")
+# A graph query's edges come from names; the traces and plans below come from the code of `files`.
 _add("graph_coverage", lambda s, d: graph.coverage(view(s, d, "symbols"), view(s, d, "dependencies")), "dependencies", sql=", linked AS (SELECT caller_id FROM dependencies UNION SELECT id FROM symbols WHERE name IN (SELECT callee_name FROM dependencies)) SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM linked) AS linked, round((SELECT count(*) FROM linked)::DOUBLE / (SELECT count(*) FROM symbols) * 100, 6) AS pct")
 _add("parse_hunks", lambda s, d: graph.parse_hunks(view(s, d, "diffs"), "run_id", "text"))
 _add("code_search", lambda s, d: graph.code_search(view(s, d, "files"), "X ="))
 _add("index_delta", lambda s, d: graph.index_delta(*(view(s, d, "files").where(c).select(F.col("path").alias("file_path"), F.md5(F.concat(x, "content")).alias("hash")) for c, x in (("path not like 'd1/%'", F.lit("")), ("path not like 'd2/%'", F.when(F.col("path").like("d3/%"), "x").otherwise("")))))
      , "files", sql=", a AS (SELECT path AS file_path, md5(content) AS was FROM files WHERE path NOT LIKE 'd1/%'), b AS (SELECT path AS file_path, md5(CASE WHEN path LIKE 'd3/%' THEN 'x' ELSE '' END || content) AS now FROM files WHERE path NOT LIKE 'd2/%') SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'gone' WHEN was <> now THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.file_path = b.file_path")
 
+_add("index_status", lambda s, d: reports.index_status(view(s, d, "symbols"), view(s, d, "dependencies"), view(s, d, "symbols").select(F.lit(1_700_000_000).cast("long").alias("last_indexed")), 1_700_100_000), "dependencies", sql=", linked AS (SELECT caller_id FROM dependencies UNION SELECT id FROM symbols WHERE name IN (SELECT callee_name FROM dependencies)) SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM dependencies) AS edges, 1700000000::BIGINT AS last_indexed, round((SELECT count(*) FROM linked)::DOUBLE / (SELECT count(*) FROM symbols) * 100, 6) AS pct, true AS stale")
+_add("vault_notes", lambda s, d: reports.vault_notes(view(s, d, "symbols"), view(s, d, "dependencies")), "dependencies", sql=r""", n AS (SELECT *, name || ' (' || string_split(file_path, '/')[-1] || ')' AS title FROM symbols),
+  c AS (SELECT DISTINCT caller_id, callee_name FROM dependencies),
+  o AS (SELECT caller_id, string_agg('- [[' || t || ']]' || chr(10), '' ORDER BY callee_name, t) AS x FROM (SELECT DISTINCT c.caller_id, c.callee_name, coalesce(n.title, c.callee_name) AS t FROM c LEFT JOIN n ON n.name = c.callee_name) GROUP BY 1),
+  i AS (SELECT callee_name, string_agg('- [[' || n.title || ']]' || chr(10), '' ORDER BY n.id) AS x FROM c JOIN n ON n.id = c.caller_id GROUP BY 1)
+  SELECT title, max_by('# Symbol: ' || name || chr(10) || chr(10) || '- **Kind:** ' || kind || chr(10) || '- **Location:** `' || file_path || ':' || line_start || '-' || line_end || '`' || chr(10) || chr(10) || '## Calls (Outgoing)' || chr(10) || coalesce(o.x, '- None' || chr(10)) || chr(10) || '## Referenced By (Incoming)' || chr(10) || coalesce(i.x, '- None' || chr(10)), id) AS body
+  FROM n LEFT JOIN o ON o.caller_id = n.id LEFT JOIN i ON i.callee_name = n.name GROUP BY title""")
+_DEF_RS, _DEF_PY = graph.DEFINITIONS["rs"], graph.DEFINITIONS["py"]
+_CODE = f""", ln AS (SELECT path, ext, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT path, ext, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT path, ext, string_split(content, chr(10)) AS l FROM files))),
+  d AS (SELECT *, regexp_extract(line, CASE ext WHEN 'rs' THEN '{_DEF_RS}' ELSE '{_DEF_PY}' END, 1) AS word, regexp_extract(line, CASE ext WHEN 'rs' THEN '{_DEF_RS}' ELSE '{_DEF_PY}' END, 2) AS name FROM ln),
+  code AS (SELECT *, sum((name <> '')::INT) OVER (PARTITION BY path ORDER BY pos) AS nth, 'Function:' || path || ':' || name AS id FROM d)
+"""
+_add("extracted_symbols", lambda s, d: graph.extracted_symbols(view(s, d, "files")), "files", sql=_CODE + """, e AS (SELECT path, nth, max(pos) + 1 AS line_end FROM code GROUP BY ALL), f AS (SELECT code.*, e.line_end, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS k FROM code JOIN e USING (path, nth) WHERE name <> '')
+  SELECT id, name, 'Function' AS kind, path AS file_path, (pos + 1)::INTEGER AS line_start, line_end::INTEGER AS line_end FROM f WHERE k = 1""")
+_add("extracted_calls", lambda s, d: graph.extracted_calls(view(s, d, "files")), "files", sql=_CODE + r""", c AS (SELECT path, nth, unnest(list_distinct(regexp_extract_all(CASE WHEN name = '' THEN line ELSE string_split(line, ')')[-1] END, '\b([A-Za-z_]\w*)\s*\(', 1))) AS callee_name FROM code)
+  SELECT DISTINCT h.id AS caller_id, callee_name FROM c JOIN code h ON h.path = c.path AND h.nth = c.nth AND h.name <> '' WHERE callee_name <> h.name""")
+
+
+def _from_code(f: Callable[[SparkSession, str, DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        files = view(spark, d, "files")
+        return f(spark, d, graph.extracted_symbols(files), graph.extracted_calls(files))
+
+    return run
+
+
+_add("rename_plan", _from_code(lambda s, d, x, y: graph.rename_plan(x, y, view(s, d, "files"), "f42", "g42")))
+_add("flow_trace", _graph(lambda s, p, e: graph.flow_trace(s, e, ["f7", "f16", "f29"], 4, 50)))
+_add("index_replaced", _from_code(lambda s, d, x, y: graph.replaced_index(x, y, view(s, d, "files").select(F.col("path").alias("file_path"), F.when(F.col("path").like("d1/%"), "gone").when(F.col("path").like("d0/%"), "changed").otherwise("same").alias("state")), x.withColumn("line_end", F.col("line_end") + 1), y)[0]), "files", sql=_CODE + """, e AS (SELECT path, nth, max(pos) + 1 AS line_end FROM code GROUP BY ALL), f AS (SELECT code.*, e.line_end, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS k FROM code JOIN e USING (path, nth) WHERE name <> '')
+  SELECT id, name, 'Function' AS kind, path AS file_path, (pos + 1)::INTEGER AS line_start, (line_end + (path LIKE 'd0/%')::INT)::INTEGER AS line_end FROM f WHERE k = 1 AND path NOT LIKE 'd1/%'""")
+_VECTOR = [0.1, -0.2, 0.3, 0.05]
+_add("hybrid_search", lambda s, d: graph.hybrid_search(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 4).alias("embedding")), view(s, d, "symbols").select(F.substring_index("name", "f", -1).try_cast("long").alias("id"), "name").groupBy("id").agg(F.max("name").alias("name")), "f1", _VECTOR), "symbols", sql=f", n AS (SELECT substr(name, 2)::BIGINT AS id, max(name) AS name FROM symbols GROUP BY 1), v AS (SELECT vec_id AS id, list_sum(list_transform([1, 2, 3, 4], lambda i: coalesce(embedding[i]::DOUBLE * {_VECTOR}[i], 0.0))) AS dot FROM embeddings) SELECT id, name, round(0.5 * contains(name, 'f1')::INT + 0.5 * coalesce(dot, 0.0), 4) AS score FROM n JOIN v USING (id) ORDER BY score DESC, id LIMIT 10")
+
+# Stores, search and reports.
+_add("memory_search", lambda s, d: search.ranked(view(s, d, "memory"), "tion whon er", "p1"), "memory", sql=""", w AS (SELECT key, val, project_path, regexp_extract_all(lower(key || ' ' || coalesce(val, '')), '[\\p{L}\\p{N}]+') AS t FROM memory),
+  h AS (SELECT *, len(t) AS n, [len(list_filter(t, lambda x: starts_with(x, 'tion'))), len(list_filter(t, lambda x: starts_with(x, 'whon'))), len(list_filter(t, lambda x: starts_with(x, 'er')))] AS f FROM w),
+  c AS (SELECT count(*) AS rows, avg(n) AS mean, [count(*) FILTER (f[1] > 0), count(*) FILTER (f[2] > 0), count(*) FILTER (f[3] > 0)] AS df FROM h)
+  SELECT key, val, round(list_sum(list_transform([1, 2, 3], lambda i: greatest(ln((rows - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) * f[i] * 2.2 / (f[i] + 1.2 * (0.25 + 0.75 * n / mean)))), 6) AS score FROM h, c WHERE project_path = 'p1' AND (f[1] > 0 OR f[2] > 0 OR f[3] > 0) ORDER BY score DESC, key LIMIT 5""")
+_add("memory_get", lambda s, d: stores.get(view(s, d, "memory"), "user1_0", "p1"), "memory", sql="SELECT key, val FROM memory WHERE key = 'user1_0' AND project_path = 'p1'")
+_add("memory_list", lambda s, d: stores.listed(view(s, d, "memory"), "p2"), "memory", sql="SELECT key, val FROM memory WHERE project_path = 'p2'")
+_add("memory_touched", lambda s, d: stores.touched(view(s, d, "memory"), view(s, d, "memory").where("key like 'user%'"), F.expr(_MEMORY_NOW)), "memory", sql=f"SELECT * REPLACE (CASE WHEN key LIKE 'user%' THEN {_MEMORY_NOW} ELSE last_accessed_at END AS last_accessed_at) FROM memory")
+_add("think", lambda s, d: stores.thought(view(s, d, "memory"), view(s, d, "thoughts").select("project_path", F.concat(F.lit("  "), "val").alias("said"), F.substring("key", 9, 20).cast("long").alias("epoch_s")), F.expr(_MEMORY_NOW)), "memory", "thoughts", sql=f"SELECT key, project_path, val, created_at, last_accessed_at FROM memory UNION ALL SELECT key, project_path, max(trim(val, ' ' || chr(10) || chr(9) || chr(13))), {_MEMORY_NOW}, {_MEMORY_NOW} FROM thoughts GROUP BY key, project_path HAVING max(trim(val, ' ' || chr(10) || chr(9) || chr(13))) <> ''")
+_add("session_init", lambda s, d: stores.session_init(view(s, d, "session"), view(s, d, "memory")), "session", "memory", sql="SELECT project_path, key, val FROM session UNION ALL SELECT p.project_path, k.key, '[]' FROM (SELECT DISTINCT project_path FROM memory) p, (SELECT unnest(['decisions', 'active_tasks', 'context_files', 'warnings']) AS key) k WHERE NOT EXISTS (SELECT 1 FROM session s WHERE s.project_path = p.project_path AND s.key = k.key)")
+_SAID = "CASE WHEN key = 'notes' THEN 'said \"' || project_path || '\"' ELSE '[1, \"x\"]' END"
+_add("session_update", lambda s, d: stores.session_update(view(s, d, "session"), view(s, d, "session").where("key in ('notes', 'tasks')").selectExpr("project_path", "key", """CASE WHEN key = 'notes' THEN 'said "' || project_path || '"' ELSE '[1, "x"]' END AS val""")), "session", sql="""SELECT project_path, key, CASE key WHEN 'notes' THEN '"said \\"' || project_path || '\\""' WHEN 'tasks' THEN '[1, "x"]' ELSE val END AS val FROM session""")
+_add("session_export", lambda s, d: stores.session_export(view(s, d, "session").withColumn("key", F.when(F.col("key") == "tasks", "active_tasks").when(F.col("key") == "notes", "warnings").otherwise(F.col("key")))), "session", sql="""SELECT project_path, '# Session state' || chr(10) || chr(10) || 'Project: `' || project_path || '`' || chr(10) || chr(10)
+  || '## Active tasks' || chr(10) || coalesce(max(CASE key WHEN 'tasks' THEN t1 END), '- None' || chr(10)) || chr(10) || '## Decisions' || chr(10) || coalesce(max(CASE key WHEN 'decisions' THEN t2 END), '- None' || chr(10)) || chr(10)
+  || '## Context files' || chr(10) || '- None' || chr(10) || chr(10) || '## Warnings' || chr(10) || coalesce(max(CASE key WHEN 'notes' THEN t2 END), '- None' || chr(10)) || chr(10) AS note
+  FROM (SELECT *, list_reduce(list_transform(json_extract_string(val, '$[*]'), lambda x: '- [ ] ' || x || chr(10)), lambda a, b: a || b) AS t1, list_reduce(list_transform(json_extract_string(val, '$[*]'), lambda x: '- ' || x || chr(10)), lambda a, b: a || b) AS t2 FROM session) GROUP BY project_path""")
+_add("artifact_put", lambda s, d: stores.put_artifacts(view(s, d, "artifacts"), view(s, d, "artifacts").where("id like 'a1%'").select("id", F.lit("note").alias("type"), F.lit("new").alias("content")), F.expr(_NOW)), "artifacts", sql=f"SELECT id, CASE WHEN id LIKE 'a1%' THEN 'note' ELSE type END AS type, CASE WHEN id LIKE 'a1%' THEN 'new' ELSE content END AS content, CASE WHEN id LIKE 'a1%' THEN {_NOW} ELSE created_at END AS created_at FROM artifacts")
+_add("artifact_get", lambda s, d: stores.artifact(view(s, d, "artifacts"), "a7"), "artifacts", sql="SELECT id, type, content, created_at FROM artifacts WHERE id = 'a7'")
+_add("audit_report", lambda s, d: reports.audit(view(s, d, "ledger"), pricing.price_table(s), F.expr(_NOW)), "ledger", "prices", sql=_priced("") + f""", t AS (SELECT *, {_pct('saved', 'original')} AS pct, (SELECT sum((original_tokens - filtered_tokens) * input_price) / 1e6 FROM priced) AS cost FROM {_TOTALS})
+  SELECT 1 AS part, i::INTEGER AS place, l AS line FROM (SELECT unnest(x) AS l, unnest(range(len(x))) AS i FROM (SELECT ['# Token audit', 'Made at ' || strftime({_NOW}, '%Y-%m-%d %H:%M:%S'), '| Metric | Value |', '| :--- | :--- |', '| Commands | ' || commands || ' |', '| Original tokens | ' || original || ' |', '| Filtered tokens | ' || filtered || ' |', '| Saved tokens | ' || saved || ' (' || printf('%.1f', pct) || '%) |', '| Saved cost | $' || printf('%.4f', cost) || ' |', '| Saved hours | ' || printf('%.2f', round(commands * {ledger.SECONDS_A_COMMAND} / 3600, 6)) || ' |'] AS x FROM t))
+  UNION ALL SELECT 2, ord, '| ' || display_name || ' | $' || printf('%.2f', input_price) || ' | $' || printf('%.4f', saved * input_price / 1e6) || ' |' FROM t, prices
+  UNION ALL SELECT 3, -n::INTEGER, '| `' || cmd || '` | ' || n || ' | ' || original || ' | ' || filtered || ' | ' || saved || ' | ' || printf('%.1f', {_pct('saved', 'original')}) || '% |' FROM (SELECT cmd, {_SUMS} FROM ledger GROUP BY cmd)""")
+_add("benchmark_csv", lambda s, d: reports.csv_lines(view(s, d, "ledger"), pricing.price_table(s)), "ledger", "prices", sql=_priced("unknown") + """SELECT id, concat_ws(',', id, strftime(ts, '%Y-%m-%d %H:%M:%S'), '"' || replace(cmd, '"', '""') || '"', m, original_tokens, filtered_tokens, original_tokens - filtered_tokens, printf('%.2f', CASE WHEN original_tokens > 0 THEN (original_tokens - filtered_tokens)::DOUBLE / original_tokens * 100 ELSE 0 END), printf('%.6f', (original_tokens - filtered_tokens) * input_price / 1e6), coalesce(duration_ms, 0)) AS line FROM priced ORDER BY id DESC LIMIT 50000""")
+_add("diff_estimate", lambda s, d: reports.diff_estimate(view(s, d, "diffs"), "run_id", "text"))
+_add("price_overrides", lambda s, d: pricing.resolve(view(s, d, "ledger"), pricing.price_table(s, [[{"model_id": "Local-LLM", "input_price_per_mtok": 0.5}], [{"model_id": "gpt-5", "output_price_per_mtok": 7.0}]])), "ledger", "prices", sql=_priced("") + ", own(m, price_id, i, o) AS (VALUES ('local-llm', 'Local-LLM', 0.5::DOUBLE, 15.0::DOUBLE), ('gpt-5', 'gpt-5', 5.0::DOUBLE, 7.0::DOUBLE)) SELECT best.m AS model, coalesce(own.price_id, best.price_id) AS price_id, coalesce(i, input_price) AS input_price, coalesce(o, output_price) AS output_price FROM best LEFT JOIN own ON own.m = best.m WHERE best.m <> ''")
+_add("ledger_append", lambda s, d: ledger.append(view(s, d, "ledger"), view(s, d, "commands").select("cmd", F.col("cmd").alias("raw_output"), F.upper("cmd").alias("filtered"), F.expr(_NOW).alias("ts"), F.col("id").alias("source_row"))).select("id", "cmd", "original_tokens", "filtered_tokens", "ts", F.coalesce("model", F.lit("none")).alias("model")), "ledger", "commands", sql=f"SELECT id, cmd, original_tokens, filtered_tokens, ts, coalesce(model, 'none') AS model FROM ledger UNION ALL SELECT (SELECT max(id) FROM ledger) + row_number() OVER (ORDER BY c.id), cmd, ((strlen(cmd) + 3) // 4)::BIGINT, ((strlen(cmd) + 3) // 4)::BIGINT, {_NOW}, 'Unknown Model' FROM commands c")
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    # A stream reads a folder: the table may be one file in it or a folder of files.
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    rows = ledger_stream.once_each(view(spark, d, "ledger", events=events).select("id", F.col("ts").cast("timestamp").alias("ts"), "original_tokens", "filtered_tokens"))
+    return ledger_stream.run_available(ledger_stream.daily(rows), spark, "daily")
+
+
+_add("ledger_stream_daily", _streamed, "ledger", sql="SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(original_tokens)::BIGINT AS original, sum(filtered_tokens)::BIGINT AS filtered FROM ledger GROUP BY 1")
+
+# Profiles and packing.
+_RULES = (("plain line [0-9]+", "collapse"), ("token internal-[0-9]+ ", "strip"), ("(", "strip"))
+for _name in profiles.PROFILES:
+    _add(f"profile_{_name.replace('-', '_')}", lambda s, d, n=_name: view(s, d, "log_mixed").select("run_id", profiles.apply_profile(F.col("log"), profiles.PROFILES[n]).alias("log")), "log_mixed", sql=log_sql.profile(profiles.PROFILES[_name]))
+_add("rules_applied", lambda s, d: view(s, d, "log_mixed").select("run_id", profiles.apply_rules(F.col("log"), _RULES).alias("log")), "log_mixed", sql="SELECT run_id, regexp_replace(regexp_replace(log, 'plain line [0-9]+', '[collapsed]', 'g'), 'token internal-[0-9]+ ', '', 'g') AS log FROM log_mixed")
+_add("profile_names", lambda s, d: view(s, d, "commands").select("id", profiles.profile_name(F.col("cmd"), {"git": "audit", "git diff": "balanced", "cargo": "developer", "npm": "nothing"}).alias("profile")), "commands", sql="SELECT id, CASE WHEN contains(cmd, 'git diff') THEN 'balanced' WHEN contains(cmd, 'cargo') THEN 'developer' WHEN contains(cmd, 'git') THEN 'audit' ELSE 'strict' END AS profile FROM commands")
+_add("post_processed", lambda s, d: profiles.post_processed(view(s, d, "log_mixed").select("run_id", F.lit("git diff").alias("cmd"), F.col("log").alias("raw"), F.col("log").alias("filtered")), rules=_RULES, overrides={"git": "balanced"}).select("run_id", "shown", "original_tokens", "filtered_tokens", "cached", "saturated"), "log_mixed", sql=log_sql.post_processed(profiles.PROFILES["balanced"]))
+_add("filter_plugin", lambda s, d: view(s, d, "log_cargo_build").select("run_id", line_filters.plugin(F.col("log"), ("Compiling", "Finished"), ("warning", "-->")).alias("filtered")), "log_cargo_build", sql=log_sql.FILTERS["plugin"])
+_add("rule_file", lambda s, d: view(s, d, "files").select("path", line_filters.rule_file(F.concat("content", F.lit("\n<!-- a\nb -->x  \n\n\n\ny"))).alias("content")), "files", sql=log_sql.RULE_FILE)
+_add("model_suggestions", lambda s, d: view(s, d, "commands").select("id", pricing.suggested_model(F.element_at(F.array(*[F.lit(x) for x in ("Simple", "audit", "review", "other")]), (F.col("id") % 4 + 1).cast("int"))).alias("model_id")), "commands", sql="SELECT id, CASE id % 4 WHEN 0 THEN 'gemini-3.5-flash' WHEN 3 THEN 'claude-4.6-sonnet' ELSE 'gemini-3.1-pro-preview' END AS model_id FROM commands")
+_IGNORED_SQL = " OR ".join(f"list_contains(string_split(path, '/'), '{p}') OR starts_with(path, '{p}') OR contains(path, '/{p}')" for p in packing.IGNORED)
+_add("pack_ignored", lambda s, d: view(s, d, "files").select("path", packing.is_ignored(F.col("path")).alias("ignored"), packing.is_binary(F.col("content")).alias("is_binary"), packing.is_code(F.col("path")).alias("code")), "files", sql=f"SELECT path, {_IGNORED_SQL} AS ignored, false AS is_binary, true AS code FROM files")
+_add("pack_stripped", lambda s, d: packing.strip_content(view(s, d, "files")), "files", sql=log_sql.STRIPPED)
+_add("pack_skeleton", lambda s, d: view(s, d, "files").select("path", packing.skeleton(F.col("content"), F.col("ext")).alias("content")))
+_add("pack_documents", lambda s, d: packing.documents(packing.packed(view(s, d, "files")), F.substring_index("path", "/", 1)), "files", sql=f"""SELECT project, document, ((strlen(document) + 3) // 4)::BIGINT AS n_tokens FROM (SELECT string_split(path, '/')[1] AS project, '<repository>' || chr(10) || string_agg('  <file path="' || path || '">' || chr(10) || '    <![CDATA[' || chr(10) || content || CASE WHEN content LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '    ]]>' || chr(10) || '  </file>' || chr(10), '' ORDER BY path) || '</repository>' || chr(10) AS document FROM files WHERE NOT ({_IGNORED_SQL}) GROUP BY 1)""")
+_add("pack_collapsed", lambda s, d: packing.packed(view(s, d, "files"), strip_comments=True, bodies=False))
+
 # Redaction and routing.
 _add("dlp_redact", lambda s, d: view(s, d, "secrets").select("doc_id", dlp.redact(F.col("text"), ("internal-[0-9]+",)).alias("text")))
 _add("dlp_audit", lambda s, d: dlp.audit(view(s, d, "secrets"), "doc_id", "text", ("internal-[0-9]+",)).groupBy("label").agg(F.count("*").alias("n")))
@@ -149,11 +240,13 @@ for _profile in ("strict", "developer", "default"):
     _add(f"compact_{_profile}", lambda s, d, p=_profile: view(s, d, "files").select("path", line_filters.compact(F.col("content"), 20, p).alias("content")))
 
 
-def _lines_without(noise: str) -> str:
-    """DuckDB: a log without the lines for which ``noise`` holds; the log itself if nothing but blanks is left."""
-    kept = f"(SELECT coalesce(string_agg(x || chr(10), '' ORDER BY i), '') FROM (SELECT unnest(l) AS x, unnest(range(len(l))) AS i) WHERE NOT ({noise}))"
-    return f"SELECT run_id, CASE WHEN trim(k, ' ' || chr(10) || chr(9)) = '' THEN log ELSE k END AS filtered FROM (SELECT run_id, log, {kept} AS k FROM (SELECT run_id, log, string_split(log, chr(10)) AS l FROM {{0}}))"
-
-
-ORACLES["filter_go_test"] = with_views(_lines_without(r"trim(x) = '' OR regexp_matches(trim(x), '^===\s*RUN\b|^---\s*PASS\b|^ok\s+[^\s]+\s+[0-9\.]+s\s*(?:\[no tests to run\])?$') OR (x = '' AND i = len(l) - 1)").format("log_go_test"), "log_go_test")
-ORACLES["filter_gradle"] = with_views(_lines_without(r"trim(x) = '' OR regexp_matches(trim(x), '^>\s*Task\s+:|^(Download|Caching|Download progress|Preparing)\b')").format("log_gradle"), "log_gradle")
+for _family in FAMILIES:
+    if f"filter_{_family}" in QUERIES and _family in log_sql.FILTERS:
+        ORACLES[f"filter_{_family}"] = with_views(log_sql.FILTERS[_family], f"log_{_family}")
+for _profile in ("strict", "developer", "default"):
+    ORACLES[f"compact_{_profile}"] = with_views(log_sql.compact(_profile, 20), "files")
+ORACLES["parse_hunks"] = with_views(log_sql.HUNKS, "diffs")
+ORACLES["code_search"] = with_views(log_sql.CODE_SEARCH, "files")
+ORACLES["router_decision"] = with_views(log_sql.ROUTER, "commands")
+ORACLES["dlp_redact"] = with_views(log_sql.redact("secrets", "doc_id", ("internal-[0-9]+",)), "secrets")
+ORACLES["dlp_audit"] = with_views(log_sql.audit("secrets", ("internal-[0-9]+",)), "secrets")

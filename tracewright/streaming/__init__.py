@@ -1 +1 @@
-"""Streaming."""
+"""Structured streaming over the ledger."""
