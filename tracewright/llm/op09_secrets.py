@@ -25,9 +25,16 @@ RANDOM = (
 SHORT_HEX = r"(?<![0-9a-zA-Z])(?=[a-f]{0,30}[0-9])(?=[0-9]{0,30}[a-f])[0-9a-f]{16,31}(?![0-9a-zA-Z])"
 
 
-#: What every match of a pattern holds, to spare other texts the search.
-_ASSIGNS = r"(?i)passw|secret|token|api_?key"
-_LONG = r"[A-Za-z0-9+/_=-]{16}"
+#: What every match of a pattern holds, in lower case, to spare other texts the search.
+_IN_ASSIGN, _IN_IDENTIFIER = ("passw", "secret", "token", "api_key", "apikey"), ("user", "login", "account", "client", "key")
+_LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16}"
+
+
+def _holds_any(x: Column, parts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(x, F.lit(p))
+    return out
 
 
 def _part(spans: Column, kind: str, role: str, weak: bool) -> Column:
@@ -89,25 +96,21 @@ def find_secrets(docs: DataFrame, scope: int = 200, key: str = "doc_id", text: s
     itself; only the two named columns are read, so others may have any name; an
     empty table gives no rows.
     """
-    c = F.col(text)
-    long = c.rlike(_LONG)
-    assign = F.filter(matches(c, ASSIGN, c.rlike(_ASSIGNS)), lambda x: F.length(F.regexp_extract(x.m, ASSIGN, 1)) >= 8)
-    rows = docs.select(
-        row_key().alias("_row"),
-        F.col(key).alias("doc_id"),
-        _part(assign, "assign", "secret", False).alias("a"),
-        _part(matches(c, ACCESS, F.contains(c, F.lit("AKIA"))), "access", "identifier", False).alias("b"),
-        _part(matches(c, HEX, long), "hex", "secret", False).alias("h"),
-        F.concat(
-            _part(matches(c, IDENTIFIER, c.rlike(IDENTIFIER)), "identifier", "identifier", True),
-            _part(matches(c, ENDPOINT, F.contains(c, F.lit("://"))), "endpoint", "endpoint", True),
-            _part(matches(c, RANDOM, long), "candidate", "secret", True),
-            _part(matches(c, SHORT_HEX, long), "candidate", "secret", True),
-        ).alias("w"),
+    c, low = F.col("body"), F.col("low")
+    rows = docs.select(row_key().alias("_row"), F.col(key).alias("doc_id"), F.col(text).alias("body"))
+    rows = rows.select("_row", "doc_id", "body", F.lower("body").alias("low"), c.rlike(_LONG).alias("long"))
+    assign = F.filter(matches(c, ASSIGN, _holds_any(low, _IN_ASSIGN)), lambda x: F.length(F.regexp_extract(x.m, ASSIGN, 1)) >= 8)
+    parts = F.concat(
+        _part(assign, "assign", "secret", False),
+        _part(matches(c, ACCESS, F.contains(c, F.lit("AKIA"))), "access", "identifier", False),
+        _part(matches(c, HEX, F.col("long")), "hex", "secret", False),
+        _part(matches(c, IDENTIFIER, _holds_any(low, _IN_IDENTIFIER)), "identifier", "identifier", True),
+        _part(matches(c, ENDPOINT, F.contains(c, F.lit("://"))), "endpoint", "endpoint", True),
+        _part(matches(c, RANDOM, F.col("long")), "candidate", "secret", True),
+        _part(matches(c, SHORT_HEX, F.col("long")), "candidate", "secret", True),
     )
     # Only parts are exploded, a row without any stays one: a row of many parts isn't copied with each of them.
-    parts = rows.select("_row", "doc_id", F.explode_outer(F.concat("a", "b", "h", "w")).alias("p"))
-    parts = _linked(parts, scope)
+    parts = _linked(rows.select("_row", "doc_id", F.explode_outer(parts).alias("p")), scope)
     # Equal starts are told in the order of KINDS; "n" is a kind's place there.
     place = F.coalesce(*[F.when(F.col("p.k") == k, i) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
     span = F.struct("p.s", place.alias("n"), "p.e", "p.k")
