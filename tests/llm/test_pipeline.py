@@ -29,6 +29,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted({r.doc_id for r in got}) == ids
 
 
+def test_stages_take_awkward_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = random.Random(12)
+    texts = [None, "", "...", words(rng, 60), words(rng, 60), words(rng, 5000)]
+    clashing = table(spark, [*texts, texts[3]], [1, 1, None, 2, 3, 4, 2], ["aa"] * 7)
+    for docs in (clashing, clashing.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == clashing.columns and docs.dtypes == clashing.dtypes
+            docs = spark.createDataFrame(docs.collect(), clashing.schema)
+        left = sorted(r.doc_id for r in docs.collect())
+        assert left in ([2, 3, 4], [])
+        assert sorted({r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()}) == left
+
+
 def test_entry_has_the_eleven_queries():
     names = list(__spark_entry__.queries())
     for n in range(1, 11):

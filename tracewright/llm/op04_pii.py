@@ -22,6 +22,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: A character that every match holds, to spare other texts the search.
+_HOLDS = {"email": "@", "phone": "+"}
 _BYTE_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 TERM = r"\p{L}++"
 _SPAN = "\u0003"
@@ -62,7 +64,7 @@ def _kept(kind: str, m: Column) -> Column:
 def _spans(body: Column, kind: str) -> Column:
     """array<struct<n, s, e, k, m>>: the kind's place, the span, the kind, and the entity it names."""
     return F.transform(
-        F.filter(matches(body, PATTERNS[kind]), lambda x: _kept(kind, x.m)),
+        F.filter(matches(body, PATTERNS[kind], F.contains(body, F.lit(_HOLDS[kind])) if kind in _HOLDS else None), lambda x: _kept(kind, x.m)),
         lambda x: F.struct(
             F.lit(KINDS.index(kind)).alias("n"),
             x.s.alias("s"),
