@@ -95,7 +95,7 @@ def tokens(text: Column) -> Column:
 
 def cut_bytes(x: Column, most: int) -> Column:
     """At most ``most`` bytes: a longer text ends before that at a character's end, with an ellipsis."""
-    head = F.decode(F.substring(F.encode(x, "UTF-8"), 1, most - 1), "UTF-8")
+    head = F.make_valid_utf8(F.substring(F.encode(x, "UTF-8"), 1, most - 1).cast("string"))
     return F.when(F.octet_length(x) > most, F.concat(F.regexp_replace(head, "�+$", ""), F.lit("…"))).otherwise(x)
 
 

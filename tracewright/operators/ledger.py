@@ -102,6 +102,12 @@ def telemetry(ledger: DataFrame) -> DataFrame:
     return ledger.drop("raw_output").orderBy(F.desc("ts"), F.desc("id"))
 
 
+def telemetry_json(ledger: DataFrame) -> DataFrame:
+    """``id``, ``line``: each row without the raw output as a JSON object, fields in the table's order."""
+    rows = ledger.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return rows.select("id", F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != "raw_output"]), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def recent(ledger: DataFrame, n: int = 50) -> DataFrame:
     return ledger.orderBy(F.desc("id")).limit(n)
 

@@ -115,3 +115,17 @@ def decision(cmd: Column, wrapper: str = "tw", custom: tuple[str, ...] = DENIED_
         return once(words_of(c), lambda w: once(_rewritten(c, w, wrapper, plugins), lambda new: decided(c, w, new)))
 
     return once(strip(cmd), of)
+
+
+def has_flag(words: Column, flags: tuple[str, ...]) -> Column:
+    """True if an argument of the command's words is one of the flags."""
+    return F.coalesce(F.arrays_overlap(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(*[F.lit(f) for f in flags])), F.lit(False))
+
+
+# Forms of output that are short already.
+SHORT_STATUS = ("--porcelain", "--short", "-s")
+
+
+def is_filtered(cmd: Column) -> Column:
+    """True if a rewritten command's output is filtered: the short forms of a status are not."""
+    return once(words_of(cmd), lambda w: ~((F.get(w, 0) == "git") & (F.get(w, 1) == "status") & has_flag(w, SHORT_STATUS)))

@@ -45,4 +45,5 @@ def ranked(notes: DataFrame, query: str, project: str, most: int = MOST) -> Data
     for i in range(len(wanted)):
         some = some | (F.col(f"h{i}") > 0)
     found = held.where((F.col("project_path") == project) & some).join(F.broadcast(counts))
-    return found.select("key", "val", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "key").limit(most)
+    best = found.select("key", "val", score.alias("score")).orderBy(F.desc("score"), "key").limit(most)
+    return best.withColumn("score", F.round("score", 6))

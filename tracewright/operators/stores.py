@@ -138,3 +138,22 @@ def put_artifacts(rows: DataFrame, new: DataFrame, now: Column) -> DataFrame:
 
 def artifact(rows: DataFrame, artifact_id: str) -> DataFrame:
     return rows.where(F.col("id") == artifact_id).select("id", "type", "content", "created_at")
+
+
+#: Fixed value: seconds after which old rows are due to be deleted again.
+GC_SECONDS = 86_400
+
+
+def gc_due(meta: DataFrame, now_s: int) -> DataFrame:
+    """One row, ``due``: whether a day has passed since ``last_gc`` of the table (key, value); never or no number counts as 0."""
+    last = F.coalesce(F.max(F.when(F.col("key") == "last_gc", F.col("value").try_cast("long"))), F.lit(0).cast("long"))
+    return meta.agg((F.lit(now_s) - last >= GC_SECONDS).alias("due"))
+
+
+def rule_file_findings(files: DataFrame, known: DataFrame, most_lines: int = 300) -> DataFrame:
+    """``path``, ``finding``: rule files (path, content) of too many lines, and references in them to files that aren't among ``known`` (path)."""
+    n = F.size(F.split(F.regexp_replace("content", "\n$", ""), "\n", -1))
+    long = files.where(n > most_lines).select("path", F.concat(F.lit("has "), n.cast("string"), F.lit(" lines")).alias("finding"))
+    links = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"file://(/[^\s)\"'>]+)"), F.lit(1)))).alias("to"))
+    broken = links.join(known.select(F.col("path").alias("to")).distinct(), "to", "left_anti")
+    return long.unionByName(broken.select("path", F.concat(F.lit("points to missing "), F.col("to")).alias("finding")))

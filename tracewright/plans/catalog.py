@@ -220,6 +220,11 @@ _add("pack_skeleton", lambda s, d: view(s, d, "files").select("path", packing.sk
 _add("pack_documents", lambda s, d: packing.documents(packing.packed(view(s, d, "files")), F.substring_index("path", "/", 1)), "files", sql=f"""SELECT project, document, ((strlen(document) + 3) // 4)::BIGINT AS n_tokens FROM (SELECT string_split(path, '/')[1] AS project, '<repository>' || chr(10) || string_agg('  <file path="' || path || '">' || chr(10) || '    <![CDATA[' || chr(10) || content || CASE WHEN content LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '    ]]>' || chr(10) || '  </file>' || chr(10), '' ORDER BY path) || '</repository>' || chr(10) AS document FROM files WHERE NOT ({_IGNORED_SQL}) GROUP BY 1)""")
 _add("pack_collapsed", lambda s, d: packing.packed(view(s, d, "files"), strip_comments=True, bodies=False))
 
+_add("telemetry_json", _over(ledger.telemetry_json, "ledger"), "ledger", sql="SELECT id, json_object('id', id, 'cmd', cmd, 'original_tokens', original_tokens, 'filtered_tokens', filtered_tokens, 'ts', strftime(ts, '%Y-%m-%d %H:%M:%S'), 'model', model, 'project', project, 'branch', branch, 'duration_ms', duration_ms)::VARCHAR AS line FROM ledger")
+_add("gc_due", lambda s, d: stores.gc_due(view(s, d, "memory").select(F.lit("last_gc").alias("key"), F.unix_timestamp(F.col("created_at").cast("timestamp")).cast("string").alias("value")), 1_709_200_000), "memory", sql="SELECT 1709200000 - coalesce(max(epoch(created_at)::BIGINT), 0) >= 86400 AS due FROM memory")
+_add("commands_filtered", lambda s, d: view(s, d, "commands").select("id", router.is_filtered(F.col("cmd")).alias("filtered")), "commands", sql="SELECT id, NOT (starts_with(cmd, 'git status') AND contains(cmd, '-s')) AS filtered FROM commands")
+_add("rule_findings", lambda s, d: stores.rule_file_findings(view(s, d, "files").select("path", F.concat("content", F.lit("see file:///x/y and file:///"), "path").alias("content")), view(s, d, "files").select(F.concat(F.lit("/"), "path").alias("path")), 8), "files", sql="SELECT path, 'points to missing /x/y' AS finding FROM files UNION ALL SELECT path, 'has ' || n || ' lines' FROM (SELECT path, len(string_split(content || 'see', chr(10))) AS n FROM files) WHERE n > 8")
+
 # Redaction and routing.
 _add("dlp_redact", lambda s, d: view(s, d, "secrets").select("doc_id", dlp.redact(F.col("text"), ("internal-[0-9]+",)).alias("text")))
 _add("dlp_audit", lambda s, d: dlp.audit(view(s, d, "secrets"), "doc_id", "text", ("internal-[0-9]+",)).groupBy("label").agg(F.count("*").alias("n")))
