@@ -30,12 +30,21 @@ def test_equals_brute_force_with_awkward_rows(spark, monkeypatch):
     rows += [(300, None), (400, [0.0] * 6), (500, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (600, [math.nan] * 6), (700, [math.inf] + [0.0] * 5), (None, [1.0] * 6)]
     rows += [(100, rows[100][1])] * 3 + [(800, [1.0, 2.0]), (801, [1.0, 2.5])] + [(200, rows[7][1])]
     df = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)
-    monkeypatch.setattr(op, "BLOCK_ROWS", 64)  # many tiles
+    monkeypatch.setattr(op, "BLOCK_ROWS", 16)  # many tiles
+    monkeypatch.setattr(op, "BLOCK_BYTES", 8 * 6 * 32)
     monkeypatch.setattr(op, "STRIP_ROWS", 2)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op.nearest(df, k=10).collect())
     assert got == brute(rows, 10, 100)
 
 
+def test_distances_too_large_for_a_double_are_ties(spark):
+    rows = [(0, [1e200, 0.0]), (1, [-1e200, 1.0]), (2, [3e200, 0.0]), (3, [1.0, 1.0]), (4, [1e200, 5.0]), (100, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op.nearest(df, k=3).collect())
+    inf = math.inf
+    assert got == [(0, 1, 4, 5.0), (0, 2, 1, inf), (0, 3, 2, inf), (100, 1, 3, 1.0), (100, 2, 0, inf), (100, 3, 1, inf)]
+
+
 def test_ties_go_to_the_smaller_id_and_few_candidates_all_come(spark):
     rows = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (3, [0.0, 0.0001]), (4, [2.0, 0.0])]
     df = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import row_key, stored
 
-#: Rows of a block; a tile is a block of queries by a block of candidates, worked through a few queries at a time.
-BLOCK_ROWS, STRIP_ROWS = 8192, 256
+#: Bytes of a block of vectors and rows of a small one; a tile is a block of queries by a block of candidates, worked through a few queries at a time.
+BLOCK_BYTES, BLOCK_ROWS, STRIP_ROWS = 32 << 20, 8192, 256
 #: int8 products summed over this many components stay exact in float32.
 EXACT_TERMS = 1024
 
@@ -39,9 +39,10 @@ def _tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple[int, int, int,
     nx = (qx.astype(np.int64) ** 2).sum(axis=1) * sx**2
     ny = (qy.astype(np.int64) ** 2).sum(axis=1) * sy**2
     about = np.sqrt(np.maximum(nx[:, None] + ny - 2 * _products(qx, qy) * sx[:, None] * sy, 0))
+    about = np.where(np.isfinite(about), about, 0.0)  # too large for squares: nothing is known of these
     error = (ex[:, None] + ey) + 1e-9 * (np.sqrt(nx)[:, None] + np.sqrt(ny)) + 1e-7 * np.sqrt(nx[:, None] + ny)
     rows, ids, own = c["row"].to_numpy(), c["vec_id"].to_numpy(), q["row"].to_numpy()
-    high = about + error
+    high = np.where(np.isfinite(nx[:, None] + ny), about + error, np.inf)
     high[own[:, None] == rows] = np.inf
     out = []
     for i in range(len(q)):
@@ -49,8 +50,9 @@ def _tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple[int, int, int,
         limit = np.partition(high[i], k - 1)[k - 1] if len(c) > k else np.inf
         at = np.flatnonzero((about[i] - error[i] <= limit) & (rows != own[i]))
         d = np.zeros(len(at))
-        for j in range(x.shape[1]):  # in order, as a plain sum would go
-            d += (y[at, j] - x[i, j]) ** 2
+        with np.errstate(over="ignore"):
+            for j in range(x.shape[1]):  # in order, as a plain sum would go
+                d += (y[at, j] - x[i, j]) ** 2
         best = heapq.nsmallest(k, zip(np.sqrt(d).tolist(), ids[at].tolist(), rows[at].tolist(), strict=True))
         out += [(int(own[i]), row, vec, score) for score, vec, row in best]
     return out
@@ -69,8 +71,10 @@ def nearest(
     repeated query gets its own k rows. Ties go to the smaller id, then to the
     earlier row. An empty table, or no query, gives no rows.
 
-    Candidates and queries are dealt evenly into blocks by row number, and each
-    pair of blocks is a task's tile. A tile gives at most k rows for a query; the
+    Candidates and queries are dealt evenly into blocks of at most
+    ``BLOCK_BYTES`` by row number, and each pair of blocks is a task's tile.
+    Distances too large for a double are infinite, as ties. Only the two named
+    columns are read, so others may have any name. A tile gives at most k rows for a query; the
     best of these over all tiles are taken by a top-k window, partly before the
     shuffle.
     """
@@ -78,8 +82,11 @@ def nearest(
     whole = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(key).isNotNull() & whole).select(row_key().alias("row"), F.col(key).cast("long").alias("vec_id"), v.alias("v"))
     rows = stored(rows.withColumn("dim", F.size("v")).withColumn("asks", F.col("vec_id") % every == 0), "vectors")
-    n = rows.agg(F.count("*").alias("all"), F.count_if("asks").alias("asks")).first()
-    bc, bq = max(1, -(-n["all"] // BLOCK_ROWS)), max(1, -(-n["asks"] // BLOCK_ROWS))
+    n = rows.agg(F.count("*").alias("all"), F.count_if("asks").alias("asks"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).first()
+    # Wide blocks make few copies: a candidate travels once a block of queries, a query once a block of candidates.
+    most = max(STRIP_ROWS, BLOCK_BYTES // (8 * n["dim"]))
+    wide = min(most, max(BLOCK_ROWS, n["all"] // vectors.sparkSession.sparkContext.defaultParallelism))
+    bc, bq = max(1, -(-n["all"] // wide)), max(1, -(-n["asks"] // most))
 
     # A row's block is its number's hash: numbers differ, so blocks are even whatever the ids and values.
     def dealt(blocks: int) -> F.Column:
