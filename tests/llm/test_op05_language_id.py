@@ -34,6 +34,18 @@ def test_held_out_labels_and_sources_are_not_used(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_held_out_accuracy_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = op.identify(docs).where("held_out and accepted").join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("n_chars >= 40 and lang is not null").collect()
+    assert len(got) >= 20 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.9
+
+
+def test_copies_do_not_empty_the_sample(spark):
+    texts, langs = corpus(40)
+    rows = table(spark, [*texts, *["sch ung ein pf heit sch"] * 3000], [*range(40), *[40] * 3000], [*langs, *["bb"] * 3000])
+    assert [k for k, _ in op.fit(rows).dictionaries][0] == "bb" and len(op.fit(rows).dictionaries) == 3
+
+
 def test_nothing_to_learn_and_empty(spark):
     (r,) = op.identify(table(spark, ["hello there"])).collect()
     assert r.lang_pred == "und" and r.score == 0
