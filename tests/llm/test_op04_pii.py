@@ -125,9 +125,10 @@ def test_terms_go_in_whole_texts_and_where_the_entity_is_absent(spark, tmp_path,
     texts = far_texts()
     table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     want = brute_added(texts)
-    for most in (op.SENT_ROWS, 0):  # sent to all executors, and by a shuffle
-        monkeypatch.setattr(op, "SENT_ROWS", most)
+    for most, sought in ((op.SENT_BYTES, 32), (0, 0)):  # sent to all executors and sought one by one; by shuffles and in a join
+        monkeypatch.setattr(op, "SENT_BYTES", most)
         monkeypatch.setattr(op, "SENT_KEYS", most)
+        monkeypatch.setattr(op, "SOUGHT", sought)
         got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith(("gen", "rem"))] for r in op.op4_information_theoretic_pii(spark, str(tmp_path)).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert want[-1] == ["generalised:6:12"] and len(want[-3]) == 2 and want[-2] and not want[-4]

@@ -10,10 +10,11 @@ from tracewright.functions.storage import stored
 __all__ = ["bounded", "components", "numbered", "row_key", "stored"]
 
 
-def bounded(df: DataFrame, name: str, most: int) -> DataFrame:
-    """``df`` stored, with a hint to send it to all executors only if it has at most ``most`` rows."""
+def bounded(df: DataFrame, name: str, most: int, weight: Column | None = None) -> DataFrame:
+    """``df`` stored, with a hint to send it to all executors only if it has at most ``most`` rows, or bytes by each row's ``weight``."""
     df = stored(df, name)
-    return F.broadcast(df) if df.count() <= most else df
+    size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 def row_key() -> Column:

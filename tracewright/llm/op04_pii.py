@@ -33,8 +33,10 @@ _NO_SPANS = "cast(array() as array<struct<s:int,n:int,e:int,k:string>>)"
 PRIOR = 0.75
 #: Shares of the entity's information from which terms are generalised and removed.
 GENERALISED, REMOVED = 0.9, 0.98
-#: Rows of revealing terms, of documents that hold some, and of keys of repeated texts and of such terms, up to which they are sent to all executors; beyond, a shuffle.
-SENT_ROWS, SENT_KEYS = 100_000, 2_000_000
+#: Bytes of revealing terms, of what is sought in texts and of what was found there, and keys of repeated texts and of such terms, up to which they are sent to all executors; beyond, a shuffle.
+SENT_BYTES, SENT_KEYS = 32 << 20, 2_000_000
+#: Revealing words of a text up to which it is searched for them alone; of texts with more, all words are looked up in a join.
+SOUGHT = 32
 
 
 def _digits(m: Column) -> Column:
@@ -161,17 +163,20 @@ def _revealing(rows: DataFrame) -> DataFrame:
 def _added(rows: DataFrame) -> DataFrame:
     """The rows with ``added``: spans of terms that reveal any entity of the corpus, in every text."""
     risky = stored(_revealing(rows).groupBy("term").agg(F.max("k").alias("k")), "risky")  # of several entities the strongest measure
-    words = rows.select("_row", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term")).withColumn("hash", F.xxhash64("term"))
+    words = rows.select("_row", F.explode("words").alias("word")).withColumn("term", F.lower("word")).withColumn("hash", F.xxhash64("term"))
     # Hashes take less room than terms: most words go before any shuffle.
     hashes = bounded(risky.select(F.xxhash64("term").alias("hash")).distinct(), "hashes", SENT_KEYS)
-    found = stored(words.join(hashes, "hash", "left_semi").select("_row", "term").join(bounded(risky, "risky", SENT_ROWS), "term"), "found")
-    # Only texts that hold such a term are read for places.
-    held = bounded(found.select("_row").distinct(), "held", SENT_KEYS)
-    spots = rows.join(held, "_row", "left_semi").select("_row", F.explode(matches(_masked(F.col("body"), F.col("base")), TERM)).alias("x"))
-    spots = spots.select("_row", "x.s", "x.e", F.lower("x.m").alias("term"))
-    added = spots.join(bounded(found, "found", SENT_ROWS), ["_row", "term"]).groupBy("_row")
+    found = words.join(hashes, "hash", "left_semi").join(bounded(risky, "risky", SENT_BYTES, F.octet_length("term") + 32), "term")
+    found = stored(found.select("_row", "word", "k"), "found")
+    # Most texts hold few such words, and only these are sought; words are letters alone, so nothing is quoted.
+    listed = found.groupBy("_row").agg(F.collect_list("word").alias("listed"))
+    few = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("listed", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.when(F.size("listed") <= SOUGHT, few).otherwise(F.lit(TERM))
+    held = rows.join(bounded(listed.select("_row", pattern.alias("pattern")), "listed", SENT_BYTES, F.octet_length("pattern") + 32), "_row")
+    spots = held.select("_row", F.explode(matches(_masked(F.col("body"), F.col("base")), F.col("pattern"))).alias("x"))
+    added = spots.select("_row", "x.s", "x.e", F.col("x.m").alias("word")).join(found, ["_row", "word"]).groupBy("_row")
     added = added.agg(F.array_sort(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("n"), "e", "k"))).alias("added"))
-    return rows.join(bounded(added, "added", SENT_ROWS), "_row", "left").withColumn("added", F.coalesce("added", F.expr(_NO_SPANS)))
+    return rows.join(bounded(added, "added", SENT_BYTES, F.size("added") * 48 + 32), "_row", "left").withColumn("added", F.coalesce("added", F.expr(_NO_SPANS)))
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:

@@ -13,16 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.lines import once
+
 CHUNK, BLOCK_CHARS = 256, 2048
 _MARK, _OTHER = "\u0001", "\u0002"
 _NO_MATCHES = "cast(array() as array<struct<s:int,e:int,m:string>>)"
 
 
-def once(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(x)``, with ``x`` computed once however often ``f`` uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
     """For each int of an array what ``both``, from 0 on, makes of those before it; one more item for all of them."""
 
@@ -40,7 +37,7 @@ def running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
     )
 
 
-def matches(text: Column, pattern: str, some: Column | None = None) -> Column:
+def matches(text: Column, pattern: str | Column, some: Column | None = None) -> Column:
     """``array<struct<s, e, m>>`` of the leftmost non-overlapping matches of a Java pattern.
 
     ``s`` and ``e`` (exclusive) count code points, ``m`` is the match. Each match
@@ -50,7 +47,8 @@ def matches(text: Column, pattern: str, some: Column | None = None) -> Column:
     ``some`` may spare a text the search: where it isn't true nothing can match.
     """
     plain = F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(_OTHER))
-    pieces = F.split(F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    group = f"({pattern})" if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
+    pieces = F.split(F.regexp_replace(plain, group, f"{_MARK}$1{_MARK}"), _MARK, -1)
 
     def found(p: Column) -> Column:
         odd = F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
