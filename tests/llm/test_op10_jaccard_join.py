@@ -32,6 +32,7 @@ def brute(texts):
 def test_equals_brute_force(spark, monkeypatch, rows, sent):
     monkeypatch.setattr(op, "BLOCK_ROWS", rows)  # 5: large buckets are cut into cells
     monkeypatch.setattr(op, "SENT_KEYS", sent)
+    monkeypatch.setattr(op, "SENT_BUCKETS", sent)
     rng = random.Random(10)
     texts = [None, "", "!!! ...", "one", "One.", "one two three", "a b c d e", "A b, c d e", words(rng, 9000)]
     base = [words(rng, rng.randint(30, 120)) for _ in range(12)]

@@ -16,8 +16,12 @@ from tracewright.llm.words import STEP, mixed, shingles
 
 #: A cell of a bucket holds at most about two blocks of so many shingles or documents.
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 800
+#: Bands in which it is looked whether a whole bucket was met before.
+EARLY = 6
 #: Keys (one long each) up to this number are sent to the scan of texts; more meet it in a shuffle.
 SENT_KEYS = 2_000_000
+#: Shared buckets (three numbers each) up to which they are sent to all band hashes; more meet them in a shuffle.
+SENT_BUCKETS = 500_000
 
 
 def banding(similarity: float, recall: float, rows: int = 4) -> tuple[int, int]:
@@ -113,28 +117,24 @@ def _cells(sets: DataFrame, keyed: DataFrame, size: int, bands: int) -> DataFram
 
     A bucket is named by its band and its least member, the hub. ``hubs`` are a
     member's buckets by band, -1 where it is alone, so that two members share a
-    band if they have the same hub there. A bucket whose members all share an
-    earlier one has no pair to judge and is left out.
+    band if they have the same hub there. A bucket whose members all share one
+    of the ``EARLY`` first bands before it has no pair to judge and is left out;
+    that only spares work, as pairs are judged in their first band anyway.
     """
     banded = sets.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+    buckets = bounded(buckets, "buckets", SENT_BUCKETS)
     places = banded.join(buckets, ["band", "hash"]).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "hub"))).alias("at"))
     hubs = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.try_element_at("at", b), F.lit(-1).cast("long")))
     members = stored(places.join(sets, "rep").select("rep", "n", "copies", hubs.alias("hubs")), "members")
 
     shared = members.select("rep", "n", "hubs", F.posexplode("hubs").alias("band", "hub")).where("hub >= 0")
-    first = members.select(F.col("rep").alias("hub"), F.col("hubs").alias("of_hub"))
-    same = F.aggregate(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        F.lit(0).cast("long"),
-        lambda acc, b: acc + F.when((F.get("hubs", b) == F.get("of_hub", b)) & (F.get("hubs", b) >= 0), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")),
-    )
-    judged = shared.join(first, "hub").select("band", "hub", "n", same.alias("same")).groupBy("band", "hub")
-    judged = judged.agg(
-        F.bit_and("same").alias("same"),
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("k"),
-    )
-    judged = judged.where(F.col("same").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band")) - 1) == 0)
+    early = range(min(EARLY, bands))
+    ends = [f(F.get("hubs", F.lit(b))).alias(f"{name}{b}") for b in early for name, f in (("lo", F.min), ("hi", F.max))]
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("k")
+    judged = shared.groupBy("band", "hub").agg(blocks, *ends)
+    for b in early:
+        judged = judged.where(~((F.col("band") > b) & (F.col(f"lo{b}") == F.col(f"hi{b}")) & (F.col(f"lo{b}") >= 0)))
     dealt = shared.select("rep", "band", "hub").join(judged.select("band", "hub", "k"), ["band", "hub"])
     dealt = dealt.groupBy("rep").agg(F.collect_list(F.struct("band", "hub", "k")).alias("cells"))  # at most one a band
     dealt = stored(dealt.join(members, "rep"), "dealt")
