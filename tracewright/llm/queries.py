@@ -17,6 +17,9 @@ from tracewright.llm import (
     op08_decontamination,
     op09_secrets,
     op10_jaccard_join,
+    op11_importance_resampling,
+    op12_centroids,
+    op13_embedding_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,9 +33,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op08_decontamination.op8_decontamination,
     "op9_multipart_secrets": op09_secrets.op9_multipart_secrets,
     "op10_minhash_jaccard_join": op10_jaccard_join.op10_minhash_jaccard_join,
+    "op11_importance_resampling": op11_importance_resampling.op11_importance_resampling,
+    "op12_centroid_clustering": op12_centroids.op12_centroid_clustering,
+    "op13_embedding_near_dedup": op13_embedding_dedup.op13_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_block_matrix_nearest": op01_nearest.ORACLE,
     "op2_jump_hash_sharding": op02_sharding.ORACLE,
     "op8_decontamination": op08_decontamination.ORACLE,
+    "op11_importance_resampling": op11_importance_resampling.ORACLE,
+    "op12_centroid_clustering": op12_centroids.ORACLE,
+    "op13_embedding_near_dedup": op13_embedding_dedup.ORACLE,
 }

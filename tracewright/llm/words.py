@@ -12,6 +12,11 @@ _BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+def is_word(raw: np.ndarray) -> np.ndarray:
+    """For each byte whether it is part of a word."""
+    return _IS_WORD[raw]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers after which all bits look random."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
