@@ -51,7 +51,7 @@ def awkward():
     return texts, ids
 
 
-@pytest.mark.parametrize(("longest", "block", "part"), [(2, 16 << 20, 8 << 20), (2, 300, 500), (3, 1000, 100)])
+@pytest.mark.parametrize(("longest", "block", "part"), [(2, 8 << 20, 4 << 20), (2, 300, 500), (3, 1000, 100)])
 def test_equals_brute_force(spark, monkeypatch, longest, block, part):
     monkeypatch.setattr(op, "BLOCK_BYTES", block)  # many blocks and parts
     monkeypatch.setattr(op, "PART_BYTES", part)

@@ -26,7 +26,7 @@ from tracewright.llm.common import numbered, row_key, stored
 from tracewright.llm.words import STEP, is_word, mixed, words_of
 
 #: Bytes of texts in a block (a longer text is a block of its own), and of texts for each part of the dictionary.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
 _BLOCKS = "block long, bytes long, ids array<long>, no_id array<boolean>, n_words array<long>, words binary, sequence binary"
 _DICTIONARY = "block long, part int, buckets binary, sums array<long>, feature binary, n long"
 
@@ -61,30 +61,32 @@ def _numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.nda
 def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The documents in blocks: ids and numbers of words by document, different words, and all words as numbers of these."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in _BLOCKS.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, weight = TaskContext.get().partitionId() << 33, [], 0
 
-        def block() -> pd.DataFrame:
-            nonlocal first
+        def block() -> pa.RecordBatch:
+            nonlocal first, held, weight
             words, sequence, n_words = _numbered_words([h[2] for h in held])
-            row = (first, weight, [h[0] for h in held], [h[1] for h in held], n_words, _packed(b"\n".join(words)), _packed(sequence.tobytes()))
-            first += 1
-            return pd.DataFrame([row], columns=["block", "bytes", "ids", "no_id", "n_words", "words", "sequence"])
+            row = (first, weight, [h[0] for h in held], [h[1] for h in held], n_words.tolist(), _packed(b"\n".join(words)), _packed(sequence.tobytes()))
+            first, held, weight = first + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
 
         for batch in batches:
-            for doc, no_id, body in zip(batch["id"], batch["no_id"], batch["body"], strict=True):
-                body = body.encode("utf-8", "surrogatepass")
-                if held and weight + len(body) > BLOCK_BYTES:
+            body = batch.column("body").cast(pa.large_binary())
+            for i, (doc, no_id) in enumerate(zip(batch.column("id").to_pylist(), batch.column("no_id").to_pylist(), strict=True)):
+                text = body[i].as_py()
+                if held and weight + len(text) > BLOCK_BYTES:
                     yield block()
-                    held, weight = [], 0
-                held.append((doc, no_id, body))
-                weight += len(body)
+                held.append((doc, no_id, text))
+                weight += len(text)
         if held:
             yield block()
 
     ids = F.col(key).cast("long")
     rows = docs.select(F.coalesce(ids, F.lit(0).cast("long")).alias("id"), ids.isNull().alias("no_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    return stored(rows.mapInPandas(scan, _BLOCKS), "blocks")
+    return stored(rows.mapInArrow(scan, _BLOCKS), "blocks")
 
 
 class _Features:
@@ -98,7 +100,7 @@ class _Features:
     def __init__(self, words: bytes, sequence: bytes, n_words: np.ndarray, longest: int, parts: int) -> None:
         self.words = words.split(b"\n") if words else []
         ids = np.frombuffer(sequence, np.uint32).astype(np.int64)
-        left = np.repeat(np.cumsum(n_words), n_words) - np.arange(len(ids))  # words from here to the text's end
+        left = (np.repeat(np.cumsum(n_words), n_words) - np.arange(len(ids))).astype(np.int32)  # words from here to the text's end
         own = words_of(words.decode("utf-8", "surrogatepass"))[0]
         self.at, self.places, self.pairs, self.counts = [ids], [np.arange(len(ids))], [], [np.bincount(ids, minlength=len(self.words))]
         hashes, before = [own], ids
