@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.code import LANGUAGES, SYMBOLS, Code
 from tracewright.functions.lines import lines
 from tracewright.functions.storage import stored
 
@@ -175,56 +179,45 @@ def hybrid_search(vectors: DataFrame, names: DataFrame, query: str, vector: list
     return rows.orderBy(F.desc("score"), "id").limit(most)
 
 
-# What opens a symbol in each language, as (kind by keyword, pattern of keyword and name).
-DEFINITIONS = {
-    "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern)\s+)*(fn|struct|enum|trait)\s+([A-Za-z_]\w*)",
-    "py": r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)",
-    "go": r"^(func|type)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-    "js": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class)\s+([A-Za-z_]\w*)",
-}
-SCRIPTS = ("js", "jsx", "ts", "tsx")
-KINDS = {"fn": "Function", "def": "Function", "func": "Function", "function": "Function", "struct": "Struct", "type": "Struct", "enum": "Enum", "trait": "Trait", "class": "Class"}
-CALL = r"\b([A-Za-z_]\w*)\s*(?:::\s*\w+\s*)*\("
-NO_CALLS = ("if", "for", "while", "match", "switch", "return", "fn", "def", "func", "function", "catch", "loop", "elif", "and", "or", "not", "in")
-
-
-def _code_lines(files: DataFrame) -> DataFrame:
-    """The lines of code files with the symbol that each opens, and the number of symbols opened so far in its file."""
-    rows = files.select("path", F.when(F.lower("ext").isin(*SCRIPTS), "js").otherwise(F.lower("ext")).alias("ext"), F.posexplode(lines(F.col("content"))).alias("pos", "line"))
-    rows = rows.where(F.col("ext").isin(*DEFINITIONS))
-    word, name = F.lit(""), F.lit("")
-    for ext, pattern in DEFINITIONS.items():
-        word = F.when(F.col("ext") == ext, F.regexp_extract("line", pattern, 1)).otherwise(word)
-        name = F.when(F.col("ext") == ext, F.regexp_extract("line", pattern, 2)).otherwise(name)
-    rows = rows.withColumn("word", word).withColumn("name", name)
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("nth", F.sum((F.col("name") != "").cast("int")).over(w))
+def _outlined(files: DataFrame) -> DataFrame:
+    """``path``, ``nth``, ``kind``, ``name``, ``line_start``, ``line_end``, ``calls`` of each symbol of code files, a file at a time."""
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"], strict=True):
+                code = Code(content, ext)
+                calls: dict[int, list[str]] = {}
+                for symbol, name in code.calls():
+                    calls.setdefault(symbol.first, []).append(name)
+                out += [(path, nth, x.kind, x.name, x.line_start, x.line_end, calls.get(x.first, [])) for nth, x in enumerate(code.symbols)]
+            yield pd.DataFrame(out, columns=["path", "nth", "kind", "name", "line_start", "line_end", "calls"])
 
-def _kind() -> Column:
-    return F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("word")]
+    known = [ext for ext, lang in LANGUAGES.items() if lang in SYMBOLS]
+    rows = files.where(F.lower("ext").isin(known) & F.col("content").isNotNull()).select("path", "ext", "content")
+    found = rows.mapInPandas(scan, "path string, nth int, kind string, name string, line_start int, line_end int, calls array<string>")
+    return found.withColumn("id", F.concat_ws(":", "kind", "path", "name"))
 
 
 def extracted_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of code files (path, ext, content), by what opens a line; each ends before the next one opens or with its file.
+    """Symbols of code files (path, ext, content): what defines them outside quotes and comments, to their own end.
 
-    Of equal ids (kind, file and name) the last one stays.
+    Kinds are functions, methods, classes, structs, enums and traits of Rust,
+    Python, Go and JavaScript or TypeScript. Lines count from 1, both ends
+    included. Of equal ids (kind, file and name) the last one stays.
     """
-    rows = _code_lines(files)
-    ends = rows.groupBy("path", "nth").agg((F.max("pos") + 1).cast("int").alias("line_end"))
-    found = rows.where("name <> ''").join(ends, ["path", "nth"]).withColumn("kind", _kind())
-    found = found.withColumn("id", F.concat_ws(":", "kind", "path", "name")).groupBy("id", "name", "kind", F.col("path").alias("file_path"))
-    return found.agg(F.max_by(F.struct((F.col("pos") + 1).cast("int").alias("line_start"), "line_end"), "pos").alias("at")).select("id", "name", "kind", "file_path", "at.*")
+    found = _outlined(files).groupBy("id", "name", "kind", F.col("path").alias("file_path"))
+    return found.agg(F.max_by(F.struct("line_start", "line_end"), "nth").alias("at")).select("id", "name", "kind", "file_path", "at.*")
 
 
 def extracted_calls(files: DataFrame) -> DataFrame:
-    """``caller_id``, ``callee_name``: names before a bracket, for the symbol opened last; not its own name, nor keywords."""
-    rows = _code_lines(files)
-    heads = rows.where("name <> ''").select("path", "nth", F.col("name").alias("own"), F.concat_ws(":", _kind(), F.col("path"), F.col("name")).alias("caller_id"))
-    body = F.when(F.col("name") == "", F.col("line")).otherwise(F.substring_index("line", ")", -1))
-    calls = rows.select("path", "nth", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(CALL), F.lit(1)))).alias("callee_name"))
-    calls = calls.where(~F.col("callee_name").isin(*NO_CALLS)).join(heads, ["path", "nth"]).where("callee_name <> own")
-    return calls.select("caller_id", "callee_name").distinct()
+    """``caller_id``, ``callee_name`` of each call, for the symbol opened last before it; not its own name.
+
+    The callee is the attribute in Python and the field in Rust, else the first
+    name of its path (``fmt`` of ``fmt.Println(x)``). Arguments of Rust macros
+    hold no calls.
+    """
+    return _outlined(files).select(F.col("id").alias("caller_id"), F.explode("calls").alias("callee_name")).distinct()
 
 
 def replaced_index(symbols: DataFrame, deps: DataFrame, delta: DataFrame, new_symbols: DataFrame, new_deps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -239,21 +232,43 @@ def replaced_index(symbols: DataFrame, deps: DataFrame, delta: DataFrame, new_sy
     return left.unionByName(came), calls.unionByName(added).distinct()
 
 
+def _sites(files: DataFrame, name: str, new_name: str | None) -> DataFrame:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"], strict=True):
+                sites, renamed, at, far = [], [], 0, 0
+                for line, a, b in Code(content, ext).sites(name):
+                    start = far + len(content[at:a].encode())
+                    far = start + len(name.encode())
+                    sites.append({"line": line, "byte_start": start, "byte_end": far})
+                    renamed += [content[at:a], new_name or ""]
+                    at = b
+                if sites:
+                    out.append((path, sites, "".join(renamed) + content[at:] if new_name else None))
+            yield pd.DataFrame(out, columns=["file_path", "sites", "content"])
+
+    rows = files.where(F.lower("ext").isin(*LANGUAGES) & F.col("content").isNotNull()).select("path", "ext", "content")
+    return rows.mapInPandas(scan, "file_path string, sites array<struct<line: int, byte_start: long, byte_end: long>>, content string")
+
+
+def identifier_sites(files: DataFrame, name: str) -> DataFrame:
+    """``file_path``, ``line``, ``byte_start``, ``byte_end`` of each place where a name stands as one, not in quotes or comments."""
+    return _sites(files, name, None).select("file_path", F.inline("sites"))
+
+
 def rename_plan(symbols: DataFrame, deps: DataFrame, files: DataFrame, name: str, new_name: str) -> DataFrame:
-    """``file_path``, ``sites``, ``content``: the files that define or call a name, with its places renamed outside quotes and comments.
+    """``file_path``, ``sites``, ``places``, ``content``: the files that define or call a name, with all its places renamed.
 
-    Only files that the index names are read.
+    ``places`` are the lines and the ranges of UTF-8 bytes that the old name
+    takes. Only files that the index names are read.
     """
+    if not new_name.isidentifier():
+        raise ValueError("the new name must be an identifier")
     defined = symbols.where(F.col("name") == name).select("file_path")
     wanted = defined.union(references(symbols, deps, name).select("file_path")).distinct()
-    # Quotes and comments are matched as a whole and stay: marks stand around the pieces between them.
-    apart = r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|//[^\n]*|#[^\n]*)"""
-    pieces = F.split(F.regexp_replace("content", apart, "\u0001$1\u0001"), "\u0001", -1)
-    token = rf"(?<![A-Za-z0-9_]){name}(?![A-Za-z0-9_])"
-    rows = files.select(F.col("path").alias("file_path"), pieces.alias("pieces")).join(wanted, "file_path", "left_semi")
-    sites = F.aggregate(F.transform("pieces", lambda x, i: F.when(i % 2 == 0, F.regexp_count(x, F.lit(token))).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    renamed = F.array_join(F.transform("pieces", lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, token, new_name)).otherwise(x)), "")
-    return rows.select("file_path", sites.cast("long").alias("sites"), renamed.alias("content")).where("sites > 0")
+    found = _sites(files.join(wanted, files.path == wanted.file_path, "left_semi"), name, new_name)
+    return found.select("file_path", F.size("sites").cast("long").alias("sites"), F.col("sites").alias("places"), "content")
 
 
 def flow_trace(symbols: DataFrame, edges: DataFrame, names: list[str], max_depth: int = 6, max_nodes: int = 200) -> DataFrame:
@@ -263,8 +278,6 @@ def flow_trace(symbols: DataFrame, edges: DataFrame, names: list[str], max_depth
     go by id; one met again is a leaf that is cut off and doesn't count; a tree
     ends at ``max_nodes`` symbols.
     """
-    import pandas as pd
-
     starts = symbols.where(F.col("name").isin(names)).groupBy("name").agg(F.min("id").alias("id")).select("id")
     steps = stored(edges.select("caller_id", "callee_id").distinct(), "steps")
     seen = stored(starts.select(F.col("id").alias("entry"), F.col("id").alias("node")), "seen")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.lines import tokens
 from tracewright.operators import dlp, graph, ledger, line_filters, packing, pricing, profiles, reports, router, search, sequence_filters, stores
 from tracewright.plans import log_sql
-from tracewright.sources.corpus import FAMILIES, view, with_views
+from tracewright.sources.corpus import CODE, CODE_PARTS, FAMILIES, code_files, view, with_views
 from tracewright.streaming import ledger_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,31 +139,62 @@ _add("vault_notes", lambda s, d: reports.vault_notes(view(s, d, "symbols"), view
   i AS (SELECT callee_name, string_agg('- [[' || n.title || ']]' || chr(10), '' ORDER BY n.id) AS x FROM c JOIN n ON n.id = c.caller_id GROUP BY 1)
   SELECT title, max_by('# Symbol: ' || name || chr(10) || chr(10) || '- **Kind:** ' || kind || chr(10) || '- **Location:** `' || file_path || ':' || line_start || '-' || line_end || '`' || chr(10) || chr(10) || '## Calls (Outgoing)' || chr(10) || coalesce(o.x, '- None' || chr(10)) || chr(10) || '## Referenced By (Incoming)' || chr(10) || coalesce(i.x, '- None' || chr(10)), id) AS body
   FROM n LEFT JOIN o ON o.caller_id = n.id LEFT JOIN i ON i.callee_name = n.name GROUP BY title""")
-_DEF_RS, _DEF_PY = graph.DEFINITIONS["rs"], graph.DEFINITIONS["py"]
-_CODE = f""", ln AS (SELECT path, ext, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT path, ext, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT path, ext, string_split(content, chr(10)) AS l FROM files))),
-  d AS (SELECT *, regexp_extract(line, CASE ext WHEN 'rs' THEN '{_DEF_RS}' ELSE '{_DEF_PY}' END, 1) AS word, regexp_extract(line, CASE ext WHEN 'rs' THEN '{_DEF_RS}' ELSE '{_DEF_PY}' END, 2) AS name FROM ln),
-  code AS (SELECT *, sum((name <> '')::INT) OVER (PARTITION BY path ORDER BY pos) AS nth, 'Function:' || path || ':' || name AS id FROM d)
+# What the parts' code holds, by language: (kind, letter, first line, last line), and (owner's kind and letter, callee).
+_SYMBOLS = {
+    "rs": [("Struct", "S", 3, 3), ("Function", "f", 5, 7)], "py": [("Class", "S", 2, 6), ("Function", "f", 5, 6)], "go": [("Struct", "S", 1, 1), ("Method", "f", 3, 7)],
+    "ts": [("Class", "S", 1, 6), ("Method", "f", 3, 5), ("Function", "u", 7, 7)],
+}
+_CALLS = {
+    "rs": [("Function", "f", "'g' || o"), ("Function", "f", "'F' || o"), ("Function", "f", "'m'")],
+    "py": [("Function", "f", "'g' || o"), ("Function", "f", "'h' || o"), ("Function", "f", "'i' || o"), ("Function", "f", "CASE WHEN NOT is_last THEN 'wrap' END")],
+    "go": [("Method", "f", "'fmt'"), ("Method", "f", "'f' || o"), ("Method", "f", "'g' || o"), ("Method", "f", "'s'")],
+    "ts": [("Method", "f", "'console'"), ("Method", "f", "'g' || o"), ("Method", "f", "'f' || o"), ("Function", "u", "'i' || o"), ("Function", "u", "'f' || o")],
+}
+_KNOWN = f""", parts AS (SELECT k, o, ext, 'd' || file // 5 || '/c' || file || '.' || ext AS path, (row_number() OVER (PARTITION BY file ORDER BY k) - 1) * 8 AS above, lead(k) OVER (PARTITION BY file ORDER BY k) IS NULL AS is_last
+    FROM (SELECT *, {list(CODE)}[(file % 4 + 1)::INTEGER] AS ext FROM ({CODE_PARTS}))),
+  found AS ({" UNION ALL ".join(f"SELECT path, '{kind}:' || path || ':{x}' || k AS id, '{x}' || k AS name, '{kind}' AS kind, (above + {a})::INTEGER AS line_start, (above + {b})::INTEGER AS line_end FROM parts WHERE ext = '{ext}'" for ext, rows in _SYMBOLS.items() for kind, x, a, b in rows)}),
+  called AS ({" UNION ".join(f"SELECT '{kind}:' || path || ':{x}' || k AS caller_id, {callee} AS callee_name FROM parts WHERE ext = '{ext}' AND {callee} <> '{x}' || k" for ext, rows in _CALLS.items() for kind, x, callee in rows)})
 """
-_add("extracted_symbols", lambda s, d: graph.extracted_symbols(view(s, d, "files")), "files", sql=_CODE + """, e AS (SELECT path, nth, max(pos) + 1 AS line_end FROM code GROUP BY ALL), f AS (SELECT code.*, e.line_end, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS k FROM code JOIN e USING (path, nth) WHERE name <> '')
-  SELECT id, name, 'Function' AS kind, path AS file_path, (pos + 1)::INTEGER AS line_start, line_end::INTEGER AS line_end FROM f WHERE k = 1""")
-_add("extracted_calls", lambda s, d: graph.extracted_calls(view(s, d, "files")), "files", sql=_CODE + r""", c AS (SELECT path, nth, unnest(list_distinct(regexp_extract_all(CASE WHEN name = '' THEN line ELSE string_split(line, ')')[-1] END, '\b([A-Za-z_]\w*)\s*\(', 1))) AS callee_name FROM code)
-  SELECT DISTINCT h.id AS caller_id, callee_name FROM c JOIN code h ON h.path = c.path AND h.nth = c.nth AND h.name <> '' WHERE callee_name <> h.name""")
+_add("extracted_symbols", lambda s, d: graph.extracted_symbols(view(s, d, "code")), "code", sql=_KNOWN + "SELECT id, name, kind, path AS file_path, line_start, line_end FROM found")
+_add("extracted_calls", lambda s, d: graph.extracted_calls(view(s, d, "code")), "code", sql=_KNOWN + "SELECT caller_id, callee_name FROM called")
 
 
 def _from_code(f: Callable[[SparkSession, str, DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        files = view(spark, d, "files")
+        files = view(spark, d, "code")
         return f(spark, d, graph.extracted_symbols(files), graph.extracted_calls(files))
 
     return run
 
 
-_add("rename_plan", _from_code(lambda s, d, x, y: graph.rename_plan(x, y, view(s, d, "files"), "f42", "g42")))
+def _renamed(column: str) -> str:
+    return f"CASE WHEN {column} = 85 THEN 'g85' ELSE 'f' || CAST({column} AS STRING) END"
+
+
+_add("rename_plan", _from_code(lambda s, d, x, y: graph.rename_plan(x, y, view(s, d, "code"), "f85", "g85").drop("places")), "code", sql=_KNOWN + f""", renamed AS ({code_files(_renamed("k"), _renamed("o")).replace("JOINED(line, k)", "string_agg(line, chr(10) ORDER BY k)")}),
+  wanted AS (SELECT path FROM found WHERE name = 'f85' UNION SELECT path FROM found JOIN called ON caller_id = id WHERE callee_name = 'f85'),
+  counted AS (SELECT path, sum((k = 85)::INT + (o = 85)::INT * CASE ext WHEN 'py' THEN 1 ELSE 2 END)::BIGINT AS sites FROM parts GROUP BY path)
+  SELECT path AS file_path, sites, content FROM renamed JOIN counted USING (path) WHERE path IN (FROM wanted)""")
+_add("identifier_sites", lambda s, d: graph.identifier_sites(view(s, d, "code"), "f85").drop("byte_start", "byte_end"), "code", sql=_KNOWN + """, sites AS (
+    SELECT path, unnest(list_concat(CASE WHEN k = 85 THEN [CASE WHEN ext IN ('rs', 'py') THEN 5 ELSE 3 END] ELSE [] END,
+      CASE WHEN o = 85 THEN CASE ext WHEN 'rs' THEN [6, 6] WHEN 'py' THEN [1] WHEN 'go' THEN [1, 5] ELSE [4, 8] END ELSE [] END)) + above AS line FROM parts)
+  SELECT path AS file_path, line::INTEGER AS line FROM sites""")
 _add("flow_trace", _graph(lambda s, p, e: graph.flow_trace(s, e, ["f7", "f16", "f29"], 4, 50)))
-_add("index_replaced", _from_code(lambda s, d, x, y: graph.replaced_index(x, y, view(s, d, "files").select(F.col("path").alias("file_path"), F.when(F.col("path").like("d1/%"), "gone").when(F.col("path").like("d0/%"), "changed").otherwise("same").alias("state")), x.withColumn("line_end", F.col("line_end") + 1), y)[0]), "files", sql=_CODE + """, e AS (SELECT path, nth, max(pos) + 1 AS line_end FROM code GROUP BY ALL), f AS (SELECT code.*, e.line_end, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS k FROM code JOIN e USING (path, nth) WHERE name <> '')
-  SELECT id, name, 'Function' AS kind, path AS file_path, (pos + 1)::INTEGER AS line_start, (line_end + (path LIKE 'd0/%')::INT)::INTEGER AS line_end FROM f WHERE k = 1 AND path NOT LIKE 'd1/%'""")
-_VECTOR = [0.1, -0.2, 0.3, 0.05]
-_add("hybrid_search", lambda s, d: graph.hybrid_search(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 4).alias("embedding")), view(s, d, "symbols").select(F.substring_index("name", "f", -1).try_cast("long").alias("id"), "name").groupBy("id").agg(F.max("name").alias("name")), "f1", _VECTOR), "symbols", sql=f", n AS (SELECT substr(name, 2)::BIGINT AS id, max(name) AS name FROM symbols GROUP BY 1), v AS (SELECT vec_id AS id, list_sum(list_transform([1, 2, 3, 4], lambda i: coalesce(embedding[i]::DOUBLE * {_VECTOR}[i], 0.0))) AS dot FROM embeddings) SELECT id, name, round(0.5 * contains(name, 'f1')::INT + 0.5 * coalesce(dot, 0.0), 4) AS score FROM n JOIN v USING (id) ORDER BY score DESC, id LIMIT 10")
+
+
+def _replaced(spark: SparkSession, d: str, symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    files = view(spark, d, "code").select(F.col("path").alias("file_path"), F.when(F.col("path").like("d1/%"), "gone").when(F.col("path").like("d0/%"), "changed").otherwise("same").alias("state"))
+    moved, more = symbols.withColumn("line_end", F.col("line_end") + 1), calls.withColumn("callee_name", F.concat("callee_name", F.lit("_2")))
+    new, linked = graph.replaced_index(symbols, calls, files, moved, more)
+    none, zero = F.lit("").alias, F.lit(0).alias
+    calls = linked.select(F.col("caller_id").alias("id"), none("name"), none("kind"), none("file_path"), zero("line_start"), zero("line_end"), "callee_name")
+    return new.withColumn("callee_name", F.lit("")).unionByName(calls)
+
+
+_add("index_replaced", _from_code(_replaced), "code", sql=_KNOWN + """SELECT id, name, kind, path AS file_path, line_start, (line_end + (path LIKE 'd0/%')::INT)::INTEGER AS line_end, '' AS callee_name FROM found WHERE path NOT LIKE 'd1/%'
+  UNION ALL SELECT caller_id, '', '', '', 0, 0, callee_name || CASE WHEN caller_id LIKE '%:d0/%' THEN '_2' ELSE '' END FROM called WHERE caller_id NOT LIKE '%:d1/%'""")
+_VECTOR = [(i * 37 % 21 - 10) / 100 for i in range(64)]
+_add("hybrid_search", lambda s, d: graph.hybrid_search(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"), view(s, d, "symbols").select(F.substring_index("name", "f", -1).try_cast("long").alias("id"), "name").groupBy("id").agg(F.max("name").alias("name")), "f1", _VECTOR), "symbols", sql=f", n AS (SELECT substr(name, 2)::BIGINT AS id, max(name) AS name FROM symbols GROUP BY 1), v AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: coalesce(embedding[i]::DOUBLE * {_VECTOR}[i], 0.0))) AS dot FROM embeddings) SELECT id, name, round(0.5 * contains(name, 'f1')::INT + 0.5 * coalesce(dot, 0.0), 4) AS score FROM n JOIN v USING (id) ORDER BY score DESC, id LIMIT 10")
 
 # Stores, search and reports.
 _add("memory_search", lambda s, d: search.ranked(view(s, d, "memory"), "tion whon er", "p1"), "memory", sql=""", w AS (SELECT key, val, project_path, regexp_extract_all(lower(key || ' ' || coalesce(val, '')), '[\\p{L}\\p{N}]+') AS t FROM memory),
@@ -216,7 +247,7 @@ _add("model_suggestions", lambda s, d: view(s, d, "commands").select("id", prici
 _IGNORED_SQL = " OR ".join(f"list_contains(string_split(path, '/'), '{p}') OR starts_with(path, '{p}') OR contains(path, '/{p}')" for p in packing.IGNORED)
 _add("pack_ignored", lambda s, d: view(s, d, "files").select("path", packing.is_ignored(F.col("path")).alias("ignored"), packing.is_binary(F.col("content")).alias("is_binary"), packing.is_code(F.col("path")).alias("code")), "files", sql=f"SELECT path, {_IGNORED_SQL} AS ignored, false AS is_binary, true AS code FROM files")
 _add("pack_stripped", lambda s, d: packing.strip_content(view(s, d, "files")), "files", sql=log_sql.STRIPPED)
-_add("pack_skeleton", lambda s, d: view(s, d, "files").select("path", packing.skeleton(F.col("content"), F.col("ext")).alias("content")))
+_add("pack_skeleton", lambda s, d: view(s, d, "code").select("path", packing.skeleton(F.col("content"), F.col("ext")).alias("content")), "code", sql=f"SELECT path, content FROM ({code_files(collapsed=True).replace('JOINED(line, k)', 'string_agg(line, chr(10) ORDER BY k)')})")
 _add("pack_documents", lambda s, d: packing.documents(packing.packed(view(s, d, "files")), F.substring_index("path", "/", 1)), "files", sql=f"""SELECT project, document, ((strlen(document) + 3) // 4)::BIGINT AS n_tokens FROM (SELECT string_split(path, '/')[1] AS project, '<repository>' || chr(10) || string_agg('  <file path="' || path || '">' || chr(10) || '    <![CDATA[' || chr(10) || content || CASE WHEN content LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '    ]]>' || chr(10) || '  </file>' || chr(10), '' ORDER BY path) || '</repository>' || chr(10) AS document FROM files WHERE NOT ({_IGNORED_SQL}) GROUP BY 1)""")
 _add("pack_collapsed", lambda s, d: packing.packed(view(s, d, "files"), strip_comments=True, bodies=False))
 

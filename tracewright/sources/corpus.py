@@ -74,7 +74,76 @@ def _text(x: str) -> str:
     return f"CAST({x} AS STRING)"
 
 
+#: Eight lines of code a part, by language: {K} is its number, {O} another part's, {D} the name it defines, {C} that of another part where it stands as a name.
+CODE = {
+    "rs": [
+        "/* fn no() { f1() } /* nested */ */",
+        "#[derive(F{O})]",
+        "pub struct S{K}<'a> { x: &'a str }",
+        "impl<'a> S{K}<'a> {",
+        "    fn {D}(&self) -> char { // f{O}()",
+        "        let s = \"f{O}(\"; println!(\"{}\", {C}(1)); self.g{O}(F{O}::new('\"')); m::{C}(s); '}'",
+        "    }",
+        "}",
+    ],
+    "py": [
+        "@wrap({C})",
+        "class S{K}:",
+        "    '''class no:",
+        "    def no(): f{O}()'''",
+        "    async def {D}(self, x=g{O}()):",
+        "        return a.h{O}(x // 2)[0](1) # f{O}()",
+        "",
+        "v = f\"{i{O}(1)} f{O}(\"",
+    ],
+    "go": [
+        "type S{K} struct { {C} func(int) }",
+        "// func no() { f{O}() }",
+        "func (s *S{K}) {D}(x interface{}) (int, error) {",
+        "\tfmt.Println(`func no() {`, 'x', \"f{O}(\")",
+        "\tgo {C}(func() int { return g{O}(1) })",
+        "\treturn s.x.h{O}(), nil",
+        "}",
+        "",
+    ],
+    "ts": [
+        "export class S{K} {",
+        "  /* function no() { */ static re = /[/'\"]f{O}\\(/;",
+        "  async {D}(a: number): Promise<void> {",
+        "    console.log(`f{O}( ${g{O}(1)} {`); this.h{O}(new K{O}(2)); a / {C}(3) / 2;",
+        "  }",
+        "}",
+        "function u{K}() { return () => { i{O}(); }; }",
+        "const v{K} = function no() { {C}(); };",
+    ],
+}
+#: The same without bodies: what stands in place of some of the lines.
+COLLAPSED = {
+    "rs": {5: "    fn {D}(&self) -> char { /* collapsed */ }", 6: None, 7: None},
+    "py": {6: "            pass  # collapsed # f{O}()"},
+    "go": {3: "func (s *S{K}) {D}(x interface{}) (int, error) { /* collapsed */ }", 4: None, 5: None, 6: None, 7: None},
+    "ts": {3: "  async {D}(a: number): Promise<void> { /* collapsed */ }", 4: None, 5: None, 7: "function u{K}() { /* collapsed */ }", 8: "const v{K} = function no() { /* collapsed */ };"},
+}
+CODE_PARTS = """SELECT p_partkey AS k, p_partkey - p_partkey % 50 + p_partkey * 7 % 50 AS o, CAST(floor(p_partkey / 20) AS BIGINT) AS file FROM part"""
+
+
+def code_files(defined: str = "'f' || CAST(k AS STRING)", named: str = "'f' || CAST(o AS STRING)", collapsed: bool = False) -> str:
+    """SQL of ``path``, ``ext``, ``content``: a file for each 20 parts, its language by its number."""
+    numbers = {"{K}": "CAST(k AS STRING)", "{O}": "CAST(o AS STRING)", "{D}": defined, "{C}": named}
+
+    def text(ext: str) -> str:
+        told = [COLLAPSED[ext].get(i, line) if collapsed else line for i, line in enumerate(CODE[ext], 1)]
+        pieces = re.split(r"(\{[KODC]\}|['\\\t\n])", "\n".join(x for x in told if x is not None))
+        return " || ".join(numbers.get(x) or (f"chr({ord(x)})" if x in ("'", "\\", "\t", "\n") else f"'{x}'") for x in pieces if x)
+
+    kinds = " ".join(f"WHEN {i} THEN '{ext}'" for i, ext in enumerate(CODE))
+    blocks = " ".join(f"WHEN {i} THEN {text(ext)}" for i, ext in enumerate(CODE))
+    return f"""SELECT path, ext, JOINED(line, k) AS content FROM (SELECT k, ext, 'd' || CAST(CAST(floor(file / 5) AS BIGINT) AS STRING) || '/c' || CAST(file AS STRING) || '.' || ext AS path, line
+        FROM (SELECT k, file, CASE file % 4 {kinds} END AS ext, CASE file % 4 {blocks} END AS line FROM ({CODE_PARTS}) p) b) c GROUP BY path, ext"""
+
+
 VIEWS: dict[str, str] = {
+    "code": code_files(),
     "prices": "SELECT * FROM (VALUES "
     + ", ".join(f"({i}, '{m}', '{p}', '{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (m, p, n, a, b) in enumerate(PRICES))
     + ") AS t(ord, model_id, provider, display_name, input_price, output_price)",
