@@ -244,6 +244,40 @@ def test_flow_trace_goes_depth_first_within_its_bounds(spark):
             assert rows == walk(entry, depth, most)
 
 
+@pytest.mark.parametrize("upstream", [True, False])
+def test_reach_counts_equal_a_search_from_each_start(spark, upstream):
+    rng = random.Random(4)
+    nodes = [f"n{i}" for i in range(150)]
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("n60", "n30"), ("n5", "n5"), ("n70", "n71"), ("n71", "n70")]  # a chain into a ring, a loop, a pair
+    edges += [tuple(rng.sample(nodes[80:140], 2)) for _ in range(70)] + [("n0", "n1")]
+    next_of = {}
+    for a, b in edges:
+        next_of.setdefault(b if upstream else a, set()).add(a if upstream else b)
+    want = {}
+    for start in nodes:
+        seen, todo = {start}, [start]
+        while todo:
+            new = next_of.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        want[start] = len(seen) - 1
+    starts = spark.createDataFrame([(x,) for x in [*nodes, "n3", None]], "id string")
+    got = graph.reach_counts(spark.createDataFrame(edges, "caller_id string, callee_id string"), starts, upstream).collect()
+    assert len(got) == len(nodes) and {r.id: r.n for r in got} == want
+    assert graph.reach_counts(spark.createDataFrame([], "caller_id string, callee_id string"), starts.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("bin_lines", [1, 7, 64])
+def test_touched_equals_a_loop_over_all_pairs(spark, bin_lines):
+    rng = random.Random(9)
+    symbols = [(f"s{i}", f"f{i % 3}", a, a + rng.choice([0, 3, 40, 500])) for i in range(200) for a in [rng.randint(1, 900)]] + [("none", "f0", 9, 8)]
+    hunks = [(f"f{rng.randint(0, 3)}", a, a + rng.randint(0, 30)) for _ in range(25) for a in [rng.randint(0, 900)]] * 2 + [("f1", 5, 4)]
+    want = sorted(s[0] for s in symbols if any(s[1] == f and s[2] <= b and s[3] >= a and a <= b for f, a, b in hunks) and s[0] != "none")
+    x = spark.createDataFrame(symbols, "id string, file_path string, line_start int, line_end int")
+    y = spark.createDataFrame(hunks, "file_path string, first_line int, last_line int")
+    assert sorted(r.id for r in graph.touched(x, y, bin_lines).collect()) == want
+
+
 # Ledger.
 
 

@@ -16,6 +16,8 @@ from tracewright.functions.storage import stored
 MOST_CANDIDATES, HIGH, MEDIUM = 3, 10, 3
 #: Rounds of a closure after which what it has seen becomes one table.
 COMPACTED = 4
+#: Lines of a bin in which symbols and hunks meet.
+BIN_LINES = 64
 
 
 def dir_of(path: Column) -> Column:
@@ -114,6 +116,36 @@ def reached(edges: DataFrame, starts: DataFrame, upstream: bool = True) -> DataF
     return seen.where("node <> source").select(F.col("node").alias("id")).distinct()
 
 
+def reach_counts(edges: DataFrame, starts: DataFrame, upstream: bool = True) -> DataFrame:
+    """``id``, ``n``: for each start the number of nodes that reach it, or that it reaches, itself left out; cycles are fine.
+
+    64 starts that follow each other by id share a word, and a node holds a bit
+    for each of them: rows are (node, word) and never (start, node). Each round
+    passes on only bits that a node didn't hold. Bits are counted by word, first
+    within each task.
+    """
+    a, b = ("callee_id", "caller_id") if upstream else ("caller_id", "callee_id")
+    steps = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node <> next").distinct(), "edges")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = starts.select("id").where("id is not null").distinct().repartitionByRange(n, "id").sortWithinPartitions("id")
+    at = F.monotonically_increasing_id()
+    ids = stored(ids.select("id", F.shiftright(at, 6).alias("word"), at.bitwiseAND(63).cast("int").alias("bit")), "starts")
+    front = stored(ids.select(F.col("id").alias("node"), "word", F.expr("shiftleft(1L, bit)").alias("mask")), "front")
+    seen, rounds = front, 0
+    while not front.isEmpty():
+        met = front.join(steps, "node").groupBy(F.col("next").alias("node"), "word").agg(F.bit_or("mask").alias("met"))
+        known = seen.groupBy("node", "word").agg(F.bit_or("mask").alias("known"))
+        fresh = F.col("met").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        front = stored(met.join(known, ["node", "word"], "left").select("node", "word", fresh.alias("mask")).where("mask <> 0"), "front")
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % COMPACTED == 0:
+            seen = stored(seen.groupBy("node", "word").agg(F.bit_or("mask").alias("mask")), "seen")
+    # A bit of a node is in one round's rows only, so that sums count each once.
+    sums = [F.sum(F.shiftrightunsigned("mask", i).bitwiseAND(1)).alias(str(i)) for i in range(64)]
+    counts = seen.groupBy("word").agg(*sums).select("word", F.posexplode(F.array(*[str(i) for i in range(64)])).alias("bit", "n"))
+    return ids.join(counts, ["word", "bit"]).select("id", (F.col("n") - 1).alias("n"))
+
+
 def impact(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Symbols upstream of any bearer of a name, with the risk that their number means."""
     found = stored(reached(edges, symbols.where(F.col("name") == name)), "reached")
@@ -133,16 +165,28 @@ def parse_hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where("file_path is not null and first_line is not null and last_line >= first_line")
 
 
-def touched(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Symbols whose lines overlap a hunk of their file."""
-    on = (symbols.file_path == hunks.file_path) & (symbols.line_start <= hunks.last_line) & (symbols.line_end >= hunks.first_line)
-    return symbols.join(hunks, on, "left_semi")
+def touched(symbols: DataFrame, hunks: DataFrame, bin_lines: int = BIN_LINES) -> DataFrame:
+    """Symbols whose lines overlap a hunk of their file.
+
+    Both are cut into bins of lines and meet by file and bin, so that a file
+    with any number of symbols and hunks spreads over tasks. Hunks of a bin are
+    first reduced to different ranges; a symbol comes once, whatever it meets.
+    """
+
+    def binned(rows: DataFrame, first: str, last: str) -> DataFrame:
+        return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / bin_lines), F.floor(F.col(last) / bin_lines))))
+
+    ranges = hunks.where("last_line >= first_line").select("file_path", "first_line", "last_line").distinct()
+    own = symbols.where("line_end >= line_start").select("id", "file_path", "line_start", "line_end")
+    x, y = binned(own, "line_start", "line_end"), binned(ranges, "first_line", "last_line")
+    on = (x.file_path == y.file_path) & (x._bin == y._bin) & (x.line_start <= y.last_line) & (x.line_end >= y.first_line)
+    return symbols.join(x.join(y, on, "left_semi").select("id").distinct(), "id", "left_semi").select(symbols.columns)
 
 
 def detect_changes(symbols: DataFrame, edges: DataFrame, hunks: DataFrame) -> DataFrame:
     """Touched symbols with the number of symbols upstream of each, most first; ties by id."""
     changed = stored(touched(symbols, hunks), "changed")
-    counts = closure(edges, changed).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("impact"))
+    counts = reach_counts(edges, changed).select("id", F.col("n").alias("impact"))
     n = F.coalesce("impact", F.lit(0).cast("long"))
     return changed.join(counts, "id", "left").select("id", "name", n.alias("impact"), risk(n).alias("risk")).orderBy(F.desc("impact"), "id")
 
