@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -42,3 +43,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def put_buckets(rows: DataFrame, path: str, buckets: DataFrame, column: str = "bucket") -> None:
+    """Makes ``rows`` the content of the named ``buckets`` of a table that is partitioned by one column; no other bucket's files change.
+
+    ``rows`` may be read from the same table: they are stored apart first. A
+    bucket without rows gets one row of nulls, for else its old rows would stay;
+    ``get_buckets`` leaves it out.
+    """
+    rows = stored(rows, "buckets")
+    empty = buckets.select(column).distinct().join(rows.select(column).distinct(), column, "left_anti")
+    rows = rows.unionByName(empty, allowMissingColumns=True).repartition(column)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def get_buckets(spark: SparkSession, path: str, schema: str, key: str, column: str = "bucket") -> DataFrame:
+    """A table that is kept by buckets: a filter on the column reads only these; ``key`` is null in no row."""
+    return spark.read.schema(f"{schema}, {column} int").parquet(path).where(F.col(key).isNotNull())

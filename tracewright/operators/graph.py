@@ -223,7 +223,7 @@ def hybrid_search(vectors: DataFrame, names: DataFrame, query: str, vector: list
     return rows.orderBy(F.desc("score"), "id").limit(most)
 
 
-def _outlined(files: DataFrame) -> DataFrame:
+def outlined(files: DataFrame) -> DataFrame:
     """``path``, ``nth``, ``kind``, ``name``, ``line_start``, ``line_end``, ``calls`` of each symbol of code files, a file at a time."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,7 +250,11 @@ def extracted_symbols(files: DataFrame) -> DataFrame:
     Python, Go and JavaScript or TypeScript. Lines count from 1, both ends
     included. Of equal ids (kind, file and name) the last one stays.
     """
-    found = _outlined(files).groupBy("id", "name", "kind", F.col("path").alias("file_path"))
+    return symbols_of(outlined(files))
+
+
+def symbols_of(outlined: DataFrame) -> DataFrame:
+    found = outlined.groupBy("id", "name", "kind", F.col("path").alias("file_path"))
     return found.agg(F.max_by(F.struct("line_start", "line_end"), "nth").alias("at")).select("id", "name", "kind", "file_path", "at.*")
 
 
@@ -261,7 +265,11 @@ def extracted_calls(files: DataFrame) -> DataFrame:
     name of its path (``fmt`` of ``fmt.Println(x)``). Arguments of Rust macros
     hold no calls.
     """
-    return _outlined(files).select(F.col("id").alias("caller_id"), F.explode("calls").alias("callee_name")).distinct()
+    return calls_of(outlined(files)).select("caller_id", "callee_name")
+
+
+def calls_of(outlined: DataFrame) -> DataFrame:
+    return outlined.select(F.col("id").alias("caller_id"), F.col("path").alias("file_path"), F.explode("calls").alias("callee_name")).distinct()
 
 
 def replaced_index(symbols: DataFrame, deps: DataFrame, delta: DataFrame, new_symbols: DataFrame, new_deps: DataFrame) -> tuple[DataFrame, DataFrame]:

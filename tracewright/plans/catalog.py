@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.lines import tokens
-from tracewright.operators import dlp, graph, ledger, line_filters, packing, pricing, profiles, reports, router, search, sequence_filters, stores
+from tracewright.functions.storage import new_path
+from tracewright.operators import dlp, graph, ledger, ledger_store, line_filters, packing, pricing, profiles, reports, router, search, search_index, sequence_filters, stores
+from tracewright.operators.code_index import CodeIndex
 from tracewright.plans import log_sql
 from tracewright.sources.corpus import CODE, CODE_PARTS, FAMILIES, code_files, view, with_views
 from tracewright.streaming import ledger_stream
@@ -64,6 +67,16 @@ _add("telemetry", _over(ledger.telemetry, "ledger"), "ledger", sql="SELECT * EXC
 _add("raw_log", lambda s, d: ledger.raw_output(view(s, d, "ledger"), 7), "ledger", sql="SELECT raw_output FROM ledger WHERE id = 7 AND raw_output IS NOT NULL")
 _add("telemetry_counters", _over(ledger.counters, "ledger"), "ledger", sql=f"SELECT *, 'ledger_commands_total ' || commands || chr(10) || 'ledger_original_total ' || original || chr(10) || 'ledger_filtered_total ' || filtered || chr(10) || 'ledger_saved_total ' || saved AS exposition FROM {_TOTALS}")
 _add("benchmark_export", _over(ledger.export, "ledger"), "ledger", sql=f"SELECT id, coalesce(model, 'unknown') AS model, cmd, original_tokens, filtered_tokens, original_tokens - filtered_tokens AS saved, {_pct('original_tokens - filtered_tokens', 'original_tokens')} AS pct FROM ledger ORDER BY id DESC LIMIT 50000")
+
+
+def _by_day(spark: SparkSession, d: str) -> DataFrame:
+    path, now = new_path(spark, "ledger-days"), datetime(2024, 2, 10)
+    ledger_store.save(view(spark, d, "ledger").withColumn("ts", F.col("ts").cast("timestamp")), path)
+    ledger_store.expire(spark, path, now)
+    return ledger_store.current(spark, path, now).drop("raw_output").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_add("ledger_by_day", _by_day, "ledger", sql=f"SELECT * EXCLUDE (raw_output) FROM ledger WHERE ts >= {_NOW} - INTERVAL 30 DAY")
 _add("ledger_ttl", lambda s, d: ledger.kept(view(s, d, "ledger"), F.expr(_NOW)).drop("raw_output"), "ledger", sql=f"SELECT * EXCLUDE (raw_output) FROM ledger WHERE ts >= {_NOW} - INTERVAL 30 DAY")
 _add("price_resolution", lambda s, d: pricing.resolve(view(s, d, "ledger"), pricing.price_table(s)), "ledger", "prices", sql=_priced("") + "SELECT m AS model, price_id, input_price, output_price FROM best WHERE m <> ''")
 _add("phase_rollup", lambda s, d: ledger.phases(view(s, d, "ledger"), "project", "original_tokens", "filtered_tokens"), "ledger", sql=f"SELECT coalesce(project, 'all') AS project, count(*) AS n, sum(original_tokens)::BIGINT AS before, sum(filtered_tokens)::BIGINT AS after, {_pct('sum(original_tokens) - sum(filtered_tokens)', 'sum(original_tokens)')} AS pct FROM ledger GROUP BY ROLLUP (project)")
@@ -193,14 +206,40 @@ def _replaced(spark: SparkSession, d: str, symbols: DataFrame, calls: DataFrame)
 
 _add("index_replaced", _from_code(_replaced), "code", sql=_KNOWN + """SELECT id, name, kind, path AS file_path, line_start, (line_end + (path LIKE 'd0/%')::INT)::INTEGER AS line_end, '' AS callee_name FROM found WHERE path NOT LIKE 'd1/%'
   UNION ALL SELECT caller_id, '', '', '', 0, 0, callee_name || CASE WHEN caller_id LIKE '%:d0/%' THEN '_2' ELSE '' END FROM called WHERE caller_id NOT LIKE '%:d1/%'""")
+
+
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    """An index of other files first, then brought to the state of these."""
+    files = view(spark, d, "code")
+    index = CodeIndex(spark, new_path(spark, "code-index"))
+    other = files.where("path not like 'd0/%'").withColumn("content", F.when(F.col("path").like("d1/%"), F.concat(F.lit("x = f(1)\n"), "content")).otherwise(F.col("content")))
+    index.refresh(other.unionByName(files.limit(1).select(F.lit("gone.rs").alias("path"), F.lit("rs").alias("ext"), F.lit("fn x() { y(); }").alias("content"))), 1)
+    index.refresh(files, 2)
+    symbols = index.symbols.select(F.lit("symbol").alias("kind"), "file_path", F.col("id").alias("a"), F.concat_ws("-", "line_start", "line_end").alias("b"))
+    calls = index.calls.select(F.lit("call").alias("kind"), "file_path", F.col("caller_id").alias("a"), F.col("callee_name").alias("b"))
+    return symbols.unionByName(calls).unionByName(index.hashes.select(F.lit("hash").alias("kind"), "file_path", F.col("hash").alias("a"), F.col("last_indexed").cast("string").alias("b")))
+
+
+_add("code_index", _indexed, "code", sql=_KNOWN + """SELECT 'symbol' AS kind, path AS file_path, id AS a, line_start || '-' || line_end AS b FROM found
+  UNION ALL SELECT 'call', split_part(caller_id, ':', 2), caller_id, callee_name FROM called UNION ALL SELECT 'hash', path, md5(content), CASE WHEN path LIKE 'd0/%' OR path LIKE 'd1/%' THEN '2' ELSE '1' END FROM code""")
 _VECTOR = [(i * 37 % 21 - 10) / 100 for i in range(64)]
 _add("hybrid_search", lambda s, d: graph.hybrid_search(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"), view(s, d, "symbols").select(F.substring_index("name", "f", -1).try_cast("long").alias("id"), "name").groupBy("id").agg(F.max("name").alias("name")), "f1", _VECTOR), "symbols", sql=f", n AS (SELECT substr(name, 2)::BIGINT AS id, max(name) AS name FROM symbols GROUP BY 1), v AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: coalesce(embedding[i]::DOUBLE * {_VECTOR}[i], 0.0))) AS dot FROM embeddings) SELECT id, name, round(0.5 * contains(name, 'f1')::INT + 0.5 * coalesce(dot, 0.0), 4) AS score FROM n JOIN v USING (id) ORDER BY score DESC, id LIMIT 10")
 
 # Stores, search and reports.
-_add("memory_search", lambda s, d: search.ranked(view(s, d, "memory"), "tion whon er", "p1"), "memory", sql=""", w AS (SELECT key, val, project_path, regexp_extract_all(lower(key || ' ' || coalesce(val, '')), '[\\p{L}\\p{N}]+') AS t FROM memory),
+_SEARCHED = """, w AS (SELECT key, val, project_path, regexp_extract_all(lower(key || ' ' || coalesce(val, '')), '[\\p{L}\\p{N}]+') AS t FROM memory),
   h AS (SELECT *, len(t) AS n, [len(list_filter(t, lambda x: starts_with(x, 'tion'))), len(list_filter(t, lambda x: starts_with(x, 'whon'))), len(list_filter(t, lambda x: starts_with(x, 'er')))] AS f FROM w),
   c AS (SELECT count(*) AS rows, avg(n) AS mean, [count(*) FILTER (f[1] > 0), count(*) FILTER (f[2] > 0), count(*) FILTER (f[3] > 0)] AS df FROM h)
-  SELECT key, val, round(list_sum(list_transform([1, 2, 3], lambda i: greatest(ln((rows - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) * f[i] * 2.2 / (f[i] + 1.2 * (0.25 + 0.75 * n / mean)))), 6) AS score FROM h, c WHERE project_path = 'p1' AND (f[1] > 0 OR f[2] > 0 OR f[3] > 0) ORDER BY score DESC, key LIMIT 5""")
+  SELECT key, val, round(list_sum(list_transform([1, 2, 3], lambda i: greatest(ln((rows - df[i] + 0.5) / (df[i] + 0.5)), 1e-6) * f[i] * 2.2 / (f[i] + 1.2 * (0.25 + 0.75 * n / mean)))), 6) AS score FROM h, c WHERE project_path = 'p1' AND (f[1] > 0 OR f[2] > 0 OR f[3] > 0) ORDER BY score DESC, key LIMIT 5"""
+_add("memory_search", lambda s, d: search.ranked(view(s, d, "memory"), "tion whon er", "p1"), "memory", sql=_SEARCHED)
+
+
+def _index_searched(spark: SparkSession, d: str) -> DataFrame:
+    notes = view(spark, d, "memory").select("key", "project_path", "val")
+    index = search_index.Index(spark, new_path(spark, "search-index")).build(notes.withColumn("val", F.when(F.col("key").like("user%"), F.lit("other words")).otherwise(F.col("val"))))
+    return index.upsert(notes.where("key like 'user%'")).search("tion whon er", "p1")
+
+
+_add("memory_index_search", _index_searched, "memory", sql=_SEARCHED.replace("lower(key || ' ' || coalesce(val, ''))", "strip_accents(lower(key || ' ' || coalesce(val, '')))"))
 _add("memory_get", lambda s, d: stores.get(view(s, d, "memory"), "user1_0", "p1"), "memory", sql="SELECT key, val FROM memory WHERE key = 'user1_0' AND project_path = 'p1'")
 _add("memory_list", lambda s, d: stores.listed(view(s, d, "memory"), "p2"), "memory", sql="SELECT key, val FROM memory WHERE project_path = 'p2'")
 _add("memory_touched", lambda s, d: stores.touched(view(s, d, "memory"), view(s, d, "memory").where("key like 'user%'"), F.expr(_MEMORY_NOW)), "memory", sql=f"SELECT * REPLACE (CASE WHEN key LIKE 'user%' THEN {_MEMORY_NOW} ELSE last_accessed_at END AS last_accessed_at) FROM memory")
