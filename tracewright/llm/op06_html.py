@@ -45,19 +45,21 @@ _MAIN_NAMES = frozenset("article content post entry story main".split())
 
 _ASIDE_NAMES = frozenset("comment comments reply ad ads advert promo sponsored related".split())
 
-#: Costs of the classifier, as log odds of content. Of a block, by its text alone:
+#: Costs of the classifier, as log odds of content. Of a block, by its text:
 BIAS, PER_CHAR, MOST_FOR_CHARS, PER_MARK, MOST_FOR_MARKS, LINKS = -0.9, 1 / 150, 1.4, 0.15, 0.5, -4.5
-TAGS = {"p": 0.3, "h1": 0.8, "h2": 0.4, "h3": 0.4, "blockquote": 0.4, "pre": 0.6, "li": -0.3, "td": -0.2}
-#: Of an element that tells what it holds, for each block beneath it; "" is the page itself beside a main part.
-ELEMENTS = {"main": 8.0, "main name": 2.5, "noise": -8.0, "noise name": -6.0, "": -3.5}
-#: Smoothness edges: of neighbours, of neighbours in one element, of a block and the nearest telling element, of two such elements for each block of the inner.
-ADJACENT, SIBLINGS, INSIDE, NESTED = 0.5, 0.7, 4.0, 3.0
+TAGS = {"p": 0.3, "h1": 0.8, "h2": 0.4, "h3": 0.4, "blockquote": 0.4, "pre": 0.6, "li": 0.2, "td": 0.2}
+#: By the nearest element that tells what it holds, in the range of what a block's neighbours weigh; "" is the page itself beside a main part.
+ELEMENTS = {"main": 0.5, "main name": 0.5, "noise": -2.2, "noise name": -1.9, "": -1.3}
+#: Smoothness of neighbours by the steps between their elements in the tree (the last holds for more); of the blocks before with the same parent and
+#: in the same telling element, where these aren't neighbours; and what is left of it between two telling elements.
+BY_STEPS, SIBLINGS, SECTION, ACROSS = (1.2, 1.2, 1.2, 0.8, 0.5, 0.2), 0.7, 0.8, 0.05
 
 
 @dataclass
 class Block:
     text: str
     tag: str
+    element: int
     parent: int
     teller: int
     linked: int
@@ -72,6 +74,25 @@ class Teller:
     doubtful: bool = False
 
 
+@dataclass
+class Page:
+    blocks: list[Block]
+    tellers: list[Teller]
+    above: list[int]  # of each element the one around it
+    depth: list[int]
+
+    def steps(self, a: int, b: int) -> int:
+        """Steps in the tree from one element to another, as far as they differ in smoothness."""
+        n = 0
+        while a != b and n < len(BY_STEPS) - 1:
+            if self.depth[a] >= self.depth[b]:
+                a = self.above[a]
+            else:
+                b = self.above[b]
+            n += 1
+        return n
+
+
 def _names(attrs: str) -> set[str]:
     """Parts of class names, ids and roles; what an element has or lacks isn't what it is."""
     found = set()
@@ -83,10 +104,10 @@ def _names(attrs: str) -> set[str]:
     return found
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[Teller]]:
+def blocks_of(page: str) -> Page:
     """The page's text blocks in order, and the elements that tell of them. Any input is read; wrong nesting is repaired as browsers do."""
     out: list[Block] = []
-    tellers = [Teller("", -1)]
+    tellers, above, depth = [Teller("", -1)], [0], [0]
     stack: list[tuple[str, int, int, str, bool]] = [("", 0, 0, "", False)]  # tag, number, teller, noise around, main around
     open_tags: Counter[str] = Counter()
     text: list[str] = []
@@ -100,7 +121,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Teller]]:
             if body:
                 tag, me, teller, _, _ = stack[-1]
                 near = stack[-2][1] if tag in TAGS and len(stack) > 1 else me
-                out.append(Block(body, tag, near, teller, min(linked, len(body))))
+                out.append(Block(body, tag, me, near, teller, min(linked, len(body))))
         text, linked = [], 0
 
     def close(tag: str) -> None:
@@ -178,13 +199,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[Teller]]:
             tellers.append(Teller(kind, teller, kind == "main" and bool(noise)))
             teller = len(tellers) - 1
             noise, main = (kind, main) if kind.startswith("noise") and noise != "noise" else (noise, True) if kind.startswith("main") else (noise, main)
+        above.append(stack[-1][1])
+        depth.append(depth[stack[-1][1]] + 1)
         number += 1
         stack.append((tag, number, teller, noise, main))
         open_tags[tag] += 1
         in_link = 0
     add(_UNFINISHED.split(page[at:], maxsplit=1)[0])
     flush()
-    return out, tellers
+    return Page(out, tellers, above, depth)
 
 
 def _score(b: Block) -> float:
@@ -263,65 +286,63 @@ def _reached(nodes: list[int], scores: list[float], near: list[dict[int, float]]
                 path.append(step)
 
 
-def labelled(blocks: list[Block], tellers: list[Teller]) -> tuple[list[float], list[bool]]:
-    """Each block's own cost and its label by the minimum cut.
+def costs_of(page: Page) -> list[float]:
+    """Each block's own cost: by its text, and by the nearest element that tells what it holds.
 
-    Nodes are the blocks and the elements that tell what they hold, whose costs
-    count for each block beneath them. An article within an element of a noisy
-    name is the main part only if the page has no other.
+    An article within an element of a noisy name is the main part only if the
+    page has no other.
     """
+    tellers = page.tellers
     sure = {i for i, t in enumerate(tellers) if t.kind.startswith("main") and not t.doubtful}
-    has_main = False
-    for b in blocks:
-        i = b.teller
-        while i > 0 and not has_main:
-            has_main, i = i in sure, tellers[i].within
-        if has_main:
-            break
+    under = [i in sure for i in range(len(tellers))]
+    for i in range(1, len(tellers)):
+        under[i] = under[i] or under[tellers[i].within]
+    has_main = any(under[b.teller] for b in page.blocks)
     kinds = ["" if t.doubtful and has_main else t.kind for t in tellers]
-    own = [0] * len(tellers)  # the nearest element that tells; 0, the page itself, does so only beside a main part
+    own = [0] * len(tellers)
     for i in range(1, len(tellers)):
         own[i] = i if kinds[i] else own[tellers[i].within]
-    around = [own[t.within] for t in tellers]
-    beneath = [0] * len(tellers)
-    for b in blocks:
-        if own[b.teller] or has_main:
-            beneath[own[b.teller]] += 1
-    for i in range(len(tellers) - 1, 0, -1):
-        if kinds[i] and around[i]:
-            beneath[around[i]] += beneath[i]
-    costs = [_score(b) for b in blocks]
-    scores, edges, n = list(costs), {}, len(blocks)
-    scores += [ELEMENTS[k] * beneath[i] if k or has_main else 0.0 for i, k in enumerate(kinds)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
+    return [_score(b) + (ELEMENTS[kinds[own[b.teller]]] if kinds[own[b.teller]] or has_main else 0.0) for b in page.blocks]
+
+
+def smoothness(page: Page) -> dict[tuple[int, int], float]:
+    """Edges between blocks that stand near each other, in the text and in the tree."""
+    edges: dict[tuple[int, int], float] = {}
+    last_child: dict[int, int] = {}
+    last_told: dict[int, int] = {}
+    for i, b in enumerate(page.blocks):
         if i:
-            edges[i - 1, i] = ADJACENT
-        if b.parent in last:
-            pair = (last[b.parent], i)
-            edges[pair] = edges.get(pair, 0.0) + SIBLINGS
-        last[b.parent] = i
-        if own[b.teller] or has_main:
-            edges[i, n + own[b.teller]] = INSIDE
-    for i in range(1, len(tellers)):
-        if kinds[i] and beneath[i] and around[i]:
-            edges[n + around[i], n + i] = NESTED * beneath[i]
-    return costs, minimum_cut(scores, edges)[:n]
+            before = page.blocks[i - 1]
+            edges[i - 1, i] = BY_STEPS[page.steps(before.element, b.element)] * (1.0 if before.teller == b.teller else ACROSS)
+        for last, at, weight in ((last_child, b.parent, SIBLINGS), (last_told, b.teller, SECTION)):
+            j = last.get(at)
+            if j is not None and j < i - 1:
+                edges[j, i] = edges.get((j, i), 0.0) + weight * (1.0 if page.blocks[j].teller == b.teller else ACROSS)
+            last[at] = i
+    return edges
+
+
+def labelled(page: Page) -> tuple[list[float], list[bool]]:
+    """Each block's own cost and its label by the minimum cut of costs against smoothness."""
+    costs = costs_of(page)
+    return costs, minimum_cut(costs, smoothness(page))
 
 
 def main_text(page: str | None) -> str:
     """The page's content blocks, joined by blank lines."""
-    blocks, tellers = blocks_of(page or "")
-    _, kept = labelled(blocks, tellers)
-    return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
+    read = blocks_of(page or "")
+    _, kept = labelled(read)
+    return "\n\n".join(b.text for b, k in zip(read.blocks, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` for every page; text is empty if a page has no content.
 
-    Blocks have costs by their text, elements by their tag and names; a minimum
-    cut of these against neighbourhood and nesting labels the blocks, and a
-    block that it leaves undecided is no content. Null pages count as empty,
+    Blocks have costs by their text and by the tag or name of the nearest
+    element that tells what it holds; a minimum cut of these against the
+    smoothness of near blocks labels them, and a block that it leaves undecided
+    is no content. No word and no element decides alone: what it weighs is in
+    the range of what a block's neighbours weigh. Null pages count as empty,
     null ids and urls stay null, repeated rows give repeated rows, an empty
     table none. Nothing is cut off, whatever its length or number of blocks;
     only the named columns are read, so others may have any name.
