@@ -70,3 +70,17 @@ def test_clean_rows_stay_with_all_columns(spark, bound):
     got = op.uncontaminated(docs, bench, index_bytes=bound)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [i for i, t in enumerate(texts) if not brute(t, items)[4]]
+
+
+def test_only_words_of_the_windows_reach_the_driver(spark, monkeypatch):
+    texts, items = cases()
+    bench = spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
+    holders = op.item_windows(bench, 13, "item_id", "text")
+    known = {w for _, body in items for w in split(body)}
+    monkeypatch.setattr(op, "FILTER_BITS", 2)  # the filter lets nearly every word of the corpus through
+    found, count = [], op._word_counts
+    monkeypatch.setattr(op, "_word_counts", lambda *args: found.append(count(*args)) or found[0])
+    windows, counts = op._local(table(spark, texts), holders, "text")
+    assert found[0].count() == len(counts) <= len(known)
+    every = [w for t in texts for w in split(t)]
+    assert counts == {op._word_hash(w.encode()): every.count(w) for w in known if w in every}

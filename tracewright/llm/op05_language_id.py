@@ -17,8 +17,9 @@ SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 160_000
 #: Bytes of text encoded at a time, each time with the dictionary alone before it.
 BLOCK_BYTES = 4096
 LEVEL = 6
-#: Texts of fewer bytes are repeated up to this size.
-SHORT_BYTES = 64
+#: Every block is encoded so many times in a row: the first costs what the dictionary leaves, the others next to nothing, and
+#: the few bytes of a short one are not stored as they are, so that its matches in the dictionary count.
+REPEATS = 8
 #: A prediction is accepted if the best size is smaller than the next by this share of the next.
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -59,9 +60,7 @@ def predict(text: str | None, model: Model, margin: float = MARGIN) -> tuple[str
     if not any(c.isalpha() for c in body) or not model.dictionaries:
         return UNKNOWN, 0.0, False
     raw = body.encode("utf-8", "surrogatepass")
-    if len(raw) < SHORT_BYTES:  # so little is stored as it is; with itself after it, its matches in the dictionaries count
-        raw = b" ".join([raw] * (1 + SHORT_BYTES // len(raw)))
-    blocks = [raw[a : a + BLOCK_BYTES] for a in range(0, len(raw), BLOCK_BYTES)]
+    blocks = [b" ".join([raw[a : a + BLOCK_BYTES]] * REPEATS) for a in range(0, len(raw), BLOCK_BYTES)]
     sizes = [(sum(len(z.compress(b)) for b in blocks), i, lang) for i, (lang, z) in enumerate(_compressors_of(model))]
     sizes.sort()
     best = sizes[0][0]
@@ -124,9 +123,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Null texts and texts without a letter are ``und`` with score 0 and not
     accepted; so is every text if nothing could be learned. Upper case, digits
-    and marks don't count. A text of fewer than ``SHORT_BYTES`` bytes is repeated
-    up to these, as so little is stored as it is; a text of any length counts
-    whole, in blocks. Ties go to the more frequent language and are not
+    and marks don't count. A text of any length counts whole, in blocks, all of
+    them encoded the same way. Ties go to the more frequent language and are not
     accepted. A null id is not held out and nothing is learned from it.
     Repeated rows get the same answer; only the named columns are read, so
     others may have any name; an empty table gives no rows.

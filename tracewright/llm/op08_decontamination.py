@@ -94,18 +94,26 @@ def _window_sum(hashes: np.ndarray) -> np.uint64:
     return (hashes * powers(STEP, len(hashes))).sum(dtype=np.uint64)
 
 
-def _word_counts(docs: DataFrame, some: np.ndarray, text: str) -> DataFrame:
-    """``token``, ``count`` of the words in all documents that pass the filter: the rarity that orders each window's words."""
-    sent = docs.sparkSession.sparkContext.broadcast(some)
+def _word_counts(docs: DataFrame, some: np.ndarray, text: str, known: np.ndarray | None = None) -> DataFrame:
+    """``token``, ``count`` of the words in all documents that pass the filter: the rarity that orders each window's words.
+
+    With ``known`` (sorted hashes) no other word is counted, so that there are
+    at most as many rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((some, known))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
+            some, known = sent.value
             for body in batch["body"]:
                 if body is not None:
                     h = words_of(body)[0]
-                    found.append(h[sent.value[_filter_place(h)]])
+                    found.append(h[some[_filter_place(h)]])
             token, n = np.unique(np.concatenate(found), return_counts=True)
+            if known is not None:
+                mine = np.isin(token, known, assume_unique=True)
+                token, n = token[mine], n[mine]
             yield pd.DataFrame({"token": token.view(np.int64), "n": n})
 
     rows = docs.select(F.col(text).alias("body")).mapInPandas(count, "token long, n long")
@@ -205,10 +213,9 @@ def _local(docs: DataFrame, holders: DataFrame, text: str) -> tuple[list[tuple[b
     items: dict[bytes, list[str]] = {}
     for r in holders.collect():
         items.setdefault(bytes(r.words), []).extend([] if r["item"] is None else [r["item"]])
-    known = {_word_hash(w) for body in items for w in set(body.split(b" "))}
-    counts = _word_counts(docs, _sent_filter(np.array(sorted(known), np.uint64)), text)
-    told = {r.token % 2**64: r["count"] for r in counts.collect()} if known else {}
-    return sorted(items.items()), {k: n for k, n in told.items() if k in known}
+    known = np.array(sorted({_word_hash(w) for body in items for w in set(body.split(b" "))}), np.uint64)
+    counts = _word_counts(docs, _sent_filter(known), text, known)  # a row for each word of the windows at most
+    return sorted(items.items()), {r.token % 2**64: r["count"] for r in counts.collect()} if len(known) else {}
 
 
 def _is_contaminated(n_words: Column, n_hit: Column) -> Column:
