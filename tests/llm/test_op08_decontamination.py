@@ -77,7 +77,6 @@ def test_only_words_of_the_windows_reach_the_driver(spark, monkeypatch):
     bench = spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
     holders = op.item_windows(bench, 13, "item_id", "text")
     known = {w for _, body in items for w in split(body)}
-    monkeypatch.setattr(op, "FILTER_BITS", 2)  # the filter lets nearly every word of the corpus through
     found, count = [], op._word_counts
     monkeypatch.setattr(op, "_word_counts", lambda *args: found.append(count(*args)) or found[0])
     windows, counts = op._local(table(spark, texts), holders, "text")
