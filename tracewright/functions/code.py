@@ -44,7 +44,7 @@ QUOTE = '"'
 
 @cache
 def _pattern(lang: str) -> re.Pattern:
-    return re.compile(rf"\s+|{_PATTERNS[lang]}|{_NUMBER}|{_MARKS}", re.S)
+    return re.compile(rf"\s*(?:{_PATTERNS[lang]}|{_NUMBER}|{_MARKS})", re.S)
 
 
 class Token(NamedTuple):
@@ -88,32 +88,37 @@ def tokens(text: str, lang: str) -> list[Token]:
 
     while at < len(text):
         m = pattern.match(text, at)
+        if not m:  # blanks at the end
+            break
         kind, at = m.lastgroup, m.end()
+        if kind is None:
+            continue
+        start = m.start(kind)
         if kind == "block":
-            at = _after_block(text, m.start(), lang == "rs")
-        elif kind == "hashes" or kind == "raw":
+            at = _after_block(text, start, lang == "rs")
+        elif kind == "raw":
             end = text.find('"' + m["hashes"], at)
             at = len(text) if end < 0 else end + 1 + len(m["hashes"])
-            out.append(Token(QUOTE, m.start(), at))
+            out.append(Token(QUOTE, start, at))
         elif kind == "text":
-            texts.append(["`" if lang == "js" else m[0].lstrip("rRfFtT"), 0, m.start()])
+            texts.append(["`" if lang == "js" else m[kind].lstrip("rRfFtT"), 0, start])
             at = text_from(at)
         elif kind == "quote" or kind == "number":
-            out.append(Token(QUOTE, m.start(), at))
+            out.append(Token(QUOTE, start, at))
         elif kind == "name":
-            out.append(Token(m[0], m.start(), at, True))
+            out.append(Token(m[kind], start, at, True))
         elif kind == "mark":
-            mark = m[0]
-            if mark[0] == "/" and lang == "js" and (not out or out[-1].text in _BEFORE_VALUE) and (found := _JS_PATTERN.match(text, m.start())):
+            mark = m[kind]
+            if mark[0] == "/" and lang == "js" and (not out or out[-1].text in _BEFORE_VALUE) and (found := _JS_PATTERN.match(text, start)):
                 at = found.end()
-                out.append(Token(QUOTE, m.start(), at))
+                out.append(Token(QUOTE, start, at))
                 continue
             if texts and mark == "}" and not texts[-1][1]:
                 at = text_from(at)
                 continue
             if texts and mark in "{}":
                 texts[-1][1] += 1 if mark == "{" else -1
-            out.append(Token(mark, m.start(), at))
+            out.append(Token(mark, start, at))
     return out
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.lines import is_pattern
+from tracewright.functions.lines import is_pattern, once
 
 # Patterns, in the order in which they are applied, with their audit labels and replacements.
 PEM = r"(?s)-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----"
@@ -22,6 +24,11 @@ STAGES = (
     ("JWT", JWT, "[REDACTED_JWT]"),
     ("API Key", API_KEY, "[REDACTED_API_KEY]"),
 )
+# Parts of which every match holds one, in lower case: texts without any are spared the search.
+PARTS = {
+    "Private Key": ("-----begin ",), "Database URI": ("://",), "JWT": ("eyj",),
+    "API Key": ("sk_", "sk-", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "npm_", "hf_", "dop_v1_", "xox", "aiza", "akia"),
+}
 CUSTOM = ("Custom Secret", "[REDACTED_SECRET]")
 RANDOM = ("High Entropy Secret", "[REDACTED_SECRET]")
 WORD = r"[\p{IsAlphabetic}\p{N}_\-/+=]+"
@@ -48,9 +55,10 @@ def _is_random(word: Column) -> Column:
 
 
 def _pieces(text: Column) -> Column:
-    """The text cut at its long words, which have odd places."""
+    """The text cut at its long words, which have odd places: all that may have ``LEAST_BYTES``, at two bytes a character or, with wider ones, at four."""
     plain = F.replace(text, F.lit(_MARK), F.lit("\u0002"))
-    long = rf"(?<![\p{{IsAlphabetic}}\p{{N}}_\-/+=])({WORD})"
+    one = WORD.removesuffix("+")
+    long = rf"(?<!{one})({one}{{{LEAST_BYTES // 2},}}+|(?={one}*[\x{{800}}-\x{{10FFFF}}]){one}{{{LEAST_BYTES // 4},}}+)"
     return F.split(F.regexp_replace(plain, long, f"{_MARK}$1{_MARK}"), _MARK, -1)
 
 
@@ -59,10 +67,24 @@ def redact_random(text: Column) -> Column:
     return F.array_join(pieces, "")
 
 
+def _may_hold(text: Column, label: str) -> Column:
+    def any_of(low: Column) -> Column:
+        found = F.contains(low, F.lit(PARTS[label][0]))
+        for part in PARTS[label][1:]:
+            found = found | F.contains(low, F.lit(part))
+        return found
+
+    return once(F.lower(text), any_of)
+
+
+def _marked(label: str, pattern: str, mark: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(_may_hold(x, label), F.regexp_replace(x, pattern, mark)).otherwise(x)
+
+
 def redact(text: Column, custom: tuple[str, ...] = ()) -> Column:
     """Each stage on what the one before left: keys, credentials, tokens, own patterns (but those that are none), then random-looking words."""
-    for _, pattern, mark in STAGES:
-        text = F.regexp_replace(text, pattern, mark)
+    for label, pattern, mark in STAGES:
+        text = once(text, _marked(label, pattern, mark))
     for pattern in filter(is_pattern, custom):
         text = F.regexp_replace(text, pattern, CUSTOM[1])
     return redact_random(text)

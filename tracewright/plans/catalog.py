@@ -168,13 +168,20 @@ _KNOWN = f""", parts AS (SELECT k, o, ext, 'd' || file // 5 || '/c' || file || '
   found AS ({" UNION ALL ".join(f"SELECT path, '{kind}:' || path || ':{x}' || k AS id, '{x}' || k AS name, '{kind}' AS kind, (above + {a})::INTEGER AS line_start, (above + {b})::INTEGER AS line_end FROM parts WHERE ext = '{ext}'" for ext, rows in _SYMBOLS.items() for kind, x, a, b in rows)}),
   called AS ({" UNION ".join(f"SELECT '{kind}:' || path || ':{x}' || k AS caller_id, {callee} AS callee_name FROM parts WHERE ext = '{ext}' AND {callee} <> '{x}' || k" for ext, rows in _CALLS.items() for kind, x, callee in rows)})
 """
-_add("extracted_symbols", lambda s, d: graph.extracted_symbols(view(s, d, "code")), "code", sql=_KNOWN + "SELECT id, name, kind, path AS file_path, line_start, line_end FROM found")
-_add("extracted_calls", lambda s, d: graph.extracted_calls(view(s, d, "code")), "code", sql=_KNOWN + "SELECT caller_id, callee_name FROM called")
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """The code view in as many parts as there are cores: its few megabytes would else be one task's."""
+    return view(spark, d, "code").repartition(spark.sparkContext.defaultParallelism, "path")
+
+
+_add("extracted_symbols", lambda s, d: graph.extracted_symbols(_code(s, d)), "code", sql=_KNOWN + "SELECT id, name, kind, path AS file_path, line_start, line_end FROM found")
+_add("extracted_calls", lambda s, d: graph.extracted_calls(_code(s, d)), "code", sql=_KNOWN + "SELECT caller_id, callee_name FROM called")
 
 
 def _from_code(f: Callable[[SparkSession, str, DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        files = view(spark, d, "code")
+        files = _code(spark, d)
         return f(spark, d, graph.extracted_symbols(files), graph.extracted_calls(files))
 
     return run
@@ -184,11 +191,11 @@ def _renamed(column: str) -> str:
     return f"CASE WHEN {column} = 85 THEN 'g85' ELSE 'f' || CAST({column} AS STRING) END"
 
 
-_add("rename_plan", _from_code(lambda s, d, x, y: graph.rename_plan(x, y, view(s, d, "code"), "f85", "g85").drop("places")), "code", sql=_KNOWN + f""", renamed AS ({code_files(_renamed("k"), _renamed("o")).replace("JOINED(line, k)", "string_agg(line, chr(10) ORDER BY k)")}),
+_add("rename_plan", _from_code(lambda s, d, x, y: graph.rename_plan(x, y, _code(s, d), "f85", "g85").drop("places")), "code", sql=_KNOWN + f""", renamed AS ({code_files(_renamed("k"), _renamed("o")).replace("JOINED(line, k)", "string_agg(line, chr(10) ORDER BY k)")}),
   wanted AS (SELECT path FROM found WHERE name = 'f85' UNION SELECT path FROM found JOIN called ON caller_id = id WHERE callee_name = 'f85'),
   counted AS (SELECT path, sum((k = 85)::INT + (o = 85)::INT * CASE ext WHEN 'py' THEN 1 ELSE 2 END)::BIGINT AS sites FROM parts GROUP BY path)
   SELECT path AS file_path, sites, content FROM renamed JOIN counted USING (path) WHERE path IN (FROM wanted)""")
-_add("identifier_sites", lambda s, d: graph.identifier_sites(view(s, d, "code"), "f85").drop("byte_start", "byte_end"), "code", sql=_KNOWN + """, sites AS (
+_add("identifier_sites", lambda s, d: graph.identifier_sites(_code(s, d), "f85").drop("byte_start", "byte_end"), "code", sql=_KNOWN + """, sites AS (
     SELECT path, unnest(list_concat(CASE WHEN k = 85 THEN [CASE WHEN ext IN ('rs', 'py') THEN 5 ELSE 3 END] ELSE [] END,
       CASE WHEN o = 85 THEN CASE ext WHEN 'rs' THEN [6, 6] WHEN 'py' THEN [1] WHEN 'go' THEN [1, 5] ELSE [4, 8] END ELSE [] END)) + above AS line FROM parts)
   SELECT path AS file_path, line::INTEGER AS line FROM sites""")
@@ -210,7 +217,7 @@ _add("index_replaced", _from_code(_replaced), "code", sql=_KNOWN + """SELECT id,
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
     """An index of other files first, then brought to the state of these."""
-    files = view(spark, d, "code")
+    files = _code(spark, d)
     index = CodeIndex(spark, new_path(spark, "code-index"))
     other = files.where("path not like 'd0/%'").withColumn("content", F.when(F.col("path").like("d1/%"), F.concat(F.lit("x = f(1)\n"), "content")).otherwise(F.col("content")))
     index.refresh(other.unionByName(files.limit(1).select(F.lit("gone.rs").alias("path"), F.lit("rs").alias("ext"), F.lit("fn x() { y(); }").alias("content"))), 1)
@@ -286,7 +293,7 @@ _add("model_suggestions", lambda s, d: view(s, d, "commands").select("id", prici
 _IGNORED_SQL = " OR ".join(f"list_contains(string_split(path, '/'), '{p}') OR starts_with(path, '{p}') OR contains(path, '/{p}')" for p in packing.IGNORED)
 _add("pack_ignored", lambda s, d: view(s, d, "files").select("path", packing.is_ignored(F.col("path")).alias("ignored"), packing.is_binary(F.col("content")).alias("is_binary"), packing.is_code(F.col("path")).alias("code")), "files", sql=f"SELECT path, {_IGNORED_SQL} AS ignored, false AS is_binary, true AS code FROM files")
 _add("pack_stripped", lambda s, d: packing.strip_content(view(s, d, "files")), "files", sql=log_sql.STRIPPED)
-_add("pack_skeleton", lambda s, d: view(s, d, "code").select("path", packing.skeleton(F.col("content"), F.col("ext")).alias("content")), "code", sql=f"SELECT path, content FROM ({code_files(collapsed=True).replace('JOINED(line, k)', 'string_agg(line, chr(10) ORDER BY k)')})")
+_add("pack_skeleton", lambda s, d: _code(s, d).select("path", packing.skeleton(F.col("content"), F.col("ext")).alias("content")), "code", sql=f"SELECT path, content FROM ({code_files(collapsed=True).replace('JOINED(line, k)', 'string_agg(line, chr(10) ORDER BY k)')})")
 _add("pack_documents", lambda s, d: packing.documents(packing.packed(view(s, d, "files")), F.substring_index("path", "/", 1)), "files", sql=f"""SELECT project, document, ((strlen(document) + 3) // 4)::BIGINT AS n_tokens FROM (SELECT string_split(path, '/')[1] AS project, '<repository>' || chr(10) || string_agg('  <file path="' || path || '">' || chr(10) || '    <![CDATA[' || chr(10) || content || CASE WHEN content LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '    ]]>' || chr(10) || '  </file>' || chr(10), '' ORDER BY path) || '</repository>' || chr(10) AS document FROM files WHERE NOT ({_IGNORED_SQL}) GROUP BY 1)""")
 _add("pack_collapsed", lambda s, d: packing.packed(view(s, d, "files"), strip_comments=True, bodies=False))
 
