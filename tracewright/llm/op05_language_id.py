@@ -19,7 +19,7 @@ BLOCK_BYTES = 4096
 LEVEL = 6
 #: Every block is encoded so many times in a row: the first costs what the dictionary leaves, the others next to nothing, and
 #: the few bytes of a short one are not stored as they are, so that its matches in the dictionary count.
-REPEATS = 8
+REPEATS = 4
 #: A prediction is accepted if the best size is smaller than the next by this share of the next.
 MARGIN = 0.002
 UNKNOWN = "und"
