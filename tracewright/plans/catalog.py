@@ -14,7 +14,7 @@ from tracewright.operators import dlp, graph, ledger, ledger_store, line_filters
 from tracewright.operators.code_index import CodeIndex
 from tracewright.plans import log_sql
 from tracewright.sources.corpus import CODE, CODE_PARTS, FAMILIES, code_files, view, with_views
-from tracewright.streaming import ledger_stream
+from tracewright.streaming import ledger_stream, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -270,15 +270,39 @@ _add("price_overrides", lambda s, d: pricing.resolve(view(s, d, "ledger"), prici
 _add("ledger_append", lambda s, d: ledger.append(view(s, d, "ledger"), view(s, d, "commands").select("cmd", F.col("cmd").alias("raw_output"), F.upper("cmd").alias("filtered"), F.expr(_NOW).alias("ts"), F.col("id").alias("source_row"))).select("id", "cmd", "original_tokens", "filtered_tokens", "ts", F.coalesce("model", F.lit("none")).alias("model")), "ledger", "commands", sql=f"SELECT id, cmd, original_tokens, filtered_tokens, ts, coalesce(model, 'none') AS model FROM ledger UNION ALL SELECT (SELECT max(id) FROM ledger) + row_number() OVER (ORDER BY c.id), cmd, ((strlen(cmd) + 3) // 4)::BIGINT, ((strlen(cmd) + 3) // 4)::BIGINT, {_NOW}, 'Unknown Model' FROM commands c")
 
 
-def _streamed(spark: SparkSession, d: str) -> DataFrame:
+def _ledger_stream(spark: SparkSession, d: str) -> DataFrame:
     # A stream reads a folder: the table may be one file in it or a folder of files.
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
-    rows = ledger_stream.once_each(view(spark, d, "ledger", events=events).select("id", F.col("ts").cast("timestamp").alias("ts"), "original_tokens", "filtered_tokens"))
-    return ledger_stream.run_available(ledger_stream.daily(rows), spark, "daily")
+    return view(spark, d, "ledger", events=events).select("id", "project", F.col("ts").cast("timestamp").alias("ts"), "original_tokens", "filtered_tokens")
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    return ledger_stream.run_available(ledger_stream.daily(ledger_stream.once_each(_ledger_stream(spark, d))), spark, "daily")
+
+
+def _stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    out = sessions.run_appended(sessions.sessions(_ledger_stream(spark, d)), spark, new_path(spark, "sessions"))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "ended")})
+
+
+def _stream_due(spark: SparkSession, d: str) -> DataFrame:
+    out = sessions.run_appended(sessions.due_times(_ledger_stream(spark, d)), spark, new_path(spark, "due"))
+    return out.withColumn("due", F.date_format("due", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 _add("ledger_stream_daily", _streamed, "ledger", sql="SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(original_tokens)::BIGINT AS original, sum(filtered_tokens)::BIGINT AS filtered FROM ledger GROUP BY 1")
+_SESSIONS_SQL = """, starts AS (
+  SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY project ORDER BY ts) > INTERVAL 30 MINUTE, true)::INT AS new FROM ledger
+), numbered AS (SELECT *, sum(new) OVER (PARTITION BY project ORDER BY ts) AS nth FROM starts)
+SELECT project, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS n,
+       sum(original_tokens)::BIGINT AS original, sum(filtered_tokens)::BIGINT AS filtered
+FROM numbered GROUP BY project, nth HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM ledger) - INTERVAL 2 HOUR"""
+_add("ledger_stream_sessions", _stream_sessions, "ledger", sql=_SESSIONS_SQL)
+_add("ledger_stream_due", _stream_due, "ledger", sql=""", due AS (
+  SELECT project, min(ts) AS ts FROM ledger GROUP BY project
+  UNION ALL SELECT d.project, min(l.ts) FROM due d JOIN ledger l ON l.project = d.project AND l.ts >= d.ts + INTERVAL 1 DAY GROUP BY d.project
+) SELECT project, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS due FROM due""")
 
 # Profiles and packing.
 _RULES = (("plain line [0-9]+", "collapse"), ("token internal-[0-9]+ ", "strip"), ("(", "strip"))
