@@ -90,8 +90,12 @@ def redact(text: Column, custom: tuple[str, ...] = ()) -> Column:
     return redact_random(text)
 
 
-def audit(df: DataFrame, key: str, text: str, custom: tuple[str, ...] = ()) -> DataFrame:
-    """One row (key, label, hash of the secret) for each replacement that redaction makes."""
+def audit(df: DataFrame, key: str, text: str, custom: tuple[str, ...] = (), now: Column | None = None, source: Column | None = None) -> DataFrame:
+    """One row (key, label, hash of the secret) for each replacement that redaction makes.
+
+    With ``now`` the rows tell the second (``epoch_s``) and the ``source``, by
+    default unknown, as an audit log does that is only ever appended to.
+    """
     x, found = F.col(text), []
     for label, pattern, mark in (*STAGES, *((CUSTOM[0], p, CUSTOM[1]) for p in custom if is_pattern(p))):
         hits = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
@@ -99,7 +103,8 @@ def audit(df: DataFrame, key: str, text: str, custom: tuple[str, ...] = ()) -> D
         x = F.regexp_replace(x, pattern, mark)
     words = F.filter(F.transform(_pieces(x), lambda s, i: F.when((i % 2 == 1) & _is_random(s), s)), lambda s: s.isNotNull())
     found.append(_labelled(words, RANDOM[0]))
-    return df.select(F.col(key), F.explode(F.concat(*found)).alias("hit")).select(key, "hit.label", "hit.hash")
+    told = [] if now is None else [F.unix_timestamp(now).alias("epoch_s"), F.coalesce(F.lit(None) if source is None else source, F.lit("unknown")).alias("source")]
+    return df.select(F.col(key), *told, F.explode(F.concat(*found)).alias("hit")).select("*", "hit.label", "hit.hash").drop("hit")
 
 
 def _labelled(hits: Column, label: str) -> Column:

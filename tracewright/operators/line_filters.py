@@ -245,6 +245,22 @@ def rule_file(text: Column) -> Column:
     return each_line(single_blanks(F.transform(lines(plain), strip_end)))
 
 
+def compacted_rule_files(files: DataFrame) -> DataFrame:
+    """``path``, ``content``, ``backup``, ``saved_bytes``, ``saved_tokens`` of rule files (path, content) after ``rule_file``.
+
+    A file that gets no shorter stays as it is, without a backup; of the others
+    the old text is kept. Four bytes saved are a token, rounded down.
+    """
+    rows = files.select("path", F.col("content").alias("old"), rule_file(F.col("content")).alias("new"))
+    saved = F.greatest(F.octet_length("old") - F.octet_length("new"), F.lit(0)).cast("long")
+    rows = rows.withColumn("saved_bytes", saved)
+    shorter = F.col("saved_bytes") > 0
+    return rows.select(
+        "path", F.when(shorter, F.col("new")).otherwise(F.col("old")).alias("content"), F.when(shorter, F.col("old")).alias("backup"),
+        "saved_bytes", F.floor(F.col("saved_bytes") / 4).cast("long").alias("saved_tokens"),
+    )
+
+
 def each_line(rows: Column) -> Column:
     return F.array_join(rows, "\n")
 

@@ -92,7 +92,7 @@ def profile_name(cmd: Column, overrides: Mapping[str, str], default: str = DEFAU
     """The profile of a command: that of the longest own part it contains, of equals the first by name, else the default."""
     out = F.lit(default if default in PROFILES else DEFAULT)
     known = {k: v for k, v in overrides.items() if v in PROFILES}
-    for part in sorted(known, key=lambda x: (len(x.encode()), x), reverse=True)[::-1]:
+    for part in sorted(sorted(known, reverse=True), key=lambda x: len(x.encode())):  # the last one wins
         out = F.when(cmd.contains(part), known[part]).otherwise(out)
     return out
 

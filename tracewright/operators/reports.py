@@ -72,6 +72,24 @@ def csv_lines(rows: DataFrame, prices: DataFrame, most: int = 50_000) -> DataFra
     return priced.select("id", line.alias("line"))
 
 
+def benchmark_json(rows: DataFrame, prices: DataFrame, now: Column, commit: str = "unknown", version: str = "", revision: str = "", most: int = 50_000) -> DataFrame:
+    """``part``, ``place``, ``line``: JSON lines, to be written in the order of part and place.
+
+    The first tells when, from which commit and with which prices; then come the
+    newest ledger rows, newest first, with what they saved.
+    """
+    facts = F.struct(F.unix_timestamp(now).cast("string").alias("timestamp"), F.lit(commit).alias("commit_sha"), F.lit(version).alias("version"), F.lit(revision).alias("pricing_revision"))
+    head = rows.sparkSession.range(1).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("place"), F.to_json(F.struct(facts.alias("metadata"))).alias("line"))
+    saved = F.col("original_tokens") - F.col("filtered_tokens")
+    told = F.struct(
+        "id", "cmd", "original_tokens", "filtered_tokens", saved.alias("saved_tokens"), ledger.percent(saved, F.col("original_tokens")).alias("savings_pct"),
+        cost(saved, F.col("input_price")).alias("cost_saved_usd"), F.coalesce("duration_ms", F.lit(0).cast("long")).alias("duration_ms"), "model",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+    )
+    priced = with_price(ledger.recent(rows, most), prices, "unknown")
+    return head.union(priced.select(F.lit(2), -F.col("id"), F.to_json(told, {"ignoreNullFields": "false"})))
+
+
 def diff_estimate(diffs: DataFrame, key: str, text: str) -> DataFrame:
     """For each diff and model: files, bytes, tokens before and after the filter, and their costs."""
     c = F.col(text)
@@ -99,6 +117,20 @@ def index_status(symbols: DataFrame, deps: DataFrame, hashes: DataFrame, now_s:
     return rows.select("symbols", "edges", "last_indexed", "pct", F.coalesce(stale, F.lit(True)).alias("stale"))
 
 
+def vault_index(symbols: DataFrame, deps: DataFrame, hashes: DataFrame, now_s: int) -> DataFrame:
+    """``title``, ``body``: the note that begins a vault: the index's counts and state, and how many notes there are (one a different title)."""
+    base = F.element_at(F.split("file_path", "/"), -1)
+    notes = symbols.agg(F.count_distinct("name", base).alias("notes"))
+    state = index_status(symbols, deps, hashes, now_s).join(notes)
+    lines_ = [
+        F.concat(F.lit("- Symbols: "), F.col("symbols").cast("string")), F.concat(F.lit("- Edges: "), F.col("edges").cast("string")),
+        F.concat(F.lit("- Graph coverage: "), _fixed("pct", 1), F.lit("%")), F.concat(F.lit("- Notes exported: "), F.col("notes").cast("string")),
+        F.concat(F.lit("- Index stale: "), F.when(F.col("stale"), "yes").otherwise("no")),
+    ]
+    body = F.concat_ws("\n", F.lit("# Code graph\n"), *lines_, F.lit("\nEach symbol's note holds its links.\n"))
+    return state.select(F.lit("index").alias("title"), body.alias("body"))
+
+
 def vault_notes(symbols: DataFrame, deps: DataFrame) -> DataFrame:
     """``title``, ``body``: a Markdown note for each symbol with links to what it calls and what calls it.
 

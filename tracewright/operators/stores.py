@@ -88,6 +88,17 @@ def thought(notes: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return overwrite(notes, rows.groupBy("key", "project_path").agg(F.max("val").alias("val")), now)
 
 
+# How a thought stands in the ledger.
+THOUGHT_COMMAND, THOUGHT_STORED = "think", "[Thought Stored]"
+
+
+def thought_logs(new: DataFrame, now: Column) -> DataFrame:
+    """The rows that new thoughts (project_path, said) add to the ledger by ``ledger.append``: what was said against the note that it is stored."""
+    said = F.regexp_replace("said", r"(?U)^\s+|\s+$", "")
+    rows = new.select(F.lit(THOUGHT_COMMAND).alias("cmd"), said.alias("raw_output"), F.lit(THOUGHT_STORED).alias("filtered"), now.alias("ts"), F.col("project_path").alias("project"))
+    return rows.where("raw_output <> ''")
+
+
 # The keys that a session begins with.
 SESSION_KEYS = ("decisions", "active_tasks", "context_files", "warnings")
 

@@ -310,7 +310,19 @@ for _name in profiles.PROFILES:
     _add(f"profile_{_name.replace('-', '_')}", lambda s, d, n=_name: view(s, d, "log_mixed").select("run_id", profiles.apply_profile(F.col("log"), profiles.PROFILES[n]).alias("log")), "log_mixed", sql=log_sql.profile(profiles.PROFILES[_name]))
 _add("rules_applied", lambda s, d: view(s, d, "log_mixed").select("run_id", profiles.apply_rules(F.col("log"), _RULES).alias("log")), "log_mixed", sql="SELECT run_id, regexp_replace(regexp_replace(log, 'plain line [0-9]+', '[collapsed]', 'g'), 'token internal-[0-9]+ ', '', 'g') AS log FROM log_mixed")
 _add("profile_names", lambda s, d: view(s, d, "commands").select("id", profiles.profile_name(F.col("cmd"), {"git": "audit", "git diff": "balanced", "cargo": "developer", "npm": "nothing"}).alias("profile")), "commands", sql="SELECT id, CASE WHEN contains(cmd, 'git diff') THEN 'balanced' WHEN contains(cmd, 'cargo') THEN 'developer' WHEN contains(cmd, 'git') THEN 'audit' ELSE 'strict' END AS profile FROM commands")
-_add("post_processed", lambda s, d: profiles.post_processed(view(s, d, "log_mixed").select("run_id", F.lit("git diff").alias("cmd"), F.col("log").alias("raw"), F.col("log").alias("filtered")), rules=_RULES, overrides={"git": "balanced"}).select("run_id", "shown", "original_tokens", "filtered_tokens", "cached", "saturated"), "log_mixed", sql=log_sql.post_processed(profiles.PROFILES["balanced"]))
+# Commands by turns; two parts of the same length meet in the fifth, where the first by name counts.
+_COMMANDS_OF = {"git diff": "balanced", "cargo b": "developer", "npm audit": "audit", "pytest -q": "json-only", "ab cd": "balanced", "ls": "strict"}
+_OVERRIDES = {"git": "audit", "git diff": "balanced", "cargo": "developer", "npm": "audit", "pytest": "json-only", "ab": "balanced", "cd": "developer"}
+
+
+def _post_processed(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("run_id") % len(_COMMANDS_OF) + 1
+    cmd = F.element_at(F.array(*[F.lit(c) for c in _COMMANDS_OF]), turn.cast("int"))
+    rows = view(spark, d, "log_mixed").select("run_id", cmd.alias("cmd"), F.col("log").alias("raw"), F.col("log").alias("filtered"))
+    return profiles.post_processed(rows, rules=_RULES, overrides=_OVERRIDES).select("run_id", "shown", "original_tokens", "filtered_tokens", "cached", "saturated")
+
+
+_add("post_processed", _post_processed, "log_mixed", sql=log_sql.post_processed([profiles.PROFILES[p] for p in _COMMANDS_OF.values()]))
 _add("filter_plugin", lambda s, d: view(s, d, "log_cargo_build").select("run_id", line_filters.plugin(F.col("log"), ("Compiling", "Finished"), ("warning", "-->")).alias("filtered")), "log_cargo_build", sql=log_sql.FILTERS["plugin"])
 _add("rule_file", lambda s, d: view(s, d, "files").select("path", line_filters.rule_file(F.concat("content", F.lit("\n<!-- a\nb -->x  \n\n\n\ny"))).alias("content")), "files", sql=log_sql.RULE_FILE)
 _add("model_suggestions", lambda s, d: view(s, d, "commands").select("id", pricing.suggested_model(F.element_at(F.array(*[F.lit(x) for x in ("Simple", "audit", "review", "other")]), (F.col("id") % 4 + 1).cast("int"))).alias("model_id")), "commands", sql="SELECT id, CASE id % 4 WHEN 0 THEN 'gemini-3.5-flash' WHEN 3 THEN 'claude-4.6-sonnet' ELSE 'gemini-3.1-pro-preview' END AS model_id FROM commands")
@@ -326,9 +338,46 @@ _add("gc_due", lambda s, d: stores.gc_due(view(s, d, "memory").select(F.lit("las
 _add("commands_filtered", lambda s, d: view(s, d, "commands").select("id", router.is_filtered(F.col("cmd")).alias("filtered")), "commands", sql="SELECT id, NOT (starts_with(cmd, 'git status') AND contains(cmd, '-s')) AS filtered FROM commands")
 _add("rule_findings", lambda s, d: stores.rule_file_findings(view(s, d, "files").select("path", F.concat("content", F.lit("see file:///x/y and file:///"), "path").alias("content")), view(s, d, "files").select(F.concat(F.lit("/"), "path").alias("path")), 8), "files", sql="SELECT path, 'points to missing /x/y' AS finding FROM files UNION ALL SELECT path, 'has ' || n || ' lines' FROM (SELECT path, len(string_split(content || 'see', chr(10))) AS n FROM files) WHERE n > 8")
 
+
+
+def _benchmark_json(spark: SparkSession, d: str) -> DataFrame:
+    out = reports.benchmark_json(view(spark, d, "ledger"), pricing.price_table(spark), F.expr(_NOW), "abc")
+    schema = "metadata struct<timestamp string, commit_sha string>, saved_tokens long, savings_pct double, cost_saved_usd double, duration_ms long, model string, timestamp string"
+    x = out.select("part", "place", F.from_json("line", schema).alias("x"))
+    facts = [F.coalesce("x.model", "x.metadata.commit_sha").alias("name"), F.coalesce("x.timestamp", "x.metadata.timestamp").alias("at")]
+    sums = [F.coalesce(f"x.{c}", F.lit(0)).alias(c) for c in ("saved_tokens", "duration_ms")]
+    return x.select("part", "place", *facts, *sums, *[F.round(F.coalesce(f"x.{c}", F.lit(0.0)), 6).alias(c) for c in ("savings_pct", "cost_saved_usd")])
+
+
+_add("benchmark_json", _benchmark_json, "ledger", "prices", sql=_priced("unknown") + f"""(SELECT 2 AS part, -id AS place, m AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, original_tokens - filtered_tokens AS saved_tokens, coalesce(duration_ms, 0) AS duration_ms,
+  {_pct('original_tokens - filtered_tokens', 'original_tokens')} AS savings_pct, round((original_tokens - filtered_tokens) * input_price / 1e6, 6) AS cost_saved_usd FROM priced ORDER BY id DESC LIMIT 50000)
+  UNION ALL SELECT 1, 0, 'abc', '1707523200', 0, 0, 0.0, 0.0""")
+_add("rule_files", lambda s, d: line_filters.compacted_rule_files(view(s, d, "files").select("path", F.when(F.col("path").endswith("py"), F.concat("content", F.lit("\n<!-- a\nb -->x  \n\n\n\ny"))).otherwise(F.lit("short")).alias("content"))), "files", sql=f"""SELECT path, CASE WHEN path LIKE '%py' THEN content ELSE 'short' END AS content, CASE WHEN path LIKE '%py' THEN old END AS backup,
+  CASE WHEN path LIKE '%py' THEN strlen(old) - strlen(content) ELSE 0 END::BIGINT AS saved_bytes, CASE WHEN path LIKE '%py' THEN (strlen(old) - strlen(content)) // 4 ELSE 0 END::BIGINT AS saved_tokens
+  FROM ({log_sql.RULE_FILE}) r JOIN (SELECT path, content || chr(10) || '<!-- a' || chr(10) || 'b -->x  ' || chr(10) || chr(10) || chr(10) || chr(10) || 'y' AS old FROM files) USING (path)""")
+_add("vault_index", lambda s, d: reports.vault_index(view(s, d, "symbols"), view(s, d, "dependencies"), view(s, d, "symbols").select("file_path", F.lit(1_707_400_000).cast("long").alias("last_indexed")), 1_707_523_200), "symbols", "dependencies", sql="""SELECT 'index' AS title, concat_ws(chr(10), '# Code graph' || chr(10), '- Symbols: ' || n, '- Edges: ' || e, '- Graph coverage: ' || printf('%.1f', 100.0 * linked / n) || '%', '- Notes exported: ' || notes, '- Index stale: yes', chr(10) || 'Each symbol''s note holds its links.' || chr(10)) AS body
+  FROM (SELECT count(*) AS n, count(DISTINCT name || ' ' || string_split(file_path, '/')[-1]) AS notes FROM symbols), (SELECT count(*) AS e FROM dependencies),
+       (SELECT count(*) AS linked FROM (SELECT id FROM symbols WHERE name IN (SELECT callee_name FROM dependencies) UNION SELECT caller_id FROM dependencies))""")
+_add("think_logs", lambda s, d: ledger.append(view(s, d, "ledger"), stores.thought_logs(view(s, d, "thoughts").select("project_path", F.concat(F.lit(" "), "val", F.lit("\n")).alias("said")), F.expr(_NOW))).groupBy("cmd", "project").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("original_tokens").alias("original"), F.sum("filtered_tokens").alias("filtered")), "ledger", "thoughts", sql="""SELECT cmd, project, count(*) AS n, count(*) AS ids, sum(o)::BIGINT AS original, sum(f)::BIGINT AS filtered FROM
+  (SELECT cmd, project, original_tokens AS o, filtered_tokens AS f FROM ledger UNION ALL SELECT 'think', project_path, (strlen(trim(val, ' ' || chr(10))) + 3) // 4, 4 FROM thoughts WHERE trim(val, ' ' || chr(10)) <> '') GROUP BY 1, 2""")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each top folder itself, then its first file."""
+    top = F.substring_index("path", "/", 1)
+    first = view(spark, d, "files").groupBy(top.alias("request")).agg(F.min("path").alias("path"))
+    return first.select("request", F.inline(F.array(F.struct(F.lit(0).alias("place"), F.concat("request", F.lit("/")).alias("path")), F.struct(F.lit(1).alias("place"), F.col("path")))))
+
+
+_add("pack_paths", lambda s, d: packing.documents(packing.packed_paths(view(s, d, "files"), _asked(s, d)), F.col("request"), order=("place", "path")), "files", sql=f""", below AS (
+  SELECT string_split(path, '/')[1] AS project, path AS whole, path[strpos(path, '/') + 1:] AS path, content FROM files), parts AS (
+  SELECT project, 0 AS place, path, '  <file path="' || path || '">' || chr(10) || '    <![CDATA[' || chr(10) || content || CASE WHEN content LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '    ]]>' || chr(10) || '  </file>' || chr(10) AS entry FROM below WHERE NOT ({_IGNORED_SQL})
+  UNION ALL SELECT project, 1, min(whole), '<file path="' || min(whole) || '">' || chr(10) || arg_min(content, whole) || chr(10) || '</file>' || chr(10) FROM below GROUP BY project
+) SELECT project, document, ((strlen(document) + 3) // 4)::BIGINT AS n_tokens FROM (SELECT project, '<repository>' || chr(10) || string_agg(entry, '' ORDER BY place, path) || '</repository>' || chr(10) AS document FROM parts GROUP BY project)""")
+
 # Redaction and routing.
 _add("dlp_redact", lambda s, d: view(s, d, "secrets").select("doc_id", dlp.redact(F.col("text"), ("internal-[0-9]+",)).alias("text")))
-_add("dlp_audit", lambda s, d: dlp.audit(view(s, d, "secrets"), "doc_id", "text", ("internal-[0-9]+",)).groupBy("label").agg(F.count("*").alias("n")))
+_add("dlp_audit", lambda s, d: dlp.audit(view(s, d, "secrets"), "doc_id", "text", ("internal-[0-9]+",), F.expr(_NOW), F.lit("git show")))
 _PATTERNS = {"pem": 0, "uri": 1, "jwt": 2}
 for _name, _at in _PATTERNS.items():
     _label, _pattern, _mark = dlp.STAGES[_at]

@@ -285,9 +285,15 @@ def profile(p: Profile) -> str:
     return f"SELECT k AS run_id, {ended} AS log FROM (SELECT k, t, {body} AS o FROM {_lines('log_mixed')})"
 
 
-def post_processed(p: Profile) -> str:
-    ruled = "(SELECT run_id, log AS raw, regexp_replace(regexp_replace(log, 'plain line [0-9]+', '[collapsed]', 'g'), 'token internal-[0-9]+ ', '', 'g') AS log FROM log_mixed)"
-    shown = f"CASE WHEN ends_with(t, {_NL}) AND o <> '' THEN o || {_NL} ELSE o END"
+def post_processed(profiles: list[Profile]) -> str:
+    """Rows by turns under each of the profiles."""
+    n = len(profiles)
+    return " UNION ALL ".join(_post_processed(p, f"(SELECT * FROM log_mixed WHERE run_id % {n} = {i})") for i, p in enumerate(profiles))
+
+
+def _post_processed(p: Profile, source: str) -> str:
+    ruled = "(SELECT run_id, log AS raw, regexp_replace(regexp_replace(log, 'plain line [0-9]+', '[collapsed]', 'g'), 'token internal-[0-9]+ ', '', 'g') AS log FROM " + source + ")"
+    shown = "o" if p.minify else f"CASE WHEN ends_with(t, {_NL}) AND o <> '' THEN o || {_NL} ELSE o END"
     tokens = "((strlen({0}) + 3) // 4)::BIGINT"
     return f"""SELECT run_id, shown, {tokens.format('raw')} AS original_tokens, {tokens.format('shown')} AS filtered_tokens, strlen(shown) < strlen(raw) AND {_trim('shown')} <> '' AS cached, {tokens.format('shown')} > 3000 AS saturated
       FROM (SELECT k AS run_id, {shown} AS shown FROM (SELECT k, t, {_profiled(p)} AS o FROM {_lines(ruled)})) JOIN (SELECT run_id, log AS raw FROM log_mixed) USING (run_id)"""
@@ -324,9 +330,9 @@ def redact(view: str, key: str, custom: tuple[str, ...]) -> str:
 def audit(view: str, custom: tuple[str, ...]) -> str:
     parts = []
     for label, text, pattern in _stages("text", custom):
-        found = f"len(regexp_extract_all({text}, {_quoted(pattern)}))" if pattern else f"len({_random(f'regexp_extract_all({text}, {_WORD})')})"
-        parts.append(f"SELECT {_quoted(label)} AS label, sum({found})::BIGINT AS n FROM {view}")
-    return f"SELECT label, n FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+        found = f"regexp_extract_all({text}, {_quoted(pattern)})" if pattern else _random(f"regexp_extract_all({text}, {_WORD})")
+        parts.append(f"SELECT doc_id, {_quoted(label)} AS label, unnest({found}) AS hit FROM {view}")
+    return f"SELECT doc_id, 1707523200 AS epoch_s, 'git show' AS source, label, sha256(hit) AS hash FROM ({' UNION ALL '.join(parts)})"
 
 
 def _router() -> str:
