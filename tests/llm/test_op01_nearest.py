@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from tracewright.llm import op01_nearest as op
 
@@ -33,6 +35,7 @@ def test_equals_brute_force_with_awkward_rows(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK_ROWS", 16)  # many tiles
     monkeypatch.setattr(op, "BLOCK_BYTES", 8 * 6 * 32)
     monkeypatch.setattr(op, "STRIP_ROWS", 2)
+    monkeypatch.setattr(op, "STRIP_COLUMNS", 11)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in op.nearest(df, k=10).collect())
     assert got == brute(rows, 10, 100)
 
@@ -62,3 +65,20 @@ def test_bounds_hold():
     x = rng.normal(size=(50, 33)) * 10.0 ** rng.integers(-3, 3, (50, 1))
     codes, scale, left = op._quantised(x)
     assert np.allclose(left, np.linalg.norm(x - codes * scale[:, None], axis=1))
+
+
+def test_a_tile_of_short_vectors_stays_small():
+    rng = np.random.default_rng(4)
+    n = op.BLOCK_BYTES // (8 * 8)  # a block's rows at eight components
+    c = pd.DataFrame({"row": np.arange(n), "vec_id": np.arange(n), "v": list(rng.normal(size=(n, 8)).astype(np.float32))})
+    tracemalloc.start()
+    try:
+        got = op._tile(c[: op.STRIP_ROWS], c, 10)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200 << 20 and len(got) == 10 * op.STRIP_ROWS
+    x = np.stack(c["v"].to_numpy()).astype(float)
+    for i in (0, 100):
+        want = np.argsort(np.linalg.norm(x - x[i], axis=1), kind="stable")[1:11]
+        assert got.loc[got["query_row"] == i, "row"].tolist() == want.tolist()

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import row_key, stored
 
-#: Bytes of a block of vectors and rows of a small one; a tile is a block of queries by a block of candidates, worked through a few queries at a time.
-BLOCK_BYTES, BLOCK_ROWS, STRIP_ROWS = 32 << 20, 8192, 256
+#: Bytes of a block of vectors and rows of a small one; a tile is a block of queries by a block of candidates.
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 8192
+#: Queries and candidates of a tile that are worked through at a time: some six arrays of so many doubles are held, whatever the number of components.
+STRIP_ROWS, STRIP_COLUMNS = 256, 8192
 #: int8 products summed over this many components stay exact in float32.
 EXACT_TERMS = 1024
 
@@ -32,30 +34,57 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple[int, int, int, float]]:
-    """The k nearest of the tile's candidates for each of its queries: (query row, candidate row, vec_id, distance)."""
-    x, y = np.stack(q["v"].to_numpy()).astype(float), np.stack(c["v"].to_numpy()).astype(float)
-    (qx, sx, ex), (qy, sy, ey) = _quantised(x), _quantised(y)
-    nx = (qx.astype(np.int64) ** 2).sum(axis=1) * sx**2
-    ny = (qy.astype(np.int64) ** 2).sum(axis=1) * sy**2
-    about = np.sqrt(np.maximum(nx[:, None] + ny - 2 * _products(qx, qy) * sx[:, None] * sy, 0))
+class _Side:
+    """A block's vectors and what their quantisation tells, or some rows of it."""
+
+    def __init__(self, frame: pd.DataFrame) -> None:
+        self.row, self.id = frame["row"].to_numpy(), frame["vec_id"].to_numpy()
+        self.exact = np.stack(frame["v"].to_numpy()).astype(float)
+        self.codes, self.scale, self.error = _quantised(self.exact)
+        self.square = (self.codes.astype(np.int32) ** 2).sum(axis=1, dtype=np.int64) * self.scale**2
+
+    def part(self, at: slice) -> _Side:
+        out = _Side.__new__(_Side)
+        for name, values in vars(self).items():
+            setattr(out, name, values[at])
+        return out
+
+
+def _strip(q: _Side, c: _Side, best: list[list[tuple[float, int, int]]], k: int) -> None:
+    """Adds to each query's k nearest so far, (distance, vec_id, row) in order, those among some candidates."""
+    squares = q.square[:, None] + c.square
+    about = np.sqrt(np.maximum(squares - 2 * _products(q.codes, c.codes) * q.scale[:, None] * c.scale, 0))
     about = np.where(np.isfinite(about), about, 0.0)  # too large for squares: nothing is known of these
-    error = (ex[:, None] + ey) + 1e-9 * (np.sqrt(nx)[:, None] + np.sqrt(ny)) + 1e-7 * np.sqrt(nx[:, None] + ny)
-    rows, ids, own = c["row"].to_numpy(), c["vec_id"].to_numpy(), q["row"].to_numpy()
-    high = np.where(np.isfinite(nx[:, None] + ny), about + error, np.inf)
-    high[own[:, None] == rows] = np.inf
-    out = []
-    for i in range(len(q)):
+    error = (q.error[:, None] + c.error) + 1e-9 * (np.sqrt(q.square)[:, None] + np.sqrt(c.square)) + 1e-7 * np.sqrt(squares)
+    high = np.where(np.isfinite(squares), about + error, np.inf)
+    high[q.row[:, None] == c.row] = np.inf
+    for i in range(len(best)):
         # The k-th smallest upper bound is at least the k-th smallest distance.
-        limit = np.partition(high[i], k - 1)[k - 1] if len(c) > k else np.inf
-        at = np.flatnonzero((about[i] - error[i] <= limit) & (rows != own[i]))
+        limit = np.partition(high[i], k - 1)[k - 1] if len(c.row) > k else np.inf
+        if len(best[i]) == k:
+            limit = min(limit, best[i][-1][0])
+        at = np.flatnonzero((about[i] - error[i] <= limit) & (c.row != q.row[i]))
         d = np.zeros(len(at))
         with np.errstate(over="ignore"):
-            for j in range(x.shape[1]):  # in order, as a plain sum would go
-                d += (y[at, j] - x[i, j]) ** 2
-        best = heapq.nsmallest(k, zip(np.sqrt(d).tolist(), ids[at].tolist(), rows[at].tolist(), strict=True))
-        out += [(int(own[i]), row, vec, score) for score, vec, row in best]
-    return out
+            for j in range(q.exact.shape[1]):  # in order, as a plain sum would go
+                d += (c.exact[at, j] - q.exact[i, j]) ** 2
+        best[i] = heapq.nsmallest(k, best[i] + list(zip(np.sqrt(d).tolist(), c.id[at].tolist(), c.row[at].tolist(), strict=True)))
+
+
+def _tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of the tile's candidates for each of its queries, some rows of both at a time."""
+    parts = []
+    if len(q) and len(c):
+        x, y = _Side(q), _Side(c)
+        for a in range(0, len(q), STRIP_ROWS):
+            some = x.part(slice(a, a + STRIP_ROWS))
+            best: list[list[tuple[float, int, int]]] = [[] for _ in some.row]
+            for b in range(0, len(c), STRIP_COLUMNS):
+                _strip(some, y.part(slice(b, b + STRIP_COLUMNS)), best, k)
+            scores, ids, rows = (np.array([t[n] for found in best for t in found], kind) for n, kind in enumerate((float, np.int64, np.int64)))
+            parts.append((np.repeat(some.row, [len(found) for found in best]), rows, ids, scores))
+    names = ("query_row", "row", "vec_id", "score")
+    return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) if parts else [] for i, n in enumerate(names)})
 
 
 def nearest(
@@ -100,9 +129,7 @@ def nearest(
     queries = rows.where("asks").withColumn("q", dealt(bq)).withColumn("c", copied(bc)).select(*fields)
 
     def tile(_: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        strips = range(0, len(q) if len(c) else 0, STRIP_ROWS)
-        found = [row for a in strips for row in _tile(q[a : a + STRIP_ROWS], c, k)]
-        return pd.DataFrame(found, columns=["query_row", "row", "vec_id", "score"])
+        return _tile(q, c, k)
 
     found = (
         queries.groupBy("dim", "c", "q")
