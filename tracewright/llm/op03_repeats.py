@@ -4,8 +4,8 @@ Suffixes are told apart through ``depth`` bytes only, most significant digit
 first, and a suffix that stands alone in its group is dropped. The first digit
 is not the first bytes but the least hashed gram of the suffix's window: equal
 windows have the same, and neighbouring suffixes share it, so that a run of
-them (a block) is one record. Blocks of one first digit whose content, by a
-second hash, is the same are one kind: they repeat each other as a whole. Only
+them (a block) is one record. Blocks of one first digit with the same 128 bits
+of BLAKE2 of their bytes are one kind: they repeat each other as a whole. Only
 different kinds under the same first digit are sorted on, suffix by suffix, by
 passes over their bytes: eight bytes a pass in a task, and by shuffles where a
 group is too large for one. Groups left at full depth are exactly the repeated
@@ -26,6 +26,8 @@ from tracewright.llm.common import stored
 from tracewright.llm.words import mixed, powers
 
 GRAM = 40
+#: Bytes of the digest by which blocks under the same first digit count as equal: built texts cannot make it collide, as they can a sum.
+DIGEST_BYTES = 16
 #: Different kinds of blocks of one first digit that one task sorts; larger groups are sorted by shuffles, by the same passes.
 TASK_KINDS = 4000
 #: Blocks or removed runs (some forty bytes each) up to which they are sent to the scan of texts; more meet it in a shuffle.
@@ -46,11 +48,11 @@ def _grown(n: int) -> None:
 
 
 def blocks_of(raw: np.ndarray, depth: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts with the same least gram: its hash, the run's content hash, first and last start."""
+    """Runs of window starts with the same least gram: its hash, the digest of the run's bytes, first and last start."""
     n = len(raw)
     if n < depth:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, np.zeros(0, object), none, none
     _grown(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _up[:n], out=sums[1:])
@@ -66,8 +68,10 @@ def blocks_of(raw: np.ndarray, depth: int, gram: int = GRAM) -> tuple[np.ndarray
     new = np.concatenate(([True], (least[1:] != least[:-1]) | (grams[: starts - 1] == least[:-1])))
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [starts])) - 1
-    content = mixed((sums[last + depth] - sums[first]) * _down[first] + (last - first).astype(np.uint64))
-    return least[first].view(np.int64), content.view(np.int64), first, last
+    view, content = memoryview(raw), np.empty(len(first), object)
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        content[i] = hashlib.blake2b(view[a : b + depth], digest_size=DIGEST_BYTES).digest()
+    return least[first].view(np.int64), content, first, last
 
 
 def _blocks(texts: DataFrame, depth: int) -> DataFrame:
@@ -83,7 +87,7 @@ def _blocks(texts: DataFrame, depth: int) -> DataFrame:
                     out.append((h, c, np.full(len(h), k1), np.full(len(h), k2), a, b, np.full(len(h), copies)))
                 yield pd.DataFrame({x: np.concatenate([o[i] for o in out]) for i, x in enumerate(("h", "c", "k1", "k2", "a", "b", "copies"))})
 
-    return texts.mapInPandas(scan, "h long, c long, k1 long, k2 long, a int, b int, copies int")
+    return texts.mapInPandas(scan, "h long, c binary, k1 long, k2 long, a int, b int, copies int")
 
 
 def equal_windows(buffer: np.ndarray, group: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
@@ -142,7 +146,7 @@ def _sorted_in_tasks(kinds: DataFrame, depth: int) -> DataFrame:
         if rows:
             yield sort(rows)
 
-    return kinds.mapInPandas(walk, "h long, c long, at array<int>")
+    return kinds.mapInPandas(walk, "h long, c binary, at array<int>")
 
 
 def _sorted_by_shuffle(kinds: DataFrame, depth: int) -> DataFrame:
@@ -159,7 +163,7 @@ def _sorted_by_shuffle(kinds: DataFrame, depth: int) -> DataFrame:
                 windows = [row.body[i : i + depth] for i in range(len(row.body) - depth + 1)]
                 yield pd.DataFrame({"h": row.h, "c": row.c, "i": np.arange(len(windows)), "window": windows})
 
-    left = stored(kinds.dropDuplicates(["h", "c"]).mapInPandas(cut, "h long, c long, i int, window binary"), "windows")
+    left = stored(kinds.dropDuplicates(["h", "c"]).mapInPandas(cut, "h long, c binary, i int, window binary"), "windows")
     if left.isEmpty():
         return left.groupBy("h", "c").agg(F.collect_list("i").alias("at"))
     done = 0
@@ -240,7 +244,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, key: str = "doc_id", text:
                     out += [(w["h"], w["c"], w["many"], raw[w["a"] : w["b"] + depth]) for w in row.wanted]
             yield pd.DataFrame(out, columns=["h", "c", "many", "body"])
 
-    kinds = stored(found.select("k1", "k2", "body", "wanted").mapInPandas(fetch, "h long, c long, many boolean, body binary"), "kinds")
+    kinds = stored(found.select("k1", "k2", "body", "wanted").mapInPandas(fetch, "h long, c binary, many boolean, body binary"), "kinds")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = kinds.where("not many").select("h", "c", "body").repartition(parts, "h").sortWithinPartitions("h", "c")
     single = _sorted_in_tasks(dealt, depth).union(_sorted_by_shuffle(kinds.where("many").select("h", "c", "body"), depth))
