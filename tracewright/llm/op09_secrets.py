@@ -134,4 +134,5 @@ def find_secrets(docs: DataFrame, scope: int = 200, key: str = "doc_id", text: s
 
 
 def op9_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("credentials")
+    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("credentials", F.to_json("credentials"))
