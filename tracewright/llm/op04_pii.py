@@ -29,10 +29,14 @@ TERM = r"\p{L}++"
 _SPAN = "\u0003"
 _NO_SPANS = "cast(array() as array<struct<s:int,n:int,e:int,k:string>>)"
 
-#: Texts at an entity's overall rate that are added to those of each term (Lidstone), so that few texts prove less than many.
-PRIOR = 0.75
-#: Shares of the entity's information from which terms are generalised and removed.
-GENERALISED, REMOVED = 0.9, 0.98
+#: Standard deviations below the observed rate at which a term is taken to tell its entity: one error in twenty.
+DEVIATIONS = 1.645
+#: Chances of the entity, given the term, from which terms are generalised (1.32 bits of its information are left open) and removed (0.42 bits).
+GENERALISED, REMOVED = 0.4, 0.75
+#: Share of the entity's information that a term must disclose in any case, so that entities of very many texts aren't told by all words.
+SHARE = 0.5
+#: Texts that a pair needs at least: b of b texts prove b / (b + DEVIATIONS ** 2).
+_LEAST = DEVIATIONS**2 * GENERALISED / (1 - GENERALISED)
 #: Bytes of revealing terms, of what is sought in texts and of what was found there, and keys of repeated texts and of such terms, up to which they are sent to all executors; beyond, a shuffle.
 SENT_BYTES, SENT_KEYS = 32 << 20, 2_000_000
 #: Revealing words of a text up to which it is searched for them alone; of texts with more, all words are looked up in a join.
@@ -113,51 +117,45 @@ def _different(rows: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """``entity``, ``term``, ``share``, ``alike``: the pairs that meet in a text and can reveal, by counts over all different texts.
+    """``entity``, ``term``, ``given``, ``share``: the pairs that meet in a text and can reveal, by counts over all different texts.
 
-    A term of too many texts can't reach ``GENERALISED`` even if the entity
-    stands in as many of them as it can; it is left out before it meets the
-    entities. The entities of one text that stand in no other have the same
-    counts with every term: one row tells for as many as ``alike`` says.
+    By the bound, no pair of fewer than ``_LEAST`` texts and no term of more
+    than 1 / ``GENERALISED`` times an entity's texts can reach a threshold.
+    Such entities and terms are left out before anything meets, and only words
+    beside the entities that are left are counted.
     """
-    terms = F.array_distinct(F.transform("words", F.lower)).alias("terms")
+    terms = F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term")
     texts = _different(rows)
     n = F.lit(float(max(1, texts.count())))
-    counts = texts.select(terms).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    held = texts.where("size(base) > 0")
-    seen = held.select("copy", F.explode(F.array_distinct("base.m")).alias("entity"))
-    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pooled = (
-        seen.join(entities, "entity")
-        .groupBy("copy", F.when(F.col("n_entity") > 1, F.col("entity")).alias("shared"))
-        .agg(F.min("entity").alias("entity"), F.first("n_entity").alias("n_entity"), F.count("*").alias("alike"))
-    )
-    pooled = stored(pooled.drop("shared"), "entities")
-    most = pooled.groupBy("copy").agg(F.max("n_entity").alias("n_entity"))
-    near = held.select("copy", terms).join(most, "copy").select("copy", _most_texts(F.col("n_entity"), n).alias("most"), F.explode("terms").alias("term"))
-    near = near.join(counts, "term").where("n_term <= most").select("copy", "term", "n_term")
-    met = pooled.join(near, "copy").where(F.col("n_term") <= _most_texts(F.col("n_entity"), n))
-    pairs = met.groupBy("entity", "n_entity", "term", "n_term").agg(F.count("*").alias("both"), F.max("alike").alias("alike"))
-    return pairs.select("entity", "term", _share(n).alias("share"), "alike")
-
-
-def _most_texts(n_entity: Column, n: Column) -> Column:
-    """Texts up to which a term can still reveal an entity; a little more, for the last bits of the logarithms."""
-    rate = n_entity / n
-    return (n_entity + PRIOR * rate) / F.pow(rate, F.lit(1 - GENERALISED)) - PRIOR + 0.001
+    seen = texts.where("size(base) > 0").select("copy", F.explode(F.array_distinct("base.m")).alias("entity"))
+    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= _LEAST)
+    seen = stored(seen.join(entities, "entity"), "entities")
+    most = seen.groupBy("copy").agg((F.max("n_entity") / GENERALISED).alias("most"))
+    top = most.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    beside = texts.where("size(base) > 0").join(most, "copy").select("copy", "most", terms)
+    beside = stored(beside.withColumn("hash", F.xxhash64("term")), "beside")
+    # Hashes take less room than terms: most words go before any shuffle.
+    hashes = bounded(beside.select("hash").distinct(), "hashes", SENT_KEYS)
+    counts = texts.select(terms).withColumn("hash", F.xxhash64("term")).join(hashes, "hash", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = bounded(counts.where(F.col("n_term").between(_LEAST, top)), "counts", SENT_BYTES, F.octet_length("term") + 32)
+    near = beside.join(counts, "term").where("n_term <= most").select("copy", "term", "n_term")
+    met = seen.join(near, "copy").where(F.col("n_term") * GENERALISED <= F.col("n_entity"))
+    pairs = met.groupBy("entity", "n_entity", "term", "n_term").agg(F.count("*").alias("both")).withColumn("given", _given())
+    known = -F.log2(F.col("n_entity") / n)
+    return pairs.select("entity", "term", "given", ((F.log2("given") + known) / F.nullif(known, F.lit(0.0))).alias("share"))
 
 
-def _share(n: Column) -> Column:
-    """Pointwise mutual information of term and entity, smoothed by ``PRIOR``, as a share of the entity's information."""
-    rate = F.col("n_entity") / n
-    given = (F.col("both") + PRIOR * rate) / (F.col("n_term") + PRIOR)
-    return F.log2(given / rate) / F.nullif(-F.log2(rate), F.lit(0.0))
+def _given() -> Column:
+    """Wilson's lower bound of the rate at which texts with the term hold the entity: few texts prove less than many."""
+    m, rate, z = F.col("n_term"), F.col("both") / F.col("n_term"), F.lit(DEVIATIONS)
+    spread = F.sqrt(rate * (1 - rate) / m + z * z / (4 * m * m))
+    return (rate + z * z / (2 * m) - z * spread) / (1 + z * z / m)
 
 
 def _revealing(rows: DataFrame) -> DataFrame:
     """``entity``, ``term``, ``k``: pairs whose disclosure reaches a threshold."""
-    k = F.when(F.col("share") >= REMOVED, "removed").when(F.col("share") >= GENERALISED, "generalised")
-    return _judged(rows).select("entity", "term", k.alias("k")).where("k is not null")
+    k = F.when(F.col("given") >= REMOVED, "removed").when(F.col("given") >= GENERALISED, "generalised")
+    return _judged(rows).where(F.col("share") >= SHARE).select("entity", "term", k.alias("k")).where("k is not null")
 
 
 def _added(rows: DataFrame) -> DataFrame:
@@ -167,7 +165,11 @@ def _added(rows: DataFrame) -> DataFrame:
     # Hashes take less room than terms: most words go before any shuffle.
     hashes = bounded(risky.select(F.xxhash64("term").alias("hash")).distinct(), "hashes", SENT_KEYS)
     found = words.join(hashes, "hash", "left_semi").join(bounded(risky, "risky", SENT_BYTES, F.octet_length("term") + 32), "term")
-    found = stored(found.select("_row", "word", "k"), "found")
+    found = stored(found.select("_row", "word", "term", "k"), "found")
+    # The class that a term is generalised to: a name, if most texts write it with a capital.
+    names = found.where("k = 'generalised'").groupBy("term").agg((2 * F.count_if(F.col("word").rlike(r"^\p{Lu}")) >= F.count("*")).alias("name"))
+    names = bounded(names.where("name"), "names", SENT_BYTES, F.octet_length("term") + 32)
+    found = found.join(names, "term", "left").select("_row", "word", F.when(F.col("name"), "generalised_name").otherwise(F.col("k")).alias("k"))
     # Most texts hold few such words, and only these are sought; words are letters alone, so nothing is quoted.
     listed = found.groupBy("_row").agg(F.collect_list("word").alias("listed"))
     few = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("listed", "|"), F.lit(r")(?!\p{L})"))
@@ -184,18 +186,25 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", whol
 
     Base spans are emails, IP addresses, cards and phones; the matched string is
     an entity. Its terms are the words (runs of letters) outside base spans of
-    all texts that hold it. Each such pair is judged, however rare: the
-    pointwise mutual information of term and entity over all different texts,
-    smoothed by ``PRIOR``, as a share of the entity's information content, from
-    ``GENERALISED`` on adds a span ``generalised``, from ``REMOVED`` on
-    ``removed``, wherever the term occurs, also in texts without the entity.
+    all texts that hold it. Each such pair is judged, over all different texts,
+    by Wilson's lower bound of the entity's rate among the term's texts: the
+    pointwise mutual information that is proven is the entity's information
+    less what this chance leaves open. It counts from ``SHARE`` of that
+    information on. From a chance of ``GENERALISED`` it adds a span
+    ``generalised``, or ``generalised_name`` for a term that at least half of
+    its texts write with a capital, from ``REMOVED`` on ``removed``, wherever
+    the term occurs, also in texts without the entity. What is proven depends
+    on the texts of the pair, not on the corpus's size: a word of one text
+    alone reveals nothing, a name beside its entity in two texts and in no
+    other does.
 
     In ``clean`` a base span is replaced by its kind in angle brackets, a
-    generalised term by ``<term>``; removed terms go. Null texts count as empty
+    generalised term by its class, ``<name>`` or ``<term>``; removed terms go. Null texts count as empty
     (``clean`` stays null). Repeated rows are judged each for itself; copies of
     a text are no further support. Ties of two measures go to ``removed``. The
-    work grows with a text's length and with its spans, not with their product,
-    and nothing is cut. Only the named columns are read, so others may have any
+    work grows with a text's length and with its spans, not with their product;
+    only recurring entities and rare terms of a text meet as pairs, in a join
+    that is counted as it goes. Nothing is cut. Only the named columns are read, so others may have any
     name. An empty table gives no rows.
     """
     rows = _added(_read(docs, key, text, whole))
@@ -216,7 +225,7 @@ def _plain(x: Column) -> Column:
 
 
 def _mark(k: Column) -> Column:
-    return F.when(k == "removed", F.lit("")).when(k == "generalised", F.lit("<term>")).otherwise(F.concat(F.lit("<"), k, F.lit(">")))
+    return F.when(k == "removed", F.lit("")).when(k == "generalised_name", F.lit("<name>")).when(k == "generalised", F.lit("<term>")).otherwise(F.concat(F.lit("<"), k, F.lit(">")))
 
 
 def _cleaned(text: Column, spans: Column) -> Column:
