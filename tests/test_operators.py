@@ -4,10 +4,11 @@ import json
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.functions.lines import is_pattern
+from tracewright.functions.lines import is_pattern, rounded
 from tracewright.operators import dlp, graph, ledger, line_filters, packing, pricing, profiles, reports, router, search, sequence_filters, stores
 from tracewright.sources import config, tables, tree
 from tracewright.streaming import ledger_stream
@@ -337,6 +338,13 @@ def test_stream_counts_a_row_once(spark, tmp_path):
     assert {r.day: (r.n, r.original) for r in got.collect()} == {"2024-01-01": (17, 170), "2024-01-02": (17, 170), "2024-01-03": (16, 160)}
 
 
+def test_costs_round_as_sql_does(spark):
+    costs = [k * 1.5 / 1e6 for k in range(1, 3000, 2)]  # all end in a half of the sixth place
+    told = spark.createDataFrame([(x,) for x in costs], "x double").select("x", rounded(F.col("x"), 6).alias("r")).collect()
+    sql = dict(duckdb.sql(f"SELECT x, round(x, 6) FROM (SELECT unnest({costs}::DOUBLE[]) AS x)").fetchall())
+    assert {r.x: r.r for r in told} == sql
+
+
 def test_suggested_model_and_titles(spark):
     assert one(spark, "Security", pricing.suggested_model) == "gemini-3.1-pro-preview"
     symbols = spark.createDataFrame([("i1", "a", "Function", "x/f.rs", 1, 2), ("i2", "a", "Struct", "y/f.rs", 3, 4)], "id string, name string, kind string, file_path string, line_start int, line_end int")

@@ -93,6 +93,11 @@ def tokens(text: Column) -> Column:
     return F.floor((F.octet_length(text) + 3) / 4).cast("long")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded as SQL engines on C doubles do: the scaled double decides, where Spark's own ``round`` goes by its shortest decimals (0.0002535 * 1e6 is below 253.5)."""
+    return F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def cut_bytes(x: Column, most: int) -> Column:
     """At most ``most`` bytes: a longer text ends before that at a character's end, with an ellipsis."""
     head = F.make_valid_utf8(F.substring(F.encode(x, "UTF-8"), 1, most - 1).cast("string"))

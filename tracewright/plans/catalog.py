@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions.lines import tokens
+from tracewright.functions.lines import rounded, tokens
 from tracewright.functions.storage import new_path
 from tracewright.operators import dlp, graph, ledger, ledger_store, line_filters, packing, pricing, profiles, reports, router, search, search_index, sequence_filters, stores
 from tracewright.operators.code_index import CodeIndex
@@ -346,7 +346,7 @@ def _benchmark_json(spark: SparkSession, d: str) -> DataFrame:
     x = out.select("part", "place", F.from_json("line", schema).alias("x"))
     facts = [F.coalesce("x.model", "x.metadata.commit_sha").alias("name"), F.coalesce("x.timestamp", "x.metadata.timestamp").alias("at")]
     sums = [F.coalesce(f"x.{c}", F.lit(0)).alias(c) for c in ("saved_tokens", "duration_ms")]
-    return x.select("part", "place", *facts, *sums, *[F.round(F.coalesce(f"x.{c}", F.lit(0.0)), 6).alias(c) for c in ("savings_pct", "cost_saved_usd")])
+    return x.select("part", "place", *facts, *sums, *[rounded(F.coalesce(f"x.{c}", F.lit(0.0)), 6).alias(c) for c in ("savings_pct", "cost_saved_usd")])
 
 
 _add("benchmark_json", _benchmark_json, "ledger", "prices", sql=_priced("unknown") + f"""(SELECT 2 AS part, -id AS place, m AS name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, original_tokens - filtered_tokens AS saved_tokens, coalesce(duration_ms, 0) AS duration_ms,
