@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.lines import is_pattern, rounded
 from tracewright.operators import dlp, graph, ledger, line_filters, packing, pricing, profiles, reports, router, search, sequence_filters, stores
 from tracewright.sources import config, tables, tree
+from tracewright.sources.corpus import view
 from tracewright.streaming import ledger_stream
 
 
@@ -353,6 +354,45 @@ def test_suggested_model_and_titles(spark):
     assert note.title == "a (f.rs)" and "Struct" in note.body and "- [[b]]\n" in note.body and re.search(r"Incoming\)\n- \[\[a \(f.rs\)\]\]\n$", note.body)
 
 
+def join_rows(df):
+    """The most rows that a join of the plan made when ``df`` was collected."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if "Join" in kind:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_notes_of_a_name_with_many_bearers_and_callers_take_no_more_than_its_links(spark):
+    n = 300
+    symbols = spark.range(n).select(
+        F.concat(F.lit("i"), "id").alias("id"), F.lit("hub").alias("name"), F.lit("Function").alias("kind"), F.concat(F.lit("d"), "id", F.lit("/m.rs")).alias("file_path"),
+        F.lit(1).alias("line_start"), F.lit(2).alias("line_end"),
+    )
+    deps = symbols.select(F.col("id").alias("caller_id"), F.lit("hub").alias("callee_name"))
+    notes = reports.vault_notes(symbols, deps)
+    (note,) = notes.collect()
+    assert note.title == "hub (m.rs)" and "`d99/m.rs:1-2`" in note.body and note.body.count("- [[hub (m.rs)]]\n") == n + 1
+    assert 0 < join_rows(notes) <= n
+
+
+def test_no_join_of_the_graph_sends_a_table_that_grows(spark):
+    symbols = spark.createDataFrame([("i1", "a", "x/f.rs"), ("i2", "b", "x/g.rs")], "id string, name string, file_path string")
+    deps = spark.createDataFrame([("i1", "b")], "caller_id string, callee_name string")
+    edges = graph.resolved_edges(symbols, deps)
+    assert [tuple(r) for r in edges.collect()] == [("i1", "i2")]
+    for df in (edges, view(spark, "/root/testdata/sf0.001", "dependencies")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_source_trees(spark, tmp_path):
     for name, body in {"a/x.rs": b"fn a() {}", "a/y.md": "é".encode(), "a/z.bin": b"a\0b", "target/t.rs": b"x", "own/o.rs": b"x", "e.py": b"pass"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)

@@ -45,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: it is never sent whole through the driver, however small it is estimated."""
+    return df.hint("merge")
+
+
 def put_buckets(rows: DataFrame, path: str, buckets: DataFrame, column: str = "bucket") -> None:
     """Makes ``rows`` the content of the named ``buckets`` of a table that is partitioned by one column; no other bucket's files change.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.lines import lines, tokens
+from tracewright.functions.storage import by_shuffle
 from tracewright.operators import graph, ledger
 from tracewright.operators.pricing import DEFAULT_INPUT, cost, with_price
 from tracewright.operators.sequence_filters import git_diff
@@ -135,24 +136,31 @@ def vault_notes(symbols: DataFrame, deps: DataFrame) -> DataFrame:
     """``title``, ``body``: a Markdown note for each symbol with links to what it calls and what calls it.
 
     A title is the name and the file's name; of equal ones the last symbol by
-    id stays. Links are made distinct before they are gathered.
+    id stays, and only that one meets links. A called name meets its different
+    titles and not its bearers, and links are made distinct and told as text
+    before they meet the notes, so that a name with many callers and bearers
+    takes no more than its links.
     """
     base = F.element_at(F.split("file_path", "/"), -1)
     nodes = symbols.select("id", "name", "kind", "file_path", "line_start", "line_end", F.concat("name", F.lit(" ("), base, F.lit(")")).alias("title"))
     calls = deps.select(F.col("caller_id").alias("id"), F.col("callee_name").alias("name")).distinct()
-    targets = calls.join(nodes.select("name", F.col("title").alias("to")), "name", "left").select("id", "name", F.coalesce("to", "name").alias("to")).distinct()
-    outgoing = targets.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("name", "to"))).alias("out"))
-    callers = calls.select("name", F.col("id").alias("from_id")).join(nodes.select(F.col("id").alias("from_id"), F.col("title").alias("from")), "from_id")
-    incoming = callers.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("from_id", "from"))).alias("inc"))
+    titles = by_shuffle(nodes.select("name", F.col("title").alias("to")).distinct())
+    targets = calls.join(titles, "name", "left").select("id", "name", F.coalesce("to", "name").alias("to")).distinct()
+    callers = calls.select("name", F.col("id").alias("from_id")).join(by_shuffle(nodes.select(F.col("id").alias("from_id"), F.col("title").alias("from"))), "from_id")
 
     def listed(items: Column) -> Column:
         body = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- [["), x, F.lit("]]\n"))), "")
-        return F.coalesce(F.nullif(body, F.lit("")), F.lit("- None\n"))
+        return F.nullif(body, F.lit(""))
 
+    none = F.lit("- None\n")
+    outgoing = targets.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("name", "to"))).alias("out"))
+    outgoing = outgoing.select("id", listed(F.transform("out", lambda x: x.to)).alias("out"))
+    incoming = callers.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("from_id", "from"))).alias("inc"))
+    incoming = incoming.select("name", listed(F.transform("inc", lambda x: x["from"])).alias("inc"))
     body = F.concat(
         F.lit("# Symbol: "), F.col("name"), F.lit("\n\n- **Kind:** "), F.col("kind"), F.lit("\n- **Location:** `"), F.col("file_path"), F.lit(":"),
-        F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.lit("`\n\n## Calls (Outgoing)\n"), listed(F.transform("out", lambda x: x.to)),
-        F.lit("\n## Referenced By (Incoming)\n"), listed(F.transform("inc", lambda x: x["from"])),
+        F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.lit("`\n\n## Calls (Outgoing)\n"), F.coalesce("out", none),
+        F.lit("\n## Referenced By (Incoming)\n"), F.coalesce("inc", none),
     )
-    notes = nodes.join(outgoing, "id", "left").join(incoming, "name", "left").select("title", "id", body.alias("body"))
-    return notes.groupBy("title").agg(F.max_by("body", "id").alias("body"))
+    told = nodes.groupBy("title").agg(F.max_by(F.struct(*[c for c in nodes.columns if c != "title"]), "id").alias("last")).select("title", "last.*")
+    return told.join(by_shuffle(outgoing), "id", "left").join(by_shuffle(incoming), "name", "left").select("title", body.alias("body"))

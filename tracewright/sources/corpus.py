@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.functions.storage import by_shuffle
+
 # The price registry, in its order (id, provider, name, input and output price a million tokens).
 PRICES = [
     ("claude-4.8-opus", "anthropic", "Claude Opus 4.8", 5.0, 25.0),
@@ -219,7 +221,7 @@ def _dialect(sql: str, engine: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
     """A derived view over the tables of a folder, or over those that are ``given``."""
     sql = _dialect(VIEWS[name], "spark")
-    frames = {n: view(spark, sf_dir, n) for n in _NEEDS.get(name, ())}
+    frames = {n: by_shuffle(view(spark, sf_dir, n)) for n in _NEEDS.get(name, ())}
     for t in ("events", "documents", "part", "lineitem", "orders", "conversations", "pages"):
         if re.search(rf"\b{t}\b", sql):
             frames[t] = given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet")
