@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.code import LANGUAGES, SYMBOLS, Code
 from tracewright.functions.lines import lines
-from tracewright.functions.storage import stored
+from tracewright.functions.storage import by_shuffle, stored
 
 # A name with more definitions elsewhere stays unresolved; bounds of the risk classes.
 MOST_CANDIDATES, HIGH, MEDIUM = 3, 10, 3
@@ -50,17 +50,19 @@ def resolved_edges(symbols: DataFrame, deps: DataFrame) -> DataFrame:
     """``caller_id``, ``callee_id``: the only other bearer of the called name, else those in the same file, else in the same folder, else all if few.
 
     Bearers are counted by name, file and folder first, so that a name with many
-    bearers never meets all its callers.
+    bearers never meets all its callers. All joins are by shuffles: symbols are
+    computed from small columns, and by such estimates the whole of them would
+    be sent through the driver.
     """
     nodes = symbols.select("id", "name", "file_path", dir_of(F.col("file_path")).alias("dir"))
     callers = nodes.select(F.col("id").alias("caller_id"), F.col("name").alias("own"), "file_path", "dir")
-    calls = deps.select("caller_id", F.col("callee_name").alias("name")).distinct().join(callers, "caller_id")
+    calls = deps.select("caller_id", F.col("callee_name").alias("name")).distinct().join(by_shuffle(callers), "caller_id")
 
     def counted(*by: str) -> DataFrame:
         return nodes.groupBy(*by).agg(F.count("*").alias("n_" + by[-1]))
 
     for by in (("name",), ("name", "file_path"), ("name", "dir")):
-        calls = calls.join(counted(*by), list(by), "left")
+        calls = calls.join(by_shuffle(counted(*by)), list(by), "left")
     itself = (F.col("own") == F.col("name")).cast("int")
     n = {k: F.coalesce(F.col(f"n_{k}"), F.lit(0)) - itself for k in ("name", "file_path", "dir")}
     tier = (
@@ -69,7 +71,7 @@ def resolved_edges(symbols: DataFrame, deps: DataFrame) -> DataFrame:
     calls = stored(calls.select("caller_id", "name", "file_path", "dir", tier.alias("tier")).where("tier is not null"), "calls")
     out = None
     for by in (["name"], ["name", "file_path"], ["name", "dir"]):
-        found = calls.where(F.col("tier") == by[-1]).select("caller_id", *by).join(nodes.select(F.col("id").alias("callee_id"), *by), by)
+        found = calls.where(F.col("tier") == by[-1]).select("caller_id", *by).join(by_shuffle(nodes.select(F.col("id").alias("callee_id"), *by)), by)
         found = found.where("caller_id <> callee_id").select("caller_id", "callee_id")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
@@ -180,7 +182,7 @@ def touched(symbols: DataFrame, hunks: DataFrame, bin_lines: int = BIN_LINES) ->
     own = symbols.where("line_end >= line_start").select("id", "file_path", "line_start", "line_end")
     x, y = binned(own, "line_start", "line_end"), binned(ranges, "first_line", "last_line")
     on = (x.file_path == y.file_path) & (x._bin == y._bin) & (x.line_start <= y.last_line) & (x.line_end >= y.first_line)
-    return symbols.join(x.join(y, on, "left_semi").select("id").distinct(), "id", "left_semi").select(symbols.columns)
+    return symbols.join(by_shuffle(x.join(by_shuffle(y), on, "left_semi").select("id").distinct()), "id", "left_semi").select(symbols.columns)
 
 
 def detect_changes(symbols: DataFrame, edges: DataFrame, hunks: DataFrame) -> DataFrame:
