@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tests.llm.helpers import table, words
+from tracewright.llm import op10_jaccard_join
 from tracewright.llm import op10_jaccard_join as op
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -81,3 +82,13 @@ def test_one_row_of_each_class_stays_with_all_columns(spark, sent):
     got = op.one_of_each(docs, sent_rows=sent)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text or "", r.h) for r in got.collect()) == [(0, "a b c d e f", 7), (2, "", 7), (3, "", 7), (4, "x y", 7), (5, "x z", 7)]
+
+
+def test_cells_hold_compressed_texts(spark, monkeypatch):
+    word = [f"word{i * 7919 % 1000}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(word[i * 300 : i * 300 + 300] + [f"x{j}"])) for i in range(8) for j in range(2)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(op10_jaccard_join, "_verified", lambda cells, *a, f=op10_jaccard_join._verified: seen.append(cells) or f(cells, *a))
+    assert {r.n_links for r in op10_jaccard_join.near_duplicates(docs).collect()} == {1}
+    r = seen[0].selectExpr("sum(length(body)) AS sent", "sum(n) * 8 AS hashes").first()
+    assert 0 < r.sent < r.hashes * 0.6

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ def _features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInPandas(scan, "_row long, doc_id long, h1 long, h2 long, n int, bands array<long>")
 
 
-def _verified(cells: DataFrame, similarity: float) -> DataFrame:
+def _verified(cells: DataFrame, size: int, similarity: float) -> DataFrame:
     """A row for each member of each cell: documents and sets linked to it there, and the least member it hangs together with."""
 
     def judge(rows: list) -> pd.DataFrame:
@@ -68,7 +69,7 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
         copies = np.array([r.copies for r in rows])
         block = np.array([r.block for r in rows])
         earlier = np.stack([np.asarray(r.hubs[: r.band], np.int64) for r in rows])
-        sets = [np.frombuffer(r.body, np.uint64) for r in rows]
+        sets = [shingles(zlib.decompress(r.body).decode("utf-8", "surrogatepass"), size) for r in rows]
         apart = rows[0].a != rows[0].b
         docs, texts, root = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), list(range(len(rows)))
 
@@ -112,8 +113,11 @@ def _verified(cells: DataFrame, similarity: float) -> DataFrame:
     return cells.mapInPandas(walk, "rep long, root long, docs long, texts long")
 
 
-def _cells(sets: DataFrame, keyed: DataFrame, size: int, bands: int) -> DataFrame:
-    """The members of every bucket in which some pair shares its first band, with their sets, cut into cells.
+def _cells(sets: DataFrame, keyed: DataFrame, bands: int) -> DataFrame:
+    """The members of every bucket in which some pair shares its first band, with their texts, cut into cells.
+
+    Texts travel compressed and are cut into shingles where they are judged: a
+    set's hashes take three to four times the room of its compressed text.
 
     A bucket is named by its band and its least member, the hub. ``hubs`` are a
     member's buckets by band, -1 where it is alone, so that two members share a
@@ -139,12 +143,12 @@ def _cells(sets: DataFrame, keyed: DataFrame, size: int, bands: int) -> DataFram
     dealt = dealt.groupBy("rep").agg(F.collect_list(F.struct("band", "hub", "k")).alias("cells"))  # at most one a band
     dealt = stored(dealt.join(members, "rep"), "dealt")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["_row"], "body": [shingles(x, size).tobytes() for x in batch["body"]]})
+            yield pd.DataFrame({"rep": batch["_row"], "body": [zlib.compress(x.encode("utf-8", "surrogatepass")) for x in batch["body"]]})
 
     texts = keyed.select("_row", "body").join(bounded(dealt.select(F.col("rep").alias("_row")), "keys", SENT_KEYS), "_row", "left_semi")
-    found = texts.mapInPandas(cut, "rep long, body binary").join(dealt, "rep")
+    found = texts.mapInPandas(packed, "rep long, body binary").join(dealt, "rep")
     found = found.select("rep", "n", "copies", "hubs", "body", F.inline("cells")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     return found.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "band", "hub", F.least("block", "c").alias("a"), F.greatest("block", "c").alias("b"), "rep", "n", "copies", "hubs", "block", "body"
@@ -194,8 +198,8 @@ def near_duplicates(
     )
     sets = stored(sets.select("h1", "h2", F.col("first._row").alias("rep"), F.col("first.doc_id").alias("set_id"), "copies", "n", "bands"), "sets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = _cells(sets, keyed, size, bands).repartition(parts, "band", "hub", "a", "b").sortWithinPartitions("band", "hub", "a", "b", "rep")
-    judged = stored(_verified(cells, similarity), "judged")
+    cells = _cells(sets, keyed, bands).repartition(parts, "band", "hub", "a", "b").sortWithinPartitions("band", "hub", "a", "b", "rep")
+    judged = stored(_verified(cells, size, similarity), "judged")
 
     roots = components(judged.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     names = sets.select(F.col("rep").alias("root"), F.col("set_id").alias("class_id"))
