@@ -55,11 +55,11 @@ def put_buckets(rows: DataFrame, path: str, buckets: DataFrame, column: str = "b
 
     ``rows`` may be read from the same table: they are stored apart first. A
     bucket without rows gets one row of nulls, for else its old rows would stay;
-    ``get_buckets`` leaves it out.
+    ``get_buckets`` leaves it out. A large bucket spreads over tasks and files.
     """
     rows = stored(rows, "buckets")
     empty = buckets.select(column).distinct().join(rows.select(column).distinct(), column, "left_anti")
-    rows = rows.unionByName(empty, allowMissingColumns=True).repartition(column)
+    rows = rows.unionByName(empty, allowMissingColumns=True).hint("rebalance", column)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 

@@ -16,6 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.lines import once
 from tracewright.functions.storage import get_buckets, put_buckets, stored
 from tracewright.operators.search import K1, LEAST_IDF, MOST, WORD, B
 
@@ -47,8 +48,19 @@ def _analysed(notes: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.size("words")).withColumn("bucket", _note_bucket(NOTE_BUCKETS))
 
 
+def _counted(words: Column) -> Column:
+    """Each different word with its number, counted along the sorted words of the one note; null for no words."""
+
+    def of_sorted(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return once(first, lambda at: F.transform(at, lambda a, j: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - a).alias("hits"))))
+
+    return F.when(F.size(words) > 0, once(F.sort_array(words), of_sorted))
+
+
 def _postings(analysed: DataFrame) -> DataFrame:
-    rows = analysed.select(F.explode("words").alias("term"), "key", "project_path", "n").groupBy("term", "key", "project_path", "n").agg(F.count("*").cast("int").alias("hits"))
+    # Keys are unique in a project, so that a note's words are counted where it stands, without a table of all words in a task.
+    rows = analysed.select("key", "project_path", "n", F.inline(_counted(F.col("words"))))
     return rows.select("term", "key", "project_path", "hits", "n", _bucket(F.col("term"), TERM_BUCKETS).alias("bucket"))
 
 
