@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.lines import rounded, tokens
-from tracewright.functions.storage import new_path
+from tracewright.functions.storage import new_path, stored
 from tracewright.operators import dlp, graph, ledger, ledger_store, line_filters, packing, pricing, profiles, reports, router, search, search_index, sequence_filters, stores
 from tracewright.operators.code_index import CodeIndex
 from tracewright.plans import log_sql
@@ -71,7 +71,8 @@ _add("benchmark_export", _over(ledger.export, "ledger"), "ledger", sql=f"SELECT
 
 def _by_day(spark: SparkSession, d: str) -> DataFrame:
     path, now = new_path(spark, "ledger-days"), datetime(2024, 2, 10)
-    ledger_store.save(view(spark, d, "ledger").withColumn("ts", F.col("ts").cast("timestamp")), path)
+    rows = view(spark, d, "ledger").drop("raw_output")  # no column of the result: it would be dealt and written only to be left out
+    ledger_store.save(rows.withColumn("ts", F.col("ts").cast("timestamp")), path)
     ledger_store.expire(spark, path, now)
     return ledger_store.current(spark, path, now).drop("raw_output").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -181,8 +182,9 @@ _add("extracted_calls", lambda s, d: graph.extracted_calls(_code(s, d)), "code",
 
 def _from_code(f: Callable[[SparkSession, str, DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        files = _code(spark, d)
-        return f(spark, d, graph.extracted_symbols(files), graph.extracted_calls(files))
+        parsed = stored(graph.outlined(_code(spark, d)), "outlined")  # each plan needs it several times
+        symbols, calls = graph.symbols_of(parsed), graph.calls_of(parsed).select("caller_id", "callee_name")
+        return f(spark, d, stored(symbols, "symbols"), stored(calls, "calls"))
 
     return run
 
