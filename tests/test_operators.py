@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions.lines import is_pattern, rounded
-from tracewright.operators import dlp, graph, ledger, line_filters, packing, pricing, profiles, reports, router, search, sequence_filters, stores
+from tracewright.operators import dlp, graph, ledger, ledger_store, line_filters, packing, pricing, profiles, reports, router, search, search_index, sequence_filters, stores
+from tracewright.plans import catalog
 from tracewright.sources import config, tables, tree
 from tracewright.sources.corpus import view
 from tracewright.streaming import ledger_stream
@@ -410,3 +411,33 @@ def test_tables_with_old_rows(spark, tmp_path):
     assert [(r.id, r.model, r.branch) for r in rows.orderBy("id").collect()] == [(1, None, None), (2, "m", None)]
     assert tables.add(tables.empty(spark, "ledger"), rows.select("id", "cmd")).count() == 2
     assert stores.gc_due(tables.empty(spark, "meta"), 1).first().due is False and stores.gc_due(tables.empty(spark, "meta"), 86_400).first().due is True
+
+
+def test_code_is_parsed_once_for_each_plan(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "outlined", lambda files, f=graph.outlined: seen.append(files) or f(files))
+    for name in ("index_replaced", "rename_plan"):
+        seen.clear()
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(seen) == 1
+
+
+def test_ledger_by_day_deals_no_raw_outputs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ledger_store, "save", lambda rows, path, f=ledger_store.save: seen.append(rows.columns) or f(rows, path))
+    assert catalog.QUERIES["ledger_by_day"](spark, "/root/testdata/sf0.001").count()
+    assert "raw_output" not in seen[0] and "id" in seen[0]
+
+
+def test_words_of_a_note_are_counted_in_its_row(spark):
+    notes = spark.createDataFrame([("k", "p", "b a b"), ("l", "p", None)], "key string, project_path string, val string")
+    rows = search_index._postings(search_index._analysed(notes))
+    assert {(r.term, r.key, r.hits, r.n) for r in rows.collect()} == {("k", "k", 1, 4), ("a", "k", 1, 4), ("b", "k", 2, 4), ("l", "l", 1, 1)}
+    assert "Aggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_searches_what_each_stage_left_once(spark):
+    rows = spark.createDataFrame([(1, "x https://u:pw@host.example/ internal-7")], "k long, t string")
+    got = dlp.audit(rows, "k", "t", ("internal-[0-9]+",))
+    assert [r.label for r in got.collect()] == ["Database URI", "Custom Secret"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("BEGIN [A-Z ]+") == 2  # searched and replaced

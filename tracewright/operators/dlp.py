@@ -34,6 +34,7 @@ RANDOM = ("High Entropy Secret", "[REDACTED_SECRET]")
 WORD = r"[\p{IsAlphabetic}\p{N}_\-/+=]+"
 LEAST_BYTES, MOST_BYTES, LEAST_BITS = 24, 128, 4.7
 _MARK = "\u0001"
+_HITS = "array<struct<label: string, hash: string>>"
 
 
 def entropy(word: Column) -> Column:
@@ -96,15 +97,18 @@ def audit(df: DataFrame, key: str, text: str, custom: tuple[str, ...] = (), now:
     With ``now`` the rows tell the second (``epoch_s``) and the ``source``, by
     default unknown, as an audit log does that is only ever appended to.
     """
-    x, found = F.col(text), []
-    for label, pattern, mark in (*STAGES, *((CUSTOM[0], p, CUSTOM[1]) for p in custom if is_pattern(p))):
-        hits = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-        found.append(_labelled(hits, label))
-        x = F.regexp_replace(x, pattern, mark)
-    words = F.filter(F.transform(_pieces(x), lambda s, i: F.when((i % 2 == 1) & _is_random(s), s)), lambda s: s.isNotNull())
-    found.append(_labelled(words, RANDOM[0]))
     told = [] if now is None else [F.unix_timestamp(now).alias("epoch_s"), F.coalesce(F.lit(None) if source is None else source, F.lit("unknown")).alias("source")]
-    return df.select(F.col(key), *told, F.explode(F.concat(*found)).alias("hit")).select("*", "hit.label", "hit.hash").drop("hit")
+    names = [key, *(["epoch_s", "source"] if told else [])]
+    rows, found = df.select(F.col(key), *told, F.col(text).alias("_left"), F.array().cast(_HITS).alias("_found")), F.col("_found")
+    for label, pattern, mark in (*STAGES, *((CUSTOM[0], p, CUSTOM[1]) for p in custom if is_pattern(p))):
+        # A step each, so that what it left is computed once for the next one's two uses.
+        x, may = F.col("_left"), F.col("_may")
+        rows = rows.withColumn("_may", _may_hold(x, label) if label in PARTS else x.rlike(pattern))
+        hits = F.when(may, _labelled(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), label)).otherwise(F.array().cast(_HITS))
+        left = F.when(may, F.regexp_replace(x, pattern, mark)).otherwise(x)
+        rows = rows.select(*names, F.concat(found, hits).alias("_found"), left.alias("_left"))
+    words = F.filter(F.transform(_pieces(F.col("_left")), lambda s, i: F.when((i % 2 == 1) & _is_random(s), s)), lambda s: s.isNotNull())
+    return rows.select(*names, F.explode(F.concat(found, _labelled(words, RANDOM[0]))).alias("hit")).select(*names, "hit.label", "hit.hash")
 
 
 def _labelled(hits: Column, label: str) -> Column:
