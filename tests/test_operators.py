@@ -6,8 +6,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tracewright.functions import storage
 from tracewright.functions.lines import is_pattern, rounded
 from tracewright.operators import dlp, graph, ledger, ledger_store, line_filters, packing, pricing, profiles, reports, router, search, search_index, sequence_filters, stores
 from tracewright.plans import catalog
@@ -308,6 +310,28 @@ def test_touched_equals_a_loop_over_all_pairs(spark, bin_lines):
     assert sorted(r.id for r in graph.touched(x, y, bin_lines).collect()) == want
 
 
+def test_changes_are_computed_in_small_tasks_and_the_settings_come_back(spark, monkeypatch):
+    monkeypatch.setitem(storage.SMALL_TASKS, "spark.sql.shuffle.partitions", 9)
+    symbols = spark.createDataFrame([(f"s{i}", f"n{i}", "d/a", 10 * i, 10 * i + 5) for i in range(40)], "id string, name string, file_path string, line_start int, line_end int")
+    deps = spark.createDataFrame([(f"s{i}", f"n{i + 1}") for i in range(39)], "caller_id string, callee_name string")
+    hunks = spark.createDataFrame([("d/a", 0, 35)], "file_path string, first_line int, last_line int")
+    before, seen, keep = {k: spark.conf.get(k) for k in storage.SMALL_TASKS}, [], graph.stored
+
+    def noted(rows, name):
+        seen.append((name, {k: spark.conf.get(k) for k in storage.SMALL_TASKS}))
+        return keep(rows, name)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    got = graph.detect_changes(symbols, graph.resolved_edges(symbols, deps), hunks).collect()
+    assert [(r.id, r.impact) for r in got] == [("s3", 3), ("s2", 2), ("s1", 1), ("s0", 0)]
+    assert {"nodes", "calls", "resolved", "changed", "edges", "front", "counts", "told"} <= {name for name, _ in seen}
+    assert all(conf == {k: str(v) for k, v in storage.SMALL_TASKS.items()} for _, conf in seen)
+    assert {k: spark.conf.get(k) for k in storage.SMALL_TASKS} == before
+    with pytest.raises(AnalysisException):
+        graph.closure(deps, symbols)  # deps have no callee_id
+    assert {k: spark.conf.get(k) for k in storage.SMALL_TASKS} == before
+
+
 # Ledger.
 
 

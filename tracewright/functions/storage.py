@@ -5,12 +5,22 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: Settings that size tasks by bytes, whatever the session's number of partitions: sorts and hash tables hold some ten times what a compressed shuffle counts, several at once in a task.
+#: Shuffles have so many partitions at least, and small ones are put together up to the advised size.
+SMALL_TASKS = {
+    "spark.sql.shuffle.partitions": 1000,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
+}
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, one sub-folder an application.
@@ -50,6 +60,28 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def in_small_tasks(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of DataFrames whose stored tables are computed under ``SMALL_TASKS``; the session's settings hold again when it ends.
+
+    What it leaves to be computed later runs under the session's own settings.
+    """
+
+    @wraps(f)
+    def run(first: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = first.sparkSession.conf
+        was = {k: conf.get(k) for k in SMALL_TASKS}
+        parts = "spark.sql.shuffle.partitions"
+        try:
+            for k, v in (SMALL_TASKS | {parts: max(int(was[parts]), SMALL_TASKS[parts])}).items():
+                conf.set(k, str(v))
+            return f(first, *args, **kwargs)
+        finally:
+            for k, v in was.items():
+                conf.set(k, v)
+
+    return run
+
+
 def put_buckets(rows: DataFrame, path: str, buckets: DataFrame, column: str = "bucket") -> None:
     """Makes ``rows`` the content of the named ``buckets`` of a table that is partitioned by one column; no other bucket's files change.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.code import LANGUAGES, SYMBOLS, Code
 from tracewright.functions.lines import lines
-from tracewright.functions.storage import by_shuffle, stored
+from tracewright.functions.storage import by_shuffle, in_small_tasks, stored
 
 # A name with more definitions elsewhere stays unresolved; bounds of the risk classes.
 MOST_CANDIDATES, HIGH, MEDIUM = 3, 10, 3
@@ -46,15 +46,17 @@ def file_dependencies(symbols: DataFrame, deps: DataFrame, path: str) -> DataFra
     return rows.groupBy("id", "name").agg(F.array_sort(F.collect_set("callee_name")).alias("callees"))
 
 
+@in_small_tasks
 def resolved_edges(symbols: DataFrame, deps: DataFrame) -> DataFrame:
     """``caller_id``, ``callee_id``: the only other bearer of the called name, else those in the same file, else in the same folder, else all if few.
 
     Bearers are counted by name, file and folder first, so that a name with many
     bearers never meets all its callers. All joins are by shuffles: symbols are
     computed from small columns, and by such estimates the whole of them would
-    be sent through the driver.
+    be sent through the driver. Symbols are stored once, so that no task sorts
+    them for their own computation and for a join at the same time.
     """
-    nodes = symbols.select("id", "name", "file_path", dir_of(F.col("file_path")).alias("dir"))
+    nodes = stored(symbols.select("id", "name", "file_path", dir_of(F.col("file_path")).alias("dir")), "nodes")
     callers = nodes.select(F.col("id").alias("caller_id"), F.col("name").alias("own"), "file_path", "dir")
     calls = deps.select("caller_id", F.col("callee_name").alias("name")).distinct().join(by_shuffle(callers), "caller_id")
 
@@ -74,9 +76,10 @@ def resolved_edges(symbols: DataFrame, deps: DataFrame) -> DataFrame:
         found = calls.where(F.col("tier") == by[-1]).select("caller_id", *by).join(by_shuffle(nodes.select(F.col("id").alias("callee_id"), *by)), by)
         found = found.where("caller_id <> callee_id").select("caller_id", "callee_id")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return stored(out.distinct(), "resolved")
 
 
+@in_small_tasks
 def closure(edges: DataFrame, starts: DataFrame, upstream: bool = True, most_steps: int | None = None) -> DataFrame:
     """``source``, ``node``: what reaches each start (``id``), or what it reaches; starts themselves are left out.
 
@@ -96,6 +99,7 @@ def closure(edges: DataFrame, starts: DataFrame, upstream: bool = True, most_ste
     return seen.where("source <> node")
 
 
+@in_small_tasks
 def reached(edges: DataFrame, starts: DataFrame, upstream: bool = True) -> DataFrame:
     """``id`` of all that reaches any start, or that any start reaches; a start itself only if another one reaches it.
 
@@ -118,6 +122,7 @@ def reached(edges: DataFrame, starts: DataFrame, upstream: bool = True) -> DataF
     return seen.where("node <> source").select(F.col("node").alias("id")).distinct()
 
 
+@in_small_tasks
 def reach_counts(edges: DataFrame, starts: DataFrame, upstream: bool = True) -> DataFrame:
     """``id``, ``n``: for each start the number of nodes that reach it, or that it reaches, itself left out; cycles are fine.
 
@@ -128,8 +133,7 @@ def reach_counts(edges: DataFrame, starts: DataFrame, upstream: bool = True) ->
     """
     a, b = ("callee_id", "caller_id") if upstream else ("caller_id", "callee_id")
     steps = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node <> next").distinct(), "edges")
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = starts.select("id").where("id is not null").distinct().repartitionByRange(n, "id").sortWithinPartitions("id")
+    ids = starts.select("id").where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
     at = F.monotonically_increasing_id()
     ids = stored(ids.select("id", F.shiftright(at, 6).alias("word"), at.bitwiseAND(63).cast("int").alias("bit")), "starts")
     front = stored(ids.select(F.col("id").alias("node"), "word", F.expr("shiftleft(1L, bit)").alias("mask")), "front")
@@ -145,7 +149,7 @@ def reach_counts(edges: DataFrame, starts: DataFrame, upstream: bool = True) ->
     # A bit of a node is in one round's rows only, so that sums count each once.
     sums = [F.sum(F.shiftrightunsigned("mask", i).bitwiseAND(1)).alias(str(i)) for i in range(64)]
     counts = seen.groupBy("word").agg(*sums).select("word", F.posexplode(F.array(*[str(i) for i in range(64)])).alias("bit", "n"))
-    return ids.join(counts, ["word", "bit"]).select("id", (F.col("n") - 1).alias("n"))
+    return stored(ids.join(counts, ["word", "bit"]).select("id", (F.col("n") - 1).alias("n")), "counts")
 
 
 def impact(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -185,12 +189,14 @@ def touched(symbols: DataFrame, hunks: DataFrame, bin_lines: int = BIN_LINES) ->
     return symbols.join(by_shuffle(x.join(by_shuffle(y), on, "left_semi").select("id").distinct()), "id", "left_semi").select(symbols.columns)
 
 
+@in_small_tasks
 def detect_changes(symbols: DataFrame, edges: DataFrame, hunks: DataFrame) -> DataFrame:
     """Touched symbols with the number of symbols upstream of each, most first; ties by id."""
     changed = stored(touched(symbols, hunks), "changed")
     counts = reach_counts(edges, changed).select("id", F.col("n").alias("impact"))
     n = F.coalesce("impact", F.lit(0).cast("long"))
-    return changed.join(counts, "id", "left").select("id", "name", n.alias("impact"), risk(n).alias("risk")).orderBy(F.desc("impact"), "id")
+    told = changed.join(by_shuffle(counts), "id", "left").select("id", "name", n.alias("impact"), risk(n).alias("risk"))
+    return stored(told, "told").orderBy(F.desc("impact"), "id")
 
 
 def coverage(symbols: DataFrame, deps: DataFrame) -> DataFrame:
