@@ -60,3 +60,11 @@ def test_other_depth_and_empty(spark):
     assert op.remove_repeats(table(spark, [])).collect() == []
     with pytest.raises(ValueError):
         op.remove_repeats(table(spark, []), depth=50)
+
+
+def test_blocks_of_one_first_digit_without_an_equal_window(spark):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(150))  # shorter than a window: the first digit is shared, no window is
+    texts = [x * 60 + shared + y * 60 for x, y in ("ij", "kl", "mn")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.remove_repeats(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200) and all(g[1] == 0 for g in got.values())

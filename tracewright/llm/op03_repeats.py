@@ -127,7 +127,8 @@ def _sorted_in_tasks(kinds: DataFrame, depth: int) -> DataFrame:
         cut = np.searchsorted(block[found], np.arange(len(rows) + 1))
         at = [inside[found[cut[i] : cut[i + 1]]] for i in range(len(rows))]
         some = [i for i in range(len(rows)) if len(at[i])]
-        return pd.DataFrame({"h": [rows[i].h for i in some], "c": [rows[i].c for i in some], "at": [at[i] for i in some]})
+        # Without a type, columns of no rows are doubles, which Arrow can't make lists of.
+        return pd.DataFrame({"h": [rows[i].h for i in some], "c": [rows[i].c for i in some], "at": [at[i] for i in some]}, dtype=object)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list = []
