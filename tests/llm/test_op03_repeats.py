@@ -68,3 +68,26 @@ def test_blocks_of_one_first_digit_without_an_equal_window(spark):
     texts = [x * 60 + shared + y * 60 for x, y in ("ij", "kl", "mn")]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.remove_repeats(table(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 200) and all(g[1] == 0 for g in got.values())
+
+
+def test_large_groups_are_sorted_without_a_row_for_each_window(spark, monkeypatch):
+    rng = random.Random(11)
+    line, base = words(rng, 25)[:120], words(rng, 90)[:400]
+    texts = []
+    for i in range(60):  # a line among other words, and near copies of one text
+        at = rng.randrange(len(base))
+        texts += [words(rng, 20) + line + words(rng, 20), base[:at] + chr(0x100 + i) + base[at + 1 :]]
+    texts += [texts[0], texts[1], "x" + texts[3]]
+    rows, stored = Counter(), op.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = max(rows[name], out.count())
+        return out
+
+    monkeypatch.setattr(op, "TASK_KINDS", 20)
+    monkeypatch.setattr(op, "stored", counted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.remove_repeats(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+    assert max(rows.values()) <= 2 * rows["again"]
+    assert rows["halves"] > 0

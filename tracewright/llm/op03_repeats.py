@@ -7,9 +7,10 @@ windows have the same, and neighbouring suffixes share it, so that a run of
 them (a block) is one record. Blocks of one first digit with the same 128 bits
 of BLAKE2 of their bytes are one kind: they repeat each other as a whole. Only
 different kinds under the same first digit are sorted on, suffix by suffix, by
-passes over their bytes: eight bytes a pass in a task, and by shuffles where a
-group is too large for one. Groups left at full depth are exactly the repeated
-windows.
+passes over their bytes, eight a pass, in a task. Where a group is too large
+for one, shuffles sort its blocks first, by the bytes around the gram that all
+windows of a half of them share, until the groups are small enough. Groups left
+at full depth are exactly the repeated windows.
 """
 
 from __future__ import annotations
@@ -47,16 +48,22 @@ def _grown(n: int) -> None:
         _up, _down = powers(_BASE, 2 * n), powers(_BACK, 2 * n)
 
 
+def grams_of(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """The hash of each gram, by its bytes alone."""
+    n = len(raw)
+    _grown(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _up[:n], out=sums[1:])
+    return mixed((sums[gram:] - sums[:-gram]) * _down[: n - gram + 1])
+
+
 def blocks_of(raw: np.ndarray, depth: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts with the same least gram: its hash, the digest of the run's bytes, first and last start."""
     n = len(raw)
     if n < depth:
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, object), none, none
-    _grown(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _up[:n], out=sums[1:])
-    grams = mixed((sums[gram:] - sums[:-gram]) * _down[: n - gram + 1])
+    grams = grams_of(raw, gram)
     width = depth - gram + 1
     least, s = grams, 1
     while 2 * s <= width:
@@ -150,30 +157,80 @@ def _sorted_in_tasks(kinds: DataFrame, depth: int) -> DataFrame:
     return kinds.mapInPandas(walk, "h long, c binary, at array<int>")
 
 
-def _sorted_by_shuffle(kinds: DataFrame, depth: int) -> DataFrame:
-    """The same for groups of any size: most-significant-digit passes by shuffles over the windows' bytes.
+_BLOCK = "h long, c binary, body binary, lo int, hi int, anchor int"
+_HALF = "h long, c binary, k long, s binary, shift int, size int, body binary, lo int, hi int, anchor int"
+
+
+def _halves(blocks: DataFrame, depth: int) -> DataFrame:
+    """Each block in two: the windows in which the gram stands further left, and those in which it stands further right.
 
-    The first digit is eight bytes, each later one as long as all before it, so
-    that few passes reach ``depth``. After each, a window whose bytes so far no
-    other block of its group has is dropped. Counts are partial before a shuffle.
+    A block's windows hold the gram at ``lo`` to ``hi`` bytes from their start,
+    so each holds the bytes from ``lo`` before it on, ``depth - hi + lo`` in all.
+    A half has more such bytes, and these are its next digit: ``k`` names the
+    half and its digit, ``s`` the half's own bytes. Equal windows have the gram
+    at the same place, so that they have the same ``k``.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for row in batch.itertuples(index=False):
-                windows = [row.body[i : i + depth] for i in range(len(row.body) - depth + 1)]
-                yield pd.DataFrame({"h": row.h, "c": row.c, "i": np.arange(len(windows)), "window": windows})
+                mid = (row.lo + row.hi) // 2
+                for lo, hi in ((row.lo, mid), (mid + 1, row.hi)):
+                    first, last = max(lo, row.anchor - len(row.body) + depth), min(hi, row.anchor)
+                    if first > last:
+                        continue  # the block has none of these windows
+                    shift = row.anchor - last
+                    body = row.body[shift : row.anchor - first + depth]
+                    digit = b"%d %d " % (row.h, lo) + row.body[row.anchor - lo : row.anchor + depth - hi]
+                    k = int.from_bytes(hashlib.blake2b(digit, digest_size=8).digest(), "little", signed=True)
+                    s = hashlib.blake2b(body, digest_size=DIGEST_BYTES).digest()
+                    out.append((row.h, row.c, k, s, shift, last - first + 1, body, lo, hi, last))
+            yield pd.DataFrame(out, columns=["h", "c", "k", "s", "shift", "size", "body", "lo", "hi", "anchor"])
+
+    return blocks.mapInPandas(halve, _HALF)
+
+
+def _sorted_by_shuffle(kinds: DataFrame, depth: int) -> DataFrame:
+    """The same for groups of any size: most-significant-digit passes by shuffles over the blocks' halves.
+
+    A pass halves the places that the gram may have in a block's windows, so
+    that its halves share ever longer digits around the gram; equal halves are
+    one, and one that stands alone in its group is dropped. Groups that are
+    small enough then are sorted in tasks, the others by the next pass; where one
+    place is left, the digit is the whole window, so the eighth pass is the last
+    at 200 bytes. Rows are blocks and halves, never their windows.
+    """
+
+    def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = [int(np.argmax(grams_of(np.frombuffer(r.body, np.uint8)).view(np.int64) == r.h)) for r in batch.itertuples(index=False)]
+            yield batch.assign(lo=0, hi=depth - GRAM, anchor=at)
+
+    return _passed(_dealt(kinds, "h", "c").dropDuplicates(["h", "c"]).mapInPandas(anchored, _BLOCK), depth)
+
+
+def _passed(blocks: DataFrame, depth: int) -> DataFrame:
+    """``h``, ``c``, ``at`` of ``blocks``, by one pass and, where groups stay large, by those after it."""
+    halves = stored(_halves(blocks, depth), "halves")
+    kinds = halves.groupBy("k", "s", "body", "lo", "hi", "anchor").agg(F.count("*").alias("n"))
+    met = kinds.join(kinds.groupBy("k").agg(F.count("*").alias("kinds")), "k").where("n > 1 or kinds > 1")
+    met = stored(met.select(F.col("k").alias("h"), F.col("s").alias("c"), "body", "lo", "hi", "anchor", "n", "kinds"), "met")
+    single = _sorted_in_tasks(_dealt(met.where(F.col("kinds").between(2, TASK_KINDS)).select("h", "c", "body"), "h").sortWithinPartitions("h", "c"), depth)
+    more = met.where(F.col("kinds") > max(1, TASK_KINDS))
+    if not more.isEmpty():
+        single = single.union(_passed(_dealt(more.select("h", "c", "body", "lo", "hi", "anchor"), "h", "c"), depth))
+    # A half of two blocks is repeated as a whole, whatever else its group holds.
+    single = met.where("n > 1").select("h", "c", F.lit(None).cast("array<int>").alias("at")).union(single)
+    told = single.groupBy(F.col("h").alias("k"), F.col("c").alias("s")).agg(F.max(F.col("at").isNull()).alias("whole"), F.first("at", ignorenulls=True).alias("at"))
+    inside = F.when(F.col("whole"), F.expr("sequence(shift, shift + size - 1)")).otherwise(F.expr("transform(at, x -> x + shift)"))
+    found = halves.select("h", "c", "k", "s", "shift", "size").join(told, ["k", "s"]).select("h", "c", inside.alias("at"))
+    return stored(found.groupBy("h", "c").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at")), "passed")
+
 
-    left = stored(kinds.dropDuplicates(["h", "c"]).mapInPandas(cut, "h long, c binary, i int, window binary"), "windows")
-    if left.isEmpty():
-        return left.groupBy("h", "c").agg(F.collect_list("i").alias("at"))
-    done = 0
-    while done < depth:
-        done = min(depth, max(8, 2 * done))
-        digits = left.withColumn("digits", F.substring("window", 1, done))
-        again = digits.groupBy("h", "digits").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h", "digits")
-        left = stored(digits.join(again, ["h", "digits"], "left_semi").drop("digits"), "windows")
-    return left.groupBy("h", "c").agg(F.array_sort(F.collect_list("i")).alias("at"))
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """In as many tasks as a shuffle has: by bytes, rows that take long to work on would end in a few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _covered(runs: list, depth: int) -> list[tuple[int, int]]:
@@ -246,9 +303,10 @@ def remove_repeats(docs: DataFrame, depth: int = 200, key: str = "doc_id", text:
             yield pd.DataFrame(out, columns=["h", "c", "many", "body"])
 
     kinds = stored(found.select("k1", "k2", "body", "wanted").mapInPandas(fetch, "h long, c binary, many boolean, body binary"), "kinds")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kinds.where("not many").select("h", "c", "body").repartition(parts, "h").sortWithinPartitions("h", "c")
-    single = _sorted_in_tasks(dealt, depth).union(_sorted_by_shuffle(kinds.where("many").select("h", "c", "body"), depth))
+    dealt = _dealt(kinds.where("not many").select("h", "c", "body"), "h").sortWithinPartitions("h", "c")
+    single, large = _sorted_in_tasks(dealt, depth), kinds.where("many").select("h", "c", "body")
+    if not large.isEmpty():
+        single = single.union(_sorted_by_shuffle(large, depth))
     # A block that occurs twice is repeated as a whole; of others only some windows may be.
     at = second.select("h", "c", "n").join(single, ["h", "c"], "left").where("n > 1 or at is not null")
     at = stored(at.select("h", "c", F.when(F.col("n") == 1, F.col("at")).alias("at")), "at")
