@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from tests.llm.helpers import table, words
+from tracewright.functions.storage import SMALL_BATCHES
 from tracewright.llm import op03_repeats as op
 
 
@@ -91,3 +93,43 @@ def test_large_groups_are_sorted_without_a_row_for_each_window(spark, monkeypatc
     assert [got[i] for i in range(len(texts))] == brute(texts, 200)
     assert max(rows.values()) <= 2 * rows["again"]
     assert rows["halves"] > 0
+
+
+def test_tasks_have_one_python_worker_and_get_small_batches(spark, monkeypatch, capsys):
+    before, seen, stored = {k: spark.conf.get(k) for k in SMALL_BATCHES}, [], op.stored
+
+    def watched(df, name):
+        capsys.readouterr()
+        df.explain()
+        seen.append((name, capsys.readouterr().out, {k: spark.conf.get(k) for k in SMALL_BATCHES}))
+        return stored(df, name)
+
+    monkeypatch.setattr(op, "TASK_KINDS", 1)
+    monkeypatch.setattr(op, "stored", watched)
+    out = op.remove_repeats(table(spark, corpus()))
+    assert {"halves", "told"} <= {name for name, _, _ in seen}
+    assert all(conf == {k: str(v) for k, v in SMALL_BATCHES.items()} for _, _, conf in seen)
+    assert {k: spark.conf.get(k) for k in SMALL_BATCHES} == before
+    out.explain()
+    assert "MapInPandas" not in capsys.readouterr().out  # nothing is left that would run under the session's own batches
+    for name, plan, _ in seen:
+        python = False
+        for line in plan.splitlines():  # from the result down
+            assert not (python and "MapInPandas" in line), name
+            python = "MapInPandas" in line or python and "Exchange" not in line and "Scan" not in line
+
+
+def test_sorting_takes_few_bytes_a_window():
+    rng = np.random.default_rng(5)
+    buffer = rng.integers(97, 123, 1 << 19, dtype=np.uint8)
+    buffer[1 << 18 :] = buffer[: 1 << 18]  # all windows of one half stay to the last pass
+    start = np.arange(len(buffer) - 199, dtype=np.int32)
+    tracemalloc.start()
+    try:
+        left = op.equal_windows(buffer, np.zeros(len(start), np.int32), start, 200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Windows across the middle have no partner.
+    assert len(left) == 2 * ((1 << 18) - 199)
+    assert peak < 50 * len(start)

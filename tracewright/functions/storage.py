@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,9 @@ SMALL_TASKS = {
     "spark.sql.files.maxPartitionBytes": "32m",
 }
 
+#: Settings that bound what a Python worker gets at once, and what its task holds for it outside the heap: rows, and bytes where rows are long.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, one sub-folder an application.
@@ -60,6 +64,19 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+@contextmanager
+def _held(spark: SparkSession, settings: dict[str, object]) -> Iterator[None]:
+    """The session under ``settings``; its own hold again afterwards."""
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def in_small_tasks(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A function of DataFrames whose stored tables are computed under ``SMALL_TASKS``; the session's settings hold again when it ends.
 
@@ -68,16 +85,20 @@ def in_small_tasks(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @wraps(f)
     def run(first: DataFrame, *args, **kwargs) -> DataFrame:
-        conf = first.sparkSession.conf
-        was = {k: conf.get(k) for k in SMALL_TASKS}
-        parts = "spark.sql.shuffle.partitions"
-        try:
-            for k, v in (SMALL_TASKS | {parts: max(int(was[parts]), SMALL_TASKS[parts])}).items():
-                conf.set(k, str(v))
+        spark, parts = first.sparkSession, "spark.sql.shuffle.partitions"
+        with _held(spark, SMALL_TASKS | {parts: max(int(spark.conf.get(parts)), SMALL_TASKS[parts])}):
+            return f(first, *args, **kwargs)
+
+    return run
+
+
+def in_small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The same under ``SMALL_BATCHES``: Python gets its rows in small batches."""
+
+    @wraps(f)
+    def run(first: DataFrame, *args, **kwargs) -> DataFrame:
+        with _held(first.sparkSession, SMALL_BATCHES):
             return f(first, *args, **kwargs)
-        finally:
-            for k, v in was.items():
-                conf.set(k, v)
 
     return run
 

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.storage import in_small_batches
 from tracewright.llm.common import stored
 from tracewright.llm.words import mixed, powers
 
@@ -99,22 +100,20 @@ def _blocks(texts: DataFrame, depth: int) -> DataFrame:
 
 def equal_windows(buffer: np.ndarray, group: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
     """Numbers of the windows of ``depth`` bytes that are equal to another one of the same group: the radix passes."""
-    padded = np.concatenate((buffer, np.zeros(8, np.uint8))).astype(np.uint64)
-    eight = np.zeros(len(buffer), np.uint64)
-    for i in range(8):
-        eight = (eight << np.uint64(8)) | padded[i : i + len(buffer)]
-    left, group = np.arange(len(start)), group.astype(np.int64)
+    # The eight bytes from each place on, seen in the buffer itself.
+    eight = np.ndarray(len(buffer), ">u8", np.concatenate((buffer, np.zeros(8, np.uint8))), strides=(1,))
+    left, group = np.arange(len(start), dtype=np.int32), group.astype(np.int32)
     for d in range(0, depth, 8):
         if not len(left):
             break
-        digit = eight[start[left] + d]
+        digit = eight[start[left] + d].astype(np.uint64)
         if depth - d < 8:
             digit = digit >> np.uint64(8 * (8 - depth + d))
-        order = np.lexsort((digit, group))
+        order = np.lexsort((digit, group)).astype(np.int32)
         left, digit, group = left[order], digit[order], group[order]
         new = np.concatenate(([True], (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])))
         alone = new & np.concatenate((new[1:], [True]))
-        group = np.cumsum(new)[~alone]
+        group = np.cumsum(new, dtype=np.int32)[~alone]
         left = left[~alone]
     return left
 
@@ -124,11 +123,11 @@ def _sorted_in_tasks(kinds: DataFrame, depth: int) -> DataFrame:
 
     def sort(rows: list) -> pd.DataFrame:
         bodies = [np.frombuffer(r.body, np.uint8) for r in rows]
-        offset = np.cumsum([0] + [len(b) for b in bodies])[:-1]
-        size = np.array([len(b) - depth + 1 for b in bodies])
-        block = np.repeat(np.arange(len(rows)), size)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        names = np.unique([r.h for r in rows], return_inverse=True)[1]
+        offset = np.cumsum([0] + [len(b) for b in bodies], dtype=np.int32)[:-1]
+        size = np.array([len(b) - depth + 1 for b in bodies], np.int32)
+        block = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+        inside = np.arange(len(block), dtype=np.int32) - np.repeat(np.cumsum(size, dtype=np.int32) - size, size)
+        names = np.unique([r.h for r in rows], return_inverse=True)[1].astype(np.int32)
         found = equal_windows(np.concatenate(bodies), names[block], offset[block] + inside, depth)
         found.sort()
         cut = np.searchsorted(block[found], np.arange(len(rows) + 1))
@@ -157,7 +156,6 @@ def _sorted_in_tasks(kinds: DataFrame, depth: int) -> DataFrame:
     return kinds.mapInPandas(walk, "h long, c binary, at array<int>")
 
 
-_BLOCK = "h long, c binary, body binary, lo int, hi int, anchor int"
 _HALF = "h long, c binary, k long, s binary, shift int, size int, body binary, lo int, hi int, anchor int"
 
 
@@ -168,21 +166,25 @@ def _halves(blocks: DataFrame, depth: int) -> DataFrame:
     so each holds the bytes from ``lo`` before it on, ``depth - hi + lo`` in all.
     A half has more such bytes, and these are its next digit: ``k`` names the
     half and its digit, ``s`` the half's own bytes. Equal windows have the gram
-    at the same place, so that they have the same ``k``.
+    at the same place, so that they have the same ``k``. ``anchor`` is the
+    gram's place in the block; where it is below 0, it is looked for.
     """
 
     def halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
+                anchor = row.anchor
+                if anchor < 0:
+                    anchor = int(np.argmax(grams_of(np.frombuffer(row.body, np.uint8)).view(np.int64) == row.h))
                 mid = (row.lo + row.hi) // 2
                 for lo, hi in ((row.lo, mid), (mid + 1, row.hi)):
-                    first, last = max(lo, row.anchor - len(row.body) + depth), min(hi, row.anchor)
+                    first, last = max(lo, anchor - len(row.body) + depth), min(hi, anchor)
                     if first > last:
                         continue  # the block has none of these windows
-                    shift = row.anchor - last
-                    body = row.body[shift : row.anchor - first + depth]
-                    digit = b"%d %d " % (row.h, lo) + row.body[row.anchor - lo : row.anchor + depth - hi]
+                    shift = anchor - last
+                    body = row.body[shift : anchor - first + depth]
+                    digit = b"%d %d " % (row.h, lo) + row.body[anchor - lo : anchor + depth - hi]
                     k = int.from_bytes(hashlib.blake2b(digit, digest_size=8).digest(), "little", signed=True)
                     s = hashlib.blake2b(body, digest_size=DIGEST_BYTES).digest()
                     out.append((row.h, row.c, k, s, shift, last - first + 1, body, lo, hi, last))
@@ -202,12 +204,9 @@ def _sorted_by_shuffle(kinds: DataFrame, depth: int) -> DataFrame:
     at 200 bytes. Rows are blocks and halves, never their windows.
     """
 
-    def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = [int(np.argmax(grams_of(np.frombuffer(r.body, np.uint8)).view(np.int64) == r.h)) for r in batch.itertuples(index=False)]
-            yield batch.assign(lo=0, hi=depth - GRAM, anchor=at)
-
-    return _passed(_dealt(kinds, "h", "c").dropDuplicates(["h", "c"]).mapInPandas(anchored, _BLOCK), depth)
+    # The halving task itself looks for the grams: a second function here would be a second Python worker of each task.
+    whole = [F.lit(0).alias("lo"), F.lit(depth - GRAM).alias("hi"), F.lit(-1).alias("anchor")]
+    return _passed(_dealt(kinds, "h", "c").dropDuplicates(["h", "c"]).select("h", "c", "body", *whole), depth)
 
 
 def _passed(blocks: DataFrame, depth: int) -> DataFrame:
@@ -257,6 +256,7 @@ def _keys(body: Column) -> list[Column]:
     return [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(3), body).alias("k2")]
 
 
+@in_small_batches
 def remove_repeats(docs: DataFrame, depth: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's bytes outside all passages of ``depth`` bytes that also start anywhere else.
 
@@ -338,9 +338,8 @@ def remove_repeats(docs: DataFrame, depth: int = 200, key: str = "doc_id", text:
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]).astype({"doc_id": "Int64"})
 
     told = texts.join(F.broadcast(hits) if few else hits, ["k1", "k2"], "left").select("doc_id", "body", "removed")
-    return told.mapInPandas(
-        judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>"
-    )
+    told = told.mapInPandas(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    return stored(told, "told")  # here, so that texts come in small batches too
 
 
 def op3_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
